@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import near_dedup, pii, quality_rules, secret_scan, topk
+from pagequarry.llm import mixing, near_dedup, pii, quality_rules, secret_scan, topk
+from pagequarry.llm import sentencepiece_dropout as pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +35,46 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "lossless")
+
+
+def equal_targets(docs: DataFrame) -> DataFrame:
+    """Equal weight for every source that occurs."""
+    return docs.select("source").distinct().withColumn("weight", F.lit(1.0))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, equal_targets(docs))
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_near_dedup": op4_near_dedup,
+    "op6_mixing": op6_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op7_pii": op7_pii,
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": """
+        WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY ALL),
+        r AS (SELECT source, (SELECT sum(n) FROM c) * 1.0::DOUBLE / (SELECT count(*) FROM c)::DOUBLE / n AS rate FROM c),
+        u AS (
+            SELECT d.*, rate, ('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+            FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+        ), k AS (
+            SELECT doc_id, u, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM u
+            UNION ALL
+            SELECT doc_id, u, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM k WHERE u >= cdf AND k < 64
+        ), n AS (SELECT doc_id, max(k) AS k FROM k GROUP BY ALL),
+        e AS (SELECT doc_id, unnest(range(1, k + 1))::INTEGER AS copy FROM n)
+        SELECT d.*, copy, md5('mix:order:' || doc_id || ':' || copy) AS shuffle_key FROM documents d JOIN e USING (doc_id)
+    """,
     "op4_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
