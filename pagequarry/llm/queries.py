@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import mixing, near_dedup, pii, quality_rules, secret_scan, topk
+from pagequarry.llm import language_id, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, topk
 from pagequarry.llm import sentencepiece_dropout as pieces
 
 
@@ -50,7 +50,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, equal_targets(docs))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op1_language_id": op1_language_id,
+    "op5_quality_model": op5_quality_model,
     "op3_secret_scan": op3_secret_scan,
     "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
