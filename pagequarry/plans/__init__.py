@@ -1,0 +1,6 @@
+"""Every registered query of the library outside the numbered operators."""
+
+from pagequarry.plans import relational
+
+QUERIES = dict(relational.QUERIES)
+ORACLE_SQL = dict(relational.ORACLE_SQL)
