@@ -1,6 +1,6 @@
 """Every registered query of the library outside the numbered operators."""
 
-from pagequarry.plans import relational
+from pagequarry.plans import documents, relational
 
-QUERIES = dict(relational.QUERIES)
-ORACLE_SQL = dict(relational.ORACLE_SQL)
+QUERIES = relational.QUERIES | documents.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | documents.ORACLE_SQL
