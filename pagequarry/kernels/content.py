@@ -28,33 +28,42 @@ def place(m: tuple, x: float, y: float) -> tuple[float, float]:
 
 
 def operations(data: bytes) -> Iterator[tuple[str, list, int]]:
-    """(operator, operands, offset); an inline image is one operation ``BI`` with its dictionary and bytes."""
+    """(operator, operands, offset); an inline image is one operation ``BI`` with its dictionary and bytes.
+
+    What follows malformed syntax is not read.
+    """
     values, operands = Values(data, references=False), []
-    while token := values.next_token():
-        if token[0] in ("]", "close", "}", "{", ")", ">"):
-            continue  # strays
-        try:
+    try:
+        while token := values.next_token():
+            if token[0] in ("]", "close", "}", "{", ")", ">"):
+                continue  # strays
             value = values.read(token)
-        except SyntaxIssue:
-            return  # the rest of the stream is unreadable
-        if not isinstance(value, tuple):
-            operands.append(value)
-            continue
-        if value[1] == "BI":
-            spec = {}
-            while (t := values.next_token()) and not (t[0] == "keyword" and t[1] == "ID"):
-                spec[t[1][1:]] = values.read()
-            begin = values.at + 1
-            end = begin
-            while (end := data.find(b"EI", end)) >= 0:
-                if data[end - 1 : end] in (b"\n", b"\r", b" ", b"\t") and (end + 2 >= len(data) or data[end + 2] in WHITE):
-                    break
-                end += 2
-            end = len(data) if end < 0 else end
-            values.at = end + 2
-            operands = [spec, "s:" + data[begin:end].rstrip(b"\r\n").hex()]
-        yield value[1], operands, token[2]
-        operands = []
+            if not isinstance(value, tuple):
+                operands.append(value)
+                continue
+            if value[1] == "BI":
+                operands = _inline_image(values)
+            yield value[1], operands, token[2]
+            operands = []
+    except (SyntaxIssue, RecursionError):
+        return
+
+
+def _inline_image(values: Values) -> list:
+    """Dictionary and bytes between BI, ID and EI."""
+    spec, data = {}, values.data
+    while (t := values.next_token()) and not (t[0] == "keyword" and t[1] == "ID"):
+        if t[0] != "name":
+            raise SyntaxIssue("key is not a name", t[2])
+        spec[t[1][1:]] = values.read()
+    begin = end = values.at + 1
+    while (end := data.find(b"EI", end)) >= 0:
+        if data[end - 1 : end] in (b"\n", b"\r", b" ", b"\t") and (end + 2 >= len(data) or data[end + 2] in WHITE):
+            break
+        end += 2
+    end = len(data) if end < 0 else end
+    values.at = end + 2
+    return [spec, "s:" + data[begin:end].rstrip(b"\r\n").hex()]
 
 
 @dataclass
