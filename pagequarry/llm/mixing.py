@@ -22,8 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.store import written
+
 MAX_TERMS = 64
 MAX_RATE = 16.0
+#: Sources whose rates (a name and a number each) may be broadcast.
+BROADCAST_SOURCES = 50_000
+SALTS = 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -61,6 +66,22 @@ def rates(docs: DataFrame, targets: DataFrame, size_factor: float = 1.0) -> Data
     )
 
 
+def with_rates(rows: DataFrame, rate: DataFrame) -> DataFrame:
+    """``rows`` (with a struct ``row``) and the rate of their source.
+
+    Up to ``BROADCAST_SOURCES`` sources the rates are broadcast and no document
+    moves; beyond it both sides meet by source and salt, so a hot source spreads
+    over ``SALTS`` tasks.
+    """
+    held = written(rate.select(F.col("source").alias("own"), "rate"), "mix-rates")
+    same = F.col("row.source").eqNullSafe(F.col("own"))
+    if held.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(held), same)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row.doc_id"), F.lit(SALTS)).cast("int"))
+    spread = held.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, same & (F.col("salt") == F.col("salt_of")))
+
+
 def copies(doc_id: Column, rate: Column, seed: str) -> Column:
     """Number of copies of a document."""
     parts = F.greatest(F.lit(1), F.ceil(rate / MAX_RATE).cast("int"))
@@ -75,8 +96,7 @@ def copies(doc_id: Column, rate: Column, seed: str) -> Column:
 def mix(docs: DataFrame, targets: DataFrame, size_factor: float = 1.0, seed: str = "mix") -> DataFrame:
     """``docs`` replicated and shuffled, with columns ``copy`` (from 1) and ``shuffle_key``."""
     rate = rates(docs, targets, size_factor)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    joined = docs.select(row).join(rate, F.col("row.source").eqNullSafe(F.col("source")))
+    joined = with_rates(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), rate)
     doc_id = F.col("row.doc_id")
     counted = joined.select("row", copies(doc_id, F.col("rate"), seed).alias("k")).where("k > 0")
     exploded = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))

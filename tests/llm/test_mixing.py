@@ -29,6 +29,14 @@ def test_counts_match_inversion_and_columns_stay(spark):
     assert got == {i: k for i in range(300) if (k := brute_count(i, rates["a" if i % 3 else None]))}
 
 
+def test_salted_join_gives_the_same_rows(spark, monkeypatch):
+    df = texts.frame(spark)
+    targets = df.select("source").distinct().selectExpr("source", "1.0 AS weight")
+    a = sorted(r.shuffle_key for r in mixing.mix(df, targets).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(r.shuffle_key for r in mixing.mix(df, targets).collect()) == a
+
+
 def test_mean_rate_and_high_rates(spark):
     df = spark.range(2000).selectExpr("id AS doc_id", "'t' AS text", "'s' AS source")
     targets = spark.createDataFrame([("s", 2.0)], "source string, weight double")
