@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.operators import tables, text
+from pagequarry.operators import layout, tables, text
 from pagequarry.sources import render
 from pagequarry.sources.store import written
 
@@ -120,3 +120,10 @@ def pdf_tokens_by_kind(spark, sf_dir):
     return tables.tokens(corpus(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("number").alias("n_numbers"))
 
 
+
+
+@query(LINES + ", e AS (SELECT doc_id, page_index, unnest(ws) AS text, unnest(range(1, len(ws) + 1))::INTEGER AS word FROM w) SELECT * FROM e")
+def pdf_words(spark, sf_dir):
+    """Words that the layout finds, in order."""
+    found = layout.words(layout.glyph_boxes(Parsed(corpus(spark, sf_dir)).runs()))
+    return found.select("doc_id", "page_index", "text", "word")
