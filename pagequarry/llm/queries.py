@@ -75,7 +75,51 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+#: The metrics that rules name, in SQL over the columns of the query below.
+METRIC_SQL = {
+    "n_words": "n::DOUBLE",
+    "mean_word_length": "chars / greatest(n, 1)",
+    "symbol_word_ratio": "symbols / greatest(n, 1)",
+    "repeat_word_ratio": "repeated / greatest(n, 1)",
+    "stop_word_ratio": "stops / greatest(n, 1)",
+    "letter_ratio": "(chars - others) / greatest(chars, 1)",
+    "upper_letter_ratio": "uppers / greatest(chars, 1)",
+    "dup_line_ratio": "dups / greatest(lines, 1)",
+    "bullet_line_ratio": "bullets / greatest(lines, 1)",
+}
+
+
+def quality_rules_sql() -> str:
+    """The rule table as SQL."""
+    broken = []
+    for r in quality_rules.DEFAULT_RULES:
+        tests = [f"{METRIC_SQL[r.metric]} < {r.low}"] if r.low is not None else []
+        tests += [f"{METRIC_SQL[r.metric]} > {r.high}"] if r.high is not None else []
+        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.metric}' END")
+    stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM i),
+        r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        c AS (SELECT doc_id, count(DISTINCT p) AS repeated FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY ALL),
+        j AS (SELECT *, array_to_string(ws, '') AS joined FROM w),
+        m AS (SELECT doc_id, len(ws) AS n, length(joined) AS chars, length(regexp_replace(joined, '\p{{L}}+', '', 'g')) AS others,
+            length(regexp_replace(joined, '[^#*$%&|<>]+', '', 'g')) AS symbols, length(regexp_replace(joined, '\P{{Lu}}+', '', 'g')) AS uppers,
+            len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS stops, len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS dups,
+            len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣|]'))) AS bullets, coalesce(repeated, 0) AS repeated
+            FROM j LEFT JOIN c USING (doc_id)),
+        f AS (SELECT *, n < 10 OR 100 * repeated > 20 * n AS base_failed,
+            array_to_string(list_filter([{", ".join(broken)}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM m)
+        SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines,
+            repeated::BIGINT AS n_repeat_words, base_failed, failed_rules, NOT base_failed AND failed_rules = '' AS kept FROM f
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": quality_rules_sql(),
     "op6_mixing": """
         WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY ALL),
         r AS (SELECT source, (SELECT sum(n) FROM c) * 1.0::DOUBLE / (SELECT count(*) FROM c)::DOUBLE / n AS rate FROM c),
