@@ -93,7 +93,7 @@ class Machine:
 
     def run(self, data: bytes) -> Iterator[dict]:
         self.state = replace(self.state, ctm=self.matrix)
-        stack, marked = [], []
+        stack, marked, n_marks = [], [], 0
         tm = line = IDENTITY
         segments: list[tuple[str, list[float]]] = []
         clip = False
@@ -156,7 +156,8 @@ class Machine:
                     p = self.properties.get(p[1:]) if isinstance(p, str) else p
                     if op in ("BDC", "DP") and not isinstance(p, dict):
                         continue  # invalid data: nothing is opened
-                    mark = {"tag": a[0][1:], "mcid": (p or {}).get("MCID"), "actual": (p or {}).get("ActualText")}
+                    n_marks += 1
+                    mark = {"id": n_marks, "tag": a[0][1:], "mcid": (p or {}).get("MCID"), "actual": (p or {}).get("ActualText")}
                     if op in ("BMC", "BDC"):
                         marked.append(mark)
                     else:

@@ -26,7 +26,7 @@ from pagequarry.sources.store import written
 
 OBJECTS = "doc_id long, seq int, obj int, gen int, `offset` long, container int, value string, stream binary, error string"
 GLYPH = "struct<text:string,x:double,y:double,dx:double,dy:double>"
-MARK = "struct<tag:string,mcid:int,actual:string>"
+MARK = "struct<id:int,tag:string,mcid:int,actual:string>"
 CONTENT = (
     f"doc_id long, page_index int, seq int, kind string, name string, size double, x double, y double, glyphs array<{GLYPH}>, "
     f"marked array<{MARK}>, bbox array<double>, stroke boolean, fill boolean, even_odd boolean, "

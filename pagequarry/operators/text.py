@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import textwrap
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from pagequarry.operators import sequences
+from pagequarry.operators.navigation import text_value
 
 #: A horizontal gap above this many units is a space.
 GAP = 0.5
+WRAP = 70
 
 
 def run_text(glyphs: Column) -> Column:
@@ -64,3 +72,56 @@ def crosses(runs: DataFrame, box: list[float]) -> DataFrame:
     return runs.where(
         (F.greatest(low, F.lit(box[0])) < F.least(high, F.lit(box[2]))) & (F.greatest("y", F.lit(box[1])) <= F.least("y", F.lit(box[3])))
     )
+
+
+@F.pandas_udf(StringType())
+def wrapped(values: pd.Series) -> pd.Series:
+    """Values filled to ``WRAP`` columns."""
+    return values.map(lambda v: textwrap.fill(v, WRAP) if v else "")
+
+
+def tagged_text(runs: DataFrame, down: str = "page") -> DataFrame:
+    """doc_id, page_index and the text of the page's marked sections, in paint order.
+
+    Consecutive runs in one innermost marked section are a section. Sections without
+    a mark or marked Artifact are silent but move the line state; ActualText replaces
+    a section's text and leaves the line state alone; reversed characters are turned
+    round and soft hyphens dropped. A section with another content id than the last
+    one that lies below it begins a line, and lines are wrapped.
+    """
+    by, top = ["doc_id", "page_index"], F.element_at("marked", -1)
+    placed = runs.where("kind = 'text' AND size(glyphs) > 0").select(
+        *by, "seq", "x", "y", top.alias("top"), F.array_join(F.transform("glyphs", lambda g: g["text"]), "").alias("text")
+    )
+    order = Window.partitionBy(*by).orderBy("seq")
+    seen = placed.withColumn("before", F.lag(F.coalesce("top.id", F.lit(-1))).over(order))
+    same = F.col("before") == F.coalesce("top.id", F.lit(-1))
+    numbered = sequences.runs(seen, by, ["seq"], ~F.coalesce(same, F.lit(False)), "section")
+    spelled = F.when(F.col("top.tag") == "ReversedChars", F.reverse("text")).otherwise(F.col("text"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", spelled.alias("t")))), lambda p: p["t"]), "")
+    sections = numbered.groupBy(*by, "section").agg(F.first("top").alias("top"), F.max_by("y", "seq").alias("y"), joined.alias("text"))
+    tag, actual = F.col("top.tag"), F.col("top.actual")
+    silent = tag.isNull() | (tag == "Artifact")
+    value = F.when(actual.isNotNull(), text_value(actual)).otherwise(F.col("text"))
+    told = sections.select(
+        *by, "section", "y", F.col("top.mcid").alias("mcid"), silent.alias("silent"), (~silent & actual.isNull()).alias("advances"),
+        F.replace(F.coalesce(value, F.lit("")), F.lit("\u00ad"), F.lit("")).alias("value"),
+    )
+    earlier = Window.partitionBy(*by).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    last_y = F.last(F.when(F.col("silent") | F.col("advances"), F.col("y")), ignorenulls=True).over(earlier)
+    last_id = F.last(F.when(~F.col("silent"), F.struct("mcid")), ignorenulls=True).over(earlier)
+    fall = F.col("y") - F.col("last_y")
+    begins = F.col("advances") & ~F.col("mcid").eqNullSafe(F.col("last_id.mcid")) & ((-fall if down == "screen" else fall) < 0)
+    lined = told.select("*", last_y.alias("last_y"), last_id.alias("last_id"))
+    lined = sequences.runs(lined, by, ["section"], F.coalesce(begins, F.lit(False)), "line").where(~F.col("silent"))
+    lines = lined.groupBy(*by, "line").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "value"))), lambda p: p["value"]), "").alias("value")
+    )
+    filled = lines.select(*by, "line", wrapped("value").alias("value")).where("value <> ''")
+    return filled.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda p: p["value"]), "\n").alias("text"))
+
+
+def extract_text(runs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Tagged text of the documents that ``tagged`` (doc_id) lists, untagged text of the others."""
+    own = tagged.select("doc_id").distinct()
+    return tagged_text(runs.join(own, "doc_id", "left_semi")).unionByName(untagged_text(runs.join(own, "doc_id", "left_anti")))

@@ -127,3 +127,14 @@ def pdf_words(spark, sf_dir):
     """Words that the layout finds, in order."""
     found = layout.words(layout.glyph_boxes(Parsed(corpus(spark, sf_dir)).runs()))
     return found.select("doc_id", "page_index", "text", "word")
+
+
+@query(r"""SELECT conv_id AS doc_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn), '\s+', ' ', 'g')) AS words FROM conversations
+    WHERE role <> 'assistant' GROUP BY conv_id HAVING words <> ''""")
+def pdf_tagged_text(spark, sf_dir):
+    """Each conversation as a tagged page, one section a turn and the assistant's turns as artifacts, read back."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    tag = F.when(F.col("role") == "assistant", "Artifact").otherwise("P")
+    docs = render.tagged_corpus_of(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), tag.alias("tag"), "text"))
+    found = text.tagged_text(Parsed(docs).runs())
+    return found.select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("words"))

@@ -37,7 +37,16 @@ def page_content(words: list[str]) -> bytes:
     return b"\n".join(out)
 
 
-def document(pages: list[list[str]], info: dict[str, str], compress: bool = True) -> bytes:
+def tagged_content(sections: list[tuple[str, str]]) -> bytes:
+    """(tag, text) sections, each on a baseline of its own and with its place as content id; Artifact has none."""
+    out = [b"BT /F1 %g Tf %g 800 Td" % (SIZE, MARGIN)]
+    for i, (tag, value) in enumerate(sections):
+        props = b"BMC" if tag == "Artifact" else b"<< /MCID %d >> BDC" % i
+        out.append(b"/%s %s 0 %g Td %s Tj EMC" % (tag.encode(), props, -LEADING, escaped(value.encode("cp1252", "replace"))))
+    return b"\n".join([*out, b"ET"])
+
+
+def document(pages: list, info: dict[str, str], compress: bool = True) -> bytes:
     """A document with a two-level page tree, a classic cross-reference table and an information dictionary."""
     half = (len(pages) + 1) // 2
     n = len(pages)
@@ -57,7 +66,7 @@ def document(pages: list[list[str]], info: dict[str, str], compress: bool = True
         info_no: b"<< " + b" ".join(b"/%s %s" % (k.encode(), escaped(v.encode("cp1252", "replace"))) for k, v in info.items()) + b" >>",
     }
     for i, words in enumerate(pages):
-        data, name = page_content(words), b""
+        data, name = words if isinstance(words, bytes) else page_content(words), b""
         if compress:
             data, name = zlib.compress(data, 1), b" /Filter /FlateDecode"
         bodies[page_no[i]] = b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (3 if i < half else 4, content_no[i])
@@ -91,6 +100,17 @@ def corpus_of(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(of, "doc_id long, content binary")
 
 
+def tagged_corpus_of(sections: DataFrame) -> DataFrame:
+    """doc_id and content from rows (doc_id, ord, tag, text): one tagged page each."""
+
+    @F.pandas_udf("binary")
+    def of(listed: pd.Series) -> pd.Series:
+        return listed.map(lambda xs: document([tagged_content([(x["tag"], x["text"] or "") for x in xs])], {}))
+
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "tag", "text")))
+    return sections.groupBy("doc_id").agg(ordered.alias("xs")).select("doc_id", of("xs").alias("content"))
+
+
 def read_files(spark, path: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a folder as a corpus: path, content and a doc_id hashed from the path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

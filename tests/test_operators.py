@@ -119,3 +119,16 @@ def test_object_streams(spark):
     df = spark.createDataFrame([(1, data), (2, bad)], "doc_id long, content binary")
     got = [(r.obj, r.container, r.value, r.error is None) for r in tables.objects(df).orderBy("doc_id", "seq").collect()]
     assert got[1:3] == [(10, 7, "42", True), (11, 7, '{"A": "/B"}', True)] and got[4][3] is False
+
+
+def test_tagged_sections(spark):
+    content = (
+        b"BT /F1 10 Tf 0 100 Td /P << /MCID 0 >> BDC (One ) Tj (two) Tj EMC /Artifact BMC (page 7) Tj EMC "
+        b"/Span << /MCID 1 /ActualText (three) >> BDC (xxx) Tj EMC 0 -12 Td /P << /MCID 2 >> BDC (soft\xadly) Tj EMC "
+        b"/ReversedChars << /MCID 3 >> BDC (cba) Tj EMC ET"
+    )
+    df = spark.createDataFrame([(1, render.document([content], {}))], "doc_id long, content binary")
+    live = tables.current(tables.objects(df))
+    pages = tables.pages(live, tables.catalog(live, tables.trailers(df)))
+    runs = tables.interpreted(tables.page_bytes(live, pages), tables.page_fonts(live, pages))
+    assert text.tagged_text(runs).first().text == "One twothree\nsoftlyabc"
