@@ -136,8 +136,8 @@ def train(labelled: DataFrame) -> Model | None:
         .where(F.col("nth") <= MAX_PER_LANG)
         .select(F.col("lang").alias("target"), "text")
     )
-    rows = chosen.mapInArrow(ngrams.sparse, "target string, places array<int>, values array<float>").collect()
-    rows.sort(key=lambda r: (r["target"], list(r["places"])))
+    rows = chosen.mapInArrow(ngrams.sparse, f"target string, {ngrams.SPARSE}").collect()
+    rows.sort(key=lambda r: (r["target"], bytes(r["places"])))
     x, langs = ngrams.dense(rows), sorted({r["target"] for r in rows})
     label = np.array([langs.index(r["target"]) for r in rows])
     groups = families(np.array([x[label == i].mean(0) for i in range(len(langs))]))

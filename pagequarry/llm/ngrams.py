@@ -11,7 +11,7 @@ from pagequarry.llm.shingles import keys, text_chunks
 
 DIMS = 1 << 13
 ORDERS = (2, 3, 4)
-ROWS = 512
+ROWS = 256
 
 
 def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -37,16 +37,20 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield at + p, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+#: Columns of sparse rows beside their target.
+SPARSE = "places binary, values binary"
+
+
 def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (target, text) as (target, places, values) without zeros."""
+    """Batches of (target, text) as (target, places, values) without zeros, both packed."""
     for batch in batches:
         for at, x in features(batch.column("text")):
-            places = [np.flatnonzero(row).astype(np.int32) for row in x]
+            places = [np.flatnonzero(row) for row in x]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("target").slice(at, len(x)),
-                    pa.array(places, pa.list_(pa.int32())),
-                    pa.array([row[i] for row, i in zip(x, places, strict=True)], pa.list_(pa.float32())),
+                    pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()),
+                    pa.array([row[p].tobytes() for row, p in zip(x, places, strict=True)], pa.binary()),
                 ],
                 names=["target", "places", "values"],
             )
@@ -56,5 +60,5 @@ def dense(rows: list) -> np.ndarray:
     """Matrix of collected sparse rows."""
     out = np.zeros((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):
-        out[i, r["places"]] = r["values"]
+        out[i, np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["values"], np.float32)
     return out

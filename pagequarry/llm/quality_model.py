@@ -130,11 +130,11 @@ def score(docs: DataFrame) -> DataFrame:
     share = min(1.0, MAX_SAMPLE / max(n, 1))
     sample = (
         docs.where(F.pmod(F.xxhash64(name), F.lit(1_000_000)) < int(share * 1_000_000))
-        .limit(2 * MAX_SAMPLE)
+        .limit(MAX_SAMPLE)
         .select(let(votes(F.col("text")), labels.posterior).alias("target"), "text")
     )
-    rows = sample.mapInArrow(ngrams.sparse, "target double, places array<int>, values array<float>").collect()
-    rows.sort(key=lambda r: (r["target"], list(r["places"])))
+    rows = sample.mapInArrow(ngrams.sparse, f"target double, {ngrams.SPARSE}").collect()
+    rows.sort(key=lambda r: (r["target"], bytes(r["places"])))
     w, bias = fit_scorer(ngrams.dense(rows), np.array([r["target"] for r in rows]))
     weights = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))  # DIMS numbers
 
