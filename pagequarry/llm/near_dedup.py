@@ -270,5 +270,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows that repeat a kept doc_id are the same document and stay.
     """
     verdict = near_duplicates(docs, width, percent)
-    gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
+    gone = written(verdict.where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    if gone.count() <= BROADCAST_IDS:  # else the documents are shuffled by doc_id
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti")
