@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagequarry.llm import mixing, near_dedup, pii, quality_rules, sentencepiece_dropout
 
@@ -34,8 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the piece ids of the whole text."""
-    return sentencepiece_dropout.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ids")
+    """doc_id, source and the piece ids of the whole text; copies of a document are numbered and cut each on its own."""
+    alike = Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy("doc_id")
+    copies = docs.select("doc_id", "source", "text", F.row_number().over(alike).alias("copy"))
+    return sentencepiece_dropout.encode(copies, by=("doc_id", "copy")).select("doc_id", "source", "ids")
 
 
 STAGES = [

@@ -60,3 +60,24 @@ def test_frames(spark):
     back = {(r.doc_id): r.text for r in pieces.decode(out.drop("text")).collect()}
     assert back == {r[0]: r[1] for r in texts.rows()}
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_every_occurrence_draws_anew(model):
+    word, n = " segmentation", 400
+    segmenter = pieces.Segmenter(model, 0.3, 1)
+    cuts = segmenter.encode([word[1:] + word * (n - 1)] * 3, [5, 6, 6])
+    assert cuts[0] != cuts[1] and cuts[1] == cuts[2]
+    starts = [i for i, p in enumerate(cuts[0]) if model.pieces[p].startswith(pieces.SPACE)]
+    forms = {tuple(cuts[0][a:b]) for a, b in zip(starts, [*starts[1:], len(cuts[0])])}
+    assert len(starts) == n and len(forms) > 20
+
+
+def test_copies_in_the_pipeline_differ(spark):
+    import corpus_pipeline
+
+    text = " ".join(["segmentation of ordinary words"] * 50)
+    docs = spark.createDataFrame([(1, "s", text)] * 4 + [(2, "s", text)], "doc_id long, source string, text string")
+    ids = [tuple(r.ids) for r in corpus_pipeline.encode_pieces(spark, docs.repartition(3), "").collect()]
+    assert len(set(ids)) == 5
+    again = [tuple(r.ids) for r in corpus_pipeline.encode_pieces(spark, docs.coalesce(1), "").collect()]
+    assert sorted(ids) == sorted(again)
