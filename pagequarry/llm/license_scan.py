@@ -1,33 +1,44 @@
 """Licence scan by conditional compression.
 
-Candidate blocks are a text's lines with a licence word. A block is compressed
-alone and with each template as a zstandard raw dictionary; templates are
-ranked by the share of bytes they save. The best ``RANKED`` are confirmed by
-exact wording: both word sequences are aligned, and a licence is reported if at
-least ``COVERED`` of the template's words occur in order, with the differing words
-counted (a version or name that the template leaves open, written ``<...>``, does
-not differ).
-
-Defined results: null and empty text have no licences; a block that matches no
+Candidates are a text's lines with a licence word. Each licence word, wherever
+lines break, is laid over the places of the same word in every template, which
+gives word windows of the template's length. A window is compressed alone and
+with the template as a zstandard raw dictionary; the templates of a licence
+word are ranked by the share of bytes they save. The best ``RANKED`` are
+confirmed by exact wording: both word sequences are aligned, and a licence is
+found if at least ``COVERED`` of the template's words occur in order, with the
+differing words counted (a version or name that the template leaves open,
+written ``<...>``, does not differ). Of findings that overlap the one with most
+equal and fewest differing words stays; all others are reported.
+
+Defined results: null and empty text have no licences; a line that matches no
 template is counted in ``n_candidates`` only; repeated rows repeat their
 results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LICENSE_WORDS = r"(?i)licen[sc]|copyright|\bspdx\b|warrant|permission is hereby|redistribution and use|public domain|creative commons|\bCC[ -]BY\b"
 MIN_SAVED = 0.35
+#: The same as they can stand across line breaks and comment signs.
+ACROSS_LINES = LICENSE_WORDS.replace("permission is hereby", r"permission\W+is\W+hereby").replace("redistribution and use", r"redistribution\W+and\W+use").replace("public domain", r"public\W+domain").replace("creative commons", r"creative\W+commons").replace("CC[ -]BY", r"CC\W+BY")
 RANKED = 3
 COVERED = 0.9
+#: Words beyond the window on either side that the alignment sees: share of the template, and number for each open place.
+SLACK, OPEN_SLACK = 0.2, 8
 
 # Customary licence notices.
 TEMPLATES = {
@@ -55,6 +66,31 @@ def word_list(text: str) -> list[str]:
     return re.findall(r"<\w+>|[\w.+-]*\w", text.lower())
 
 
+def anchors(words: list[str]) -> list[tuple[int, str]]:
+    """Word number and kind of every licence word."""
+    starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+    found = [(m.start(), m.group().lower().replace("licenc", "licens").replace("-", " ")) for m in re.finditer(LICENSE_WORDS, " ".join(words))]
+    return [(int(np.searchsorted(starts, at, "right")) - 1, kind) for at, kind in found]
+
+
+@dataclass(frozen=True)
+class Template:
+    words: list[str]
+    fixed: int
+    places: dict[str, list[int]]  # of its licence words, by kind
+
+
+@lru_cache(maxsize=1)
+def templates() -> dict[str, Template]:
+    out = {}
+    for name, text in TEMPLATES.items():
+        words, places = word_list(text), {}
+        for at, kind in anchors(words):
+            places.setdefault(kind, []).append(at)
+        out[name] = Template(words, sum(not w.startswith("<") for w in words), places)
+    return out
+
+
 @lru_cache(maxsize=1)
 def compressors() -> tuple:
     """The plain compressor and one per template."""
@@ -65,61 +101,92 @@ def compressors() -> tuple:
         name: z.ZstdCompressor(
             level=9,
             write_content_size=False,
-            dict_data=z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT),
+            dict_data=z.ZstdCompressionDict(" ".join(t.words).encode(), dict_type=z.DICT_TYPE_RAWCONTENT),
         )
-        for name, text in TEMPLATES.items()
+        for name, t in templates().items()
     }
     return plain, own
 
 
-def ranked(block: str) -> list[tuple[float, str]]:
-    """The templates that save most of the block's compressed size, best first."""
+@lru_cache(maxsize=20_000)
+def saved(text: str, name: str) -> float:
+    """Share of a window's compressed size that the template saves."""
     plain, own = compressors()
-    data = block.encode("utf-8", "surrogatepass")
-    alone = len(plain.compress(data))
-    saved = sorted(((1 - len(c.compress(data)) / alone, name) for name, c in own.items()), key=lambda x: (-x[0], x[1]))
-    return [x for x in saved[:RANKED] if x[0] >= MIN_SAVED]
-
-
-def differences(template: str, block: str) -> tuple[float, int]:
-    """Share of the template's words found in order, and how many words inside the matched stretch differ."""
-    a, b = word_list(template), word_list(block)
-    fixed = sum(not w.startswith("<") for w in a)
-    found = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    data = text.encode("utf-8", "surrogatepass")
+    return 1 - len(own[name].compress(data)) / len(plain.compress(data))
+
+
+def window(t: Template, words: list[str], start: int) -> list[str]:
+    """As many words as the template has; what may stand at its open places is left out."""
+    open_words = len(t.words) - t.fixed
+    own = words[max(start, 0) : max(start + len(t.words) + OPEN_SLACK * open_words, 0)]
+    return [w for w in own if w in t.words] if open_words else own
+
+
+def ranked(words: list[str], at: int, kind: str) -> list[tuple[float, str, int]]:
+    """(saved share, template, first word of its window) of the templates that save most at a licence word, best first."""
+    best = []
+    for name, t in templates().items():
+        shares = [(saved(" ".join(window(t, words, at - p)), name), p - at) for p in t.places.get(kind, ())]
+        if shares:
+            share, s = max(shares)
+            best.append((share, name, -s))
+    best.sort(key=lambda x: (-x[0], x[1]))
+    return [x for x in best[:RANKED] if x[0] >= MIN_SAVED]
+
+
+def aligned(t: Template, words: list[str], start: int) -> tuple[int, int, int, int]:
+    """First word, end, equal words and differing words of the template about a window."""
+    n, open_words = len(t.words), len(t.words) - t.fixed
+    slack = max(2, math.ceil(SLACK * n)) + OPEN_SLACK * open_words
+    low = max(0, start - slack)
+    found = [m for m in SequenceMatcher(None, t.words, words[low : start + n + slack], autojunk=False).get_matching_blocks() if m.size]
+
+    def stray(edge, inner) -> bool:
+        """Whether an outer match costs more words between than it has."""
+        first, second = sorted((edge, inner), key=lambda m: m.a)
+        between, left_out = second.b - first.b - first.size, second.a - first.a - first.size
+        return between - left_out - OPEN_SLACK * open_words > edge.size
+
+    while len(found) > 1 and stray(found[0], found[1]):
+        found.pop(0)
+    while len(found) > 1 and stray(found[-1], found[-2]):
+        found.pop()
     if not found:
-        return 0.0, fixed
-    same = sum(m.size for m in found)
-    stretch = found[-1].b + found[-1].size - found[0].b
-    open_words = len(a) - fixed
-    return same / fixed, (fixed - same) + max(0, stretch - same - open_words)
-
-
-def licences(blocks: list[str]) -> list[tuple[str, float, int]]:
-    """(licence, saved share, differing words) of each block that has one, in the order of blocks."""
-    out = []
-    for block in blocks:
-        best = None
-        for saved, name in ranked(block):
-            covered, differing = differences(TEMPLATES[name], block)
-            if covered >= COVERED and (best is None or (differing, -saved) < (best[2], -best[1])):
-                best = (name, saved, differing)
-        if best:
-            out.append(best)
+        return start, start, 0, t.fixed
+    same, first, end = sum(m.size for m in found), found[0].b, found[-1].b + found[-1].size
+    return low + first, low + end, same, t.fixed - same + max(0, end - first - same - open_words)
+
+
+def licences(text: str) -> list[tuple[str, float, int]]:
+    """(licence, saved share, differing words) of everything confirmed in a text, in its order."""
+    words, found = word_list(text), {}
+    for at, kind in anchors(words):
+        for share, name, start in ranked(words, at, kind):
+            t = templates()[name]
+            first, end, same, differing = aligned(t, words, start)
+            if same >= COVERED * t.fixed:
+                found[first, end, name] = max(found.get((first, end, name), ()), (same - 2 * differing, -differing, share))
+    taken, firsts, out = [], [], []
+    for (first, end, name), (_, less, share) in sorted(found.items(), key=lambda x: (*[-v for v in x[1]], x[0])):
+        i = bisect.bisect(firsts, first)
+        if (i == 0 or taken[i - 1] <= first) and (i == len(firsts) or end <= firsts[i]):
+            firsts.insert(i, first), taken.insert(i, end), out.insert(i, (name, share, -less))
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_candidates, licences (distinct names in order) and n_exact (blocks without a differing word)."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(LICENSE_WORDS))
-    blocks = F.when(F.col("text").rlike(LICENSE_WORDS), lines).otherwise(F.array().cast("array<string>"))
+    """doc_id, n_candidates, licences (distinct names in order) and n_exact (findings without a differing word)."""
+    lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(LICENSE_WORDS)))
+    n = F.when(F.col("text").rlike(LICENSE_WORDS), lines).otherwise(0)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [licences(x) if x else [] for x in batch.column("blocks").to_pylist()]
+            found = [licences(x) if x else [] for x in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(x or []) for x in batch.column("blocks").to_pylist()], pa.int64()),
+                    batch.column("n"),
                     pa.array([",".join(dict.fromkeys(n for n, _, _ in x)) for x in found]),
                     pa.array([sum(d == 0 for _, _, d in x) for x in found], pa.int64()),
                 ],
@@ -127,5 +194,6 @@ def scan(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(blocks, F.array().cast("array<string>")).alias("blocks"))
+    body = F.when(F.col("text").rlike(ACROSS_LINES), F.col("text"))
+    rows = docs.select("doc_id", F.coalesce(n, F.lit(0)).cast("long").alias("n"), body.alias("body"))
     return rows.mapInArrow(of, f"doc_id {kind}, n_candidates long, licences string, n_exact long")

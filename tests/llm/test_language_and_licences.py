@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from pagequarry.llm import language_id, license_scan
 from tests.llm import texts
@@ -46,3 +47,24 @@ def test_licences(spark):
     assert got[4][:2] == (1, "") and got[5] == got[6] == (0, "", 0)
     assert got[7] == (1, "Apache-2.0-header", 1)
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wrapped_and_embedded_licences(spark):
+    def wrapped(name, mark, width=72):
+        return "\n".join(mark + x for x in textwrap.wrap(license_scan.TEMPLATES[name], width))
+
+    prose = "some quite ordinary words stand before and after this sentence of the page "
+    rows = [(i, f"{prose}\n{wrapped(n, m)}\n{prose}") for i, (n, m) in enumerate([("MIT-text", ""), ("BSD-text", " * "), ("GPL-header", "# "), ("Apache-2.0-header", "// ")])]
+    rows += [
+        (10, prose * 3 + "Licensed under the Apache License, Version 2.0. " + prose * 3),
+        (11, "Copyright (c) 2020 Jane Roe. All rights reserved. Released under the MIT License. " + prose + "Licensed under CC BY 4.0."),
+        (12, "Permission is\n * hereby granted, " + license_scan.TEMPLATES["MIT-text"].split("granted, ")[1]),
+        (13, prose + "the license of the software is not granted for redistribution and use by the public domain"),
+        (15, "Copyright (c) 2020-2024 The Long Named Society of Friends\nof Letters Ltd. All rights\nreserved. " + prose),
+        (14, "This work is licensed under the GNU Lesser\nGeneral Public License, version 3."),
+    ]
+    got = {r.doc_id: (r.licences, r.n_exact) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == [(n, 1) for n in ("MIT-text", "BSD-text", "GPL-header", "Apache-2.0-header")]
+    assert got[10] == ("Apache-2.0", 1) and got[12] == ("MIT-text", 1) and got[13] == ("", 0) and got[14] == ("LGPL-3.0", 1)
+    assert got[15][0] == "all-rights-reserved"
+    assert got[11][0] == "all-rights-reserved,MIT,CC-BY-4.0"
