@@ -3,9 +3,11 @@
 Base kinds (``email ip card phone``) are patterns with exact checks and always
 stay. High-recall generators propose overlapping candidates (addresses,
 spelled-out addresses, dotted quads, digit groups); each gets format and
-context features. Boosted trees learn, over counts of *all* candidates of the
-table, which look like confirmed data, and per-generator thresholds are the
-lowest scores whose precision on held-out documents reaches ``PRECISION``.
+context features. Boosted trees, one model a generator, learn from counts of
+*all* its candidates: one that overlaps a base span is positive, any other by
+how far context word and format agree (:func:`agreement`, half if only one of
+two speaks for it). The thresholds of the generators are the lowest scores whose
+precision on held-out documents reaches ``PRECISION``.
 Candidates above them that touch no base span are added, leftmost first.
 
 The driver sees one row per distinct feature vector: at most
@@ -38,17 +40,22 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPELLED = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?i:dot)[\])])\x20?[A-Za-z0-9-]++)++"
 NUMBER = r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 
+# Formats that speak for a candidate: a domain's last label, a spelled-out dot, a number that is no date.
+LAST_LABEL = r"(?:\.|[\])]\x20?)[A-Za-z]{2,}$"
+SPELLED_DOT = r"(?i)[\[(]dot[\])]"
+DATE = r"^\(?(?:19|20)[0-9]{2}[-.\x20][0-9]{1,2}[-.\x20][0-9]{1,2}\b|\b[0-9]{1,2}[-.\x20][0-9]{1,2}[-.\x20](?:19|20)[0-9]{2}$|^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
+
 KINDS = ("email", "ip", "card", "phone")
 GENERATORS = ("email_like", "spelled_email", "ip_like", "number_like")
 #: Context words looked for in the 40 characters before a candidate.
 CONTEXT = (
     (1, r"e-?mail|contact|write to|correo|courriel"),
-    (2, r"phone|tel\b|call|mobile|fax|tél|telefon"),
+    (2, r"phone|\btel\b|\bcall\b|\bmobile\b|\bfax\b|\btél|\btelefon|\bteléfono"),
     (3, r"card|visa|credit|iban|account|karte|carte|tarjeta"),
     (4, r"\bip\b|host|server|address"),
 )
 #: Cardinality of each feature; their product bounds what the driver collects.
-FEATURES = {"gen": 4, "digits": 6, "luhn": 2, "octets": 2, "plus": 2, "parts": 3, "glued": 2, "context": 5}
+FEATURES = {"gen": 4, "digits": 6, "luhn": 2, "octets": 2, "plus": 2, "parts": 3, "glued": 2, "context": 5, "format": 3}
 MAX_FEATURE_ROWS = int(np.prod(list(FEATURES.values())))
 PRECISION = 0.95
 CONTEXT_CHARS = 40
@@ -122,6 +129,11 @@ def candidates(text: Column) -> Column:
             for code, words in reversed(CONTEXT):
                 context = F.when(before.rlike(words), code).otherwise(context)
             parts = F.size(F.split(F.trim(F.translate(m, "().-", "    ")), r"\x20+"))
+            shape = F.lit(0)
+            if gen == 1:
+                shape = m.rlike(LAST_LABEL).cast("int") + m.rlike(SPELLED_DOT).cast("int")
+            if gen == 3:
+                shape = F.when(n.between(13, 19) & luhn(only_digits(m)), 2).when(n.between(7, 15) & ~m.rlike(DATE), 1).otherwise(0)
             return F.struct(
                 s["start"].alias("start"),
                 s["end"].alias("end"),
@@ -133,12 +145,13 @@ def candidates(text: Column) -> Column:
                 F.when(parts == 1, 0).when(parts == 2, 1).otherwise(2).alias("parts"),
                 around.rlike(r"[A-Za-z0-9]").cast("int").alias("glued"),
                 context.alias("context"),
+                shape.alias("format"),
             )
 
         return F.transform(xs, one)
 
     none = F.array().cast(
-        "array<struct<start:int,end:int,gen:int,digits:int,luhn:int,octets:int,plus:int,parts:int,glued:int,context:int>>"
+        "array<struct<start:int,end:int,gen:int,digits:int,luhn:int,octets:int,plus:int,parts:int,glued:int,context:int,format:int>>"
     )
 
     def if_any(test: Column, *found: Column) -> Column:
@@ -173,12 +186,22 @@ def proposals(docs: DataFrame, *keep: Column) -> DataFrame:
 
 @dataclass
 class Redactor:
-    """Trees and thresholds; ``None`` where no candidate may be added."""
+    """Trees and threshold of each generator whose candidates may be added."""
 
-    model: boosting.Boosted | None
+    models: dict[int, boosting.Boosted]
     thresholds: dict[int, float]
 
 
+def agreement(row) -> float:
+    """Weak label of a candidate that no base span confirms: 1, 0 or, if the signs disagree, one half."""
+    if row["gen"] == 1:  # of context word, last label and spelled-out dot at least two
+        return min(int(row["context"] == 1) + row["format"], 2) / 2
+    if row["gen"] == 3 and not row["glued"]:  # a card's digits near a card's words, or a phone's near a phone's
+        context, format = row["context"], row["format"]
+        return (int(context in (2, 3)) + int(format > 0)) / 2 if format == 0 or context in (0, format + 1) else 0.0
+    return 0.0
+
+
 def fit(docs: DataFrame) -> Redactor:
     """Learn from the counts of every candidate of the table."""
     c = F.explode("cand").alias("c")
@@ -194,25 +217,26 @@ def fit(docs: DataFrame) -> Redactor:
 
     def arrays(rows):
         xs = {k: np.array([r[k] for r in rows], dtype=np.int64) for k in FEATURES}
-        pos = np.array([r["pos"] for r in rows], dtype=np.float64)
-        return xs, np.array([r["n"] for r in rows], dtype=np.float64) - pos, pos
+        n = np.array([r["n"] for r in rows], dtype=np.float64)
+        pos = np.array([r["pos"] + (r["n"] - r["pos"]) * agreement(r) for r in rows], dtype=np.float64)
+        return xs, n - pos, pos
 
     counted.sort(key=lambda r: tuple(r[k] for k in FEATURES))
-    train, held_out = [r for r in counted if not r["held"]], [r for r in counted if r["held"]]
-    if not train or not held_out:
-        return Redactor(None, {})
-    model = boosting.fit(*arrays(train))
-    xs, neg, pos = arrays(held_out)
-    p = 1 / (1 + np.exp(-model.margins(xs)))
-    thresholds = {}
+    found = Redactor({}, {})
     for gen in range(len(GENERATORS)):
-        own = xs["gen"] == gen
-        for t in np.unique(p[own]):
-            n, good = (neg + pos)[own & (p >= t)].sum(), pos[own & (p >= t)].sum()
+        own = [r for r in counted if r["gen"] == gen]
+        train, held_out = [r for r in own if not r["held"]], [r for r in own if r["held"]]
+        if not train or not held_out or all(r["n"] == r["pos"] for r in own):
+            continue
+        model = boosting.fit(*arrays(train))
+        xs, neg, pos = arrays(held_out)
+        p = 1 / (1 + np.exp(-model.margins(xs)))
+        for t in np.unique(p):
+            n, good = (neg + pos)[p >= t].sum(), pos[p >= t].sum()
             if good >= PRECISION * n:
-                thresholds[gen] = float(t)
+                found.models[gen], found.thresholds[gen] = model, float(t)
                 break
-    return Redactor(model, thresholds)
+    return found
 
 
 def added_spans(redactor: Redactor) -> Column:
@@ -223,11 +247,10 @@ def added_spans(redactor: Redactor) -> Column:
     names = F.array(*[F.lit(g) for g in GENERATORS])
 
     def accepted(c: Column) -> Column:
-        p = redactor.model.column(lambda k: c[k])
-        need = F.lit(2.0)
+        enough = F.lit(False)
         for gen, t in redactor.thresholds.items():
-            need = F.when(c["gen"] == gen, F.lit(t - 1e-12)).otherwise(need)
-        return (c["confirmed"] == 0) & (p >= need)
+            enough = F.when(c["gen"] == gen, redactor.models[gen].column(lambda k: c[k]) >= F.lit(t - 1e-12)).otherwise(enough)
+        return (c["confirmed"] == 0) & enough
 
     chosen = F.sort_array(
         F.transform(F.filter("cand", accepted), lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("neg_end"), c["gen"].alias("gen")))

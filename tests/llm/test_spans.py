@@ -81,3 +81,19 @@ def test_long_runs_stay_linear(spark):
 def test_empty_tables(spark):
     empty = texts.frame(spark, [])
     assert pii.report(empty).count() == pii.redact(empty).count() == secret_scan.report(empty).count() == 0
+
+
+def test_spelled_addresses_and_local_numbers_are_redacted(spark):
+    rows = []
+    for i in range(160):
+        line = (
+            f"please write to jo.doe{i} [at] mail [dot] com today",
+            f"phone: (555) 010-{1000 + i} in the morning",
+            f"on 2021-03-{10 + i % 20} some {i} [at] x. y of it",
+            f"rows 12345678901234567890{i} and 2020 10 11{i % 10} of the table",
+        )[i % 4]
+        rows.append((i, line))
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, line in rows:
+        want = ("please write to [SPELLED_EMAIL] today", "phone: [NUMBER_LIKE] in the morning", line, line)[i % 4]
+        assert out[i] == want
