@@ -5,12 +5,17 @@ expressions over its metrics). Expectation-maximisation on the counts of vote
 patterns (at most 3 ** labellers, of *all* documents) estimates each labeller's
 accuracy on either class, which turns votes into a posterior. A hashed linear
 scorer is then fitted to the posteriors of a bounded sample (``MAX_SAMPLE``
-documents, by hash of doc_id) and scores every whole text.
+documents, those with the smallest hashes of doc_id and text) and scores every
+whole text.
+
+The metrics are worked out once: doc_id, text and the vote pattern (one small
+integer) go to the shared folder, and counts, sample and scores read that table.
 
 Defined results: null and empty text has metrics of zero and no n-grams, and
 is scored by the bias; a table where no labeller votes gets posterior 0.5;
-repeated rows are scored alike; extra columns are ignored; an empty table gives
-an empty result.
+repeated rows and ties in the hash are scored alike; texts of any length are
+read whole; extra columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from pagequarry.llm import ngrams
 from pagequarry.llm.exprs import let
 from pagequarry.llm.quality_rules import metrics, ratios
+from pagequarry.llm.store import written
 
 MAX_SAMPLE = 2000
 
@@ -57,8 +63,18 @@ LABELLERS = (
 
 
 def votes(text: Column) -> Column:
-    """Array of one vote per labeller."""
-    return let(metrics(text), lambda m: F.array(*[lab.vote(ratios(m)[lab.metric]) for lab in LABELLERS]))
+    """The votes of all labellers as one number: digit j (base 3) is labeller j's vote plus one."""
+
+    def packed(m: Column) -> Column:
+        by_name = ratios(m)
+        return sum((F.lit(3**j) * (lab.vote(by_name[lab.metric]) + 1) for j, lab in enumerate(LABELLERS)), F.lit(0)).cast("int")
+
+    return let(metrics(text), packed)
+
+
+def unpacked(patterns: np.ndarray) -> np.ndarray:
+    """Rows of -1, 0, 1 of vote numbers."""
+    return patterns.reshape(-1, 1) // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
 @dataclass
@@ -68,11 +84,11 @@ class WeakLabels:
     prior: float
     odds: np.ndarray  # labeller, vote
 
-    def posterior(self, vote: Column) -> Column:
-        total = F.lit(float(self.prior))
-        for j, (bad, good) in enumerate(self.odds):
-            total = total + F.when(vote[j] == 0, F.lit(float(bad))).when(vote[j] == 1, F.lit(float(good))).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    def posteriors(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of good for each vote number."""
+        found, table = unpacked(patterns), np.hstack([np.zeros((len(self.odds), 1)), self.odds])
+        total = self.prior + sum(table[j, found[:, j] + 1] for j in range(len(self.odds)))
+        return 1 / (1 + np.exp(-total))
 
 
 def expectation_maximisation(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> WeakLabels:
@@ -99,11 +115,26 @@ def expectation_maximisation(patterns: np.ndarray, n: np.ndarray, rounds: int =
     return WeakLabels(float(prior), odds)
 
 
-def weak_labels(docs: DataFrame) -> WeakLabels:
-    """Fit the labellers on the vote patterns of all documents."""
-    rows = docs.select(votes(F.col("text")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** 7 at most
-    rows.sort(key=lambda r: r["v"])
-    return expectation_maximisation(np.array([r["v"] for r in rows]).reshape(len(rows), len(LABELLERS)), np.array([r["n"] for r in rows], float))
+def weak_labels(voted: DataFrame) -> tuple[WeakLabels, int]:
+    """Labellers fitted on the vote patterns of all documents, and the number of documents."""
+    rows = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** 7 at most
+    rows.sort(key=lambda r: r["pattern"])
+    n = np.array([r["n"] for r in rows], float)
+    return expectation_maximisation(unpacked(np.array([r["pattern"] for r in rows], np.int64)), n), int(n.sum())
+
+
+def hash_bound(n: int, wanted: int) -> int:
+    """The signed 64-bit hash below which about ``wanted`` of ``n`` rows lie, however many there are."""
+    return min(2**63 - 1, -(2**63) + 2**64 * wanted // max(n, 1))
+
+
+def sampled(voted: DataFrame, n: int) -> DataFrame:
+    """The ``MAX_SAMPLE`` rows with the smallest hashes (all, if fewer)."""
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    keyed = voted.select("doc_id", "text", "pattern", place.alias("place"))
+    near = keyed.where(F.col("place") <= hash_bound(n, 2 * MAX_SAMPLE))  # so that few rows are sorted
+    ordered = near if near.limit(1).count() else keyed  # rows that are all alike share one hash
+    return ordered.orderBy("place", "doc_id", "text").limit(MAX_SAMPLE)
 
 
 def fit_scorer(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -124,27 +155,21 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, steps: int =
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, posterior (of the votes), score (of the scorer) and good (score of at least one half)."""
-    labels = weak_labels(docs)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    n = docs.count()
-    share = min(1.0, MAX_SAMPLE / max(n, 1))
-    sample = (
-        docs.where(F.pmod(F.xxhash64(name), F.lit(1_000_000)) < int(share * 1_000_000))
-        .limit(MAX_SAMPLE)
-        .select(let(votes(F.col("text")), labels.posterior).alias("target"), "text")
-    )
-    rows = sample.mapInArrow(ngrams.sparse, f"target double, {ngrams.SPARSE}").collect()
-    rows.sort(key=lambda r: (r["target"], bytes(r["places"])))
-    w, bias = fit_scorer(ngrams.dense(rows), np.array([r["target"] for r in rows]))
+    voted = written(docs.select("doc_id", "text", votes(F.col("text")).alias("pattern")), "quality-votes")
+    labels, n = weak_labels(voted)
+    sample = sampled(voted, n).select(F.col("pattern").alias("target"), "text")
+    rows = sample.mapInArrow(ngrams.sparse, f"target int, {ngrams.SPARSE}").collect()  # MAX_SAMPLE rows
+    rows.sort(key=lambda r: (r["target"], bytes(r["places"]), bytes(r["values"])))
+    w, bias = fit_scorer(ngrams.dense(rows), labels.posteriors(np.array([r["target"] for r in rows], np.int64)))
     weights = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))  # DIMS numbers
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            posterior = labels.posteriors(batch.column("pattern").to_numpy().astype(np.int64))
             for at, x in ngrams.features(batch.column("text")):
                 s = 1 / (1 + np.exp(-(x @ weights.value + bias)))
-                keep = [batch.column(c).slice(at, len(x)) for c in ("doc_id", "posterior")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(s.astype(np.float64))], names=["doc_id", "posterior", "score"])
+                own = batch.column("doc_id").slice(at, len(x)), pa.array(posterior[at : at + len(x)]), pa.array(s.astype(np.float64))
+                yield pa.RecordBatch.from_arrays(list(own), names=["doc_id", "posterior", "score"])
 
-    rows = docs.select("doc_id", "text", let(votes(F.col("text")), labels.posterior).alias("posterior"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(of, f"doc_id {kind}, posterior double, score double").withColumn("good", F.col("score") >= 0.5)
+    return voted.mapInArrow(of, f"doc_id {kind}, posterior double, score double").withColumn("good", F.col("score") >= 0.5)

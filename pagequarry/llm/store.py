@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in local tests."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session (as in tests) gets a temporary folder; on
+    a cluster that would be a folder of one machine, so it is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,3 +29,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` made and that nothing reads any more."""
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if root.split(":", 1)[-1].lstrip("/") in folder:  # only below the shared folder
+            path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended until no column of ``taken`` has it (in any case)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
