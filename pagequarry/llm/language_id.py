@@ -1,17 +1,22 @@
 """Language identification by family, then by one-versus-one linear SVMs within the family.
 
 Features are hashed byte 2- to 4-grams of the whole text. Training uses at
-most ``MAX_PER_LANG`` labelled training documents of each of at most
-``MAX_LANGS`` languages (those with most documents), chosen by a hash of
-doc_id. Families come from the data: languages are merged by average cosine
-similarity of their mean features down to about the square root of their
-number. One SVM per pair of families decides the family, one per pair of its
+most ``MAX_PER_LANG`` labelled training documents of *every* language, those
+with the smallest hashes of doc_id and text. Families come from the data:
+languages are merged by average cosine similarity of their mean features down
+to about the square root of their number. One SVM per pair of families decides
+the family (from ``MAX_PER_FAMILY`` documents of either), one per pair of its
 languages the language; where there are more than two, wins count, then margins.
+Every duel is fitted in a Spark task of its own, with its own rows alone; the
+driver holds one mean (32 kB) a language and one weight vector (32 kB) a duel,
+of which L languages have about ``L ** 1.5 / 2``.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 with no labelled training document every text is ``und``; a null doc_id is
-not held out; repeated rows are predicted alike; extra columns are ignored; an
-empty table gives an empty result. ``lang`` is read for training only.
+not held out; repeated rows are predicted alike, and ties fall to the language
+first in order; texts of any length are read whole; extra columns are ignored,
+whatever their names; an empty table gives an empty result. ``lang`` is read for
+training only.
 """
 
 from __future__ import annotations
@@ -21,15 +26,19 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagequarry.llm import ngrams
+from pagequarry.llm.store import written
 
 MAX_PER_LANG = 300
-MAX_LANGS = 64
+MAX_PER_FAMILY = 1200
+#: Languages whose counts (a name and two numbers each) may be broadcast; beyond it the join shuffles.
+BROADCAST_LANGS = 100_000
 SHARPNESS = 4.0
 
 
@@ -62,41 +71,42 @@ class Duels:
         return best, 1 / (1 + np.exp(-SHARPNESS * least))
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -> tuple[np.ndarray, float]:
-    """Linear hinge-loss SVM by dual coordinate descent; the bias is a constant feature."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = (x.astype(np.float64) ** 2).sum(1)
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 10.0, epochs: int = 12) -> tuple[np.ndarray, float]:
+    """Linear hinge-loss SVM by dual coordinate descent over sparse rows (places, values); the bias is a constant feature."""
+    w, bias, alpha = np.zeros(ngrams.DIMS), 0.0, np.zeros(len(rows))
+    norm = [float(v @ v) + 1.0 for _, v in rows]
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1
+        for i in order.permutation(len(rows)):
+            places, values = rows[i]
+            gradient = y[i] * (w[places] @ values + bias) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), c)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[places] += step * values
+                bias += step
                 alpha[i] = new
-    return w[:-1], float(w[-1])
-
-
-def duels(names: list[str], x: np.ndarray, label: np.ndarray) -> Duels:
-    pairs, weights, bias = list(combinations(range(len(names)), 2)), [], []
-    for a, b in pairs:
-        own = (label == a) | (label == b)
-        w, w0 = svm(x[own], np.where(label[own] == a, 1.0, -1.0))
-        weights.append(w)
-        bias.append(w0)
-    return Duels(names, pairs, np.array(weights, np.float32).reshape(len(pairs), x.shape[1]), np.array(bias))
+    return w, bias
 
 
 def families(means: np.ndarray) -> list[list[int]]:
     """Languages merged by average similarity down to about the root of their number."""
-    groups = [[i] for i in range(len(means))]
+    groups: list[list[int]] = [[i] for i in range(len(means))]
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
-    close = unit @ unit.T
-    while len(groups) > max(1, int(np.ceil(np.sqrt(len(means))))):
-        a, b = max(combinations(range(len(groups)), 2), key=lambda p: close[np.ix_(groups[p[0]], groups[p[1]])].mean())
-        groups[a] = sorted(groups[a] + groups.pop(b))
-    return sorted(groups)
+    total, size = (unit @ unit.T).astype(np.float64), np.ones(len(means))  # summed similarity of each pair of groups
+    alive = len(groups)
+    upper = np.triu(np.ones(total.shape, bool), 1)
+    while alive > max(1, int(np.ceil(np.sqrt(len(means))))):
+        mean = np.where(upper, total / np.outer(size, size), -np.inf)
+        a, b = np.unravel_index(int(mean.argmax()), mean.shape)
+        groups[a] = sorted(groups[a] + groups[b])
+        groups[b] = []
+        total[a] += total[b]
+        total[:, a] += total[:, b]
+        size[a] += size[b]
+        upper[b] = upper[:, b] = False
+        alive -= 1
+    return sorted(g for g in groups if g)
 
 
 @dataclass
@@ -117,41 +127,71 @@ class Model:
         return names, score
 
 
+def sampled(labelled: DataFrame) -> DataFrame:
+    """lang, nth and sparse features of at most ``MAX_PER_LANG`` documents of each language."""
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", place.alias("place"))
+    counts = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")), "lang-counts")
+    if counts.count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
+    # about 2 * MAX_PER_LANG rows of a language, and always its first, reach the window
+    few = (F.col("place") / F.lit(2.0**64) + 0.5 <= F.lit(2.0 * MAX_PER_LANG) / F.col("n")) | (F.col("place") == F.col("least"))
+    first = Window.partitionBy("lang").orderBy("place")
+    chosen = usable.join(counts, "lang").where(few).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= MAX_PER_LANG)
+    rows = chosen.select(F.struct("lang", "nth").alias("target"), "text").mapInArrow(ngrams.sparse, f"target struct<lang:string,nth:int>, {ngrams.SPARSE}")
+    return written(rows.select("target.lang", "target.nth", "places", "values"), "lang-sample")
+
+
+def mean_features(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The mean of one language's at most ``MAX_PER_LANG`` rows."""
+    total = np.zeros(ngrams.DIMS)
+    for places, values in zip(pdf["places"], pdf["values"], strict=True):
+        total[np.frombuffer(places, np.uint16)] += np.frombuffer(values, np.float32)
+    return pd.DataFrame({"lang": [key[0]], "mean": [(total / len(pdf)).astype(np.float32).tobytes()]})
+
+
+def fit_duel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Weights of one duel from the rows of both sides."""
+    pdf = pdf.sort_values(["side", "nth", "lang"], kind="stable")
+    rows = [(np.frombuffer(p, np.uint16), np.frombuffer(v, np.float32).astype(np.float64)) for p, v in zip(pdf["places"], pdf["values"], strict=True)]
+    w, bias = svm(rows, pdf["side"].to_numpy(np.float64))
+    return pd.DataFrame({"duel": [key[0]], "weights": [w.astype(np.float32).tobytes()], "bias": [bias]})
+
+
 def train(labelled: DataFrame) -> Model | None:
     """A model from doc_id, text and non-null lang."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    spark, sample = labelled.sparkSession, sampled(labelled)
+    means = sample.groupBy("lang").applyInPandas(mean_features, "lang string, mean binary").collect()  # one row a language
+    if not means:
         return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 2.0 * MAX_PER_LANG / r["count"])).otherwise(share)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    place = F.pmod(F.xxhash64(name), F.lit(1_000_000)) / 1e6
-    first = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = (
-        usable.withColumn("place", place)
-        .where(F.col("place") < share)  # about 2 * MAX_PER_LANG rows of a language reach the window
-        .withColumn("nth", F.row_number().over(first))
-        .where(F.col("nth") <= MAX_PER_LANG)
-        .select(F.col("lang").alias("target"), "text")
-    )
-    rows = chosen.mapInArrow(ngrams.sparse, f"target string, {ngrams.SPARSE}").collect()
-    rows.sort(key=lambda r: (r["target"], bytes(r["places"])))
-    x, langs = ngrams.dense(rows), sorted({r["target"] for r in rows})
-    label = np.array([langs.index(r["target"]) for r in rows])
-    groups = families(np.array([x[label == i].mean(0) for i in range(len(langs))]))
-    of = np.array([next(g for g, members in enumerate(groups) if i in members) for i in range(len(langs))])
-    members = []
-    for group in groups:
-        own = np.isin(label, group)
-        members.append(duels([langs[i] for i in group], x[own], np.searchsorted(group, label[own])))
-    return Model(duels([str(g) for g in range(len(groups))], x, of[label]), members)
+    means.sort(key=lambda r: r["lang"])
+    langs = [r["lang"] for r in means]
+    groups = families(np.array([np.frombuffer(r["mean"], np.float32) for r in means]))
+    entries = []  # language, duel, side, rows of the language that take part
+    for f, group in enumerate(groups):
+        share = -(-MAX_PER_FAMILY // len(group))
+        for i in group:
+            entries += [(langs[i], f"lang {min(i, j)} {max(i, j)}", 1.0 if i < j else -1.0, MAX_PER_LANG) for j in group if j != i]
+            entries += [(langs[i], f"family {min(f, g)} {max(f, g)}", 1.0 if f < g else -1.0, share) for g in range(len(groups)) if g != f]
+    fitted = {}
+    if entries:
+        roles = spark.createDataFrame(entries, "lang string, duel string, side double, most int")
+        fights = sample.join(roles, "lang").where("nth <= most").select("duel", "side", "lang", "nth", "places", "values")
+        rows = fights.groupBy("duel").applyInPandas(fit_duel, "duel string, weights binary, bias double").collect()  # one row a duel
+        fitted = {r["duel"]: (np.frombuffer(r["weights"], np.float32), r["bias"]) for r in rows}
+
+    def duels(kind: str, members: list[int], names: list[str]) -> Duels:
+        pairs = list(combinations(range(len(members)), 2))
+        found = [fitted[f"{kind} {members[a]} {members[b]}"] for a, b in pairs]
+        return Duels(names, pairs, np.array([w for w, _ in found], np.float32).reshape(len(pairs), ngrams.DIMS), np.array([b for _, b in found]))
+
+    top = list(range(len(groups)))
+    return Model(duels("family", top, [str(g) for g in top]), [duels("lang", g, [langs[i] for i in g]) for g in groups])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGS and DIMS bound its size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one vector of DIMS numbers a duel
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,8 @@
 import random
 import textwrap
 
+import numpy as np
+
 from pagequarry.llm import language_id, license_scan
 from tests.llm import texts
 
@@ -30,6 +32,43 @@ def test_one_language_needs_no_duel(spark):
     assert {r.lang_pred for r in language_id.identify(df).collect()} == {"en"}
 
 
+def test_no_language_is_cut(spark):
+    """More languages than any fixed table would hold, each with an alphabet of its own."""
+    rng, rows = random.Random(4), []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        rows += [(1000 * k + i, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(12)), f"l{k:02}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    held = [r for r in rows if got[r[0]].held_out]
+    assert len({r.lang_pred for r in got.values()}) == 70
+    assert sum(got[r[0]].lang_pred == r[2] for r in held) >= 0.95 * len(held)
+
+
+def test_long_texts_repeats_and_clashing_columns(spark):
+    rng = random.Random(9)
+    rows = [(i, texts.prose(rng, ("en", "de")[i % 2], 40), ("en", "de")[i % 2]) for i in range(60)]
+    rows += [(70, texts.prose(rng, "de", 40_000), None), (71, rows[0][1], None), (71, rows[0][1], None), (None, rows[1][1], "de")]
+    df = spark.createDataFrame([(*r, "x", 1.0, 3) for r in rows], "doc_id long, text string, lang string, target string, place double, n int")
+    found = language_id.identify(df).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == 64 and found[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"}
+    assert got[70].lang_pred == "de" and got[71].lang_pred == "en" and not got[None].held_out
+    assert len({(r.lang_pred, r.score) for r in found if r.doc_id == 71}) == 1
+
+
+def test_families_match_a_plain_merge():
+    rng = np.random.default_rng(3)
+    means = np.abs(rng.normal(size=(11, 30)))
+    unit = means / np.linalg.norm(means, axis=1, keepdims=True)
+    groups = [[i] for i in range(11)]
+    while len(groups) > 4:
+        close = {(a, b): np.mean([unit[i] @ unit[j] for i in groups[a] for j in groups[b]]) for a in range(len(groups)) for b in range(a + 1, len(groups))}
+        a, b = max(close, key=close.get)
+        groups[a] += groups.pop(b)
+    assert language_id.families(means) == sorted(sorted(g) for g in groups)
+
+
 def test_licences(spark):
     rows = [
         (1, "words\nReleased under the MIT License.\nmore"),
