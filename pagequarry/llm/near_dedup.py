@@ -12,14 +12,19 @@
    true link lies inside one such cluster, up to the chance that a pair at the
    threshold shares no bucket, (1 - 0.8**ROWS)**BANDS = 1.2e-7, or fails the
    signature test (6 standard deviations).
-4. In each cluster (again in tiles that meet pairwise) full sets are intersected
-   exactly; links with ``100 * intersection >= percent * union`` remain, one
-   per member, and their components are the result.
+4. In each cluster full sets are intersected exactly, first with the set of the
+   cluster's smallest member; only members that do not reach it meet all others,
+   in tiles of bounded bytes. Links with ``100 * intersection >= percent * union``
+   remain, at least one for each member that has any inside its tile, and their
+   components are the result.
 
 Defined results: null or word-less text has an empty set and links with
 nothing; a row whose doc_id is null links with nothing and has no component;
-repeated rows are copies of each other; other columns are never touched, and
-:func:`deduplicate` keeps them; an empty table gives an empty result.
+repeated rows are copies of each other, and a doc_id that carries several texts
+links all documents that any of them reaches (its rows without words stand
+alone); ties go to the smaller doc_id; texts of any length are read whole; other
+columns are never touched, whatever their names, and :func:`deduplicate` keeps
+them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,17 +36,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from pagequarry.llm import shingles
 from pagequarry.llm.components import components
-from pagequarry.llm.store import written
+from pagequarry.llm.store import discard, written
 
 BANDS, ROWS = 40, 5
 SIGN_LONGS = 4  # 64-bit words that hold one bit of each of the BANDS * ROWS minima
 #: Differing bits allowed: mean + 6 standard deviations of pairs at similarity 0.8.
 MAX_DIFF = 46
 TILE = 2048
-SET_TILE = 256
+#: Sets, and hashes in all of them, that one side of a tile of full sets has on average.
+SET_TILE, SET_HASHES = 256, 2_000_000
+#: Clusters of more members than this meet their smallest member in several tasks.
+PIVOT_ROWS = 4096
 #: Documents whose ids may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -141,9 +150,9 @@ def _bucket_links(reps: np.ndarray, signs: np.ndarray, starts: np.ndarray) -> tu
 
 def candidate_links(reps: DataFrame) -> DataFrame:
     """u, v: members of a bucket whose signatures hang together with a smaller member's."""
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    keyed = reps.select("rep", "f1", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = tiled(keyed, "key", sizes, TILE, "rep").join(reps.select("rep", "signs"), "rep")
+    members = tiled(keyed, "key", sizes, TILE, "rep").join(reps.select("rep", "f1", "signs"), ["rep", "f1"])
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,43 +202,104 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     names=["rep", "g1", "g2", "hashes"],
                 )
 
-    ids = wanted.select("rep")
+    ids = wanted.select("rep").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
     found = texts.mapInArrow(of, "rep long, g1 long, g2 long, hashes binary")
-    # a repeated doc_id may carry other texts: only the representative's own set counts, once
+    # a repeated doc_id may carry other texts: only the classes that it represents count, each once
     own = found.join(wanted, "rep").where("g1 = f1 AND g2 = f2")
-    return own.dropDuplicates(["rep"]).select("rep", "cluster", "hashes")
+    return own.dropDuplicates(["rep", "f1", "f2"]).select("rep", "f1", "f2", "cluster", "hashes")
+
+
+@F.pandas_udf(LongType())
+def common_hashes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the intersection of packed hash sets."""
+    sets = zip(a, b, strict=True)
+    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in sets], dtype="int64")
+
+
+def pivot_links(sets: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
+    """rep, f1, f2, cluster and whether the set reaches that of the cluster's smallest member.
+
+    Of ``n`` sets at most ``n / bound`` clusters have more than ``bound``; their
+    sizes are broadcast, and their smallest member goes to several tasks.
+    """
+    bound = max(PIVOT_ROWS, n // BROADCAST_IDS)
+    parts = sizes.where(F.col("size") > bound).select("cluster", F.ceil(F.col("size") / bound).cast("int").alias("parts"))
+    held = sets.join(F.broadcast(parts), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    pivots = held.where("rep = cluster").dropDuplicates(["cluster"])
+    spread = pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("pivot"))
+    members = held.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = members.join(spread, ["cluster", "part"])
+    size = (F.length("hashes") + F.length("pivot")) / 8
+    return met.withColumn("common", common_hashes("hashes", "pivot")).select(
+        "rep", "f1", "f2", "cluster", (100 * F.col("common") >= percent * (size - F.col("common"))).alias("linked")
+    )
 
 
 def exact_links(sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: members of a cluster linked, by full sets, with the smallest member they hang together with in their tiles."""
-    sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    dealt = tiled(sets, "cluster", sizes, SET_TILE, "rep")
+    """u, v: links by full sets that connect all members of a cluster that any link connects."""
+    sizes = written(
+        sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("hashes") / 8).alias("hashed")), "near-sizes"
+    )
+    met = written(pivot_links(sets, sizes, sets.count(), percent), "near-pivots")
+    links = met.where("linked AND rep <> cluster").select(F.col("rep").alias("u"), F.col("cluster").alias("v"))
+    rest = met.where(~F.col("linked")).select("rep", "f1", "f2", "cluster")
+    return links.union(tile_links(sets, rest, sizes, percent))
+
+
+def tile_links(sets: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """u, v: links of the sets in ``rest`` with any set of their cluster, rest tiles against tiles of all."""
+    left = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("left"))
+    tiles = left.join(sizes, "cluster").select(
+        "cluster",
+        F.ceil(F.greatest(F.col("size") / SET_TILE, F.col("hashed") / SET_HASHES)).cast("int").alias("of_all"),
+        F.ceil(F.greatest(F.col("left") / SET_TILE, F.col("left") / F.col("size") * F.col("hashed") / SET_HASHES)).cast("int").alias("of_rest"),
+    )
+    in_play = sets.join(tiles, "cluster")
+    node = F.xxhash64("rep", "f1")
+    every = in_play.select(
+        "cluster", "rep", "hashes", F.lit(False).alias("open"),
+        F.pmod(node, F.col("of_all")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("j"),
+    )
+    few = in_play.join(rest, ["cluster", "rep", "f1", "f2"], "left_semi").select(
+        "cluster", "rep", "hashes", F.lit(True).alias("open"),
+        F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("i"), F.pmod(node, F.col("of_rest")).cast("int").alias("j"),
+    )
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
-        reps = pdf["rep"].to_numpy()
+        pdf = pdf.sort_values(["rep", "open"], kind="stable")
+        reps, opened = pdf["rep"].to_numpy(), np.flatnonzero(pdf["open"])
         arrays = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
         n = np.array([len(x) for x in arrays])
         owner = np.repeat(np.arange(len(arrays)), n)
         values, column = np.unique(np.concatenate(arrays), return_inverse=True)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        common = np.zeros((len(arrays), len(arrays)), np.float64)
+        common = np.zeros((len(opened), len(arrays)), np.float64)
         for at in range(0, len(values), 4096):
             p, q = np.searchsorted(column, [at, at + 4096])
             part = np.zeros((len(arrays), 4096), np.float32)
             part[owner[p:q], column[p:q] - at] = 1
-            common += part @ part.T
-        union = n[:, None] + n[None, :] - common
-        a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))
-        label = labels(len(reps), a, b)
-        moved = label != np.arange(len(reps))
+            common += part[opened] @ part.T
+        union = n[opened, None] + n[None, :] - common
+        a, b = np.nonzero(100 * common >= percent * union)
+        label = labels(len(reps), opened[a], b)
+        moved = reps != reps[label]
         return pd.DataFrame({"u": reps[moved], "v": reps[label[moved]]})
 
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(verify, "u long, v long")
+    return every.union(few).groupBy("cluster", "i", "j").applyInPandas(verify, "u long, v long")
+
+
+def shared_ids(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """u, v: links of a doc_id that carries several texts with the smallest doc_id of each of them."""
+    some = found.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "f1", "f2", "n")
+    marks = [F.min("f1").alias("a"), F.max("f1").alias("b"), F.min("f2").alias("c"), F.max("f2").alias("d")]
+    several = written(some.groupBy("doc_id").agg(*marks).where("a <> b OR c <> d").select("doc_id"), "near-shared")
+    if not several.limit(1).count():
+        return reps.limit(0).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+    return some.join(several, "doc_id").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -241,13 +311,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .agg(F.min(F.struct("doc_id", "bands", "signs")).alias("first"))
         .select("f1", "f2", "n", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands"), F.col("first.signs").alias("signs"))
     )
-    reps = written(classes.dropDuplicates(["rep"]), "near-classes")
-    clusters = written(components(candidate_links(reps)), "near-clusters")
+    reps = written(classes, "near-classes")
+    clusters = components(candidate_links(reps))
     both = clusters.select(F.col("u").alias("rep"), F.col("component").alias("cluster")).union(
         clusters.select("component", "component").distinct()
     )
     wanted = written(both.join(reps.select("rep", "f1", "f2"), "rep"), "near-wanted")
-    linked = written(components(exact_links(written(full_sets(docs, wanted, width), "near-sets"), percent)), "near-links")
+    sets = written(full_sets(docs, wanted, width), "near-sets")
+    linked = components(exact_links(sets, percent).union(shared_ids(found, reps)))
+    for used in (sets, wanted):
+        discard(used)
     of_class = reps.join(linked.withColumnRenamed("u", "rep"), "rep", "left").select(
         "f1", "f2", "n", F.coalesce("component", "rep").alias("component")
     )
