@@ -13,8 +13,10 @@ rate is cut.
 
 Defined results: a null source is a source of its own; a source missing from
 the targets has weight 0 and leaves; a null doc_id hashes as the empty
-string; repeated rows get equal counts; extra columns are kept; an empty table
-gives an empty result.
+string; repeated rows get equal counts; texts of any length move as they are;
+extra columns are kept, and where one is named ``copy`` or ``shuffle_key`` the
+added column of that name gets underscores appended; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.store import written
+from pagequarry.llm.store import free_name, written
 
 MAX_TERMS = 64
 MAX_RATE = 16.0
@@ -94,7 +96,7 @@ def copies(doc_id: Column, rate: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, targets: DataFrame, size_factor: float = 1.0, seed: str = "mix") -> DataFrame:
-    """``docs`` replicated and shuffled, with columns ``copy`` (from 1) and ``shuffle_key``."""
+    """``docs`` replicated and shuffled, with columns ``copy`` (from 1) and ``shuffle_key``; :func:`free_name` says what they are called."""
     rate = rates(docs, targets, size_factor)
     joined = with_rates(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), rate)
     doc_id = F.col("row.doc_id")
@@ -102,5 +104,5 @@ def mix(docs: DataFrame, targets: DataFrame, size_factor: float = 1.0, seed: str
     exploded = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(doc_id.cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     keyed = exploded.withColumn("shuffle_key", key)
-    names = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*names, "copy", "shuffle_key")
+    added = [F.col(c).alias(free_name(c, docs.columns)) for c in ("copy", "shuffle_key")]
+    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*[F.col("row")[c].alias(c) for c in docs.columns], *added)

@@ -18,8 +18,11 @@ Characters without a piece, and the space symbol itself where a text contains
 it, become byte pieces; so :func:`decode` gives back every text exactly.
 
 Defined results: null text has null ids; the empty text has none; rows with
-equal text and equal ``by`` give equal ids; extra columns stay; an empty table
-gives an empty result.
+equal text and equal ``by`` (nulls count as the empty string) give equal ids;
+of pairs of equal score the leftmost merges first; texts of any length are
+encoded whole; extra columns stay, and where one is named ``ids`` or
+``lossless`` the added column of that name gets underscores appended; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.llm import shingles
+from pagequarry.llm.store import free_name
 
 SPACE = "▁"
 LONG = 64
@@ -336,8 +340,8 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model_path: str
     ``model_path`` is read by the executors and must exist there.
     """
     path = model_path or default_model()
-    added = ["ids", "lossless"] if check else ["ids"]
-    others = [f for f in docs.schema.fields if f.name not in added]
+    added = [free_name(c, docs.columns) for c in (("ids", "lossless") if check else ("ids",))]
+    others = docs.schema.fields
     key = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in by])
     rows = docs.select(F.col("text").alias("t"), key.alias("v"), F.struct(*[F.col(f"`{f.name}`") for f in others]).alias("row"))
 
@@ -357,9 +361,9 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model_path: str
                     columns.append(pa.array(back, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=["row", *added])
 
-    schema = T.StructType([T.StructField("row", T.StructType(others)), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("row", T.StructType(others)), T.StructField(added[0], T.ArrayType(T.IntegerType()))])
     if check:
-        schema = schema.add("lossless", T.BooleanType())
+        schema = schema.add(added[1], T.BooleanType())
     return rows.mapInArrow(of, schema).select(*[F.col("row")[f.name].alias(f.name) for f in others], *added)
 
 

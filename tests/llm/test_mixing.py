@@ -21,9 +21,10 @@ def test_counts_match_inversion_and_columns_stay(spark):
     df = spark.createDataFrame([(i, f"t{i}", "a" if i % 3 else None, 5) for i in range(300)], "doc_id long, text string, source string, copy int")
     targets = spark.createDataFrame([("a", 1.0), (None, 3.0), ("unused", 5.0)], "source string, weight double")
     out = mixing.mix(df, targets, size_factor=1.5)
-    assert sorted(out.columns) == ["copy", "doc_id", "shuffle_key", "source", "text"]
+    assert out.columns == ["doc_id", "text", "source", "copy", "copy_", "shuffle_key"]
     got = {}
     for r in out.collect():
+        assert r.copy == 5 and r.copy_ >= 1
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     rates = {"a": 1.5 * 300 * 0.25 / 200, None: 1.5 * 300 * 0.75 / 100}
     assert got == {i: k for i in range(300) if (k := brute_count(i, rates["a" if i % 3 else None]))}

@@ -62,6 +62,14 @@ def test_frames(spark):
     assert pieces.encode(df.limit(0)).count() == 0
 
 
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "some text", "own", 3, "r"), (None, None, "own", 4, "r")], "doc_id long, text string, ids string, lossless int, row string")
+    out = pieces.encode(df, check=True)
+    assert out.columns == [*df.columns, "ids_", "lossless_"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].ids == "own" and got[1].lossless == 3 and got[1].lossless_ and len(got[1].ids_) > 0 and got[None].ids_ is None
+
+
 def test_every_occurrence_draws_anew(model):
     word, n = " segmentation", 400
     segmenter = pieces.Segmenter(model, 0.3, 1)
