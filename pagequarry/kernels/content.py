@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+from pagequarry.kernels import syntax
 from pagequarry.kernels.fonts import Font
-from pagequarry.kernels.syntax import SyntaxIssue, Values, WHITE
+from pagequarry.kernels.syntax import WHITE, SyntaxIssue, Values
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
@@ -27,24 +28,56 @@ def place(m: tuple, x: float, y: float) -> tuple[float, float]:
     return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
 
 
+_CONSTANTS = {b"true": True, b"false": False, b"null": None}
+
+
 def operations(data: bytes) -> Iterator[tuple[str, list, int]]:
     """(operator, operands, offset); an inline image is one operation ``BI`` with its dictionary and bytes.
 
-    What follows malformed syntax is not read.
+    Stray closing marks are skipped; what follows malformed syntax is not read.
     """
-    values, operands = Values(data, references=False), []
+    at, operands, outer, match = 0, [], [], syntax.TOKEN.match
     try:
-        while token := values.next_token():
-            if token[0] in ("]", "close", "}", "{", ")", ">"):
-                continue  # strays
-            value = values.read(token)
-            if not isinstance(value, tuple):
-                operands.append(value)
-                continue
-            if value[1] == "BI":
-                operands = _inline_image(values)
-            yield value[1], operands, token[2]
-            operands = []
+        while True:
+            m = match(data, at)
+            i, at = m.lastindex, m.end()
+            if i == syntax.WORD:
+                word = m[i]
+                if word in _CONSTANTS:
+                    operands.append(_CONSTANTS[word])
+                    continue
+                if outer:  # an operator ends what was left open
+                    operands, outer = outer[0], []
+                if word == b"BI":
+                    values = Values(data, at, references=False)
+                    operands, at = _inline_image(values), values.at
+                yield word.decode("latin-1"), operands, m.start(i)
+                operands = []
+            elif i == syntax.NUMBER:
+                raw = m[i]
+                operands.append(float(raw) if b"." in raw else int(raw))
+            elif i == syntax.NAME:
+                operands.append("/" + syntax.name_of(m[i]))
+            elif i == syntax.PLAIN:
+                operands.append("s:" + m[i].hex())
+            elif i == syntax.STRING:
+                raw, at = syntax.string_from(data, m.start(i))
+                operands.append("s:" + raw.hex())
+            elif i == syntax.HEX:
+                operands.append("s:" + syntax.bytes_of_hex(m[i]).hex())
+            elif i == syntax.OPEN:
+                values = Values(data, m.start(i), references=False)
+                operands.append(values.read())
+                at = values.at
+            elif i == syntax.MARK:
+                if m[i] == b"[":
+                    outer.append(operands)
+                    operands = []
+                elif m[i] == b"]" and outer:
+                    outer[-1].append(operands)
+                    operands = outer.pop()
+            elif i is None:
+                return
     except (SyntaxIssue, RecursionError):
         return
 
@@ -54,7 +87,7 @@ def _inline_image(values: Values) -> list:
     spec, data = {}, values.data
     while (t := values.next_token()) and not (t[0] == "keyword" and t[1] == "ID"):
         if t[0] != "name":
-            raise SyntaxIssue("key is not a name", t[2])
+            raise SyntaxIssue("inline image key", t[2])
         spec[t[1][1:]] = values.read()
     begin = end = values.at + 1
     while (end := data.find(b"EI", end)) >= 0:
@@ -66,9 +99,14 @@ def _inline_image(values: Values) -> list:
     return [spec, "s:" + data[begin:end].rstrip(b"\r\n").hex()]
 
 
+BLACK = ("DeviceGray", (0.0,), None)
+#: Operators that set a colour of a fixed space, and the space's number of components.
+DEVICE = {"G": ("DeviceGray", 1), "RG": ("DeviceRGB", 3), "K": ("DeviceCMYK", 4)}
+
+
 @dataclass
 class State:
-    """What ``q`` saves."""
+    """What ``q`` saves. Colours are (space, components, pattern)."""
 
     ctm: tuple = IDENTITY
     font: str = ""
@@ -80,27 +118,99 @@ class State:
     rise: float = 0.0
     render: int = 0
     clips: int = 0
+    width: float = 1.0
+    cap: int = 0
+    join: int = 0
+    miter: float = 10.0
+    dash: tuple = ()
+    phase: float = 0.0
+    flatness: float = 1.0
+    intent: str = "RelativeColorimetric"
+    stroke: tuple = BLACK
+    fill: tuple = BLACK
+    stroke_alpha: float = 1.0
+    fill_alpha: float = 1.0
+    blend: str = "Normal"
+
+
+@dataclass
+class Form:
+    """A form that ``Do`` can name: its own content, matrix and the scope of its resources."""
+
+    scope: int
+    content: bytes = b""
+    matrix: tuple = IDENTITY
+    group: bool = False
+
+
+@dataclass
+class Scope:
+    """Resources by name: of the page (scope 0) or of a form."""
+
+    fonts: dict[str, Font] = field(default_factory=dict)
+    properties: dict = field(default_factory=dict)
+    states: dict = field(default_factory=dict)
+    forms: dict[str, Form] = field(default_factory=dict)
+
+
+#: Parameters of an extended graphics state and the numbers they set.
+STATE_KEYS = {"LW": "width", "LC": "cap", "LJ": "join", "ML": "miter", "FL": "flatness", "CA": "stroke_alpha", "ca": "fill_alpha"}
+STATE_OPS = {"w": "width", "J": "cap", "j": "join", "M": "miter", "i": "flatness"}
+TEXT_OPS = {"Tc": "char", "Tw": "word", "TL": "leading", "Ts": "rise"}
 
 
 @dataclass
 class Machine:
-    """Folds operations into text runs, paths, images and marked points."""
+    """Folds operations into text runs, paths, images, forms and marked points.
+
+    With ``flatten`` forms are expanded in place: no row for themselves, their own
+    matrix and resources, a cycle ends where it would close; and no tag rows.
+    """
 
-    fonts: dict[str, Font]
+    fonts: dict[str, Font] = field(default_factory=dict)
     matrix: tuple = IDENTITY
     properties: dict = field(default_factory=dict)
     state: State = field(default_factory=State)
+    scopes: dict[int, Scope] = field(default_factory=dict)
+    flatten: bool = False
+
+    def __post_init__(self) -> None:
+        self.scopes.setdefault(0, Scope(self.fonts, self.properties))
+        self.seq = self.n_marks = 0
 
     def run(self, data: bytes) -> Iterator[dict]:
         self.state = replace(self.state, ctm=self.matrix)
-        stack, marked, n_marks = [], [], 0
+        yield from self._run(data, 0, (), [])
+
+    def _run(self, data: bytes, scope: int, path: tuple, outer: list) -> Iterator[dict]:
+        own = self.scopes.get(scope) or Scope()
+        self.fonts = own.fonts
+        stack, marked = [], []
         tm = line = IDENTITY
         segments: list[tuple[str, list[float]]] = []
         clip = False
-        for seq, (op, a, offset) in enumerate(operations(data)):
+        for op, a, offset in operations(data):
             s = self.state
+            seq, self.seq = self.seq, self.seq + 1
+
+            def row(kind: str, seq: int = seq, offset: int = offset, **values) -> dict:
+                return {"seq": seq, "kind": kind, "marked": [*outer, *marked], "offset": offset, "state": self.state, "scope": scope} | values
+
             try:
-                if op == "q":
+                if op in ("'", '"', "Tj", "TJ", "T*"):
+                    if op == '"':
+                        s.word, s.char = float(a[0]), float(a[1])
+                    if op in ("T*", "'", '"'):
+                        tm = line = times(line, (1, 0, 0, 1, 0, -s.leading))
+                    if op != "T*":
+                        shown, tm = self._show(a[-1] if op == "TJ" else [a[-1]], tm)
+                        yield row("text", **shown)
+                elif op in ("Td", "TD"):
+                    x, y = float(a[0]), float(a[1])
+                    if op == "TD":
+                        s.leading = -y
+                    tm = line = times(line, (1, 0, 0, 1, x, y))
+                elif op == "q":
                     stack.append(replace(s))
                 elif op == "Q":
                     self.state = stack.pop() if stack else s
@@ -110,26 +220,14 @@ class Machine:
                     tm = line = IDENTITY
                 elif op == "Tf":
                     s.font, s.size = a[0][1:], float(a[1])
-                elif op in ("Tc", "Tw", "TL", "Ts"):
-                    setattr(s, {"Tc": "char", "Tw": "word", "TL": "leading", "Ts": "rise"}[op], float(a[0]))
+                elif op in TEXT_OPS:
+                    setattr(s, TEXT_OPS[op], float(a[0]))
                 elif op == "Tz":
                     s.scale = float(a[0]) / 100
                 elif op == "Tr":
                     s.render = int(a[0])
-                elif op in ("Td", "TD"):
-                    if op == "TD":
-                        s.leading = -float(a[1])
-                    tm = line = times(line, (1, 0, 0, 1, float(a[0]), float(a[1])))
                 elif op == "Tm":
                     tm = line = tuple(map(float, a[:6]))
-                elif op in ("T*", "'", '"', "Tj", "TJ"):
-                    if op == '"':
-                        s.word, s.char = float(a[0]), float(a[1])
-                    if op in ("T*", "'", '"'):
-                        tm = line = times(line, (1, 0, 0, 1, 0, -s.leading))
-                    if op != "T*":
-                        row, tm = self._show(a[-1] if op == "TJ" else [a[-1]], tm)
-                        yield row | {"seq": seq, "kind": "text", "marked": [dict(x) for x in marked], "offset": offset}
                 elif op in ("m", "l", "c", "v", "y"):
                     segments.append((op, [float(x) for x in a]))
                 elif op == "h":
@@ -144,31 +242,73 @@ class Machine:
                     if op in ("s", "b", "b*") and segments:
                         segments.append(("h", []))
                     if op != "n" and segments:
-                        yield self._path(op, segments) | {"seq": seq, "kind": "path", "marked": [dict(x) for x in marked], "offset": offset}
+                        yield row("path", **self._path(op, segments))
                     s.clips += clip
                     segments, clip = [], False
                 elif op in ("BI", "Do"):
+                    form = own.forms.get(a[0][1:]) if op == "Do" else None
+                    if form and self.flatten:
+                        if form.scope not in path:
+                            self.state = replace(s, ctm=times(s.ctm, form.matrix))
+                            if form.group:
+                                self.state = replace(self.state, stroke_alpha=1.0, fill_alpha=1.0, blend="Normal")
+                            yield from self._run(form.content, form.scope, (*path, form.scope), [*outer, *marked])
+                            self.state, self.fonts = s, own.fonts
+                        continue
                     corners = [place(s.ctm, x, y) for x in (0, 1) for y in (0, 1)]
-                    row = {"seq": seq, "kind": "image" if op == "BI" else "xobject", "marked": [dict(x) for x in marked], "offset": offset}
-                    yield row | {"name": "" if op == "BI" else a[0][1:], "spec": a[0] if op == "BI" else None, "bbox": _bounds(corners)}
+                    yield row("image" if op == "BI" else "xobject", name="" if op == "BI" else a[0][1:], bbox=_bounds(corners))
                 elif op in ("BMC", "BDC", "MP", "DP"):
                     p = a[1] if len(a) > 1 else {}
-                    p = self.properties.get(p[1:]) if isinstance(p, str) else p
+                    p = own.properties.get(p[1:]) if isinstance(p, str) else p
                     if op in ("BDC", "DP") and not isinstance(p, dict):
                         continue  # invalid data: nothing is opened
-                    n_marks += 1
-                    mark = {"id": n_marks, "tag": a[0][1:], "mcid": (p or {}).get("MCID"), "actual": (p or {}).get("ActualText")}
+                    self.n_marks += 1
+                    mark = {"id": self.n_marks, "tag": a[0][1:], "mcid": (p or {}).get("MCID"), "actual": (p or {}).get("ActualText")}
                     if op in ("BMC", "BDC"):
                         marked.append(mark)
-                    else:
-                        yield {"seq": seq, "kind": "tag", "name": mark["tag"], "marked": [*map(dict, marked), mark], "offset": offset}
-                elif op == "EMC" and marked:
-                    marked.pop()
-            except (IndexError, TypeError, ValueError, KeyError):
+                    elif not self.flatten:
+                        found = row("tag", name=mark["tag"])
+                        found["marked"].append(mark)
+                        yield found
+                elif op == "EMC":
+                    if marked:
+                        marked.pop()
+                elif op in STATE_OPS:
+                    setattr(s, STATE_OPS[op], float(a[0]) if op in "wMi" else int(a[0]))
+                elif op == "d":
+                    s.dash, s.phase = tuple(map(float, a[0])), float(a[1])
+                elif op == "ri":
+                    s.intent = a[0][1:]
+                elif op == "gs":
+                    self._extended(own.states.get(a[0][1:]) or {})
+                elif op.upper() in DEVICE:
+                    space, n = DEVICE[op.upper()]
+                    color = space, tuple(map(float, a[-n:])), None
+                    s.stroke, s.fill = (color, s.fill) if op.isupper() else (s.stroke, color)
+                elif op in ("CS", "cs"):
+                    color = a[0][1:], (), None
+                    s.stroke, s.fill = (color, s.fill) if op == "CS" else (s.stroke, color)
+                elif op in ("SC", "SCN", "sc", "scn"):
+                    space = (s.stroke if op[0] == "S" else s.fill)[0]
+                    pattern = a.pop()[1:] if a and isinstance(a[-1], str) else None
+                    color = space, tuple(map(float, a)), pattern
+                    s.stroke, s.fill = (color, s.fill) if op[0] == "S" else (s.stroke, color)
+            except (IndexError, TypeError, ValueError, KeyError, AttributeError):
                 continue  # too few or wrong operands: no effect
 
+    def _extended(self, values: dict) -> None:
+        s = self.state
+        for key, name in STATE_KEYS.items():
+            if isinstance(values.get(key), (int, float)):
+                setattr(s, name, type(getattr(s, name))(values[key]))
+        if isinstance(values.get("D"), list):
+            s.dash, s.phase = tuple(map(float, values["D"][0])), float(values["D"][1])
+        if isinstance(values.get("BM"), str):
+            s.blend = values["BM"][1:]
+
     def _show(self, parts: list, tm: tuple) -> tuple[dict, tuple]:
-        s, glyphs = self.state, []
+        s = self.state
+        texts, xs, ys, dxs, dys = glyphs = [], [], [], [], []
         font = self.fonts.get(s.font) or Font()
         ca, cb, cc, cd, ce, cf = s.ctm
         ta, tb, tc, td, e, f = tm
@@ -182,15 +322,17 @@ class Machine:
                 continue
             for text, _, width, space in font.glyphs(bytes.fromhex(part[2:])):
                 advance = width * size * scale + s.char * scale + (s.word * scale if space else 0)
-                x, y = lift_x + (ca * e + cc * f + ce), lift_y + (cb * e + cd * f + cf)
-                glyphs.append({"text": text, "x": x, "y": y, "dx": a * advance, "dy": b * advance})
+                texts.append(text)
+                xs.append(lift_x + (ca * e + cc * f + ce))
+                ys.append(lift_y + (cb * e + cd * f + cf))
+                dxs.append(a * advance)
+                dys.append(b * advance)
                 e, f = ta * advance + e, tb * advance + f
-        if glyphs:
-            x, y = glyphs[0]["x"], glyphs[0]["y"]
+        if texts:
+            x, y = xs[0], ys[0]
         else:
             x, y = lift_x + (ca * e + cc * f + ce), lift_y + (cb * e + cd * f + cf)
-        row = {"name": s.font, "size": size * (c**2 + d**2) ** 0.5, "x": x, "y": y, "glyphs": glyphs}
-        return row, (ta, tb, tc, td, e, f)
+        return {"name": s.font, "size": size * (c**2 + d**2) ** 0.5, "x": x, "y": y, "glyphs": glyphs}, (ta, tb, tc, td, e, f)
 
     def _path(self, op: str, segments: list) -> dict:
         points = [p[i : i + 2] for _, p in segments for i in range(0, len(p) - 1, 2)]

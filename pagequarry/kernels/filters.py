@@ -15,17 +15,30 @@ class FilterIssue(ValueError):
     """A stream that its filters cannot decode."""
 
 
-def flate(data: bytes) -> bytes:
+def flate(data: bytes, lenient: bool = False) -> bytes:
+    """Inflated bytes; ``lenient`` keeps what precedes damage and tries data without its frame."""
     d = zlib.decompressobj()
     try:
         out = d.decompress(data, LIMIT)
     except zlib.error as e:
-        raise FilterIssue(f"flate: {e}") from e
+        if not lenient:
+            raise FilterIssue(f"flate: {e}") from e
+        return _salvaged(data, 15) or _salvaged(data, -15)
     if d.unconsumed_tail:
         raise FilterIssue("flate: output limit")
     return out
 
 
+def _salvaged(data: bytes, window: int) -> bytes:
+    d, out = zlib.decompressobj(window), bytearray()
+    try:
+        for at in range(len(data)):  # byte by byte, to keep all that precedes the damage
+            out += d.decompress(data[at : at + 1])
+    except zlib.error:
+        pass
+    return bytes(out)
+
+
 def lzw(data: bytes, early: int = 1) -> bytes:
     """9 to 12 bit codes, most significant bit first; 256 clears the table, 257 ends."""
     out, table, size, prev = bytearray(), [], 9, b""
@@ -111,15 +124,7 @@ def predict(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns
         elif tag == 2:
             now = (now + before) & 255
         elif tag in (3, 4):
-            for i in range(row):
-                left, up = (now[i - pixel] if i >= pixel else 0), before[i]
-                if tag == 3:
-                    guess = (left + up) // 2
-                else:
-                    corner = before[i - pixel] if i >= pixel else 0
-                    p = left + up - corner
-                    guess = min((left, up, corner), key=lambda v, p=p: abs(p - v))
-                now[i] = (now[i] + guess) & 255
+            now = np.array(_by_byte(raw.tolist(), before.tolist(), row, pixel, tag), np.int64)
         elif tag:
             raise FilterIssue("predictor: unknown row tag")
         out += now.astype(np.uint8).tobytes()[: len(raw)]
@@ -127,6 +132,21 @@ def predict(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns
     return bytes(out)
 
 
+def _by_byte(raw: list[int], before: list[int], row: int, pixel: int, tag: int) -> list[int]:
+    """A row whose bytes follow their left neighbour, the row above and, for tag 4, the corner."""
+    raw = raw + [0] * (row - len(raw))
+    now = [0] * row
+    for i, (value, up) in enumerate(zip(raw, before, strict=True)):
+        left, corner = (now[i - pixel], before[i - pixel]) if i >= pixel else (0, 0)
+        if tag == 3:
+            guess = (left + up) >> 1
+        else:
+            a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            guess = left if a <= b and a <= c else up if b <= c else corner
+        now[i] = (value + guess) & 255
+    return now
+
+
 # Filter names and their short forms in inline images.
 FILTERS = {
     "/FlateDecode": flate, "/Fl": flate, "/ASCIIHexDecode": ascii_hex, "/AHx": ascii_hex, "/ASCII85Decode": ascii_85,
@@ -136,8 +156,17 @@ FILTERS = {
 PASSED = ("/DCTDecode", "/DCT", "/JPXDecode", "/JBIG2Decode")
 
 
-def decode(data: bytes, value: dict) -> bytes:
-    """``data`` through the filters that its stream dictionary names."""
+def decode(data: bytes, value: dict, lenient: bool = False) -> bytes:
+    """``data`` through the filters that its stream dictionary names; any failure is a :class:`FilterIssue`."""
+    try:
+        return _decoded(data, value, lenient)
+    except FilterIssue:
+        raise
+    except (TypeError, ValueError, AttributeError, KeyError, IndexError) as e:
+        raise FilterIssue(f"malformed filter parameters: {e}") from e
+
+
+def _decoded(data: bytes, value: dict, lenient: bool) -> bytes:
     names = value.get("Filter", value.get("F")) or []
     parms = value.get("DecodeParms", value.get("DP")) or []
     names = names if isinstance(names, list) else [names]
@@ -147,10 +176,15 @@ def decode(data: bytes, value: dict) -> bytes:
     for i, name in enumerate(names):
         p = (parms[i] if parms else None) or {}
         if name in PASSED:
+            if name in ("/DCTDecode", "/DCT") and not lenient and data[:2] != b"\xff\xd8":
+                raise FilterIssue("dct: no start mark")
             continue
         if name not in FILTERS:
             raise FilterIssue(f"unknown filter {name}")
-        data = lzw(data, p.get("EarlyChange", 1)) if name in ("/LZWDecode", "/LZW") else FILTERS[name](data)
+        if name in ("/LZWDecode", "/LZW"):
+            data = lzw(data, p.get("EarlyChange", 1))
+        else:
+            data = flate(data, lenient) if FILTERS[name] is flate else FILTERS[name](data)
         if len(data) > LIMIT:
             raise FilterIssue("output limit")
         if p.get("Predictor", 1) > 1:

@@ -2,75 +2,72 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
-# Advance widths of the printable ASCII characters of the standard sans font, from space to tilde.
-SANS_WIDTHS = (
+from pagequarry.kernels import cmaps
+from pagequarry.kernels.glyphnames import glyph_text
+
+# Advance widths of the printable ASCII characters of the standard fonts, from space to tilde.
+SANS = (
     278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556,
     556, 556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833,
     722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556,
     556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334,
     260, 334, 584,
 )
+SANS_BOLD = (
+    278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556,
+    556, 556, 556, 333, 333, 584, 584, 584, 611, 975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833,
+    722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556, 333, 556, 611, 556, 611,
+    556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389,
+    280, 389, 584,
+)
+SERIF = (
+    250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500,
+    500, 500, 500, 278, 278, 564, 564, 564, 444, 921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889,
+    722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500, 333, 444, 500, 444, 500,
+    444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480,
+    200, 480, 541,
+)
+SERIF_BOLD = (
+    250, 333, 555, 500, 500, 1000, 833, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500,
+    500, 500, 500, 333, 333, 570, 570, 570, 500, 930, 722, 667, 722, 722, 667, 611, 778, 778, 389, 500, 778, 667, 944,
+    722, 778, 611, 778, 722, 556, 667, 722, 722, 1000, 722, 722, 667, 333, 278, 333, 581, 500, 333, 500, 556, 444, 556,
+    444, 333, 500, 556, 278, 333, 556, 278, 833, 556, 500, 556, 556, 444, 389, 333, 556, 500, 722, 500, 500, 444, 394,
+    220, 394, 520,
+)
+SERIF_ITALIC = (
+    250, 333, 420, 500, 500, 833, 778, 214, 333, 333, 500, 675, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500,
+    500, 500, 500, 333, 333, 675, 675, 675, 500, 920, 611, 611, 667, 722, 611, 611, 722, 722, 333, 444, 667, 556, 833,
+    667, 722, 611, 722, 611, 500, 556, 722, 611, 833, 611, 556, 556, 389, 278, 389, 422, 500, 333, 500, 500, 444, 500,
+    444, 278, 500, 500, 278, 278, 444, 278, 722, 500, 500, 500, 500, 389, 389, 278, 500, 444, 667, 444, 444, 389, 400,
+    275, 400, 541,
+)
+# Widths of further characters in the sans, sans bold, serif, serif bold and serif italic fonts.
+FURTHER = {
+    "–": (556, 556, 500, 500, 500), "—": (1000, 1000, 1000, 1000, 889), "‘": (222, 278, 333, 333, 333), "’": (222, 278, 333, 333, 333),
+    "“": (333, 500, 444, 500, 556), "”": (333, 500, 444, 500, 556), "•": (350, 350, 350, 350, 350), "…": (1000, 1000, 1000, 1000, 889),
+    "€": (556, 556, 500, 500, 500), "ß": (611, 611, 500, 556, 500), "Æ": (1000, 1000, 889, 1000, 889), "æ": (889, 889, 667, 722, 667),
+    "Ø": (778, 778, 722, 778, 722), "ø": (611, 611, 500, 500, 500), "«": (556, 556, 500, 500, 500), "»": (556, 556, 500, 500, 500),
+    "¡": (333, 333, 333, 333, 389), "¿": (611, 611, 444, 500, 500), "§": (556, 556, 500, 500, 500), "°": (400, 400, 400, 400, 400),
+}
+TABLES = (SANS, SANS_BOLD, SERIF, SERIF_BOLD, SERIF_ITALIC)
 FIXED_PITCH = 600.0
 SIMPLE_ENCODINGS = {"/WinAnsiEncoding": "cp1252", "/MacRomanEncoding": "mac_roman"}
 
 
-def standard_width(base_font: str, code: int) -> float:
-    """Width of a code in a font without its own table, by its name."""
+def standard_width(base_font: str, char: str) -> float:
+    """Width of a character in a standard font, by the font's name: an accented letter is as wide as its base letter."""
     if "Courier" in base_font:
         return FIXED_PITCH
-    return float(SANS_WIDTHS[code - 32]) if 32 <= code < 127 else 556.0
-
-
-def glyph_text(name: str) -> str:
-    """Text of a glyph name: single letters, ``uniXXXX`` groups and ``uXXXXX``; parts are joined, suffixes dropped."""
-    out = ""
-    for part in name.split(".")[0].split("_"):
-        if re.fullmatch(r"uni(?:[0-9A-F]{4})+", part):
-            out += "".join(chr(int(part[i : i + 4], 16)) for i in range(3, len(part), 4))
-        elif re.fullmatch(r"u[0-9A-F]{4,6}", part):
-            out += chr(int(part[1:], 16))
-        elif len(part) == 1:
-            out += part
-        else:
-            out += {"space": " ", "hyphen": "-", "period": ".", "comma": ","}.get(part, "")
-    return out
-
-
-def to_unicode(data: bytes) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int], str]]:
-    """Code space ranges (length, low, high) and {(length, code): text} of a character map."""
-    spaces, out = [], {}
-    hexes = re.compile(rb"<([0-9A-Fa-f\s]*)>")
-
-    def number(h: bytes) -> tuple[int, int]:
-        h = re.sub(rb"\s", b"", h)
-        return len(h) // 2, int(h or b"0", 16)
-
-    def text(h: bytes, plus: int = 0) -> str:
-        raw = bytes.fromhex(re.sub(rb"\s", b"", h).decode())
-        if plus:
-            raw = (int.from_bytes(raw, "big") + plus).to_bytes(len(raw), "big")
-        return raw.decode("utf-16-be", "replace")
-
-    for body in re.findall(rb"begincodespacerange(.*?)endcodespacerange", data, re.S):
-        h = hexes.findall(body)
-        spaces += [(number(a)[0], number(a)[1], number(b)[1]) for a, b in zip(h[::2], h[1::2], strict=False)]
-    for body in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
-        h = hexes.findall(body)
-        out |= {number(a): text(b) for a, b in zip(h[::2], h[1::2], strict=False)}
-    for body in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
-        for a, b, c, many in re.findall(rb"<([^>]*)>\s*<([^>]*)>\s*(?:<([^>]*)>|\[([^\]]*)\])", body):
-            (n, low), (_, high) = number(a), number(b)
-            high = min(high, low + 0xFFFF)
-            targets = hexes.findall(many)
-            for k in range(high - low + 1):
-                if c:
-                    out[n, low + k] = text(c, k)
-                elif k < len(targets):
-                    out[n, low + k] = text(targets[k])
-    return spaces, out
+    serif, bold, italic = "Times" in base_font, "Bold" in base_font, "Italic" in base_font
+    column = (2 if not bold and not italic else 3 if bold else 4) if serif else int(bold)
+    if char in FURTHER:
+        return float(FURTHER[char][column])
+    base = ord(unicodedata.normalize("NFD", char)[0]) if char else 0
+    return float(TABLES[column][base - 32]) if 32 <= base < 127 else 556.0 if column < 2 else 500.0
 
 
 @dataclass
@@ -80,37 +77,49 @@ class Font:
     name: str = ""
     wide: bool = False
     widths: dict[int, float] = field(default_factory=dict)
+    ranges: list[tuple[int, int, float]] = field(default_factory=list)  # of character ids with one width, sorted
     default: float | None = None
     codec: str = "cp1252"
     texts: dict[int, str] = field(default_factory=dict)
-    spaces: list[tuple[int, int, int]] = field(default_factory=list)
-    mapped: dict[tuple[int, int], str] = field(default_factory=dict)
-
+    unicode: cmaps.CMap | None = None
+    encoding: cmaps.CMap | None = None
     known: dict[tuple[int, int], tuple[str, int, float, bool]] = field(default_factory=dict)
 
     def glyphs(self, raw: bytes):
-        """(text, code, width / 1000, one-byte space) of each code of a string."""
+        """(text, character id, width / 1000, one-byte space) of each code of a string."""
         if not self.wide:
             return [self.known.get((1, code)) or self._glyph(1, code) for code in raw]
-        pairs = [(2, int.from_bytes(raw[i : i + 2], "big")) if i + 1 < len(raw) else (1, raw[i]) for i in range(0, len(raw), 2)]
+        if self.encoding:
+            pairs = self.encoding.codes(raw)
+        else:
+            pairs = [(2, int.from_bytes(raw[i : i + 2], "big")) if i + 1 < len(raw) else (1, raw[i]) for i in range(0, len(raw), 2)]
         return [self.known.get(p) or self._glyph(*p) for p in pairs]
 
     def _glyph(self, n: int, code: int) -> tuple[str, int, float, bool]:
-        text = self.mapped.get((n, code)) if self.spaces else None
+        cid = self.encoding.cid(n, code) if self.encoding else code
+        text = self.unicode.text(n, code) if self.unicode and self.unicode.spaces else None
         if text is None:
-            text = chr(code) if self.wide else self.texts.get(code)
+            text = chr(cid) if self.wide else self.texts.get(code)
         if text is None:
             text = bytes([code]).decode(self.codec, "replace")
-        width = self.widths.get(code, self.default)
+        width = self.widths.get(cid)
+        if width is None and self.ranges:
+            i = bisect_right(self.ranges, (cid, 2**31))
+            width = self.ranges[i - 1][2] if i and self.ranges[i - 1][1] >= cid else None
+        if width is None:
+            width = self.default
         if width is None:
-            width = standard_width(self.name, code)
-        self.known[n, code] = found = (text, code, width / 1000, n == 1 and code == 32)
+            width = standard_width(self.name, self.texts.get(code) or bytes([code]).decode(self.codec, "replace"))
+        self.known[n, code] = found = (text, cid, width / 1000, cid == 32 if self.wide else code == 32)
         return found
 
 
-def font_of(spec: dict, unicode_map: bytes | None) -> Font:
-    """A font from its resolved dictionary (a composite font's descendant merged in) and its decoded Unicode map."""
+def font_of(spec: dict, unicode_map: bytes | None, encoding_map: bytes | None = None) -> Font:
+    """A font from its resolved dictionary and the decoded programs of its character maps."""
     f = Font(name=str(spec.get("BaseFont", ""))[1:], wide=spec.get("Subtype") == "/Type0")
+    if f.wide and isinstance(spec.get("DescendantFonts"), list) and spec["DescendantFonts"]:
+        kid = spec["DescendantFonts"][0]
+        spec = spec | {k: kid[k] for k in ("W", "DW") if isinstance(kid, dict) and k in kid}
     encoding = spec.get("Encoding")
     if isinstance(encoding, dict):
         at = 0
@@ -121,7 +130,7 @@ def font_of(spec: dict, unicode_map: bytes | None) -> Font:
             else:
                 at = int(x)
         encoding = encoding.get("BaseEncoding")
-    f.codec = SIMPLE_ENCODINGS.get(encoding, "cp1252")
+    f.codec = SIMPLE_ENCODINGS.get(encoding, "cp1252") if not isinstance(encoding, (list, dict)) else "cp1252"
     if f.wide:
         f.default = float(spec.get("DW", 1000))
         w, i = spec.get("W", []), 0
@@ -130,12 +139,15 @@ def font_of(spec: dict, unicode_map: bytes | None) -> Font:
                 f.widths |= {int(w[i]) + k: float(x) for k, x in enumerate(w[i + 1])}
                 i += 2
             else:
-                f.widths |= {c: float(w[i + 2]) for c in range(int(w[i]), min(int(w[i + 1]), int(w[i]) + 0xFFFF) + 1)}
+                f.ranges.append((int(w[i]), int(w[i + 1]), float(w[i + 2])))
                 i += 3
+        f.ranges.sort()
+        if encoding_map:
+            f.encoding = cmaps.parse(encoding_map)
     elif "Widths" in spec:  # its own table holds even outside its range
         f.default = 0.0
         first = int(spec.get("FirstChar", 0))
         f.widths = {first + k: float(x) for k, x in enumerate(spec["Widths"])}
     if unicode_map:
-        f.spaces, f.mapped = to_unicode(unicode_map)
+        f.unicode = cmaps.parse(unicode_map)
     return f

@@ -10,19 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.kernels.syntax import DOC_ENCODING
 from pagequarry.operators import sequences, trees
 from pagequarry.operators.tables import field, ref
 from pagequarry.sources.store import written
 
 
+#: Characters of the Latin-1 reading of a string whose document encoding differs, and what they stand for.
+_ODD = "".join(map(chr, DOC_ENCODING)), "".join(map(chr, DOC_ENCODING.values()))
+
+
 def text_value(value: Column) -> Column:
-    """Text of a string value by its byte order mark; names lose their slash, other values give null."""
+    """Text of a string value by its mark, else in the document encoding; names lose their slash, other values give null."""
     digits = F.regexp_extract(value, "^s:([0-9a-f]*)$", 1)
     raw = F.unhex(digits)
+    even = (F.length(digits) - 4) / 4  # UTF-16 units; an odd last byte is dropped
     return (
-        F.when(value.startswith("s:feff"), F.decode(F.unhex(F.substring(digits, 5, 2**30)), "UTF-16BE"))
+        F.when(value.startswith("s:feff"), F.decode(F.unhex(F.substring(digits, F.lit(5), (even.cast("int") * 4))), "UTF-16BE"))
         .when(value.startswith("s:efbbbf"), F.decode(F.unhex(F.substring(digits, 7, 2**30)), "UTF-8"))
-        .when(value.startswith("s:"), F.decode(raw, "ISO-8859-1"))
+        .when(value.startswith("s:"), F.translate(F.decode(raw, "ISO-8859-1"), *_ODD))
         .when(value.startswith("/"), F.substring(value, 2, 2**30))
     )
 
@@ -47,6 +53,14 @@ def resolved(rows: DataFrame, live: DataFrame, column: str) -> DataFrame:
     )
 
 
+def information(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id and ``info``: the text of every string, name and number of the information dictionary."""
+    found = resolved(roots.select("doc_id", field("trailer", "Info").alias("v")), live, "v")
+    entries = F.map_entries(F.from_json("v", "map<string,string>"))
+    told = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(text_value(e["value"]), F.when(e["value"].rlike(r"^-?[0-9.]+$"), e["value"])).alias("value")))
+    return found.select("doc_id", F.map_from_entries(F.filter(told, lambda e: e["value"].isNotNull())).alias("info"))
+
+
 def list_positions(links: DataFrame, rounds: int = 32) -> DataFrame:
     """doc_id, node and its place in a list of (doc_id, node, prev) links; members of a cycle have none."""
     state = links.select("doc_id", "node", F.col("prev").alias("jump"), F.when(F.col("prev").isNull(), 0).otherwise(1).alias("place"))

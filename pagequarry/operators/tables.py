@@ -1,17 +1,19 @@
 """A corpus of documents as relations.
 
-Bytes are read once per document or page by small Arrow-batched helpers; from
-the objects on, everything (revisions, page tree, inheritance, resources,
-content order, text assembly) is joins, windows and tree walks on keys that
-begin with doc_id. Malformed input never fails a job: the row carries ``error``.
+Bytes are read once per document (:func:`parts`) and once per page
+(:func:`interpreted`) by small Arrow-batched helpers; from there on everything
+(revisions, page tree, inheritance, resources, content order, text assembly) is
+joins, windows and tree walks on keys that begin with doc_id. Malformed input
+never fails a job: the row carries ``error``.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,18 +21,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from pagequarry.functions import geometry
 from pagequarry.kernels import content as machine
-from pagequarry.kernels import filters, fonts, syntax
+from pagequarry.kernels import document, filters, fonts, syntax
 from pagequarry.operators import sequences, trees
 from pagequarry.sources.store import written
 
-OBJECTS = "doc_id long, seq int, obj int, gen int, `offset` long, container int, value string, stream binary, error string"
+OBJECT_COLUMNS = ("doc_id", "seq", "obj", "gen", "offset", "container", "value", "stream", "resolved", "live", "repaired", "error")
+PARTS = (
+    "doc_id long, kind string, seq int, obj int, gen int, `offset` long, container int, idx int, rev int, free boolean, live boolean, "
+    "repaired boolean, value string, resolved string, stream binary, error string"
+)
 GLYPH = "struct<text:string,x:double,y:double,dx:double,dy:double>"
 MARK = "struct<id:int,tag:string,mcid:int,actual:string>"
+COLOR = "struct<space:string,values:array<double>,pattern:string>"
+LINE = "struct<width:double,cap:int,join:int,miter:double,dash:array<double>,phase:double>"
 CONTENT = (
     f"doc_id long, page_index int, seq int, kind string, name string, size double, x double, y double, glyphs array<{GLYPH}>, "
     f"marked array<{MARK}>, bbox array<double>, stroke boolean, fill boolean, even_odd boolean, "
-    "segments array<struct<op:string,points:array<double>>>, `offset` long"
+    f"segments array<struct<op:string,points:array<double>>>, `offset` long, scope int, stroke_color {COLOR}, fill_color {COLOR}, line {LINE}, "
+    "stroke_alpha double, fill_alpha double, blend string, clips int, error string"
 )
 
 
@@ -44,8 +54,9 @@ def expanded(df: DataFrame, rows_of: Callable[[dict], Iterator[dict]], schema: s
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
+            names, columns = batch.schema.names, batch.columns
             for i in range(batch.num_rows):
-                for row in rows_of(batch.slice(i, 1).to_pylist()[0]):
+                for row in rows_of({n: c[i].as_py() for n, c in zip(names, columns, strict=True)}):
                     held.append(row)
                     if len(held) >= BATCH_ROWS:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)
@@ -66,79 +77,64 @@ def ref(value: Column) -> Column:
     return F.regexp_extract(value, r"^(\d+) \d+ R$", 1).try_cast("int")
 
 
-def objects(corpus: DataFrame) -> DataFrame:
-    """Every object in source order, those of object streams right behind their container."""
+def parts(corpus: DataFrame) -> DataFrame:
+    """Everything that one pass over each document's bytes gives, by ``kind``: object, section, entry, document.
+
+    Objects come in source order, those of object streams right behind their
+    container; ``live`` marks the ones that the newest cross-reference entries (or,
+    in a recovered document, the first declarations) make current.
+    """
 
     def rows_of(doc: dict) -> Iterator[dict]:
-        seq = 0
-        for row in syntax.indirect_objects(doc["content"] or b""):
-            value = row["value"]
-            inner = isinstance(value, dict) and value.get("Type") == "/ObjStm" and row["stream"] is not None
-            for r in (row | {"container": None}, *(_members(row) if inner else ())):
-                yield r | {"doc_id": doc["doc_id"], "seq": seq, "value": json.dumps(r["value"])}
-                seq += 1
+        for row in document.read(doc["content"] or b""):
+            yield row | {"doc_id": doc["doc_id"]}
 
-    return expanded(corpus.select("doc_id", "content"), rows_of, OBJECTS)
+    return expanded(corpus.select("doc_id", "content"), rows_of, PARTS)
 
 
-def _members(container: dict) -> list[dict]:
-    """Objects of an object stream; one row with the error if it is damaged."""
-    base = {"gen": 0, "offset": container["offset"], "container": container["obj"], "stream": None, "value": None, "error": None}
-    try:
-        value = container["value"]
-        data = filters.decode(container["stream"], value)
-        head, first = syntax.Values(data, references=False), int(value["First"])
-        pairs = [(head.read(), head.read()) for _ in range(int(value["N"]))]
-        return [base | {"obj": int(n), "value": syntax.Values(data, first + int(at)).read()} for n, at in pairs]
-    except (ValueError, KeyError, TypeError, IndexError) as e:
-        return [base | {"obj": container["obj"], "error": f"object stream: {e}"}]
+def objects(found: DataFrame) -> DataFrame:
+    """Every object in source order, older revisions included; of :func:`parts`, or of a corpus."""
+    found = parts(found) if "content" in found.columns else found
+    return found.where("kind = 'object'").select(*OBJECT_COLUMNS)
 
 
-def trailers(corpus: DataFrame) -> DataFrame:
-    """Trailer dictionaries in source order, of classic tables and of cross-reference streams."""
+def current(objs: DataFrame) -> DataFrame:
+    """The current version of each object number."""
+    return objs.where("live")
 
-    @F.pandas_udf("array<struct<offset:long,value:string>>")
-    def of(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda data: _trailers(data or b""))
 
-    found = corpus.select("doc_id", F.posexplode(of("content")).alias("seq", "t"))
-    return found.select("doc_id", "seq", "t.offset", "t.value")
+def sections(found: DataFrame) -> DataFrame:
+    """Cross-reference sections: doc_id, rev (0 is the newest), offset and trailer."""
+    return found.where("kind = 'section'").select("doc_id", "rev", "offset", F.col("value").alias("trailer"))
 
 
-def _trailers(data: bytes) -> list[dict]:
-    out = []
-    for m in re.finditer(rb"(?<![A-Za-z])trailer(?=[\0\t\n\f\r <])", data):
-        try:
-            value = syntax.Values(data, m.end()).read()
-        except syntax.SyntaxIssue:
-            continue
-        if isinstance(value, dict):
-            out.append({"offset": m.start(), "value": json.dumps(value)})
-    for row in syntax.indirect_objects(data) if not out else ():
-        if isinstance(row["value"], dict) and row["value"].get("Type") == "/XRef":
-            out.append({"offset": row["offset"], "value": json.dumps(row["value"])})
-    return out
+def xrefs(found: DataFrame) -> DataFrame:
+    """Entries of all sections: doc_id, rev, obj, gen, free, offset or container and index."""
+    return found.where("kind = 'entry'").select("doc_id", "rev", "obj", "gen", "free", "offset", "container", "idx")
 
 
-def xrefs(corpus: DataFrame) -> DataFrame:
-    """Entries of classic cross-reference tables: rev counts from the newest (0)."""
+def newest_entries(found: DataFrame) -> DataFrame:
+    """The newest entry of each object number and generation; free ones stay."""
+    at = F.struct("rev", "free", "offset", "container", "idx")
+    newest = xrefs(found).groupBy("doc_id", "obj", "gen").agg(F.min(at).alias("e"))
+    return newest.select("doc_id", "obj", "gen", "e.*")
 
-    @F.pandas_udf("array<struct<at:long,obj:int,gen:int,offset:long,free:boolean>>")
-    def of(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda data: _entries(data or b""))
 
-    found = corpus.select("doc_id", F.explode(of("content")).alias("e")).select("doc_id", "e.*")
-    newest = Window.partitionBy("doc_id").orderBy(F.desc("at"))
-    return found.withColumn("rev", F.dense_rank().over(newest) - 1).drop("at")
+def states(found: DataFrame) -> DataFrame:
+    """One row per document: version of the header, merged trailer, whether it was recovered, and the error that led to it."""
+    return found.where("kind = 'document'").select(
+        "doc_id", field("value", "version").alias("header_version"), field("value", "trailer").alias("trailer"),
+        F.col("error").isNotNull().alias("recovered"), F.col("error").alias("recovery_error"),
+    )
 
 
-def _entries(data: bytes) -> list[dict]:
-    out = []
-    for table in re.finditer(rb"(?<!start)xref[ \r\n]+((?:\d+ \d+ *[\r\n]+(?:\d{10} \d{5} [nf][ \r\n]{1,2})*)+)", data):
-        for part in re.finditer(rb"(\d+) (\d+) *[\r\n]+((?:\d{10} \d{5} [nf][ \r\n]{1,2})*)", table[1]):
-            for k, e in enumerate(re.finditer(rb"(\d{10}) (\d{5}) ([nf])", part[3])):
-                out.append({"at": table.start(), "obj": int(part[1]) + k, "gen": int(e[2]), "offset": int(e[1]), "free": e[3] == b"f"})
-    return out
+def catalog(live: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` with root (object number of the catalog), catalog value, version and whether the document is tagged."""
+    rooted = state.withColumn("root", ref(field("trailer", "Root")))
+    found = live.select("doc_id", F.col("obj").alias("root"), F.col("value").alias("catalog"))
+    version = F.coalesce(F.regexp_extract(field("catalog", "Version"), r"^/(.+)$", 1), "header_version")
+    tagged = F.coalesce(field("catalog", "MarkInfo", "Marked") == "true", F.lit(False))
+    return rooted.join(found, ["doc_id", "root"], "left").withColumn("version", version).withColumn("tagged", tagged)
 
 
 def tokens(corpus: DataFrame) -> DataFrame:
@@ -162,19 +158,6 @@ def tokens(corpus: DataFrame) -> DataFrame:
     return expanded(corpus.select("doc_id", "content"), rows_of, "doc_id long, seq int, kind string, text string, number double, `offset` long")
 
 
-def current(objs: DataFrame) -> DataFrame:
-    """The newest readable version of each object number."""
-    return sequences.one_per(objs.where("error IS NULL"), ["doc_id", "obj"], [F.desc("gen"), F.desc("seq")])
-
-
-def catalog(live: DataFrame, trailer: DataFrame) -> DataFrame:
-    """doc_id, trailer, root (object number of the catalog) and catalog value of each document."""
-    last = sequences.one_per(trailer, ["doc_id"], [F.desc("seq")]).select("doc_id", F.col("value").alias("trailer"))
-    rooted = last.withColumn("root", ref(field("trailer", "Root")))
-    found = live.select("doc_id", F.col("obj").alias("root"), F.col("value").alias("catalog"))
-    return rooted.join(found, ["doc_id", "root"], "left")
-
-
 INHERITED = ("MediaBox", "CropBox", "Resources", "Rotate", "UserUnit")
 
 
@@ -210,45 +193,60 @@ def page_geometry(page: DataFrame) -> DataFrame:
     )
 
 
-def page_bytes(live: DataFrame, page: DataFrame) -> DataFrame:
-    """doc_id, page_index and the decoded content streams of each page, joined in order by a line feed."""
+def page_matrix(space: str) -> Column:
+    """Matrix of a row of :func:`pages` into ``space``: page (origin bottom left), screen (y down) or default (as written)."""
+    n = F.from_json("MediaBox", "array<double>")
+    box = F.array(F.least(n[0], n[2]), F.least(n[1], n[3]), F.greatest(n[0], n[2]), F.greatest(n[1], n[3]))
+    turn = F.pmod(F.coalesce(F.col("Rotate").try_cast("int"), F.lit(0)), F.lit(360))
+    unit = F.coalesce(F.col("UserUnit").try_cast("double"), F.lit(1.0))
+    scaled = F.transform(geometry.page_matrix(box, turn, space), lambda v: v * unit)
+    return F.when(F.size(n) == 4, scaled) if space != "default" else F.lit(None).cast("array<double>")
+
+
+def page_streams(live: DataFrame, page: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, page_index, the columns ``keep`` and the page's content streams, in order, as (ord, spec, raw).
+
+    Streams move once, to the pages that name them; only pages of several
+    streams are gathered after that.
+    """
     contents = field("value", "Contents")
-    listed = F.when(contents.startswith("["), F.from_json(contents, "array<string>")).otherwise(F.array(contents))
-    wanted = page.select("doc_id", "page_index", F.posexplode_outer(listed).alias("ord", "r")).withColumn("obj", ref(F.col("r")))
-    streams = live.where("stream IS NOT NULL").select("doc_id", "obj", "value", "stream")
-
-    @F.pandas_udf("binary")
-    def decoded(values: pd.Series, raws: pd.Series) -> pd.Series:
-        def one(value, raw):
-            try:
-                return filters.decode(raw, json.loads(value)) if raw is not None else None
-            except filters.FilterIssue:
-                return None
-
-        return pd.Series([one(v, r) for v, r in zip(values, raws, strict=True)], dtype=object)
-
-    parts = wanted.join(streams, ["doc_id", "obj"], "left").select("doc_id", "page_index", "ord", F.hex(decoded("value", "stream")).alias("h"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "h"))), lambda x: F.coalesce(x["h"], F.lit("")))
-    return parts.groupBy("doc_id", "page_index").agg(F.unhex(F.array_join(ordered, "0A")).alias("content"))
-
-
-def page_fonts(live: DataFrame, page: DataFrame) -> DataFrame:
-    """One row per page and font resource name: the font's value, its descendant's and its Unicode map's stream."""
-    named = F.from_json(field("Resources", "Font"), "map<string,string>")
-    listed = page.select("doc_id", "page_index", F.explode(named).alias("font", "r")).withColumn("obj", ref(F.col("r")))
-    values = live.select("doc_id", "obj", F.col("value").alias("v"), "stream")
-    found = listed.join(values.drop("stream"), ["doc_id", "obj"], "left").withColumn("spec", F.coalesce("v", "r"))
-    found = found.select(
-        "doc_id", "page_index", "font", "spec", ref(field("spec", "ToUnicode")).alias("map_obj"),
-        ref(F.get_json_object("spec", "$.DescendantFonts[0]")).alias("kid_obj"),
-    )
-    maps = values.select("doc_id", F.col("obj").alias("map_obj"), F.col("v").alias("map_value"), F.col("stream").alias("map_stream"))
-    kids = values.select("doc_id", F.col("obj").alias("kid_obj"), F.col("v").alias("kid"))
-    return found.join(maps, ["doc_id", "map_obj"], "left").join(kids, ["doc_id", "kid_obj"], "left")
+    one = page.select("doc_id", "page_index", *keep, contents.alias("c"))
+    arrays = live.where(F.col("value").startswith("[")).select("doc_id", F.col("obj").alias("_obj"), F.col("value").alias("_array"))
+    one = one.withColumn("_obj", ref(F.col("c"))).join(arrays, ["doc_id", "_obj"], "left").withColumn("c", F.coalesce("_array", "c")).drop("_obj", "_array")
+    listed = F.when(F.col("c").startswith("["), F.from_json("c", "array<string>")).otherwise(F.array("c"))
+    wanted = one.select("doc_id", "page_index", *keep, F.size(listed).alias("n"), F.posexplode_outer(listed).alias("ord", "r")).withColumn("obj", ref(F.col("r")))
+    streams = live.where("stream IS NOT NULL").select("doc_id", "obj", F.coalesce("resolved", "value").alias("spec"), F.col("stream").alias("raw"))
+    part = F.struct(F.coalesce("ord", F.lit(0)).alias("ord"), "spec", "raw")
+    single = wanted.where("n <= 1").join(streams, ["doc_id", "obj"], "left").select("doc_id", "page_index", *keep, F.array(part).alias("streams"))
+    several = wanted.where("n > 1").join(streams, ["doc_id", "obj"], "left")
+    gathered = several.groupBy("doc_id", "page_index").agg(*[F.first(k).alias(k) for k in keep], F.sort_array(F.collect_list(part)).alias("streams"))
+    return single.unionByName(gathered)
+
+
+def joined_streams(streams: list[dict] | None) -> tuple[bytes, str | None]:
+    """Decoded streams joined by line feeds, and what was wrong with those that could not be decoded."""
+    out, errors = [], []
+    for s in streams or ():
+        try:
+            out.append(filters.decode(s["raw"], json.loads(s["spec"]), lenient=True) if s["raw"] is not None else b"")
+        except filters.FilterIssue as e:
+            out.append(b"")
+            errors.append(str(e))
+    return b"\n".join(out), "; ".join(errors) or None
+
+
+def page_bytes(live: DataFrame, page: DataFrame) -> DataFrame:
+    """doc_id, page_index, the page's decoded content and the ``error`` of streams that could not be decoded."""
+
+    def rows_of(p: dict) -> Iterator[dict]:
+        data, error = joined_streams(p["streams"])
+        yield {"doc_id": p["doc_id"], "page_index": p["page_index"], "content": data, "error": error}
+
+    return expanded(page_streams(live, page), rows_of, "doc_id long, page_index int, content binary, error string")
 
 
 def operations(content: DataFrame) -> DataFrame:
-    """Content operations in order: doc_id, page_index, seq, operator, operands (JSON), offset."""
+    """Content operations in order: doc_id, page_index, seq, operator, operands (JSON), offset; of :func:`page_bytes`."""
 
     def rows_of(page: dict) -> Iterator[dict]:
         for k, (op, operands, at) in enumerate(machine.operations(page["content"] or b"")):
@@ -258,25 +256,112 @@ def operations(content: DataFrame) -> DataFrame:
     return expanded(content.select("doc_id", "page_index", "content"), rows_of, schema)
 
 
-def interpreted(content: DataFrame, font_rows: DataFrame) -> DataFrame:
-    """Text runs, paths, images and tags of each page in paint order, in page space."""
-    per_page = font_rows.groupBy("doc_id", "page_index").agg(F.collect_list(F.struct("font", "spec", "kid", "map_value", "map_stream")).alias("fonts"))
-    joined = content.join(per_page, ["doc_id", "page_index"], "left")
-
-    def rows_of(page: dict) -> Iterator[dict]:
-        loaded = {f["font"]: _font(f) for f in page["fonts"] or ()}
-        for row in machine.Machine(loaded).run(page["content"] or b""):
-            yield row | {"doc_id": page["doc_id"], "page_index": page["page_index"]}
-
-    return expanded(joined.select("doc_id", "page_index", "content", "fonts"), rows_of, CONTENT)
+class Runs:
+    """Rows of the page machine as Arrow columns; glyphs are kept as flat columns and never as objects."""
+
+    PLAIN = ("doc_id", "page_index", "seq", "kind", "name", "size", "x", "y", "marked", "bbox", "stroke", "fill", "even_odd", "segments", "offset", "scope", "error")
+
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema = schema
+        self.clear()
+
+    def clear(self) -> None:
+        self.plain = {c: [] for c in self.PLAIN}
+        self.glyphs, self.ends, self.missing = ([], [], [], [], []), [0], []
+        self.state = {c: [] for c in ("stroke_color", "fill_color", "line", "stroke_alpha", "fill_alpha", "blend", "clips")}
+
+    def add(self, doc_id: int, page_index: int, row: dict) -> None:
+        row["doc_id"], row["page_index"] = doc_id, page_index
+        for c, held in self.plain.items():
+            held.append(row.get(c))
+        glyphs, state = row.get("glyphs"), row.get("state")
+        self.missing.append(glyphs is None)
+        for held, new in zip(self.glyphs, glyphs or (), strict=False):
+            held.extend(new)
+        self.ends.append(len(self.glyphs[0]))
+        if state is None:
+            for held in self.state.values():
+                held.append(None)
+            return
+        for name, (space, values, pattern) in (("stroke_color", state.stroke), ("fill_color", state.fill)):
+            self.state[name].append({"space": space, "values": values, "pattern": pattern})
+        self.state["line"].append({"width": state.width, "cap": state.cap, "join": state.join, "miter": state.miter, "dash": state.dash, "phase": state.phase})
+        for c in ("stroke_alpha", "fill_alpha", "blend", "clips"):
+            self.state[c].append(getattr(state, c))
+
+    def batch(self) -> pa.RecordBatch:
+        texts, *places = self.glyphs
+        fields = [pa.array(texts, pa.string()), *[pa.array(np.array(p, np.float64)) for p in places]]
+        kind = self.schema.field("glyphs").type
+        struct = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
+        glyphs = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), struct, type=kind, mask=pa.array(self.missing))
+        columns = {c: pa.array(v, self.schema.field(c).type) for c, v in (self.plain | self.state).items()} | {"glyphs": glyphs}
+        out = pa.RecordBatch.from_arrays([columns[f.name] for f in self.schema], schema=self.schema)
+        self.clear()
+        return out
+
+
+def interpreted(page: DataFrame, flatten: bool = False) -> DataFrame:
+    """Text runs, paths, images, forms and tags of each page in paint order.
+
+    ``page`` has doc_id, page_index, streams (:func:`page_streams`) and, where known, ``named``
+    (of :func:`pagequarry.operators.resources.per_page`) and ``matrix``. With ``flatten`` forms are expanded in
+    place. A stream that cannot be decoded gives a row of kind ``error``.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(CONTENT))
+    columns = [c for c in ("doc_id", "page_index", "streams", "named", "matrix") if c in page.columns]
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(arrow)
+        for batch in batches:
+            names, held = batch.schema.names, batch.columns
+            for i in range(batch.num_rows):
+                p = {n: c[i].as_py() for n, c in zip(names, held, strict=True)}
+                data, error = joined_streams(p["streams"])
+                if error:
+                    runs.add(p["doc_id"], p["page_index"], {"seq": -1, "kind": "error", "error": error})
+                matrix = tuple(p["matrix"]) if p.get("matrix") else machine.IDENTITY
+                for row in machine.Machine(matrix=matrix, scopes=scopes_of(p.get("named")), flatten=flatten).run(data):
+                    runs.add(p["doc_id"], p["page_index"], row)
+                    if len(runs.missing) >= BATCH_ROWS:
+                        yield runs.batch()
+        if runs.missing:
+            yield runs.batch()
+
+    return page.select(*columns).mapInArrow(of, CONTENT)
+
+
+def scopes_of(resources: list[dict] | None) -> dict[int, machine.Scope]:
+    """Resources of a page and its forms by scope."""
+    scopes: dict[int, machine.Scope] = {0: machine.Scope()}
+    for r in resources or ():
+        own = scopes.setdefault(r["scope"], machine.Scope())
+        try:
+            value = json.loads(r["spec"] or "{}")
+            if r["category"] == "Font":
+                own.fonts[r["name"]] = _font(r["spec"], r["map_stream"], r["map_spec"], r["code_stream"], r["code_spec"])
+            elif r["category"] == "Properties":
+                own.properties[r["name"]] = value
+            elif r["category"] == "ExtGState":
+                own.states[r["name"]] = value
+            elif r["category"] == "XObject":
+                matrix = value.get("Matrix") or machine.IDENTITY
+                data = filters.decode(r["stream"] or b"", value, lenient=True)
+                group = isinstance(value.get("Group"), dict) and value["Group"].get("S") == "/Transparency"
+                own.forms[r["name"]] = machine.Form(r["obj"], data, tuple(map(float, matrix)), group)
+        except (ValueError, TypeError, KeyError, AttributeError):
+            continue  # a malformed resource is as good as a missing one
+    return scopes
+
+
+@lru_cache(maxsize=512)
+def _font(spec: str, map_stream: bytes | None, map_spec: str | None, code_stream: bytes | None, code_spec: str | None) -> fonts.Font:
+    """A font; those of the pages before are kept, with the glyphs they have seen."""
+
+    def decoded(stream, value):
+        return filters.decode(stream, json.loads(value), lenient=True) if stream is not None else None
 
-def _font(f) -> fonts.Font:
     try:
-        spec = json.loads(f["spec"] or "{}")
-        kid = json.loads(f["kid"] or "{}")
-        spec |= {k: kid[k] for k in ("W", "DW") if k in kid}
-        raw = f["map_stream"]
-        return fonts.font_of(spec, filters.decode(bytes(raw), json.loads(f["map_value"])) if raw is not None else None)
-    except (ValueError, TypeError, KeyError):
+        return fonts.font_of(json.loads(spec), decoded(map_stream, map_spec), decoded(code_stream, code_spec))
+    except (ValueError, TypeError, KeyError, AttributeError, IndexError):
         return fonts.Font()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.operators import layout, tables, text
+from pagequarry.operators import layout, navigation, resources, tables, text
 from pagequarry.sources import render
 from pagequarry.sources.store import written
 
@@ -23,24 +25,45 @@ def query(sql: str):
     return add
 
 
+#: Rendered corpora by application and folder.
+RENDERED: dict[tuple, DataFrame] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of ``documents`` as a document with a page per line."""
-    return render.corpus_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Each row of ``documents`` as a document with a page per line, rendered into the shared folder once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in RENDERED:
+        RENDERED[key] = written(render.corpus_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), "corpus")
+    return RENDERED[key]
 
 
 class Parsed:
-    """The relations of a corpus; objects are written once, as several joins read them."""
+    """The relations of a corpus; what several joins read is written once."""
 
     def __init__(self, docs: DataFrame) -> None:
         self.docs = docs
-        self.objects = written(tables.objects(docs), "objects")
+        self.parts = written(tables.parts(docs), "parts")
+        self.objects = tables.objects(self.parts)
         self.live = tables.current(self.objects)
-        self.roots = tables.catalog(self.live, tables.trailers(docs))
-        self.pages = written(tables.pages(self.live, self.roots), "pages")
-        self.content = tables.page_bytes(self.live, self.pages)
+        self.roots = tables.catalog(self.live, tables.states(self.parts))
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return written(tables.pages(self.live, self.roots), "pages")
 
-    def runs(self) -> DataFrame:
-        return tables.interpreted(self.content, tables.page_fonts(self.live, self.pages))
+    @cached_property
+    def resources(self) -> DataFrame:
+        return resources.resources(self.live, self.pages)
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return tables.page_bytes(self.live, self.pages)
+
+    def runs(self, flatten: bool = False, space: str = "default") -> DataFrame:
+        """The page machine's rows, placed in ``space`` (default, page or screen)."""
+        own = resources.per_page(self.live, self.resources)
+        page = self.pages.join(own, ["doc_id", "page_index"], "left").withColumn("matrix", tables.page_matrix(space))
+        return tables.interpreted(tables.page_streams(self.live, page, "named", "matrix"), flatten)
 
 
 LINES = r"WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), " \
@@ -57,7 +80,7 @@ def pdf_text_round_trip(spark, sf_dir):
 @query(LINES + ", t AS (SELECT doc_id, sum(len(ws))::BIGINT AS n_words FROM w GROUP BY doc_id) SELECT lang, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words FROM t JOIN documents USING (doc_id) GROUP BY lang")
 def pdf_words_by_lang(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pages = text.untagged_text(Parsed(render.corpus_of(docs)).runs())
+    pages = text.untagged_text(Parsed(corpus(spark, sf_dir)).runs())
     words = pages.groupBy("doc_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)))).alias("n"))
     counted = docs.select("doc_id", "lang").join(words, "doc_id", "left")
     return counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words"))
@@ -65,7 +88,7 @@ def pdf_words_by_lang(spark, sf_dir):
 
 @query("SELECT doc_id, (6 + 2 * n)::BIGINT AS n_objects, n::BIGINT AS n_streams, 0::BIGINT AS n_errors FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)")
 def pdf_object_counts(spark, sf_dir):
-    o = tables.objects(corpus(spark, sf_dir))
+    o = tables.objects(corpus(spark, sf_dir).select("doc_id", "content"))
     return o.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_objects"), F.count("stream").alias("n_streams"), F.count("error").alias("n_errors"))
 
 
@@ -80,23 +103,18 @@ def pdf_pages(spark, sf_dir):
     SELECT doc_id, unnest(range(n))::INTEGER AS obj, unnest(range(n)) = 0 AS free, 0 AS rev, true AS found FROM n""")
 def pdf_xref_entries(spark, sf_dir):
     """Cross-reference entries with whether the object is where they say."""
-    docs = corpus(spark, sf_dir)
-    objs = tables.objects(docs).select("doc_id", "obj", F.col("offset").alias("at"))
-    x = tables.xrefs(docs).join(objs, ["doc_id", "obj"], "left")
+    found = written(tables.parts(corpus(spark, sf_dir)), "parts")
+    objs = tables.objects(found).select("doc_id", "obj", F.col("offset").alias("at"))
+    x = tables.xrefs(found).join(objs, ["doc_id", "obj"], "left")
     return x.select("doc_id", "obj", "free", F.col("rev").cast("int").alias("rev"), (F.col("free") | (F.col("at") == F.col("offset"))).alias("found"))
 
 
 @query("SELECT doc_id, 'document ' || doc_id AS title, coalesce(source, '') AS subject, sha256(coalesce(source, '')) AS digest FROM documents")
 def pdf_metadata(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    live = tables.current(tables.objects(docs))
-    info = tables.catalog(live, tables.trailers(docs)).select("doc_id", tables.ref(tables.field("trailer", "Info")).alias("obj"))
-    found = info.join(live, ["doc_id", "obj"])
-
-    def entry(name: str):
-        return F.decode(F.unhex(F.regexp_replace(tables.field("value", name), "^s:", "")), "ISO-8859-1")
-
-    return found.select("doc_id", entry("Title").alias("title"), entry("Subject").alias("subject"), F.sha2(entry("Subject").cast("binary"), 256).alias("digest"))
+    p = Parsed(corpus(spark, sf_dir))
+    info = navigation.information(p.live, p.roots)
+    title, subject = F.col("info")["Title"], F.col("info")["Subject"]
+    return info.select("doc_id", title.alias("title"), subject.alias("subject"), F.sha2(subject.cast("binary"), 256).alias("digest"))
 
 
 @query(LINES + ", r AS (SELECT doc_id, len(ws) AS n, (len(ws) + 11) // 12 AS rows FROM w) SELECT doc_id, sum(n)::BIGINT AS shows, sum(greatest(rows - 1, 0))::BIGINT AS next_lines, sum(n + greatest(rows, 0) + 1)::BIGINT AS moves FROM r GROUP BY doc_id")
@@ -115,7 +133,9 @@ def pdf_glyph_counts(spark, sf_dir):
     return runs.groupBy("doc_id").agg(F.sum(F.size("glyphs")).alias("n_glyphs"), F.countDistinct("page_index").alias("n_pages"))
 
 
-@query("")
+@query("""WITH n AS (SELECT count(*) AS d, sum(len(string_split(coalesce(text, ''), chr(10)))) AS p FROM documents),
+    k AS (SELECT unnest(['number', 'keyword', 'open', 'close', 'name', '[', ']', 'string']) AS kind, unnest([54, 30, 9, 9, 35, 4, 4, 2]) AS a, unnest([15, 11, 2, 2, 7, 0, 0, 0]) AS b)
+    SELECT kind, (a * d + b * p)::BIGINT AS n, CASE WHEN kind = 'number' THEN (a * d + b * p)::BIGINT ELSE 0 END AS n_numbers FROM k, n""")
 def pdf_tokens_by_kind(spark, sf_dir):
     return tables.tokens(corpus(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("number").alias("n_numbers"))
 

@@ -29,7 +29,7 @@ def page_content(words: list[str]) -> bytes:
         for word in words[at : at + WORDS_PER_ROW]:
             raw = word.encode("cp1252", "replace")
             out.append(escaped(raw) + b" Tj")
-            step = round((sum(standard_width("", c) for c in raw) + 278) * SIZE / 1000, 4)
+            step = round((sum(standard_width("", c) for c in raw.decode("cp1252")) + 278) * SIZE / 1000, 4)
             out.append(b"%g 0 Td" % step)
             moved += step
         out.append(b"%g 0 Td" % -moved)

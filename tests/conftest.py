@@ -26,3 +26,28 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+class Corpus:
+    """The relations of documents given as bytes."""
+
+    def __init__(self, spark, *contents):
+        from pagequarry.operators import resources, tables
+
+        df = spark.createDataFrame([(i + 1, c) for i, c in enumerate(contents)], "doc_id long, content binary")
+        self.parts = tables.parts(df).cache()
+        self.live = tables.current(tables.objects(self.parts)).cache()
+        self.roots = tables.catalog(self.live, tables.states(self.parts)).cache()
+        self.pages = tables.pages(self.live, self.roots).cache()
+        self.resources = resources.resources(self.live, self.pages)
+
+    def runs(self, flatten=False):
+        from pagequarry.operators import resources, tables
+
+        page = self.pages.join(resources.per_page(self.live, self.resources), ["doc_id", "page_index"], "left")
+        return tables.interpreted(tables.page_streams(self.live, page, "named"), flatten)
+
+
+@pytest.fixture(scope="session")
+def corpus(spark):
+    return lambda *contents: Corpus(spark, *contents)

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagequarry.kernels import content, filters, fonts, syntax
+from pagequarry.kernels import content, document, filters, fonts, syntax
 from pagequarry.sources import render
 
 
@@ -41,6 +42,78 @@ def test_malformed_bytes_never_raise(raw):
     list(content.operations(raw))
 
 
+def built(*bodies, tail=None, gap=b""):
+    """A document of numbered bodies with a classic table, and the offset of each object."""
+    out, offsets = b"%PDF-1.6\n", []
+    for i, body in enumerate(bodies):
+        offsets.append(len(out))
+        out += b"%d 0 obj %s endobj\n" % (i + 1, body)
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(bodies) + 1) + b"".join(b"%010d 00000 n \n" % o for o in offsets)
+    return out + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(bodies) + 1, start), offsets, start
+
+
+def live(data):
+    rows = list(document.read(data))
+    found = {r["obj"]: (json.loads(r["value"]), r["repaired"]) for r in rows if r["kind"] == "object" and r["live"]}
+    return found, next(r["error"] for r in rows if r["kind"] == "document"), rows
+
+
+def test_newer_entries_replace_free_and_add():
+    data, offsets, start = built(b"<< /Type /Catalog >>", b"(old)", b"(gone)")
+    at = len(data)
+    data += b"2 0 obj (new) endobj 4 0 obj (more) endobj\n"
+    table = len(data)
+    data += b"xref\n2 1\n%010d 00000 n \n3 2\n0000000000 00001 f \n%010d 00000 n \n" % (at, at + 21)
+    data += b"trailer << /Size 5 /Prev %d >>\nstartxref\n%d\n%%%%EOF" % (start, table)
+    found, error, rows = live(data)
+    assert error is None and {k: v for k, (v, _) in found.items()} == {1: {"Type": "/Catalog"}, 2: "s:6e6577", 3: "s:676f6e65", 4: "s:6d6f7265"}
+    assert [(r["rev"], r["obj"], r["free"]) for r in rows if r["kind"] == "entry"] == [(0, 2, False), (0, 3, True), (0, 4, False), (1, 0, True), (1, 1, False), (1, 2, False), (1, 3, False)]
+    state = json.loads(next(r["value"] for r in rows if r["kind"] == "document"))
+    assert state["trailer"]["Root"] == "1 0 R" and state["trailer"]["Size"] == 5 and state["version"] == "1.6"
+
+
+def test_streams_of_entries_and_packed_objects():
+    head = b"%PDF-1.5\n1 0 obj << /Type /Catalog >> endobj\n"
+    body = b"5 0 6 3 42 [1]"
+    packed = b"2 0 obj << /Type /ObjStm /N 2 /First 8 /Length %d /Filter 7 0 R >> stream\n%s\nendstream endobj\n" % (len(body.hex()) + 1, body.hex().encode() + b">")
+    other = b"7 0 obj /ASCIIHexDecode endobj\n"
+    at = len(head + packed + other)
+    entries = [(0, 0, 65535), (1, 9, 0), (1, len(head), 0), (1, at, 0), (0, 0, 0), (2, 2, 0), (2, 2, 1), (1, len(head + packed), 0)]
+    raw = zlib.compress(b"".join(bytes([k]) + w.to_bytes(2, "big") + i.to_bytes(2, "big") for k, w, i in entries))
+    table = b"3 0 obj << /Type /XRef /Size 8 /W [1 2 2] /Root 1 0 R /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj\n" % (len(raw), raw)
+    found, error, _ = live(head + packed + other + table + b"startxref\n%d\n%%%%EOF" % at)
+    assert error is None and found[5] == (42, False) and found[6] == ([1], False) and set(found) == {1, 2, 3, 5, 6, 7}
+
+
+def test_recovery_keeps_the_first_declaration():
+    data, *_ = built(b"<< /Type /Catalog >>", b"(first)")
+    data = data.replace(b"startxref", b"startxerf") + b"2 0 obj (second) endobj trailer << /Root 1 0 R >>"
+    found, error, _ = live(data)
+    assert "startxref" in error and found[2] == ("s:6669727374", False)
+
+
+def test_stale_entries_are_repaired_and_cycles_are_errors():
+    data, offsets, start = built(b"<< /Type /Catalog >>", b"(two)")
+    stale = data.replace(b"%010d 00000 n \n" % offsets[1], b"%010d 00000 n \n" % (offsets[1] + 3))
+    found, error, _ = live(stale)
+    assert error is None and found[2] == ("s:74776f", True)
+    cyclic = data.replace(b"/Size 3", b"/Size 3 /Prev %d" % start)
+    assert "cycle" in live(cyclic)[1] and live(data.replace(b"/Size 3", b"/Size 2"))[1].startswith("object 2 is beyond")
+
+
+def test_text_encodings():
+    assert syntax.text_of(b"\x80 \xa0 \x92") == "• € ™" and syntax.text_of(b"\xfe\xff\x20\xac\x00") == "€" and syntax.text_of(b"\xef\xbb\xbf\xc3\xa9") == "é"
+
+
+def test_malformed_filters_never_raise_other_errors():
+    for spec in ({"Filter": "/FlateDecode", "DecodeParms": "5 0 R"}, {"Filter": 3}, {"Filter": "/LZWDecode", "DecodeParms": {"Predictor": "6 0 R"}}, {"Filter": "/DCTDecode"}):
+        with pytest.raises(filters.FilterIssue):
+            filters.decode(zlib.compress(b"x") if spec["Filter"] == "/FlateDecode" else b"\x80\x0b\x60\x50", spec)
+    damaged = zlib.compress(b"some text that is long enough " * 40)[:-30]
+    assert filters.decode(damaged + b"\0" * 30, {"Filter": "/FlateDecode"}, lenient=True).startswith(b"some text")
+
+
 def test_objects_in_source_order_keep_revisions_and_errors():
     data = b"%PDF-1.4\n1 0 obj 1 endobj 1 0 obj 2 endobj 2 0 obj (open endobj"
     rows = list(syntax.indirect_objects(data))
@@ -98,9 +171,9 @@ def run(data: bytes, **f):
 def test_text_placement():
     rows = run(b"q 2 0 0 2 10 20 cm BT /F1 10 Tf 5 7 Td (A ) Tj [(B) -1000 (C)] TJ ET Q (late) Tj")
     first, second = rows[0], rows[1]
-    assert (first["x"], first["y"]) == (20, 34) and "".join(g["text"] for g in first["glyphs"]) == "A "
+    assert (first["x"], first["y"]) == (20, 34) and "".join(first["glyphs"][0]) == "A "
     assert second["x"] == pytest.approx(20 + 2 * (6.67 + 2.78))
-    assert second["glyphs"][1]["x"] == pytest.approx(second["x"] + 2 * (6.67 + 10))
+    assert second["glyphs"][1][1] == pytest.approx(second["x"] + 2 * (6.67 + 10))
 
 
 def test_marks_paths_and_images():

@@ -1,4 +1,6 @@
-from pagequarry.operators import navigation, tables
+import pytest
+
+from pagequarry.operators import navigation
 
 PDF = b"""%PDF-1.7
 1 0 obj << /Type /Catalog /Pages 2 0 R /Outlines 5 0 R /Names << /Dests 9 0 R >> /AcroForm << /Fields [20 0 R] >> >> endobj
@@ -20,28 +22,26 @@ trailer << /Root 1 0 R /Size 30 >>
 """
 
 
-def relations(spark):
-    df = spark.createDataFrame([(1, PDF)], "doc_id long, content binary")
-    live = tables.current(tables.objects(df)).cache()
-    return live, tables.catalog(live, tables.trailers(df))
+@pytest.fixture(scope="module")
+def known(corpus):
+    return corpus(PDF)
 
 
-def test_outline_in_depth_first_order(spark):
-    got = [(r.title, r.depth, r.path) for r in navigation.outline(*relations(spark)).orderBy("place").collect()]
+def test_outline_in_depth_first_order(known):
+    got = [(r.title, r.depth, r.path) for r in navigation.outline(known.live, known.roots).orderBy("place").collect()]
     assert got == [("One", 0, "One"), ("Inner", 1, "One / Inner"), ("Tw", 0, "Tw")]
 
 
-def test_destinations_first_name_wins_and_arity(spark):
-    got = {r.name: (r.page_obj, r.view, r.params) for r in navigation.destinations(*relations(spark)).collect()}
+def test_destinations_first_name_wins_and_arity(known):
+    got = {r.name: (r.page_obj, r.view, r.params) for r in navigation.destinations(known.live, known.roots).collect()}
     assert got == {"a": (3, "XYZ", [1.0, 2.0, 0.0]), "b": (3, None, None), "c": (3, "FitH", [7.0])}
 
 
-def test_annotations_report_what_they_lack(spark):
-    live, roots = relations(spark)
-    got = [(r.subtype, r.contents, r.uri, r.flags, r.color, r.error) for r in navigation.annotations(live, tables.pages(live, roots)).orderBy("seq").collect()]
+def test_annotations_report_what_they_lack(known):
+    got = [(r.subtype, r.contents, r.uri, r.flags, r.color, r.error) for r in navigation.annotations(known.live, known.pages).orderBy("seq").collect()]
     assert got == [("Note", "hi", None, 0, None, None), ("Text", None, None, 0, None, "Rect"), ("Link", None, "http://x", 4, [1.0, 0.0, 0.0], None)]
 
 
-def test_form_fields_inherit(spark):
-    got = {r.full_name: (r.field_type, r.flags, r.value, r.options) for r in navigation.form_fields(*relations(spark)).collect()}
+def test_form_fields_inherit(known):
+    got = {r.full_name: (r.field_type, r.flags, r.value, r.options) for r in navigation.form_fields(known.live, known.roots).collect()}
     assert got == {"person": ("Tx", 0, None, None), "person.name": ("Tx", 0, "Ann", None), "person.city": ("Ch", 3, None, ["x", "Why"])}

@@ -104,11 +104,14 @@ def test_damaged_documents_give_rows(spark):
     good = render.document([["one", "two"], []], {"Title": "t"})
     rows = [(1, good), (2, b""), (3, None), (4, b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 9 0 R >> endobj"), (5, good[:-200])]
     df = spark.createDataFrame(rows, "doc_id long, content binary")
-    objs = tables.objects(df)
+    parts = tables.parts(df)
+    objs = tables.objects(parts)
     assert {r.doc_id for r in objs.collect()} == {1, 4, 5}
     assert {r["kind"] for r in tables.tokens(df).where("doc_id = 1").select("kind").distinct().collect()} >= {"number", "name", "keyword"}
+    state = {r.doc_id: r for r in tables.states(parts).collect()}
+    assert {i: r.recovered for i, r in state.items()} == {1: False, 2: True, 3: True, 4: True, 5: True} and "no header" in state[2].recovery_error
     live = tables.current(objs)
-    pages = tables.pages(live, tables.catalog(live, tables.trailers(df)))
+    pages = tables.pages(live, tables.catalog(live, tables.states(parts)))
     assert [(r.doc_id, r.page_index) for r in pages.orderBy("doc_id", "page_index").collect()] == [(1, 0), (1, 1)]
 
 
@@ -121,14 +124,10 @@ def test_object_streams(spark):
     assert got[1:3] == [(10, 7, "42", True), (11, 7, '{"A": "/B"}', True)] and got[4][3] is False
 
 
-def test_tagged_sections(spark):
+def test_tagged_sections(corpus):
     content = (
         b"BT /F1 10 Tf 0 100 Td /P << /MCID 0 >> BDC (One ) Tj (two) Tj EMC /Artifact BMC (page 7) Tj EMC "
         b"/Span << /MCID 1 /ActualText (three) >> BDC (xxx) Tj EMC 0 -12 Td /P << /MCID 2 >> BDC (soft\xadly) Tj EMC "
         b"/ReversedChars << /MCID 3 >> BDC (cba) Tj EMC ET"
     )
-    df = spark.createDataFrame([(1, render.document([content], {}))], "doc_id long, content binary")
-    live = tables.current(tables.objects(df))
-    pages = tables.pages(live, tables.catalog(live, tables.trailers(df)))
-    runs = tables.interpreted(tables.page_bytes(live, pages), tables.page_fonts(live, pages))
-    assert text.tagged_text(runs).first().text == "One twothree\nsoftlyabc"
+    assert text.tagged_text(corpus(render.document([content], {})).runs()).first().text == "One twothree\nsoftlyabc"

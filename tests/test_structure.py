@@ -1,4 +1,4 @@
-from pagequarry.operators import structure, tables
+from pagequarry.operators import structure
 
 CONTENT = b"BT /F1 10 Tf /P << /MCID 0 >> BDC (Hello ) Tj (world) Tj EMC /P << /MCID 1 >> BDC (so\xadft) Tj EMC ET"
 PDF = b"""%%PDF-1.7
@@ -19,11 +19,9 @@ trailer << /Root 1 0 R /Size 12 >>
 """ % (len(CONTENT), CONTENT)
 
 
-def test_structure(spark):
-    df = spark.createDataFrame([(1, PDF)], "doc_id long, content binary")
-    live = tables.current(tables.objects(df)).cache()
-    roots = tables.catalog(live, tables.trailers(df))
-    pages = tables.pages(live, roots).cache()
+def test_structure(corpus):
+    known = corpus(PDF)
+    live, roots, pages = known.live, known.roots, known.pages
     elems = structure.elements(live, roots).cache()
     got = [(r.node, r.parent, r.depth, r.role, r.raw_role, r.page_obj) for r in elems.orderBy("dfs_index").collect()]
     assert got == [(6, None, 0, "Sect", "Chapter", 3), (7, 6, 1, "P", "P", 3), (8, 6, 1, "P", "P", 3), (9, 8, 2, "Span", "Span", 3)]
@@ -31,6 +29,5 @@ def test_structure(spark):
     assert {(r.node, r.page_obj, r.mcid) for r in content.collect()} == {(7, 3, 0), (8, 3, 1)}
     slots = [(r.page_index, r.mcid, r.node) for r in structure.parent_slots(live, roots, pages).orderBy("mcid").collect()]
     assert slots == [(0, 0, 7), (0, 1, None), (0, 2, 8)]
-    runs = tables.interpreted(tables.page_bytes(live, pages), tables.page_fonts(live, pages))
-    text = {r.node: r.text for r in structure.element_text(elems, content, pages, runs).collect()}
+    text = {r.node: r.text for r in structure.element_text(elems, content, pages, known.runs()).collect()}
     assert text == {6: "", 7: "Hello world", 8: "soft", 9: "given"}
