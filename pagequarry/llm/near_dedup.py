@@ -249,15 +249,33 @@ def exact_links(sets: DataFrame, percent: int) -> DataFrame:
     return links.union(tile_links(sets, rest, sizes, percent))
 
 
+def with_tiles(sets: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``sets`` of the clusters in ``tiles``, with their numbers of tiles; a large cluster's sets stay where they are.
+
+    Few clusters are broadcast. Of many, those of over ``PIVOT_ROWS`` members
+    (at most one in ``PIVOT_ROWS`` sets) still are if they fit, and the others meet by cluster.
+    """
+    if tiles.count() <= BROADCAST_IDS:
+        return sets.join(F.broadcast(tiles), "cluster")
+    bound = max(PIVOT_ROWS, sets.count() // BROADCAST_IDS)
+    large = tiles.where(F.col("size") > bound)
+    hot = sets.join(F.broadcast(large), "cluster")
+    cold = sets.join(F.broadcast(large.select("cluster")), "cluster", "left_anti").join(tiles.where(F.col("size") <= bound), "cluster")
+    return hot.unionByName(cold)
+
+
 def tile_links(sets: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """u, v: links of the sets in ``rest`` with any set of their cluster, rest tiles against tiles of all."""
     left = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("left"))
     tiles = left.join(sizes, "cluster").select(
         "cluster",
+        "size",
         F.ceil(F.greatest(F.col("size") / SET_TILE, F.col("hashed") / SET_HASHES)).cast("int").alias("of_all"),
         F.ceil(F.greatest(F.col("left") / SET_TILE, F.col("left") / F.col("size") * F.col("hashed") / SET_HASHES)).cast("int").alias("of_rest"),
     )
-    in_play = sets.join(tiles, "cluster")
+    in_play = with_tiles(sets, written(tiles, "near-tiles"))
+    if rest.count() <= BROADCAST_IDS:
+        rest = F.broadcast(rest)
     node = F.xxhash64("rep", "f1")
     every = in_play.select(
         "cluster", "rep", "hashes", F.lit(False).alias("open"),

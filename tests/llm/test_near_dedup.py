@@ -71,6 +71,8 @@ def test_a_pivot_that_few_reach_loses_no_link(spark, monkeypatch):
     words = [texts.prose(rng, "en", 1) + str(i) for i in range(400)]
     chain = [(i, " ".join(words[5 * i : 5 * i + 100])) for i in range(40)]
     check(spark, [*chain, *family(8, 20)], 4)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 3)
+    check(spark, [*chain, *family(8, 20)], 4)
 
 
 def test_repeated_ids_with_other_texts(spark):
