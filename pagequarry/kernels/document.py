@@ -81,7 +81,7 @@ def _stream(data: bytes, begin: int) -> dict:
         raise SyntaxIssue("neither a cross-reference table nor a stream", begin)
     try:
         raw, (a, b, c) = filters.decode(row["stream"], value), value["W"]
-        ranges = value.get("Index") or [0, value["Size"]]
+        ranges = value["Index"] if "Index" in value else [0, value["Size"]]
         entries, at = [], 0
         for first, n in zip(ranges[::2], ranges[1::2], strict=True):
             for k in range(n):

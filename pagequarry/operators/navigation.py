@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.functions import geometry, labels
 from pagequarry.kernels.syntax import DOC_ENCODING
 from pagequarry.operators import sequences, trees
-from pagequarry.operators.tables import field, ref
+from pagequarry.operators.tables import field, page_matrix, ref
 from pagequarry.sources.store import written
 
 
@@ -123,7 +124,7 @@ def destination_columns(rows: DataFrame) -> DataFrame:
     params = F.transform(F.slice("array", 3, 8), lambda x: x.try_cast("double"))
     found = rows.withColumn("array", array).withColumn("view", view).withColumn("params", F.when(F.size("array") >= 2, params))
     ok = need[F.col("view")] <= F.size("params")
-    return found.select("doc_id", "name", ref(F.get("array", F.lit(0))).alias("page_obj"), F.when(ok, F.substring("view", 2, 9)).alias("view"), F.when(ok, F.col("params")).alias("params"))
+    return found.select("doc_id", "name", "array", ref(F.get("array", F.lit(0))).alias("page_obj"), F.when(ok, F.substring("view", 2, 9)).alias("view"), F.when(ok, F.col("params")).alias("params"))
 
 
 # Parameters that each destination view needs.
@@ -167,3 +168,118 @@ def form_fields(live: DataFrame, roots: DataFrame) -> DataFrame:
         F.coalesce(F.col("flags").try_cast("int"), F.lit(0)).alias("flags"), text_value(F.col("value")).alias("value"), text_value(F.col("default_value")).alias("default_value"),
         F.transform(items(F.col("options")), lambda o: text_value(F.when(o.startswith("["), F.get(items(o), F.lit(1))).otherwise(o))).alias("options"), "order",
     )
+
+
+def form_state(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id and whether the form asks for new appearances, of documents with a form."""
+    form = resolved(roots.select("doc_id", field("catalog", "AcroForm").alias("f")), live, "f").where("f IS NOT NULL")
+    return form.select("doc_id", F.coalesce(field("f", "NeedAppearances") == "true", F.lit(False)).alias("need_appearances"))
+
+
+def page_labels(live: DataFrame, roots: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_index and label: each page by the range with the greatest start at or before it; decimal from 1 without one.
+
+    The first range begins at page 0 wherever it says it does.
+    """
+    tree = resolved(roots.select("doc_id", field("catalog", "PageLabels").alias("t")), live, "t").where("t IS NOT NULL")
+    direct = tree.select("doc_id", F.posexplode(items(field("t", "Nums"))).alias("i", "key"), items(field("t", "Nums")).alias("pairs"))
+    own = direct.where("i % 2 = 0 AND i + 1 < size(pairs)").select("doc_id", F.col("key").try_cast("int").alias("key"), F.get("pairs", F.col("i") + 1).alias("value"))
+    starts = roots.select("doc_id", ref(field("catalog", "PageLabels")).alias("node")).where("node IS NOT NULL").join(own, "doc_id", "left_anti")
+    ranges = resolved(own.unionByName(number_tree(live, starts)), live, "value").where("key IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) == 1
+    spec = F.struct(
+        F.when(first, 0).otherwise(F.col("key")).alias("first"), F.substring(field("value", "S"), 2, 9).alias("style"),
+        F.coalesce(text_value(field("value", "P")), F.lit("")).alias("prefix"), F.coalesce(field("value", "St").try_cast("int"), F.lit(1)).alias("start"),
+    )
+    rules = ranges.withColumn("spec", spec).select("doc_id", F.col("spec.first").alias("first"), "spec")
+    found = sequences.asof(pages.select("doc_id", "page_index"), rules, ["doc_id"], "page_index", "first", "spec")
+    s = F.col("spec")
+    label = labels.page_label(s["style"], s["prefix"], s["start"], F.col("page_index") - s["first"])
+    return found.select("doc_id", "page_index", F.when(s.isNull(), (F.col("page_index") + 1).cast("string")).otherwise(label).alias("label"))
+
+
+def number_tree(live: DataFrame, starts: DataFrame) -> DataFrame:
+    """doc_id, key, value of the trees that begin at ``starts`` (doc_id, node)."""
+    kids = live.select("doc_id", F.col("obj").alias("parent"), F.posexplode(items(field("value", "Kids"))).alias("ord", "kid"))
+    edges = kids.select("doc_id", ref(F.col("kid")).alias("node"), "parent", F.col("ord").cast("long").alias("ord"), F.lit("").alias("name"))
+    tops = starts.select("doc_id", "node", F.lit(None).cast("int").alias("parent"), F.lit(0).cast("long").alias("ord"), F.lit("").alias("name"))
+    reached = trees.walk(written(edges.unionByName(tops), "number-tree"), ["doc_id"])
+    pairs = reached.join(live.select("doc_id", F.col("obj").alias("node"), items(field("value", "Nums")).alias("pairs")), ["doc_id", "node"])
+    each = pairs.select("doc_id", "pairs", F.posexplode("pairs").alias("i", "key")).where("i % 2 = 0 AND i + 1 < size(pairs)")
+    return each.select("doc_id", F.col("key").try_cast("int").alias("key"), F.get("pairs", F.col("i") + 1).alias("value"))
+
+
+def resolved_targets(rows: DataFrame, live: DataFrame, named: DataFrame, pages: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, target, ...) with page_index, view, params and ``target_error``.
+
+    A target is an array, a dictionary with D, or a name or string that ``named``
+    (:func:`destinations`) has. A page can be a reference or a number from 1.
+    """
+    held = resolved(rows, live, "target")
+    name = F.when(F.col("target").startswith("s:") | F.col("target").startswith("/"), text_value(F.col("target")))
+    array = items(F.when(F.col("target").startswith("{"), field("target", "D")).otherwise(F.col("target")))
+    own = held.withColumn("_name", name).withColumn("_array", F.when(name.isNull(), array))
+    tables_of = named.select("doc_id", F.col("name").alias("_name"), F.col("array").alias("_named"))
+    met = own.join(tables_of, ["doc_id", "_name"], "left").withColumn("_array", F.coalesce("_array", "_named"))
+    place, view = F.get("_array", F.lit(0)), F.get("_array", F.lit(1))
+    need = F.create_map(*[F.lit(x) for pair in VIEW_PARAMETERS.items() for x in pair])[view]
+    wrong = F.coalesce(need != F.size("_array") - 2, F.lit(False))
+    numbered = F.greatest(F.coalesce(place.try_cast("int"), F.lit(1)) - 1, F.lit(0))
+    by_page = pages.select("doc_id", F.col("obj").alias("_page"), F.col("page_index").alias("_at"))
+    placed = met.withColumn("_page", ref(place)).join(by_page, ["doc_id", "_page"], "left")
+    usable = (F.size("_array") >= 2) & ~wrong
+    return (
+        placed.withColumn("page_index", F.when(usable, F.when(ref(place).isNotNull(), F.col("_at")).otherwise(numbered)))
+        .withColumn("view", F.when(usable, F.substring(view, 2, 9)))
+        .withColumn("params", F.when(usable, F.transform(F.slice("_array", 3, 8), lambda x: x.try_cast("double"))))
+        .withColumn("target_error", F.when(wrong, F.concat(F.substring(view, 2, 9), F.lit(": wrong number of parameters"))))
+        .drop("_name", "_array", "_named", "_page", "_at")
+    )
+
+
+def target_positions(targets: DataFrame, pages: DataFrame, space: str = "page") -> DataFrame:
+    """``targets`` with ``pos``: the anchor of each view in page or screen space; what a view leaves open is the page's top left."""
+    n = F.from_json("MediaBox", "array<double>")
+    sizes = pages.select(
+        "doc_id", "page_index", F.abs(n[3] - n[1]).alias("_high"), page_matrix(space).alias("_m")
+    )
+    p = F.col("params")
+    x = F.when(F.col("view").isin("XYZ", "FitV", "FitBV", "FitR"), p[0])
+    y = F.when(F.col("view") == "XYZ", F.get(p, F.lit(1))).when(F.col("view").isin("FitH", "FitBH"), F.get(p, F.lit(0))).when(F.col("view") == "FitR", F.get(p, F.lit(3)))
+    at = geometry.point(F.col("_m"), F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.col("_high")))
+    return targets.join(sizes, ["doc_id", "page_index"], "left").withColumn("pos", F.array(at["x"], at["y"])).drop("_high", "_m")
+
+
+#: Kinds of actions whose own fields are read; all others keep their kind only.
+ACTION_KINDS = ("GoTo", "GoToR", "GoToE", "URI", "Named", "Launch", "JavaScript")
+
+
+def actions(rows: DataFrame, live: DataFrame, rounds: int = 64) -> DataFrame:
+    """``rows`` (doc_id, key, action) as chains: doc_id, key, step, kind, target, file, uri, named, script.
+
+    A plain array is a GoTo. ``Next`` names one action or several; an action that
+    a chain has met already ends it.
+    """
+    first = rows.select("doc_id", "key", F.col("action").alias("a"), F.array().cast("array<string>").alias("trail"), F.array(F.lit(0)).alias("step"))
+    found = []
+    for _ in range(rounds):
+        level = written(resolved(first.withColumn("own", F.col("a")), live, "a").where("a IS NOT NULL"), "actions")
+        if level.isEmpty():
+            break
+        found.append(level)
+        following = field("a", "Next")
+        each = F.when(following.startswith("["), items(following)).otherwise(F.array(following))
+        seen = F.array_append("trail", F.col("own"))
+        nexts = level.where(following.isNotNull()).select("doc_id", "key", seen.alias("trail"), "step", F.posexplode(each).alias("i", "a"))
+        first = nexts.where(~F.array_contains("trail", F.col("a"))).select("doc_id", "key", "a", "trail", F.array_append("step", F.col("i")).alias("step"))
+    told = found[0] if found else first.withColumn("own", F.col("a"))
+    for level in found[1:]:
+        told = told.unionByName(level)
+    kind = F.when(F.col("a").startswith("["), "GoTo").otherwise(F.substring(field("a", "S"), 2, 40))
+    target = F.when(F.col("a").startswith("["), F.col("a")).when(kind.isin("GoTo", "GoToR", "GoToE"), field("a", "D"))
+    file = F.coalesce(field("a", "F", "UF"), field("a", "F", "F"), field("a", "F"))
+    return told.select(
+        "doc_id", "key", "step", kind.alias("kind"), target.alias("target"), F.when(kind.isin("GoToR", "GoToE", "Launch"), text_value(file)).alias("file"),
+        F.when(kind == "URI", text_value(field("a", "URI"))).alias("uri"), F.when(kind == "Named", text_value(field("a", "N"))).alias("named"),
+        F.when(kind == "JavaScript", text_value(field("a", "JS"))).alias("script"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.operators import trees
-from pagequarry.operators.navigation import items, resolved, text_value
+from pagequarry.operators.navigation import items, number_tree, resolved, text_value
 from pagequarry.operators.tables import field, ref
 from pagequarry.sources.store import written
 
@@ -49,17 +49,6 @@ def contents(live: DataFrame, elems: DataFrame) -> DataFrame:
     return each.select("doc_id", "node", "ord", F.coalesce(own, "page_obj").alias("page_obj"), mcid.alias("mcid")).where("mcid IS NOT NULL")
 
 
-def number_tree(live: DataFrame, starts: DataFrame) -> DataFrame:
-    """doc_id, key, value of the trees that begin at ``starts`` (doc_id, node)."""
-    kids = live.select("doc_id", F.col("obj").alias("parent"), F.posexplode(items(field("value", "Kids"))).alias("ord", "kid"))
-    edges = kids.select("doc_id", ref(F.col("kid")).alias("node"), "parent", F.col("ord").cast("long").alias("ord"), F.lit("").alias("name"))
-    tops = starts.select("doc_id", "node", F.lit(None).cast("int").alias("parent"), F.lit(0).cast("long").alias("ord"), F.lit("").alias("name"))
-    reached = trees.walk(written(edges.unionByName(tops), "number-tree"), ["doc_id"])
-    pairs = reached.join(live.select("doc_id", F.col("obj").alias("node"), items(field("value", "Nums")).alias("pairs")), ["doc_id", "node"])
-    each = pairs.select("doc_id", "pairs", F.posexplode("pairs").alias("i", "key")).where("i % 2 = 0 AND i + 1 < size(pairs)")
-    return each.select("doc_id", F.col("key").try_cast("int").alias("key"), F.get("pairs", F.col("i") + 1).alias("value"))
-
-
 def parent_slots(live: DataFrame, roots: DataFrame, pages: DataFrame) -> DataFrame:
     """Slots of each page's parent-tree array, null ones included: doc_id, page_index, mcid, node."""
     tree = resolved(roots.select("doc_id", field("catalog", "StructTreeRoot").alias("t")), live, "t")

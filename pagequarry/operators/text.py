@@ -17,6 +17,11 @@ GAP = 0.5
 WRAP = 70
 
 
+def page_order(*order: str):
+    """Window over the rows of each page."""
+    return Window.partitionBy("doc_id", "page_index").orderBy(*order)
+
+
 def run_text(glyphs: Column) -> Column:
     """Text of one run; a gap between its glyphs is a space unless one precedes it."""
 

@@ -1,6 +1,6 @@
 """Every registered query of the library outside the numbered operators."""
 
-from pagequarry.plans import documents, relational
+from pagequarry.plans import documents, relational, structured
 
-QUERIES = relational.QUERIES | documents.QUERIES
-ORACLE_SQL = relational.ORACLE_SQL | documents.ORACLE_SQL
+QUERIES = relational.QUERIES | documents.QUERIES | structured.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | documents.ORACLE_SQL | structured.ORACLE_SQL

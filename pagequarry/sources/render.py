@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.kernels.fonts import standard_width
+from pagequarry.sources.writer import escaped
 
 SIZE, LEADING, WORDS_PER_ROW = 10.0, 12.0, 12
 MARGIN = 36.0
 
 
-def escaped(raw: bytes) -> bytes:
-    return b"(" + raw.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r") + b")"
-
-
 def page_content(words: list[str]) -> bytes:
     """Words in rows of ``WORDS_PER_ROW``, each shown on its own, one space apart."""
     out = [b"BT /F1 %g Tf %g TL %g 800 Td" % (SIZE, LEADING, MARGIN)]
