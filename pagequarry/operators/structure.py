@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.operators import trees
+from pagequarry.operators import sequences, trees
 from pagequarry.operators.navigation import items, number_tree, resolved, text_value
 from pagequarry.operators.tables import field, ref
 from pagequarry.sources.store import written
@@ -14,7 +14,7 @@ INHERITED = ("page_obj",)
 
 
 def elements(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """Structure elements depth first: doc_id, node, parent, depth, dfs_index, role, raw_role, page_obj, title, lang, alt, actual_text.
+    """Structure elements depth first: doc_id, node, parent, depth, dfs_index, role, raw_role, page_obj, title, lang, alt, actual_text, outer (node and text of the topmost ActualText above or at it).
 
     Elements are indirect objects; one on a cycle, or that no parent lists, is not reached.
     """
@@ -29,12 +29,54 @@ def elements(live: DataFrame, roots: DataFrame) -> DataFrame:
         "doc_id", F.col("obj").alias("node"), F.lit("").alias("name"), ref(field("value", "Pg")).alias("page_obj"), F.substring(field("value", "S"), 2, 999).alias("raw_role"),
         *[text_value(field("value", k)).alias(c) for k, c in (("T", "title"), ("Lang", "lang"), ("Alt", "alt"), ("ActualText", "actual_text"))],
     )
-    linked = written(edges.join(values.select("doc_id", "node", "name", "page_obj"), ["doc_id", "node"]), "structure")
-    reached = trees.walk(linked, ["doc_id"], inherit=INHERITED)
+    outer = F.when(F.col("actual_text").isNotNull(), F.struct("node", F.col("actual_text").alias("text"))).alias("outer")
+    linked = written(edges.join(values.select("doc_id", "node", "name", "page_obj", outer), ["doc_id", "node"]), "structure")
+    reached = trees.walk(linked, ["doc_id"], inherit=INHERITED, outer=("outer",))
     dfs = F.row_number().over(Window.partitionBy("doc_id").orderBy("order")) - 1
     named = reached.withColumn("dfs_index", dfs).join(values.drop("name", "page_obj"), ["doc_id", "node"]).join(roles, "doc_id", "left")
     role = F.coalesce(F.substring(F.col("roles")[F.col("raw_role")], 2, 999), "raw_role")
-    return named.select("doc_id", "node", "parent", "depth", "dfs_index", role.alias("role"), "raw_role", "page_obj", "title", "lang", "alt", "actual_text")
+    return named.select("doc_id", "node", "parent", "depth", "dfs_index", role.alias("role"), "raw_role", "page_obj", "title", "lang", "alt", "actual_text", "outer")
+
+
+def find(elems: DataFrame, role: str, first: bool = False) -> DataFrame:
+    """Elements of a role depth first; of each document only the ``first`` one if so asked."""
+    found = elems.where(F.col("role") == role)
+    return sequences.one_per(found, ["doc_id"], ["dfs_index"]) if first else found
+
+
+def mcid_index(content: DataFrame, elems: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every content id of a document with its page and element; ids repeat from page to page."""
+    placed = content.join(pages.select("doc_id", "page_index", F.col("obj").alias("page_obj")), ["doc_id", "page_obj"])
+    return placed.join(elems.select("doc_id", "node", "role", "dfs_index"), ["doc_id", "node"]).select("doc_id", "page_index", "mcid", "node", "role", "dfs_index", "ord")
+
+
+def logical_ranks(content: DataFrame, elems: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, mcid and rank of the page's contents in the order of the structure; pages where an id repeats are left out."""
+    index = mcid_index(content, elems, pages)
+    page = ["doc_id", "page_index"]
+    ranked = index.withColumn("rank", F.row_number().over(Window.partitionBy(*page).orderBy("dfs_index", "ord")))
+    unclear = index.groupBy(*page, "mcid").count().where("count > 1").select(*page).distinct()
+    return ranked.join(unclear, page, "left_anti").select(*page, "mcid", "rank")
+
+
+def content_parents(runs: DataFrame, slots: DataFrame) -> DataFrame:
+    """``runs`` with the element (``node``) that their innermost marked content belongs to."""
+    top = F.element_at("marked", -1)["mcid"]
+    own = slots.select("doc_id", "page_index", F.col("mcid").alias("_mcid"), "node")
+    return runs.withColumn("_mcid", top).join(own, ["doc_id", "page_index", "_mcid"], "left").drop("_mcid")
+
+
+def element_boxes(elems: DataFrame, content: DataFrame, pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, node and bbox: around all text, paths and images of an element's contents; forms do not count."""
+    ends = F.transform("glyphs", lambda g: g["x"] + g["dx"])
+    xs = F.concat(F.transform("glyphs", lambda g: g["x"]), ends)
+    said = F.when((F.col("kind") == "text") & (F.size("glyphs") > 0), F.array(F.array_min(xs), F.col("y"), F.array_max(xs), F.col("y") + F.col("size")))
+    boxed = runs.where("kind IN ('text', 'path', 'image')").select("doc_id", "page_index", F.element_at("marked", -1)["mcid"].alias("mcid"), F.coalesce(said, "bbox").alias("r"))
+    index = mcid_index(content, elems, pages).select("doc_id", "page_index", "mcid", "node")
+    r = F.col("r")
+    return index.join(boxed.where("r IS NOT NULL"), ["doc_id", "page_index", "mcid"]).groupBy("doc_id", "node").agg(
+        F.array(F.min(r[0]), F.min(r[1]), F.max(r[2]), F.max(r[3])).alias("bbox")
+    )
 
 
 def contents(live: DataFrame, elems: DataFrame) -> DataFrame:

@@ -85,8 +85,24 @@ def wrapped(values: pd.Series) -> pd.Series:
     return values.map(lambda v: textwrap.fill(v, WRAP) if v else "")
 
 
-def tagged_text(runs: DataFrame, down: str = "page") -> DataFrame:
-    """doc_id, page_index and the text of the page's marked sections, in paint order.
+def reordered(told: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Sections of pages in the order of the structure, where every one that is not silent has one content id of its own with a rank."""
+    by = ["doc_id", "page_index"]
+    met = told.join(ranks, [*by, "mcid"], "left")
+    loud = ~F.col("silent")
+    page = Window.partitionBy(*by)
+    usable = (F.sum(F.when(loud & F.col("rank").isNull(), 1).otherwise(0)).over(page) == 0) & (
+        F.size(F.collect_set(F.when(loud, F.col("mcid"))).over(page)) == F.sum(F.when(loud, 1).otherwise(0)).over(page)
+    )
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.when(F.col("usable"), F.col("rank")), "section"))
+    return met.withColumn("usable", usable).withColumn("section", place).drop("usable", "rank")
+
+
+def tagged_text(runs: DataFrame, down: str = "page", ranks: DataFrame | None = None, actual: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_index and the text of the page's marked sections, in paint order, or by ``ranks`` in that of the structure.
+
+    ``actual`` (doc_id, page_index, mcid, outer) has the ActualText that the structure gives: it replaces all
+    sections of its element and is said once.
 
     Consecutive runs in one innermost marked section are a section. Sections without
     a mark or marked Artifact are silent but move the line state; ActualText replaces
@@ -105,13 +121,21 @@ def tagged_text(runs: DataFrame, down: str = "page") -> DataFrame:
     spelled = F.when(F.col("top.tag") == "ReversedChars", F.reverse("text")).otherwise(F.col("text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", spelled.alias("t")))), lambda p: p["t"]), "")
     sections = numbered.groupBy(*by, "section").agg(F.first("top").alias("top"), F.max_by("y", "seq").alias("y"), joined.alias("text"))
-    tag, actual = F.col("top.tag"), F.col("top.actual")
+    tag, own_text = F.col("top.tag"), F.col("top.actual")
     silent = tag.isNull() | (tag == "Artifact")
-    value = F.when(actual.isNotNull(), text_value(actual)).otherwise(F.col("text"))
+    value = F.when(own_text.isNotNull(), text_value(own_text)).otherwise(F.col("text"))
     told = sections.select(
-        *by, "section", "y", F.col("top.mcid").alias("mcid"), silent.alias("silent"), (~silent & actual.isNull()).alias("advances"),
+        *by, "section", "y", F.col("top.mcid").alias("mcid"), silent.alias("silent"), (~silent & own_text.isNull()).alias("advances"),
         F.replace(F.coalesce(value, F.lit("")), F.lit("\u00ad"), F.lit("")).alias("value"),
     )
+    if actual is not None:
+        first = F.row_number().over(Window.partitionBy(*by, "outer.node").orderBy("section")) == 1
+        given = told.join(actual, [*by, "mcid"], "left").withColumn("first", first)
+        has = F.col("outer").isNotNull() & ~F.col("silent")
+        told = given.withColumn("value", F.when(has & F.col("first"), F.col("outer.text")).when(has, "").otherwise(F.col("value")))
+        told = told.withColumn("advances", F.col("advances") & ~has).drop("outer", "first")
+    if ranks is not None:
+        told = reordered(told, ranks)
     earlier = Window.partitionBy(*by).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     last_y = F.last(F.when(F.col("silent") | F.col("advances"), F.col("y")), ignorenulls=True).over(earlier)
     last_id = F.last(F.when(~F.col("silent"), F.struct("mcid")), ignorenulls=True).over(earlier)

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.operators import layout, navigation, resources, tables, text
+from pagequarry.operators import boxes, layout, navigation, resources, tables, text
 from pagequarry.sources import render
 from pagequarry.sources.store import written
 
@@ -158,3 +158,10 @@ def pdf_tagged_text(spark, sf_dir):
     docs = render.tagged_corpus_of(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), tag.alias("tag"), "text"))
     found = text.tagged_text(Parsed(docs).runs())
     return found.select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("words"))
+
+
+@query(LINES + ", b AS (SELECT doc_id, page_index, [array_to_string(ws[r * 12 + 1 : r * 12 + 12], ' ') for r in range((len(ws) + 11) // 12)] AS rows FROM w WHERE len(ws) > 0) SELECT doc_id, page_index, 0 AS box, len(rows)::BIGINT AS n_lines, array_to_string(rows, chr(10)) AS text FROM b")
+def pdf_text_boxes(spark, sf_dir):
+    """Boxes of neighbouring lines in reading order: rows that begin at one margin hang together."""
+    lines = written(boxes.line_rows(layout.glyph_boxes(Parsed(corpus(spark, sf_dir)).runs())), "lines")
+    return boxes.text_boxes(lines).select("doc_id", "page_index", "box", "n_lines", "text")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators import navigation, resources, structure, tables, text
+from pagequarry.operators import marked, navigation, resources, structure, tables, text
 from pagequarry.plans.documents import Parsed
 from pagequarry.plans.relational import table
-from pagequarry.sources import render, writer
+from pagequarry.sources import writer
+from pagequarry.sources.store import written
 from pagequarry.sources.writer import json_value, page_tree, refs, revision, stream, text_string
 
 QUERIES: dict = {}
@@ -296,6 +297,38 @@ def pdf_structure_text(spark, sf_dir):
     return elems.join(said, ["doc_id", "node"]).join(slots, ["doc_id", "node"], "left").select("doc_id", F.col("dfs_index").cast("int").alias("dfs_index"), "role", "raw_role", "text", "mcid")
 
 
+@query(TURNS + """ SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN role = 'system' THEN 'note ' || (i - 1) ELSE coalesce(text, '') END, '' ORDER BY i), '\\s+', ' ', 'g')) AS words FROM t GROUP BY doc_id""")
+def pdf_logical_text(spark, sf_dir):
+    """Tagged text in the order of the structure, with the structure's ActualText; every section lies above the one before, so none begins a line."""
+    p = Parsed(conversation_documents(spark, sf_dir))
+    elems = structure.elements(p.live, p.roots)
+    content = structure.contents(p.live, elems)
+    ranks = structure.logical_ranks(content, elems, p.pages)
+    index = structure.mcid_index(content, elems, p.pages)
+    actual = index.join(elems.select("doc_id", "node", "outer"), ["doc_id", "node"]).where("outer IS NOT NULL").select("doc_id", "page_index", "mcid", "outer")
+    found = text.tagged_text(p.runs(), ranks=ranks, actual=actual)
+    return found.select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("words"))
+
+
+@query(TURNS + """, n AS (SELECT *, max(i) OVER (PARTITION BY doc_id) - i AS back FROM t)
+    SELECT doc_id, 1 AS depth, CASE role WHEN 'user' THEN 'Question' WHEN 'assistant' THEN 'Answer' WHEN 'system' THEN 'Note' ELSE 'P' END AS tag, (i - 1)::INTEGER AS mcid,
+    (3 + 4 * back)::INTEGER AS "begin", (6 + 4 * back)::INTEGER AS "end", 1::BIGINT AS n_shown FROM n""")
+def pdf_marked_sections(spark, sf_dir):
+    """Marked content as intervals of operations, with the text operations inside each."""
+    p = Parsed(conversation_documents(spark, sf_dir))
+    ops = written(tables.operations(p.content), "operations")
+    found = written(marked.sections(ops, p.resources), "marked")
+    shown = marked.inside(ops.where("operator = 'Tj'").select("doc_id", "page_index", "seq"), found).groupBy("doc_id", "page_index", "begin").agg(F.count(F.lit(1)).alias("n_shown"))
+    return found.join(shown, ["doc_id", "page_index", "begin"], "left").select("doc_id", "depth", "tag", "mcid", "begin", "end", F.coalesce("n_shown", F.lit(0)).alias("n_shown"))
+
+
+@query(TURNS + " SELECT doc_id, (i - 1)::INTEGER AS mcid, (max(i) OVER (PARTITION BY doc_id) - i + 1)::BIGINT AS place, 1::BIGINT AS n FROM t")
+def pdf_content_sequence(spark, sf_dir):
+    """Content ids of each page in the order of their runs."""
+    p = Parsed(conversation_documents(spark, sf_dir))
+    return marked.sequence(p.runs()).select("doc_id", "mcid", "place", "n")
+
+
 # --- forms: parts shown by nested forms
 
 def formed(doc_id: int, rows: list[dict]) -> bytes:
