@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from pagequarry.operators import marked, navigation, resources, structure, tables, text
+from pagequarry.kernels import crypt
+from pagequarry.operators import marked, navigation, resources, security, structure, tables, text
 from pagequarry.plans.documents import Parsed
 from pagequarry.plans.relational import table
 from pagequarry.sources import writer
@@ -425,3 +430,80 @@ def pdf_selections(spark, sf_dir):
     p = Parsed(supplier_documents(spark, sf_dir))
     found = resources.selections(tables.operations(p.content), p.resources)
     return found.select("doc_id", "operator", "category", "name", tables.field("value", "LW").try_cast("double").alias("width"), "known")
+
+
+# --- encryption: parts as strings and streams, three methods
+
+PERMISSIONS, OWNER = (-1, -5, -9, -17), b"o" * 32
+
+
+def security_of(doc_id: int) -> tuple[dict, bytes, bytes]:
+    """Encrypt dictionary, file id and key of a document whose user password is ``open``."""
+    revision_of = doc_id % 3 + 2
+    file_id = hashlib.md5(b"%d" % doc_id).digest()
+    length = 40 if revision_of == 2 else 128
+    p = PERMISSIONS[doc_id % 4]
+    key = crypt.file_key(b"open", OWNER, p, file_id, length // 8, revision_of)
+    user = (crypt.user_entry(key, file_id, revision_of) + bytes(32))[:32]
+    spec = {"Filter": "/Standard", "V": (1, 2, 4)[doc_id % 3], "R": revision_of, "Length": length, "P": p}
+    if revision_of == 4:
+        spec |= {"CF": {"StdCF": {"CFM": "/AESV2", "Length": 16}}, "StmF": "/StdCF", "StrF": "/StdCF"}
+    return spec | {"O": OWNER, "U": user}, file_id, key
+
+
+@F.pandas_udf(BinaryType())
+def key_of(ids: pd.Series) -> pd.Series:
+    return ids.map(lambda i: security_of(i)[2])
+
+
+def sealed(doc_id: int, rows: list[dict]) -> bytes:
+    """Each part's name as a string and its brand as a stream; ``name`` and ``brand`` are encrypted already where AES is used."""
+    spec, file_id, key = security_of(doc_id)
+
+    def cipher(data: bytes, obj: int) -> bytes:
+        return bytes(data) if doc_id % 3 == 2 else crypt.rc4(hashlib.md5(key + obj.to_bytes(3, "little") + bytes(2)).digest()[: min(len(key) + 5, 16)], bytes(data))
+
+    def hexed(data: bytes) -> bytes:
+        return b"<" + data.hex().encode() + b">"
+
+    bodies = {1: b"<< /Type /Catalog >>"}
+    for i, r in enumerate(rows):
+        bodies[10 + 2 * i] = b"<< /Name %s >>" % hexed(cipher(r["name"], 10 + 2 * i))
+        bodies[11 + 2 * i] = stream(cipher(r["brand"], 11 + 2 * i), compress=False)
+    pairs = [b"/%s %s" % (k.encode(), hexed(v) if isinstance(v, bytes) else json_value(v)) for k, v in spec.items()]
+    bodies[2] = b"<< " + b" ".join(pairs) + b" >>"
+    return revision(b"", bodies, b"/Root 1 0 R /Encrypt 2 0 R /ID [%s %s]" % (hexed(file_id), hexed(file_id)))
+
+
+def sealed_documents(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.expr("cast(p_partkey div 8 AS long)").alias("doc_id"), F.col("p_partkey").alias("ord"), "p_name", "p_brand")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
+    keyed = rows.withColumn("i", place).withColumn("key", key_of("doc_id"))
+
+    def locked(column: str, first: int):
+        obj = F.col("i") * 2 + first
+        data = F.coalesce(column, F.lit("")).cast("binary")
+        own = security.object_key(F.col("key"), obj, F.lit(0), F.lit("AESV2"))
+        aes = F.aes_encrypt(data, F.when(F.octet_length(own) == 16, own), F.lit("CBC"), F.lit("PKCS"), F.unhex(F.md5(F.concat(column, obj.cast("string")))))
+        return F.when(F.col("doc_id") % 3 == 2, aes).otherwise(data)
+
+    return writer.per_document(keyed.select("doc_id", "ord", locked("p_name", 10).alias("name"), locked("p_brand", 11).alias("brand")), sealed)
+
+
+@query(PARTS + """ SELECT doc_id, (10 + 2 * i)::INTEGER AS obj, coalesce(p_name, '') AS text, doc_id % 4 <> 1 AS printable, doc_id % 4 <> 2 AS modifiable, doc_id % 4 <> 3 AS extractable FROM p
+    UNION ALL SELECT doc_id, (11 + 2 * i)::INTEGER, coalesce(p_brand, ''), doc_id % 4 <> 1, doc_id % 4 <> 2, doc_id % 4 <> 3 FROM p""")
+def pdf_decrypted(spark, sf_dir):
+    """Strings and streams of encrypted documents, read with the user password, and what the documents allow."""
+    p = Parsed(sealed_documents(spark, sf_dir))
+    keys = written(security.unlocked(p.live, p.roots, "open"), "keys")
+    found = security.decrypted(p.live, keys).where("obj >= 10")
+    said = F.coalesce(F.col("stream").cast("string"), navigation.text_value(tables.field("value", "Name")))
+    return found.select("doc_id", "obj", said.alias("text")).join(security.permissions(p.roots, keys), "doc_id")
+
+
+@query("SELECT DISTINCT p_partkey // 8 AS doc_id, 'password required' AS missing, 'invalid password' AS wrong FROM part")
+def pdf_password_errors(spark, sf_dir):
+    """What opening an encrypted document says without a password and with a wrong one."""
+    p = Parsed(sealed_documents(spark, sf_dir))
+    missing, wrong = (security.unlocked(p.live, p.roots, x).select("doc_id", F.col("error").alias(name)) for x, name in ((None, "missing"), ("nope", "wrong")))
+    return missing.join(wrong, "doc_id")
