@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.operators import boxes, layout, navigation, resources, tables, text
-from pagequarry.sources import render
+from pagequarry.operators import boxes, compare, layout, navigation, resources, tables, text
+from pagequarry.sources import render, sinks
 from pagequarry.sources.store import written
 
 QUERIES: dict = {}
@@ -165,3 +165,20 @@ def pdf_text_boxes(spark, sf_dir):
     """Boxes of neighbouring lines in reading order: rows that begin at one margin hang together."""
     lines = written(boxes.line_rows(layout.glyph_boxes(Parsed(corpus(spark, sf_dir)).runs())), "lines")
     return boxes.text_boxes(lines).select("doc_id", "page_index", "box", "n_lines", "text")
+
+
+@query(LINES + " SELECT doc_id, page_index, sum(len(array_to_string(ws, '')))::BIGINT AS n, min(ws[1][1]) AS first FROM w WHERE len(ws) > 0 GROUP BY doc_id, page_index")
+def pdf_glyph_rows(spark, sf_dir):
+    """Glyphs as rows in paint order, counted, with the first of each page."""
+    rows = sinks.glyphs(Parsed(corpus(spark, sf_dir)).runs())
+    return rows.groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "index").alias("first"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'source' END AS \"column\", coalesce(source, '') AS expected, 'other' AS actual FROM documents WHERE doc_id % 10 = 0 AND coalesce(source, '') <> 'other'")
+def pdf_differences(spark, sf_dir):
+    """Metadata read back against the table, a tenth of which is changed first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"))
+    changed = docs.withColumn("source", F.when(F.col("doc_id") % 10 == 0, "other").otherwise(F.col("source")))
+    p = Parsed(corpus(spark, sf_dir))
+    read = navigation.information(p.live, p.roots).select("doc_id", F.col("info")["Subject"].alias("source"))
+    return compare.differences(read, changed, "doc_id")

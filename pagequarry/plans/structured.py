@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from pagequarry.kernels import crypt
-from pagequarry.operators import marked, navigation, resources, security, structure, tables, text
+from pagequarry.operators import images, marked, navigation, resources, security, structure, tables, text
 from pagequarry.plans.documents import Parsed
 from pagequarry.plans.relational import table
 from pagequarry.sources import writer
@@ -507,3 +507,36 @@ def pdf_password_errors(spark, sf_dir):
     p = Parsed(sealed_documents(spark, sf_dir))
     missing, wrong = (security.unlocked(p.live, p.roots, x).select("doc_id", F.col("error").alias(name)) for x, name in ((None, "missing"), ("nope", "wrong")))
     return missing.join(wrong, "doc_id")
+
+
+# --- images: parts as small pictures of 1, 2, 4 and 8 bits, every fifth with a palette
+
+def pictured(doc_id: int, rows: list[dict]) -> bytes:
+    """Five samples a row, two rows; byte j of row r is (31 k + 17 r + 5 j) mod 256."""
+    tree, root, _ = page_tree(10, [b"/Resources 4 0 R"])
+    at, bodies, names = max(tree) + 1, {}, {}
+    for i, r in enumerate(rows):
+        k = r["ord"]
+        bits = (1, 2, 4, 8)[k % 4]
+        per_row = (5 * bits + 7) // 8
+        data = bytes((31 * k + 17 * row + 5 * j) % 256 for row in range(2) for j in range(per_row))
+        space = b"[/Indexed /DeviceRGB 2 <000000102030405060>]" if k % 5 == 0 else b"/DeviceGray"
+        bodies[at + i] = stream(data, b"/Type /XObject /Subtype /Image /Width 5 /Height 2 /BitsPerComponent %d /ColorSpace %s" % (bits, space))
+        names[f"Im{k}"] = f"{at + i} 0 R"
+    bodies |= {1: b"<< /Type /Catalog /Pages %d 0 R >>" % root, 4: json_value({"XObject": names})}
+    return revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id % 3])
+
+
+def picture_documents(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return writer.per_document(p.select(F.expr("cast(p_partkey div 8 AS long)").alias("doc_id"), F.col("p_partkey").alias("ord")), pictured)
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, [1, 2, 4, 8][p_partkey % 4 + 1] AS b FROM part),
+    v AS (SELECT k, b, [(((31 * k + 17 * (i // 5) + 5 * ((i % 5) * b // 8)) % 256)::INTEGER >> (8 - b - ((i % 5) * b) % 8)::INTEGER) & ((1 << b) - 1)::INTEGER for i in range(10)] AS s FROM k)
+    SELECT k // 8 AS doc_id, 'Im' || k AS name, 5 AS width, 2 AS height, b AS bits, CASE WHEN k % 5 = 0 THEN 3 ELSE 1 END AS components,
+    array_to_string(list_transform(s, lambda x: CASE WHEN k % 5 <> 0 THEN printf('%02X', x::INTEGER) WHEN x = 1 THEN '102030' WHEN x = 2 THEN '405060' ELSE '000000' END), '') AS samples FROM v""")
+def pdf_image_samples(spark, sf_dir):
+    """Image resources with their samples unpacked and palettes expanded."""
+    p = Parsed(picture_documents(spark, sf_dir))
+    return images.decoded_images(p.live, p.resources).select("doc_id", "name", "width", "height", "bits", "components", F.hex("samples").alias("samples"))
