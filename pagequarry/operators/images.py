@@ -1,4 +1,4 @@
-"""Images and streams decoded, colour spaces described, colours made."""
+"""Images and streams decoded, colour spaces and fonts described, colours made."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.kernels import filters
 from pagequarry.kernels import images as kernel
+from pagequarry.operators import sequences
 from pagequarry.operators.navigation import items, resolved
 from pagequarry.operators.tables import expanded, field
 
@@ -90,3 +91,26 @@ def decoded_images(live: DataFrame, entries: DataFrame) -> DataFrame:
 
     schema = "doc_id long, page_index int, name string, obj int, width int, height int, bits int, components int, samples binary, error string"
     return expanded(sized.join(streams, ["doc_id", "obj"], "left"), rows_of, schema)
+
+
+def fonts(live: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row per document and font name: kind, encoding, whether it is embedded, and its descriptor's numbers.
+
+    Where pages use one name for several fonts the later page's holds.
+    """
+    own = entries.where("category = 'Font'")
+    name = F.regexp_replace(F.substring(field("spec", "BaseFont"), 2, 200), "^[A-Z]{6}[+]", "")
+    kid = F.get(items(field("spec", "DescendantFonts")), F.lit(0))
+    found = own.select(
+        "doc_id", "page_index", F.coalesce(name, "name").alias("name"), F.substring(field("spec", "Subtype"), 2, 40).alias("kind"),
+        F.when(field("spec", "Encoding").startswith("/"), F.substring(field("spec", "Encoding"), 2, 60)).alias("encoding"),
+        F.coalesce(field("spec", "FontDescriptor"), field(kid, "FontDescriptor")).alias("d"), field("spec", "ToUnicode").isNotNull().alias("has_unicode"),
+    )
+    described_rows = resolved(found, live, "d")
+    numbers = {"Ascent": "ascent", "Descent": "descent", "CapHeight": "cap_height", "ItalicAngle": "italic_angle", "MissingWidth": "missing_width"}
+    embedded = field("d", "FontFile").isNotNull() | field("d", "FontFile2").isNotNull() | field("d", "FontFile3").isNotNull()
+    told = described_rows.select(
+        "doc_id", "page_index", "name", "kind", "encoding", "has_unicode", F.coalesce(embedded, F.lit(False)).alias("embedded"),
+        F.coalesce(field("d", "Flags").try_cast("int"), F.lit(0)).alias("flags"), *[field("d", k).try_cast("double").alias(c) for k, c in numbers.items()],
+    )
+    return sequences.one_per(told, ["doc_id", "name"], [F.desc("page_index"), "kind"]).drop("page_index")

@@ -193,6 +193,35 @@ def page_geometry(page: DataFrame) -> DataFrame:
     )
 
 
+def object_at(live: DataFrame, found: DataFrame) -> DataFrame:
+    """Current objects of the (doc_id, obj) rows in ``found``; the newest generation is the current one."""
+    return live.join(found.select("doc_id", "obj").distinct(), ["doc_id", "obj"], "left_semi")
+
+
+def chained(rows: DataFrame, live: DataFrame, column: str, rounds: int = 32) -> DataFrame:
+    """``rows`` with references to references in ``column`` followed to a value; a cycle, or nothing there, gives null."""
+    values = live.select("doc_id", F.col("obj").alias("_obj"), F.col("value").alias("_value"))
+    met = rows.withColumn("_trail", F.array().cast("array<string>"))
+    for _ in range(rounds):
+        met = written(met, "chain")
+        if met.where(ref(F.col(column)).isNotNull()).isEmpty():
+            break
+        again = F.array_contains("_trail", F.col(column))
+        step = met.withColumn("_obj", F.when(~again, ref(F.col(column)))).join(values, ["doc_id", "_obj"], "left")
+        value = F.when(ref(F.col(column)).isNull(), F.col(column)).otherwise(F.col("_value"))
+        met = step.withColumn("_trail", F.array_append("_trail", F.col(column))).withColumn(column, value).drop("_obj", "_value")
+    return met.drop("_trail")
+
+
+def pages_found(page: DataFrame, labels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pages by ``wanted`` (doc_id and one of page_index, obj or label): of equal labels the first page."""
+    if "label" in wanted.columns:
+        first = labels.groupBy("doc_id", "label").agg(F.min("page_index").alias("page_index"))
+        wanted = wanted.join(first, ["doc_id", "label"])
+    key = "obj" if "obj" in wanted.columns else "page_index"
+    return page.join(wanted.select("doc_id", key).distinct(), ["doc_id", key], "left_semi")
+
+
 def page_matrix(space: str) -> Column:
     """Matrix of a row of :func:`pages` into ``space``: page (origin bottom left), screen (y down) or default (as written)."""
     n = F.from_json("MediaBox", "array<double>")

@@ -150,7 +150,7 @@ def tagged_text(runs: DataFrame, down: str = "page", ranks: DataFrame | None = N
     return filled.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda p: p["value"]), "\n").alias("text"))
 
 
-def extract_text(runs: DataFrame, tagged: DataFrame) -> DataFrame:
+def extract_text(runs: DataFrame, tagged: DataFrame, down: str = "page") -> DataFrame:
     """Tagged text of the documents that ``tagged`` (doc_id) lists, untagged text of the others."""
     own = tagged.select("doc_id").distinct()
-    return tagged_text(runs.join(own, "doc_id", "left_semi")).unionByName(untagged_text(runs.join(own, "doc_id", "left_anti")))
+    return tagged_text(runs.join(own, "doc_id", "left_semi"), down).unionByName(untagged_text(runs.join(own, "doc_id", "left_anti"), down))

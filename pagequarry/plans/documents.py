@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.operators import boxes, compare, layout, navigation, resources, tables, text
+from pagequarry.operators import boxes, compare, images, layout, navigation, resources, tables, text
 from pagequarry.sources import render, sinks
 from pagequarry.sources.store import written
 
@@ -182,3 +182,10 @@ def pdf_differences(spark, sf_dir):
     p = Parsed(corpus(spark, sf_dir))
     read = navigation.information(p.live, p.roots).select("doc_id", F.col("info")["Subject"].alias("source"))
     return compare.differences(read, changed, "doc_id")
+
+
+@query("SELECT doc_id, 'Helvetica' AS name, 'Type1' AS kind, 'WinAnsiEncoding' AS encoding, false AS embedded FROM documents")
+def pdf_fonts(spark, sf_dir):
+    """Fonts of each document, by their own names."""
+    p = Parsed(corpus(spark, sf_dir))
+    return images.fonts(p.live, p.resources).select("doc_id", "name", "kind", "encoding", "embedded")

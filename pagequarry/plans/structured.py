@@ -385,6 +385,17 @@ def pdf_form_resources(spark, sf_dir):
     )
 
 
+@query(PARTS + """ SELECT doc_id, (strlen(string_agg('BT /F1 5 Tf (' || replace(replace(replace(coalesce(p_brand, ''), chr(92), repeat(chr(92), 2)), '(', chr(92) || '('), ')', chr(92) || ')') || ') Tj ET', '' ORDER BY i)))::BIGINT AS n_bytes, count(*) AS n,
+    sha256(string_agg(sha256('BT /F1 5 Tf (' || replace(replace(replace(coalesce(p_brand, ''), chr(92), repeat(chr(92), 2)), '(', chr(92) || '('), ')', chr(92) || ')') || ') Tj ET'), '' ORDER BY i)) AS digest FROM p GROUP BY doc_id""")
+def pdf_stream_digests(spark, sf_dir):
+    """Length and digest of the decoded streams of each document's inner forms."""
+    p = Parsed(part_documents(spark, sf_dir))
+    inner = p.live.where(tables.field("value", "Matrix").isNotNull()).select("doc_id", "obj")
+    found = images.stream_digests(p.live).join(inner, ["doc_id", "obj"], "left_semi")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("obj", "digest"))), lambda x: x["digest"])
+    return found.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("digest"))
+
+
 # --- selections and graphics state: suppliers as filled boxes
 
 def drawn(doc_id: int, rows: list[dict]) -> bytes:
