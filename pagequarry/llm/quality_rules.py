@@ -4,8 +4,12 @@ Each :class:`Rule` bounds one metric of a text. Metrics are native expressions
 over the text, its words and its lines; :func:`verdicts` turns the whole table
 into a single ``select`` with no user function, shuffle or second read.
 
+The stop words are those of English, French, German and Spanish; a text in
+another language of Latin script passes by the short words that it shares with
+them. Letters include their combining marks.
+
 Defined results: null or empty text has zero of everything and fails the base
-rule; repeated rows are judged alike; extra columns pass through
+rule; texts of any length are read whole; repeated rows are judged alike; extra columns pass through
 :func:`apply_rules` untouched (working columns live in one struct, so no name
 clashes); an empty table gives an empty result.
 """
@@ -33,21 +37,25 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep a text if ``low <= metric <= high`` (an absent bound does not bind)."""
+    """Keep a text if ``low <= metric <= high`` (an absent bound does not bind).
+
+    A rule for Latin script leaves texts alone whose letters are mostly of others.
+    """
 
     metric: str
     low: float | None = None
     high: float | None = None
+    latin: bool = False
 
 
 #: The production table. Ratios are of words or of lines, see :func:`metrics`.
 DEFAULT_RULES = (
     Rule("n_words", low=10),
     Rule("repeat_word_ratio", high=0.20),
-    Rule("mean_word_length", low=2.0, high=20.0),
+    Rule("mean_word_length", low=2.0, high=20.0, latin=True),
     Rule("symbol_word_ratio", high=0.30),
     Rule("letter_ratio", low=0.60),
-    Rule("stop_word_ratio", low=0.01),
+    Rule("stop_word_ratio", low=0.01, latin=True),
     Rule("dup_line_ratio", high=0.50),
     Rule("bullet_line_ratio", high=0.90),
     Rule("upper_letter_ratio", high=0.60),
@@ -112,11 +120,12 @@ def metrics(text: Column) -> Column:
 
     def of_chars(ws: Column, joined: Column) -> Column:
         return let(
-            F.regexp_replace(joined, r"\p{L}++", ""),
+            F.regexp_replace(joined, r"[\p{L}\p{M}]++", ""),
             lambda others: F.struct(
                 F.size(ws).alias("n_words"),
                 F.length(joined).alias("word_chars"),
                 F.length(others).alias("n_other_chars"),
+                F.length(F.regexp_replace(joined, r"[\p{IsLatin}\p{M}\P{L}]++", "")).alias("n_foreign_letters"),
                 F.length(F.regexp_replace(others, r"[^#*$%&|<>]++", "")).alias("n_symbols"),
                 F.length(F.regexp_replace(joined, r"\P{Lu}++", "")).alias("n_upper_chars"),
                 repeated_words(ws).alias("n_repeat_words"),
@@ -148,6 +157,8 @@ def ratios(m: Column) -> dict[str, Column]:
 def failed_rules(m: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """Names of the rules a text breaks, in table order."""
     by_name, out = ratios(m), []
+    letters = m["w"]["word_chars"] - m["w"]["n_other_chars"]
+    foreign = 2 * m["w"]["n_foreign_letters"] > letters
     for r in rules:
         x = by_name[r.metric]
         broken = F.lit(False)
@@ -155,6 +166,7 @@ def failed_rules(m: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
             broken = broken | (x < F.lit(float(r.low)))
         if r.high is not None:
             broken = broken | (x > F.lit(float(r.high)))
+        broken = broken & ~foreign if r.latin else broken
         out.append(F.when(broken, F.lit(r.metric)))
     return F.array_compact(F.array(*out))
 

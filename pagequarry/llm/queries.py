@@ -95,7 +95,8 @@ def quality_rules_sql() -> str:
     for r in quality_rules.DEFAULT_RULES:
         tests = [f"{METRIC_SQL[r.metric]} < {r.low}"] if r.low is not None else []
         tests += [f"{METRIC_SQL[r.metric]} > {r.high}"] if r.high is not None else []
-        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.metric}' END")
+        latin = " AND 2 * strange <= chars - others" if r.latin else ""
+        broken.append(f"CASE WHEN ({' OR '.join(tests)}){latin} THEN '{r.metric}' END")
     stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
     return rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -106,7 +107,8 @@ def quality_rules_sql() -> str:
         r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
         c AS (SELECT doc_id, count(DISTINCT p) AS repeated FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY ALL),
         j AS (SELECT *, array_to_string(ws, '') AS joined FROM w),
-        m AS (SELECT doc_id, len(ws) AS n, length(joined) AS chars, length(regexp_replace(joined, '\p{{L}}+', '', 'g')) AS others,
+        m AS (SELECT doc_id, len(ws) AS n, length(joined) AS chars, length(regexp_replace(joined, '[\p{{L}}\p{{M}}]+', '', 'g')) AS others,
+            length(regexp_replace(joined, '[\p{{Latin}}\p{{M}}\P{{L}}]+', '', 'g')) AS strange,
             length(regexp_replace(joined, '[^#*$%&|<>]+', '', 'g')) AS symbols, length(regexp_replace(joined, '\P{{Lu}}+', '', 'g')) AS uppers,
             len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS stops, len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS dups,
             len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣|]'))) AS bullets, coalesce(repeated, 0) AS repeated

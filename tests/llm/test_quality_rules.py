@@ -39,6 +39,25 @@ def test_clean_prose_is_kept_and_junk_leaves(spark):
     assert [r.doc_id for r in quality_rules.apply_rules(df).collect()] == [1]
 
 
+def test_other_scripts_are_not_judged_by_latin_rules(spark):
+    texts_of = [
+        "Дом стоял у реки и жители города приходили посмотреть на него при утреннем свете каждый день",
+        "หมู่บ้านเล็กริมแม่น้ำแห่งนี้มีชาวบ้าน อาศัย อยู่ มา นาน หลาย ร้อย ปี แล้ว และ ยัง คง อยู่",
+        "xqv zzkt wrpl mnbv qqpl trzk vvbn plkj hgfd zxcv mnnb qwrt",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts_of)), "doc_id long, text string")
+    got = {r.doc_id: r.failed_rules for r in quality_rules.verdicts(df).collect()}
+    assert got == {0: [], 1: [], 2: ["stop_word_ratio"]}
+
+
+def test_long_text(spark):
+    rng = __import__("random").Random(3)
+    text = texts.prose(rng, "en", 60_000)
+    row = quality_rules.verdicts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    n, chars, symbols, dup, repeat = brute(text)
+    assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (n, chars, symbols, dup, repeat)
+
+
 def test_plan_has_no_python(spark):
     plan = quality_rules.verdicts(texts.frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
