@@ -33,11 +33,15 @@ def large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     return with_least(both.where("v > u"), low, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them."""
+def small_star(edges: DataFrame) -> DataFrame:
+    """Link a node and its smaller neighbours to the smallest of them.
+
+    Links that lead to the smallest member of a bucket give no node many smaller
+    neighbours; should other links do, the skewed side of this join is split at run time.
+    """
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-    linked = with_least(down, low, n_edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    linked = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -51,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("u <> v").distinct(), "star")
     n, seen = edges.count(), None
     while n:
-        before, edges = edges, written(small_star(large_star(edges, n), n), "star")
+        before, edges = edges, written(small_star(large_star(edges, n)), "star")
         discard(before)
         n, checksum = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, checksum) == seen:
