@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import geometry, labels
 from pagequarry.kernels.syntax import DOC_ENCODING
 from pagequarry.operators import sequences, trees
-from pagequarry.operators.tables import field, page_matrix, ref
+from pagequarry.operators.tables import bare, field, page_matrix, ref
 from pagequarry.sources.store import written
 
 
@@ -45,7 +45,7 @@ def items(value: Column) -> Column:
 
 def resolved(rows: DataFrame, live: DataFrame, column: str) -> DataFrame:
     """``column`` with a reference replaced by its object's value."""
-    found = live.select("doc_id", F.col("obj").alias("_obj"), F.col("value").alias("_value"))
+    found = live.select("doc_id", F.col("obj").alias("_obj"), bare(F.col("value")).alias("_value"))
     return (
         rows.withColumn("_obj", ref(F.col(column)))
         .join(found, ["doc_id", "_obj"], "left")

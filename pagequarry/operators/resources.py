@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators.tables import field, ref
+from pagequarry.operators.tables import bare, field, ref
 from pagequarry.sources.store import written
 
 CATEGORIES = ("Font", "XObject", "Properties", "ExtGState", "ColorSpace", "Pattern", "Shading")
@@ -21,7 +21,7 @@ SCOPE = ("doc_id", "page_index", "scope")
 
 def named(scopes: DataFrame, live: DataFrame) -> DataFrame:
     """Entries of the resource dictionaries (column resources) of ``scopes``: category, name, obj and value."""
-    values = live.select("doc_id", F.col("obj").alias("_obj"), F.col("value").alias("_value"), F.col("resolved").alias("_resolved"))
+    values = live.select("doc_id", F.col("obj").alias("_obj"), bare(F.col("value")).alias("_value"), F.col("resolved").alias("_resolved"))
 
     def followed(df: DataFrame, column: str) -> DataFrame:
         """``column`` with a reference replaced by its value, beside the object number and the resolved value."""

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.sources.store import written
+
 
 def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], begins: Column, name: str = "run") -> DataFrame:
     """Number the runs of each group: ``begins`` is true where a new run starts (gaps and islands)."""
@@ -68,3 +70,22 @@ def content_sections(marked: DataFrame, by: Sequence[str], order: Sequence[str],
     return whole.groupBy(*by, mcid).agg(
         F.min("run").alias("place"), *[F.max_by(c, "run").alias(c) for c in ("begin", "end", "n")]
     )
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, by: str | None = None) -> DataFrame:
+    """``df`` with row numbers from 1 in the whole ``order``, or within each group of ``by``, which leads the order.
+
+    Rows are dealt by ranges of the order; each range is numbered on its own and
+    its offset added, so neither the table nor a large group meets in one task.
+    """
+    keys = [by, *order] if by else list(order)
+    ranged = written(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    found = ranged.join(F.broadcast(offsets), "_range").withColumn(name, (own + F.col("_offset")).cast("long")).drop("_range", "_offset")
+    if not by:
+        return found
+    firsts = found.groupBy(by).agg((F.min(name) - 1).alias("_first"))
+    return found.join(firsts, by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")

@@ -77,6 +77,11 @@ def ref(value: Column) -> Column:
     return F.regexp_extract(value, r"^(\d+) \d+ R$", 1).try_cast("int")
 
 
+def bare(value: Column) -> Column:
+    """A value as it would stand inside another: strings, names and references lose their quotes."""
+    return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")).otherwise(value)
+
+
 def parts(corpus: DataFrame) -> DataFrame:
     """Everything that one pass over each document's bytes gives, by ``kind``: object, section, entry, document.
 
@@ -200,7 +205,7 @@ def object_at(live: DataFrame, found: DataFrame) -> DataFrame:
 
 def chained(rows: DataFrame, live: DataFrame, column: str, rounds: int = 32) -> DataFrame:
     """``rows`` with references to references in ``column`` followed to a value; a cycle, or nothing there, gives null."""
-    values = live.select("doc_id", F.col("obj").alias("_obj"), F.col("value").alias("_value"))
+    values = live.select("doc_id", F.col("obj").alias("_obj"), bare(F.col("value")).alias("_value"))
     met = rows.withColumn("_trail", F.array().cast("array<string>"))
     for _ in range(rounds):
         met = written(met, "chain")

@@ -253,7 +253,7 @@ def form_full_names(spark, sf_dir):
 def outline_depth_first(spark, sf_dir):
     """Depth-first place and inherited kind of every node of a tree."""
     nodes = trees.walk(_geography(spark, sf_dir), ["doc_id"], inherit=("kind",))
-    return nodes.select("node", "kind", F.row_number().over(Window.partitionBy("doc_id").orderBy("order")).cast("long").alias("place"))
+    return sequences.numbered(nodes, ["order"], "place").select("node", "kind", "place")
 
 
 def _geography(spark, sf_dir):
@@ -288,7 +288,8 @@ def reading_order(spark, sf_dir):
     """Boxes of a page by the flow score (1-f)*x0 - (1+f)*(y0+y1) with f = 0.5."""
     r = doubles(spark, sf_dir).select("vec_id", "label", rect_of(F.col("e"), 0).alias("a"))
     score = F.lit(0.5) * F.col("a")[0] - F.lit(1.5) * (F.col("a")[1] + F.col("a")[3])
-    return r.select("vec_id", "label", F.row_number().over(Window.partitionBy("label").orderBy(score, "vec_id")).cast("long").alias("place"))
+    scored = r.select("vec_id", "label", score.alias("score"))
+    return sequences.numbered(scored, ["score", "vec_id"], "place", by="label").select("vec_id", "label", "place")
 
 
 @query("SELECT page_id, strlen(html)::BIGINT AS n_bytes, sha256(html) AS digest FROM pages")
