@@ -12,8 +12,9 @@ written ``<...>``, does not differ). Of findings that overlap the one with most
 equal and fewest differing words stays; all others are reported.
 
 Defined results: null and empty text have no licences; a line that matches no
-template is counted in ``n_candidates`` only; repeated rows repeat their
-results; extra columns are ignored; an empty table gives an empty result.
+template is counted in ``n_candidates`` only; of findings alike in every count
+the first in the text stays; texts of any length, and lines of any length, are
+read whole; repeated rows repeat their results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

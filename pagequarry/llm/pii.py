@@ -14,8 +14,10 @@ The driver sees one row per distinct feature vector: at most
 ``MAX_FEATURE_ROWS``, the product of the feature cardinalities.
 
 Defined results: null and empty text have no spans; a table without candidates
-fits no model and adds none; repeated rows repeat their results; extra columns
-are kept by :func:`redact` and ignored by :func:`report`.
+fits no model and adds none; texts of any length are read whole; of accepted
+candidates that overlap the leftmost stays, then the longest, then the first
+generator's; repeated rows repeat their results; extra columns are kept by
+:func:`redact` and ignored by :func:`report`, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,13 +3,16 @@
 Kinds ``assign``, ``access`` and ``hex`` are pattern matches. The entropy method
 adds kind ``entropy``: candidate strings (20 or more token characters) are read
 once per character class with a window of 20 characters; a fold keeps the
-count of each symbol in the window and the sum of ``c * log2(c)``, changed only
-for the character that enters and the one that leaves. A candidate whose
+sum of ``c * log2(c)`` over the window, changed only for the character that enters
+and the one that leaves, and the counts of all symbols (an array as long as the
+class's alphabet, which each step makes anew). A candidate whose
 highest window entropy reaches its class's threshold is a span unless the allow
 list suppresses it or a base span already covers it.
 
-Defined results: null and empty text have no spans; repeated rows repeat their
-results; extra columns are ignored; an empty table gives an empty result.
+Defined results: null and empty text have no spans; texts of any length are read
+whole; of matches that begin together the kinds' order decides, then the end;
+repeated rows repeat their results; extra columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

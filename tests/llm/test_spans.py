@@ -1,6 +1,9 @@
+import math
 import random
 import re
 
+import numpy as np
+
 from pagequarry.llm import pii, secret_scan
 from tests.llm import brute, texts
 
@@ -97,3 +100,86 @@ def test_spelled_addresses_and_local_numbers_are_redacted(spark):
     for i, line in rows:
         want = ("please write to [SPELLED_EMAIL] today", "phone: [NUMBER_LIKE] in the morning", line, line)[i % 4]
         assert out[i] == want
+
+
+def entropy_brute(text):
+    """Spans of the entropy method, window by window and counted anew each time."""
+    out = []
+    base = brute.secret_base(text)
+    for m in re.finditer(secret_scan.CANDIDATE, text or ""):
+        if re.fullmatch("|".join(secret_scan.ALLOW_LIST), m[0]):
+            continue
+        for cls in secret_scan.DEFAULT_CLASSES:
+            windows = [m[0][i : i + secret_scan.WINDOW] for i in range(len(m[0]) - secret_scan.WINDOW + 1)]
+            own = [w for w in windows if all(c in cls.alphabet for c in w)]
+            bits = [-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) for w in own]
+            if max(bits, default=0) >= cls.bits - 1e-12:
+                if not any(a < m.end() and m.start() < e for a, _, _, e in base):
+                    out.append(f"entropy:{m.start()}:{m.end()}")
+                break
+    return out
+
+
+def test_entropy_spans_match_brute_force(spark):
+    parts = ["x9Kq7fQ2", "zLmP0aBc", "R4tY", "0a1B2c3D4e5F", "aaaa1111", "the-", "/", "=", "_", " ", ".", "\n", "é", "deadbeef", "0123456789", "token=", "Zz9"]
+    found = [(i, t) for i, t in enumerate(random_texts(parts, 11, 300))] + [(900, None), (901, "x9Kq7fQ2zLmP0aBcR4tY" * 400)]
+    for r in secret_scan.report(spark.createDataFrame(found, "doc_id long, text string").repartition(3)).collect():
+        text = dict(found)[r.doc_id]
+        assert [s for s in r.spans.split(",") if s.startswith("entropy")] == entropy_brute(text), text
+
+
+def brute_candidates(text):
+    """Candidates of every generator with their features, in plain Python."""
+    out = []
+    starts = re.compile(r"^\(\?:\\G\|\(\?<!\[[^]]*\]\)\)")  # where a match may start; without it the search finds the same
+    patterns = [starts.sub("", p) for p in (pii.EMAIL, pii.SPELLED, pii.QUAD, pii.NUMBER)]
+    assert not any("\\G" in p for p in patterns)
+    base = brute.pii_base(text)
+    for gen, pattern in enumerate(patterns):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            before = text[max(0, m.start() - pii.CONTEXT_CHARS) : m.start()].lower()
+            around = (text[m.start() - 1] if m.start() else " ") + text[m.end() : m.end() + 1]
+            context = next((code for code, words in pii.CONTEXT if re.search(words, before, re.A)), 0)
+            parts = len([x for x in re.split(" +", m[0].translate(str.maketrans("().-", "    ")).strip(" "))])
+            shape = 0
+            if gen == 1:
+                shape = bool(re.search(pii.LAST_LABEL, m[0])) + bool(re.search(pii.SPELLED_DOT, m[0]))
+            if gen == 3:
+                shape = 2 if 13 <= len(d) <= 19 and brute.luhn(d) else 1 if 7 <= len(d) <= 15 and not re.search(pii.DATE, m[0]) else 0
+            n = len(d)
+            out.append(
+                {
+                    "start": m.start(), "end": m.end(), "gen": gen, "digits": 0 if n < 8 else 1 if n < 13 else 2 if n < 16 else 3 if n == 16 else 4 if n < 20 else 5,
+                    "luhn": int(gen == 3 and brute.luhn(d)), "octets": int(gen == 2 and all(int(p) <= 255 for p in m[0].split("."))), "plus": int(m[0].startswith("+")),
+                    "parts": min(parts, 3) - 1, "glued": int(bool(re.search("[A-Za-z0-9]", around))), "context": context, "format": int(shape),
+                    "confirmed": int(any(a < m.end() and m.start() < e for _, a, _, e in base)),
+                }
+            )
+    return out
+
+
+def test_candidates_and_accepted_spans_match_brute_force(spark):
+    parts = ["mail ", "call ", "card ", "jo.doe", " [at] ", "(at)", " [dot] ", ".", "com", "x", "555", "-", " ", "010", "2000", "(555)", "2021-03-11", "4111111111111111", "+", "1.2.3.4", "a@b.co", ", "]
+    rows = [(i, t) for i, t in enumerate(random_texts(parts, 5, 400))]
+    rows += [(1000 + i, ("write to jo.doe [at] mail [dot] com", "phone 555-010-2000 today", "on 2021-03-11 at x [at] y. z")[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    redactor = pii.fit(df)
+    got = {r.doc_id: r.cand or [] for r in pii.proposals(df).collect()}
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert redactor.thresholds
+    for i, text in rows:
+        want = brute_candidates(text)
+        assert sorted(tuple(c[k] for k in want[0]) for c in got[i]) == sorted(tuple(c.values()) for c in want) if want else not got[i], text
+        accepted = []
+        for c in want:
+            if not c["confirmed"] and c["gen"] in redactor.thresholds:
+                margin = redactor.models[c["gen"]].margins({k: np.array([c[k]]) for k in pii.FEATURES})[0]
+                if 1 / (1 + np.exp(-margin)) >= redactor.thresholds[c["gen"]] - 1e-9:
+                    accepted.append((c["start"], -c["end"], c["gen"]))
+        at, told = 0, []
+        for a, e, gen in sorted(accepted):
+            if a >= at:
+                told.append(f"{pii.GENERATORS[gen]}:{a}:{-e}")
+                at = -e
+        assert [s for s in spans[i].split(",") if s.split(":")[0] in pii.GENERATORS] == sorted(told, key=lambda s: (pii.GENERATORS.index(s.split(":")[0]), int(s.split(":")[1]))), text
