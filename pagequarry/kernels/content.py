@@ -315,23 +315,28 @@ class Machine:
         a, b, c, d = ca * ta + cc * tb, cb * ta + cd * tb, ca * tc + cc * td, cb * tc + cd * td
         lift_x, lift_y = c * s.rise, d * s.rise
         size, scale = s.size, s.scale
+        spread, gap = s.char * scale, s.word * scale
+        add_text, add_x, add_y, add_dx, add_dy = texts.append, xs.append, ys.append, dxs.append, dys.append
+        base_x, base_y = lift_x + ce, lift_y + cf
         for part in parts:
             if isinstance(part, (int, float)):
                 back = -part / 1000 * size * scale
                 e, f = ta * back + e, tb * back + f
                 continue
             for text, _, width, space in font.glyphs(bytes.fromhex(part[2:])):
-                advance = width * size * scale + s.char * scale + (s.word * scale if space else 0)
-                texts.append(text)
-                xs.append(lift_x + (ca * e + cc * f + ce))
-                ys.append(lift_y + (cb * e + cd * f + cf))
-                dxs.append(a * advance)
-                dys.append(b * advance)
+                advance = width * size * scale + spread
+                if space:
+                    advance += gap
+                add_text(text)
+                add_x(ca * e + cc * f + base_x)
+                add_y(cb * e + cd * f + base_y)
+                add_dx(a * advance)
+                add_dy(b * advance)
                 e, f = ta * advance + e, tb * advance + f
         if texts:
             x, y = xs[0], ys[0]
         else:
-            x, y = lift_x + (ca * e + cc * f + ce), lift_y + (cb * e + cd * f + cf)
+            x, y = ca * e + cc * f + base_x, cb * e + cd * f + base_y
         return {"name": s.font, "size": size * (c**2 + d**2) ** 0.5, "x": x, "y": y, "glyphs": glyphs}, (ta, tb, tc, td, e, f)
 
     def _path(self, op: str, segments: list) -> dict:
