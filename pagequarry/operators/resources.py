@@ -2,7 +2,9 @@
 
 A scope is a page (0) or a form (its object number) on a page. Names are
 resolved in their scope by joins; nested forms are found level by level, each
-level once, so a form that contains itself ends the search.
+level once, so a form that contains itself ends the search. Pages of a document
+mostly share one dictionary, so all this is done once a dictionary (``res``, a
+hash of it) and only then spread to the pages.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pagequarry.operators.tables import bare, field, ref
 from pagequarry.sources.store import written
 
 CATEGORIES = ("Font", "XObject", "Properties", "ExtGState", "ColorSpace", "Pattern", "Shading")
-SCOPE = ("doc_id", "page_index", "scope")
+SCOPE = ("doc_id", "res", "scope")
 
 
 def named(scopes: DataFrame, live: DataFrame) -> DataFrame:
@@ -35,12 +37,18 @@ def named(scopes: DataFrame, live: DataFrame) -> DataFrame:
     return followed(each, "value").select(*SCOPE, "category", "name", F.col("_obj").alias("obj"), "value", F.coalesce("_resolved", "value").alias("spec"))
 
 
-def resources(live: DataFrame, page: DataFrame) -> DataFrame:
-    """Entries of every scope: doc_id, page_index, scope, category, name, obj, value, spec.
+def with_res(page: DataFrame) -> DataFrame:
+    """``page`` with the key of its resource dictionary, null without one."""
+    return page.withColumn("res", F.when(F.col("Resources").isNotNull(), F.xxhash64("Resources")))
+
+
+def shared(live: DataFrame, page: DataFrame) -> DataFrame:
+    """Entries of every scope of every dictionary: doc_id, res, scope, category, name, obj, value, spec.
 
     A form without resources of its own uses those of the scope that names it.
     """
-    scopes = page.select("doc_id", "page_index", F.lit(0).alias("scope"), F.col("Resources").alias("resources")).where("resources IS NOT NULL")
+    own = with_res(page.select("doc_id", "Resources")).where("res IS NOT NULL").groupBy("doc_id", "res").agg(F.min("Resources").alias("resources"))
+    scopes = own.select("doc_id", "res", F.lit(0).alias("scope"), "resources")
     found, seen = [], None
     while True:
         level = written(named(scopes, live), "resources")
@@ -50,7 +58,7 @@ def resources(live: DataFrame, page: DataFrame) -> DataFrame:
             break
         above = scopes.select(*SCOPE, F.col("resources").alias("_above"))
         inner = forms.join(above, [*SCOPE]).select(
-            "doc_id", "page_index", F.col("obj").alias("scope"), F.coalesce(field("value", "Resources"), "_above").alias("resources")
+            "doc_id", "res", F.col("obj").alias("scope"), F.coalesce(field("value", "Resources"), "_above").alias("resources")
         )
         done = scopes.select(*SCOPE) if seen is None else seen.union(scopes.select(*SCOPE))
         seen = written(done, "resource-scopes")
@@ -61,8 +69,18 @@ def resources(live: DataFrame, page: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def per_page(live: DataFrame, entries: DataFrame) -> DataFrame:
-    """doc_id, page_index and ``named``: what the page machine needs of fonts, properties, graphics states and forms."""
+def on_pages(entries: DataFrame, page: DataFrame) -> DataFrame:
+    """The entries of :func:`shared` for every page that has their dictionary: doc_id, page_index, scope, category, name, obj, value, spec."""
+    return with_res(page.select("doc_id", "page_index", "Resources")).drop("Resources").join(entries, ["doc_id", "res"]).drop("res")
+
+
+def resources(live: DataFrame, page: DataFrame) -> DataFrame:
+    """Entries of every scope of every page."""
+    return on_pages(shared(live, page), page)
+
+
+def with_named(page: DataFrame, live: DataFrame, entries: DataFrame) -> DataFrame:
+    """``page`` with ``named``: what the page machine needs of fonts, properties, graphics states and forms, from :func:`shared`."""
     wanted = entries.where("category IN ('Font', 'Properties', 'ExtGState') OR category = 'XObject'")
     wanted = wanted.where((F.col("category") != "XObject") | (field("value", "Subtype") == "/Form"))
     is_font = F.col("category") == "Font"
@@ -79,7 +97,8 @@ def per_page(live: DataFrame, entries: DataFrame) -> DataFrame:
     packed = F.struct(
         "scope", "category", "name", "obj", "spec", "stream", F.col("map_spec_").alias("map_spec"), "map_stream", F.col("code_spec_").alias("code_spec"), "code_stream"
     )
-    return full.groupBy("doc_id", "page_index").agg(F.collect_list(packed).alias("named"))
+    own = full.groupBy("doc_id", "res").agg(F.collect_list(packed).alias("named"))
+    return with_res(page).join(own, ["doc_id", "res"], "left").drop("res")
 
 
 def images(entries: DataFrame) -> DataFrame:

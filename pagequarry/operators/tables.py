@@ -339,7 +339,7 @@ def interpreted(page: DataFrame, flatten: bool = False) -> DataFrame:
     """Text runs, paths, images, forms and tags of each page in paint order.
 
     ``page`` has doc_id, page_index, streams (:func:`page_streams`) and, where known, ``named``
-    (of :func:`pagequarry.operators.resources.per_page`) and ``matrix``. With ``flatten`` forms are expanded in
+    (of :func:`pagequarry.operators.resources.with_named`) and ``matrix``. With ``flatten`` forms are expanded in
     place. A stream that cannot be decoded gives a row of kind ``error``.
     """
     arrow = to_arrow_schema(StructType.fromDDL(CONTENT))

@@ -51,9 +51,13 @@ class Parsed:
     def pages(self) -> DataFrame:
         return written(tables.pages(self.live, self.roots), "pages")
 
+    @cached_property
+    def shared(self) -> DataFrame:
+        return resources.shared(self.live, self.pages)
+
     @cached_property
     def resources(self) -> DataFrame:
-        return resources.resources(self.live, self.pages)
+        return resources.on_pages(self.shared, self.pages)
 
     @cached_property
     def content(self) -> DataFrame:
@@ -61,8 +65,7 @@ class Parsed:
 
     def runs(self, flatten: bool = False, space: str = "default") -> DataFrame:
         """The page machine's rows, placed in ``space`` (default, page or screen)."""
-        own = resources.per_page(self.live, self.resources)
-        page = self.pages.join(own, ["doc_id", "page_index"], "left").withColumn("matrix", tables.page_matrix(space))
+        page = resources.with_named(self.pages, self.live, self.shared).withColumn("matrix", tables.page_matrix(space))
         return tables.interpreted(tables.page_streams(self.live, page, "named", "matrix"), flatten)
 
 

@@ -39,12 +39,13 @@ class Corpus:
         self.live = tables.current(tables.objects(self.parts)).cache()
         self.roots = tables.catalog(self.live, tables.states(self.parts)).cache()
         self.pages = tables.pages(self.live, self.roots).cache()
-        self.resources = resources.resources(self.live, self.pages)
+        self.shared = resources.shared(self.live, self.pages)
+        self.resources = resources.on_pages(self.shared, self.pages)
 
     def runs(self, flatten=False):
         from pagequarry.operators import resources, tables
 
-        page = self.pages.join(resources.per_page(self.live, self.resources), ["doc_id", "page_index"], "left")
+        page = resources.with_named(self.pages, self.live, self.shared)
         return tables.interpreted(tables.page_streams(self.live, page, "named"), flatten)
 
 
