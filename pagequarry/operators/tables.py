@@ -251,6 +251,9 @@ def page_streams(live: DataFrame, page: DataFrame, *keep: str) -> DataFrame:
     wanted = one.select("doc_id", "page_index", *keep, F.size(listed).alias("n"), F.posexplode_outer(listed).alias("ord", "r")).withColumn("obj", ref(F.col("r")))
     streams = live.where("stream IS NOT NULL").select("doc_id", "obj", F.coalesce("resolved", "value").alias("spec"), F.col("stream").alias("raw"))
     part = F.struct(F.coalesce("ord", F.lit(0)).alias("ord"), "spec", "raw")
+    # pages are small in bytes and costly to read: the number of partitions is stated, so that few bytes do not end in few tasks
+    slots = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    streams, wanted = streams.repartition(slots, "doc_id", "obj"), wanted.repartition(slots, "doc_id", "obj")
     single = wanted.where("n <= 1").join(streams, ["doc_id", "obj"], "left").select("doc_id", "page_index", *keep, F.array(part).alias("streams"))
     several = wanted.where("n > 1").join(streams, ["doc_id", "obj"], "left")
     gathered = several.groupBy("doc_id", "page_index").agg(*[F.first(k).alias(k) for k in keep], F.sort_array(F.collect_list(part)).alias("streams"))
