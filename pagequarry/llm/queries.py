@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import language_id, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, topk
+from pagequarry.llm import byte_bpe, language_id, license_scan, merkle, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, topk
 from pagequarry.llm import sentencepiece_dropout as pieces
 
 
@@ -62,6 +62,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op1_language_id": op1_language_id,
@@ -73,6 +81,8 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op13_merkle": op13_merkle,
 }
 
 #: The metrics that rules name, in SQL over the columns of the query below.
@@ -120,7 +130,70 @@ def quality_rules_sql() -> str:
     """
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string of ASCII characters; ``t`` of the table ``crc`` must be in scope."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)),"
+        " lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"
+    )
+
+
+#: The table of the reflected polynomial, one entry per byte.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t)"""
+
+
+def merkle_sql(low: int = 7, high: int = 4) -> str:
+    """Trees of up to ``low`` levels a value and ``high`` levels above them, level by level."""
+
+    def part(column: str) -> str:
+        return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+    def leaf_sql(text: str) -> str:
+        return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(first: str, name: str, n: int) -> list[str]:
+        """``first`` has k, i, h; gives tables name0.. with siblings and name{n} with what remains."""
+        out, below = [], first
+        for j in range(n):
+            run = "PARTITION BY k, i // 8 ORDER BY i ROWS BETWEEN"
+            out.append(
+                f"""{name}{j} AS (SELECT k, i, h, count(*) OVER (PARTITION BY k) AS m,
+                coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {below}),
+                {name}_up{j} AS (SELECT k, i // 8 AS i, CASE WHEN m = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+                FROM {name}{j} GROUP BY k, i // 8, m)"""
+            )
+            below = f"{name}_up{j}"
+        return out
+
+    joins = [f"x{j} t ON t.k = f.k AND t.i = f.i // {8**j}" for j in range(low)]
+    joins += [f"y{j} t ON t.i = f.v // {8**j}" for j in range(high)]
+    steps = ["f0 AS (SELECT k, i, v, doc_id, leaf, subroot, new AS h, '' AS p FROM g)"]
+    steps += [
+        f"""f{j + 1} AS (SELECT f.k, f.i, v, doc_id, leaf, subroot, CASE WHEN m = 1 THEN f.h ELSE sha256(a || f.h || b) END AS h,
+            CASE WHEN m = 1 THEN p ELSE p || a || b END AS p FROM f{j} f JOIN {join})"""
+        for j, join in enumerate(joins)
+    ]
+    return f"""
+        WITH {CRC_TABLE},
+        d AS (SELECT *, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0
+            THEN translate(text, '{merkle.UPPER}', '{merkle.LOWER}') ELSE text END AS changed FROM documents, crc),
+        l AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS k, {leaf_sql("text")} AS h, {leaf_sql("changed")} AS new FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, h) - 1 AS i FROM l),
+        {", ".join(levels("o", "x", low))},
+        r AS (SELECT k AS value, h FROM x_up{low - 1}),
+        s AS (SELECT 0 AS k, value, h, row_number() OVER (ORDER BY value) - 1 AS i FROM r),
+        {", ".join(levels("s", "y", high))},
+        g AS (SELECT o.k, o.i, s.i AS v, o.doc_id, o.h AS leaf, s.h AS subroot, o.new FROM o JOIN s ON s.value = o.k),
+        {", ".join(steps)}
+        SELECT doc_id, leaf, subroot, root.h AS root, sha256(p) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+        FROM f{low + high} f, (SELECT h FROM y_up{high - 1}) root
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle": merkle_sql(),
     "op10_quality_rules": quality_rules_sql(),
     "op6_mixing": """
         WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY ALL),
