@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import byte_bpe, language_id, license_scan, merkle, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, topk
+from pagequarry.llm import byte_bpe, conversation_repair, language_id, license_scan, merkle, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, topk
 from pagequarry.llm import sentencepiece_dropout as pieces
 
 
@@ -66,6 +66,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle": op13_merkle,
 }
 
@@ -143,6 +148,62 @@ CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(l
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t)"""
 
 
+def conversation_repair_sql() -> str:
+    """The dynamic programme forward: the least cost and audit that end in each state, after every turn."""
+
+    def then(state: str, cost: str, edit: str) -> str:
+        return f"lpad((left({state}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{edit}'"
+
+    stay, other = "(3 * (f = 'truncated')::INT)", "CASE WHEN q = 2 THEN 3 ELSE 2 END"
+    kept = {1: ("s", ["z0"]), 2: ("u", ["z0", "z1", "z3"]), 3: ("a", ["z2"])}
+    sources = {2: ["z0", "z1", "z3"], 3: ["z2"]}
+    steps = []
+    for q in range(4):
+        ways = [then(f"z{q}", "4", "D")]
+        initial, before = kept.get(q, ("", []))
+        ways += [f"CASE WHEN NOT coalesce(f IN ('blank', 'duplicate'), FALSE) AND c = '{initial}' THEN {then(x, f'coalesce({stay}, 0)', 'K')} END" for x in before]
+        ways += [f"CASE WHEN NOT coalesce(f IN ('blank', 'duplicate'), FALSE) THEN {then(x, f'3 + coalesce({stay}, 0)', 'R')} END" for x in sources.get(q, [])]
+        steps.append(f"least({', '.join(ways)}, NULL) AS z{q}")
+
+    def inserted(table: str) -> str:
+        """``table`` with turns inserted behind what it has."""
+        user = f"least(z2, {', '.join(then(x, '3', 'I') for x in ('z0', 'z1', 'z3'))})"
+        return f"SELECT k, i, z0, z1, z2, least(z3, {then('z2', '3', 'I')}) AS z3 FROM (SELECT k, i, z0, z1, {user} AS z2, z3 FROM {table})"
+
+    return rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') AS k,
+            {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS code FROM conversations, crc),
+        d AS (SELECT k, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN ''
+            WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM o),
+        n AS (SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+        e AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS seen, lag(c) OVER (PARTITION BY k ORDER BY i) AS l,
+            regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM n),
+        t AS (SELECT k, i, turn, role, text, c, l, CASE WHEN last = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS f FROM e),
+        a AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank,
+            count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
+            count(*) FILTER (i > 1 AND l || c NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY k),
+        z AS (
+            SELECT * FROM (WITH s AS (SELECT DISTINCT k, 0::BIGINT AS i, '000000000' AS z0, NULL::VARCHAR AS z1, NULL::VARCHAR AS z2, NULL::VARCHAR AS z3 FROM o) {inserted("s")})
+            UNION ALL
+            SELECT * FROM (WITH s AS (SELECT z.k, t.i, {", ".join(steps)} FROM z JOIN t ON t.k = z.k AND t.i = z.i + 1) {inserted("s")})
+        ),
+        b AS (SELECT z.k, left(least(z0, z3), 9)::BIGINT AS cost, substr(least(z0, z3), 10) AS audit FROM z LEFT JOIN a USING (k) WHERE z.i = coalesce(n, 0)),
+        w AS (
+            SELECT k, audit, 1 AS p, 0::BIGINT AS i, 0 AS q, []::VARCHAR[] AS parts FROM b
+            UNION ALL
+            SELECT w.k, audit, p + 1, w.i + (audit[p] <> 'I')::INT, CASE audit[p] WHEN 'D' THEN q WHEN 'K' THEN CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE {other} END,
+                CASE audit[p] WHEN 'D' THEN parts WHEN 'K' THEN list_append(parts, role || ':' || text)
+                ELSE list_append(parts, CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END || CASE audit[p] WHEN 'I' THEN '' ELSE text END) END
+            FROM w LEFT JOIN t ON t.k = w.k AND t.i = w.i + 1 WHERE p <= length(audit)
+        )
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+            coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, b.audit,
+            sha256(array_to_string(parts, chr(10))) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, k FROM o) o JOIN b USING (k) LEFT JOIN a USING (k) JOIN w ON w.k = o.k AND w.p = length(b.audit) + 1
+    """
+
+
 def merkle_sql(low: int = 7, high: int = 4) -> str:
     """Trees of up to ``low`` levels a value and ``high`` levels above them, level by level."""
 
@@ -193,6 +254,7 @@ def merkle_sql(low: int = 7, high: int = 4) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_repair": conversation_repair_sql(),
     "op13_merkle": merkle_sql(),
     "op10_quality_rules": quality_rules_sql(),
     "op6_mixing": """
