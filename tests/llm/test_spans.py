@@ -81,6 +81,21 @@ def test_long_runs_stay_linear(spark):
     assert secret_scan.report(df).count() == 4
 
 
+def test_long_texts_of_short_pieces_do_not_recurse(spark):
+    """A million characters each; recursion once a piece would end the JVM."""
+    n = 1_000_000
+    parts = ["a1-", "word-", "ab/", "-", "_=", "a1-word_", "abc12+", "w/x-", "token=ab-", "1-", "a.", "AKIA-"]
+    rows = [(i, (p * (n // len(p) + 1))[:n]) for i, p in enumerate(parts)]
+    rows += [(100 + i, t + "7") for i, t in rows if t[0].isalnum()]
+    rows += [(200 + i, t) for i, t in enumerate(random_texts(["a1-", "word-", "ab/", "9", "_", "zz", "abcdefg", "+", "="], 23, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    known = dict(rows)
+    got = {r.doc_id: r.spans for r in secret_scan.report(df).collect()}
+    for i, spans in got.items():
+        assert [s for s in spans.split(",") if s.startswith("entropy")] == entropy_brute(known[i]), known[i][:60]
+    assert len(got) > 200
+
+
 def test_empty_tables(spark):
     empty = texts.frame(spark, [])
     assert pii.report(empty).count() == pii.redact(empty).count() == secret_scan.report(empty).count() == 0
