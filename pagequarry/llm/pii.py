@@ -3,15 +3,20 @@
 Base kinds (``email ip card phone``) are patterns with exact checks and always
 stay. High-recall generators propose overlapping candidates (addresses,
 spelled-out addresses, dotted quads, digit groups); each gets format and
-context features. Boosted trees, one model a generator, learn from counts of
-*all* its candidates: one that overlaps a base span is positive, any other by
-how far context word and format agree (:func:`agreement`, half if only one of
-two speaks for it). The thresholds of the generators are the lowest scores whose
-precision on held-out documents reaches ``PRECISION``.
+context features. Boosted trees, one model a generator, learn from evidence whose
+labels they cannot see (:func:`evidence`): in the contexts of at most ``SAMPLE``
+documents, base spans of those documents rewritten so that no base pattern finds
+them, and planted phrases, are positive; planted dates, versions, order, part and
+other numbers are negative. What share of a generator's *unconfirmed* candidates of
+the whole table is personal is estimated by expectation-maximisation over their
+scores, and its threshold is the lowest score at which held-out evidence, weighted
+to that share and with its false positives counted half a case too many, reaches
+``PRECISION``. A generator with too little evidence, or whose candidates cannot
+reach it, adds none.
 Candidates above them that touch no base span are added, leftmost first.
 
-The driver sees one row per distinct feature vector: at most
-``MAX_FEATURE_ROWS``, the product of the feature cardinalities.
+The driver sees one row per distinct feature vector (for the evidence, by fold and
+label): at most ``MAX_FEATURE_ROWS``, the product of the feature cardinalities.
 
 Defined results: null and empty text have no spans; a table without candidates
 fits no model and adds none; texts of any length are read whole; of accepted
@@ -55,12 +60,35 @@ CONTEXT = (
     (2, r"phone|\btel\b|\bcall\b|\bmobile\b|\bfax\b|\btél|\btelefon|\bteléfono"),
     (3, r"card|visa|credit|iban|account|karte|carte|tarjeta"),
     (4, r"\bip\b|host|server|address"),
+    (5, r"order|batch|invoice|version|release|\bparts?\b|\bref|isbn|serial|\brows?\b|\bpages?\b|\bno\.|\bdated?\b"),
 )
 #: Cardinality of each feature; their product bounds what the driver collects.
-FEATURES = {"gen": 4, "digits": 6, "luhn": 2, "octets": 2, "plus": 2, "parts": 3, "glued": 2, "context": 5, "format": 3}
+FEATURES = {"gen": 4, "digits": 6, "luhn": 2, "octets": 2, "plus": 2, "parts": 3, "glued": 2, "context": 6, "format": 3, "shape": 6}
 MAX_FEATURE_ROWS = int(np.prod(list(FEATURES.values())))
 PRECISION = 0.95
 CONTEXT_CHARS = 40
+#: Documents whose contexts and base spans make the evidence, and the least cases of either label on either fold.
+SAMPLE, LEAST_EVIDENCE = 300, 20
+
+# How the digits of a number are grouped, from 1.
+SHAPES = (DATE, r"^\+?[0-9]+$", r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$", r"^0[0-9](?:[\x20.-][0-9]{2}){4}$", r"^[0-9]{4}(?:[\x20-][0-9]{3,4}){2,3}$")
+
+#: Evidence: (label, words before, form); every ``#`` becomes a digit.
+PLANTED = tuple(
+    (label, before, form)
+    for label, befores, forms in (
+        (1, ("phone ", "please call ", "tel. ", "mobile: ", "fax ", "teléfono ", ""), ("(###) ###-####", "###-###-####", "###.###.####", "0# ## ## ## ##", "(###) ###-#### ")),
+        (1, ("phone: ", "call me on "), ("##########", "### ####", "#### ######", "###-####")),
+        (1, ("mail ", "contact ", "write to ", "correo: ", ""), ("jo.doe# [at] mail [dot] com", "a.b(at)post#.org", "team# [at] firm.de", "x_y (at) site (dot) net")),
+        (0, ("our order number ", "batch ", "invoice no. ", "part ", "ref. ", "serial ", "rows ", "page ", ""), ("##########", "########", "############", "### #### ###", "##-####-##", "#### ## ###", "######-####", "####################")),
+        (0, ("order number ", "part no. ", "serial "), ("###-###-####", "#### #### ####", "(###) ###-####")),
+        (0, ("on ", "dated ", ""), ("2021-03-1#", "1#.04.2019", "2020 10 11", "1999-1#-0# 12", "19##.0#.1#")),
+        (0, ("version ", "release ", "ISBN ", ""), ("#.##.###.####", "300.#.##.#", "978-#-##-######-#", "10.#.#.999")),
+        (0, ("some ", "we met ", ""), ("# [at] x. y", "a (at) b. c", "n# [at] n. m")),
+    )
+    for before in befores
+    for form in forms
+)
 
 
 def luhn(digits: Column) -> Column:
@@ -134,7 +162,10 @@ def candidates(text: Column) -> Column:
             shape = F.lit(0)
             if gen == 1:
                 shape = m.rlike(LAST_LABEL).cast("int") + m.rlike(SPELLED_DOT).cast("int")
+            grouping = F.lit(0)
             if gen == 3:
+                for code, pattern in reversed(list(enumerate(SHAPES, 1))):
+                    grouping = F.when(m.rlike(pattern), code).otherwise(grouping)
                 shape = F.when(n.between(13, 19) & luhn(only_digits(m)), 2).when(n.between(7, 15) & ~m.rlike(DATE), 1).otherwise(0)
             return F.struct(
                 s["start"].alias("start"),
@@ -148,12 +179,13 @@ def candidates(text: Column) -> Column:
                 around.rlike(r"[A-Za-z0-9]").cast("int").alias("glued"),
                 context.alias("context"),
                 shape.alias("format"),
+                grouping.alias("shape"),
             )
 
         return F.transform(xs, one)
 
     none = F.array().cast(
-        "array<struct<start:int,end:int,gen:int,digits:int,luhn:int,octets:int,plus:int,parts:int,glued:int,context:int,format:int>>"
+        "array<struct<start:int,end:int,gen:int,digits:int,luhn:int,octets:int,plus:int,parts:int,glued:int,context:int,format:int,shape:int>>"
     )
 
     def if_any(test: Column, *found: Column) -> Column:
@@ -194,50 +226,106 @@ class Redactor:
     thresholds: dict[int, float]
 
 
-def agreement(row) -> float:
-    """Weak label of a candidate that no base span confirms: 1, 0 or, if the signs disagree, one half."""
-    if row["gen"] == 1:  # of context word, last label and spelled-out dot at least two
-        return min(int(row["context"] == 1) + row["format"], 2) / 2
-    if row["gen"] == 3 and not row["glued"]:  # a card's digits near a card's words, or a phone's near a phone's
-        context, format = row["context"], row["format"]
-        return (int(context in (2, 3)) + int(format > 0)) / 2 if format == 0 or context in (0, format + 1) else 0.0
-    return 0.0
+def evidence(docs: DataFrame) -> DataFrame:
+    """Candidates in labelled snippets: their features, ``label`` and ``held``.
+
+    Snippets are the contexts of the ``SAMPLE`` documents of the smallest hashes, with a planted phrase at a place drawn
+    by hash, or with a base address or phone rewritten where it stands.
+    """
+    hashed = docs.where("text <> ''").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # of one column, at most SAMPLE rows
+    sample = hashed.where(F.col("h") <= F.lit(last)).orderBy("h", "text").limit(SAMPLE)
+    items = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(before).alias("before"), F.lit(form).alias("form"), F.lit(k).alias("k")) for k, (label, before, form) in enumerate(PLANTED)])
+    drawn = sample.select("doc_id", "text", F.explode(items).alias("i")).withColumn("seed", F.concat_ws(":", "doc_id", "i.k"))
+    digits = F.translate(F.md5("seed"), "abcdef", "012345")
+    place = F.pmod(F.xxhash64("seed"), F.greatest(F.length("text"), F.lit(1))).cast("int")
+    planted = drawn.select(
+        "seed",
+        F.col("i.label").alias("label"),
+        F.concat(F.col("text").substr(F.greatest(place - 30, F.lit(0)) + 1, F.least(place, F.lit(30))), F.lit(" "), "i.before").alias("before"),
+        F.array_join(F.transform(F.split("i.form", ""), lambda c, j: F.when(c == "#", F.substring(digits, j + 1, F.lit(1))).otherwise(c)), "").alias("item"),
+        F.concat(F.lit(" "), F.col("text").substr(place + 1, F.lit(10))).alias("after"),
+    )
+    based = sample.withColumn("base", base_spans(F.col("text"))).select("doc_id", "text", F.explode("base").alias("b")).where("b.kind IN ('email', 'phone')")
+    found = F.col("text").substr(F.col("b.start") + 1, F.col("b.end") - F.col("b.start"))
+    spelled = F.replace(F.replace(found, F.lit("@"), F.lit(" [at] ")), F.lit("."), F.lit(" [dot] "))
+    rewritten = based.select(
+        F.concat_ws(":", "doc_id", F.lit("base"), "b.start").alias("seed"),
+        F.lit(1).alias("label"),
+        F.col("text").substr(F.greatest(F.col("b.start") - CONTEXT_CHARS, F.lit(0)) + 1, F.least(F.col("b.start"), F.lit(CONTEXT_CHARS))).alias("before"),
+        F.when(F.col("b.kind") == "email", spelled).otherwise(F.regexp_replace(found, r"^\+[0-9]{1,3}[\x20.-]*", "")).alias("item"),
+        F.col("text").substr(F.col("b.end") + 1, F.lit(10)).alias("after"),
+    )
+    snippets = planted.unionByName(rewritten).select("seed", "label", F.coalesce(F.concat("before", "item", "after"), F.lit("")).alias("text"), F.length("before").alias("low"), F.length(F.concat("before", "item")).alias("high"))
+    held = (F.crc32(F.col("seed").cast("binary")) % 4 == 2).alias("held")
+    found = snippets.select("label", held, "low", "high", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("cand"))
+    proposed = found.select("label", "held", "low", "high", "base", F.explode("cand").alias("c"))
+    own = (F.col("c.start") < F.col("high")) & (F.col("c.end") > F.col("low"))
+    unseen = ~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
+    return proposed.where(own & unseen).select("label", "held", *[F.col(f"c.{k}").alias(k) for k in FEATURES])
+
+
+def personal_share(p: np.ndarray, n: np.ndarray, trained: float) -> float:
+    """Share of positives among ``n`` cases of scores ``p`` of a model trained at another share, by expectation-maximisation."""
+    share = trained
+    for _ in range(200):
+        up, down = p * share / trained, (1 - p) * (1 - share) / (1 - trained)
+        share = min(max(float((n * up / (up + down)).sum() / n.sum()), 1e-9), 1 - 1e-9)
+    return share
+
+
+def threshold(p: np.ndarray, neg: np.ndarray, pos: np.ndarray, share: float) -> float | None:
+    """Lowest score whose precision at a share of positives reaches ``PRECISION``, by held-out counts."""
+    for t in np.unique(p):
+        hit = share * pos[p >= t].sum() / pos.sum()
+        miss = (1 - share) * (neg[p >= t].sum() + 0.5) / (neg.sum() + 1)
+        if hit >= PRECISION * (hit + miss):
+            return float(t)
+    return None
 
 
 def fit(docs: DataFrame) -> Redactor:
-    """Learn from the counts of every candidate of the table."""
+    """Learn from the evidence; set thresholds by the counts of every unconfirmed candidate of the table."""
     c = F.explode("cand").alias("c")
-    held = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held")
-    counted = (
+    natural = (
         proposals(docs)
         .where(F.size("cand") > 0)
-        .select(F.coalesce(held, F.lit(False)).alias("held"), c)
-        .groupBy("held", *[F.col(f"c.{k}").alias(k) for k in FEATURES])
-        .agg(F.sum(F.col("c.confirmed")).alias("pos"), F.count(F.lit(1)).alias("n"))
-        .collect()  # at most 2 * MAX_FEATURE_ROWS rows
+        .select(c)
+        .where("c.confirmed = 0")
+        .groupBy(*[F.col(f"c.{k}").alias(k) for k in FEATURES])
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()  # at most MAX_FEATURE_ROWS rows
     )
+    found = Redactor({}, {})
+    if not natural:
+        return found
+    told = evidence(docs).groupBy("held", *FEATURES).agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()  # at most twice as many
 
     def arrays(rows):
         xs = {k: np.array([r[k] for r in rows], dtype=np.int64) for k in FEATURES}
-        n = np.array([r["n"] for r in rows], dtype=np.float64)
-        pos = np.array([r["pos"] + (r["n"] - r["pos"]) * agreement(r) for r in rows], dtype=np.float64)
+        return xs, np.array([r["n"] for r in rows], dtype=np.float64)
+
+    def labelled(rows):
+        xs, n = arrays(rows)
+        pos = np.array([r["pos"] for r in rows], dtype=np.float64)
         return xs, n - pos, pos
 
-    counted.sort(key=lambda r: tuple(r[k] for k in FEATURES))
-    found = Redactor({}, {})
+    told.sort(key=lambda r: tuple(r[k] for k in FEATURES))
     for gen in range(len(GENERATORS)):
-        own = [r for r in counted if r["gen"] == gen]
-        train, held_out = [r for r in own if not r["held"]], [r for r in own if r["held"]]
-        if not train or not held_out or all(r["n"] == r["pos"] for r in own):
+        met = [r for r in natural if r["gen"] == gen]
+        folds = [labelled([r for r in told if r["gen"] == gen and r["held"] == held]) for held in (False, True)]
+        if not met or min(x.sum() for fold in folds for x in fold[1:]) < LEAST_EVIDENCE:
             continue
-        model = boosting.fit(*arrays(train))
-        xs, neg, pos = arrays(held_out)
-        p = 1 / (1 + np.exp(-model.margins(xs)))
-        for t in np.unique(p):
-            n, good = (neg + pos)[p >= t].sum(), pos[p >= t].sum()
-            if good >= PRECISION * n:
-                found.models[gen], found.thresholds[gen] = model, float(t)
-                break
+        model = boosting.fit(*folds[0])
+
+        def scores(xs, model=model):
+            return 1 / (1 + np.exp(-model.margins(xs)))
+
+        xs, n = arrays(met)
+        share = personal_share(scores(xs), n, folds[0][2].sum() / (folds[0][1].sum() + folds[0][2].sum()))
+        t = threshold(scores(folds[1][0]), *folds[1][1:], share)
+        if t is not None:
+            found.models[gen], found.thresholds[gen] = model, t
     return found
 
 

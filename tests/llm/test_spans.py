@@ -168,6 +168,7 @@ def brute_candidates(text):
                     "start": m.start(), "end": m.end(), "gen": gen, "digits": 0 if n < 8 else 1 if n < 13 else 2 if n < 16 else 3 if n == 16 else 4 if n < 20 else 5,
                     "luhn": int(gen == 3 and brute.luhn(d)), "octets": int(gen == 2 and all(int(p) <= 255 for p in m[0].split("."))), "plus": int(m[0].startswith("+")),
                     "parts": min(parts, 3) - 1, "glued": int(bool(re.search("[A-Za-z0-9]", around))), "context": context, "format": int(shape),
+                    "shape": next((k for k, pattern in enumerate(pii.SHAPES, 1) if re.search(pattern, m[0])), 0) if gen == 3 else 0,
                     "confirmed": int(any(a < m.end() and m.start() < e for _, a, _, e in base)),
                 }
             )
@@ -198,3 +199,65 @@ def test_candidates_and_accepted_spans_match_brute_force(spark):
                 told.append(f"{pii.GENERATORS[gen]}:{a}:{-e}")
                 at = -e
         assert [s for s in spans[i].split(",") if s.split(":")[0] in pii.GENERATORS] == sorted(told, key=lambda s: (pii.GENERATORS.index(s.split(":")[0]), int(s.split(":")[1]))), text
+
+
+def planted_corpus(seed=3):
+    """Texts with base phones, and some with what is to be found or left alone; (rows, {id: spans to find}, ids of look-alikes)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, find, alike = [], {}, set()
+
+    def add(text, span=None, look=False):
+        i = len(rows)
+        left = " ".join(word() for _ in range(12))
+        rows.append((i, f"{left} {text} " + " ".join(word() for _ in range(6))))
+        if span:
+            find[i] = (len(left) + 1 + text.index(span), len(left) + 1 + text.index(span) + len(span))
+        if look:
+            alike.add(i)
+
+    for _ in range(400):
+        add(f"+1 555 {digits(3)} {digits(4)}")
+    for _ in range(12):
+        add(f"Our order number 48{digits(8)} batch 77{digits(8)}", look=True)
+    for _ in range(20):
+        add(f"delivered on 20{rng.randint(10, 24)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} with version {rng.randint(1, 9)}.{digits(2)}.{digits(3)}.{digits(4)} of it", look=True)
+        add(f"part {digits(3)}-{digits(4)}-{digits(3)} and serial {digits(9)}", look=True)
+    for _ in range(40):
+        n = f"({digits(3)}) {digits(3)}-{digits(4)}"
+        add(f"please call {n} in the morning", n)
+        a = f"{word()}.{word()} [at] {word()} [dot] com"
+        add(f"write to {a} today", a)
+    return rows, find, alike
+
+
+def test_planted_precision_and_recall_with_look_alikes(spark):
+    rows, find, alike = planted_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    added = {}
+    for r in pii.report(df).collect():
+        for s in filter(None, r.spans.split(",")):
+            kind, a, e = s.split(":")
+            if kind in pii.GENERATORS:
+                added.setdefault(r.doc_id, []).append((int(a), int(e)))
+    right = sum(any(a < high and low < e for a, e in added.get(i, ())) for i, (low, high) in find.items())
+    n = sum(map(len, added.values()))
+    assert right >= 0.9 * len(find) and right >= 0.9 * n, (right, len(find), n)
+    assert not alike & set(added)
+
+
+def test_order_numbers_among_many_phones_stay(spark):
+    rows = [r for r in planted_corpus(5)[0] if r[0] < 412]  # base phones and order numbers only
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert ("[PHONE]" in out[i]) == (i < 400) and (i < 400 or out[i] == text)
+
+
+def test_share_and_threshold():
+    p = np.array([0.05, 0.5, 0.95])
+    assert pii.personal_share(p, np.array([1000.0, 0, 0]), 0.5) < 0.01
+    assert pii.personal_share(p, np.array([0, 0, 500.0]), 0.5) > 0.99
+    assert 0.25 < pii.personal_share(p, np.array([700.0, 0, 300.0]), 0.5) < 0.35
+    neg, pos = np.array([900.0, 90, 1]), np.array([1.0, 90, 900])
+    assert pii.threshold(p, neg, pos, 0.5) == 0.95 and pii.threshold(p, neg, pos, 0.001) is None
