@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pagequarry.llm import boosting
 from pagequarry.llm.exprs import let, match_spans, span_digest
 from pagequarry.llm.secret_scan import replace_spans
+from pagequarry.llm.store import written
 
 # The contract's patterns. A match can only start at the start of a run or where the last match ended, and runs are
 # taken whole (possessively); this changes no match and keeps long runs linear.
@@ -256,10 +257,12 @@ def evidence(docs: DataFrame) -> DataFrame:
         F.when(F.col("b.kind") == "email", spelled).otherwise(F.regexp_replace(found, r"^\+[0-9]{1,3}[\x20.-]*", "")).alias("item"),
         F.col("text").substr(F.col("b.end") + 1, F.lit(10)).alias("after"),
     )
-    snippets = planted.unionByName(rewritten).select("seed", "label", F.coalesce(F.concat("before", "item", "after"), F.lit("")).alias("text"), F.length("before").alias("low"), F.length(F.concat("before", "item")).alias("high"))
+    snippets = planted.unionByName(rewritten)
+    snippets = written(snippets.select("seed", "label", F.coalesce(F.concat("before", "item", "after"), F.lit("")).alias("text"), F.length("before").alias("low"), F.length(F.concat("before", "item")).alias("high")), "pii-snippets")
     held = (F.crc32(F.col("seed").cast("binary")) % 4 == 2).alias("held")
-    found = snippets.select("label", held, "low", "high", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("cand"))
-    proposed = found.select("label", "held", "low", "high", "base", F.explode("cand").alias("c"))
+    body = F.coalesce("text", F.lit(""))
+    found = snippets.select("label", held, "low", "high", base_spans(body).alias("base"), candidates(body).alias("cand"))
+    proposed = found.select("label", "held", "low", "high", "base", F.explode_outer("cand").alias("c")).where("c IS NOT NULL")
     own = (F.col("c.start") < F.col("high")) & (F.col("c.end") > F.col("low"))
     unseen = ~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
     return proposed.where(own & unseen).select("label", "held", *[F.col(f"c.{k}").alias(k) for k in FEATURES])
