@@ -36,9 +36,7 @@ def shown(spark: SparkSession, mode: str, path: str, pages: list[int] | None = N
     """Ordered rows of a mode for the documents at ``path`` (a file, folder or pattern), with each document's path."""
     files = render.read_files(spark, path)
     find, order = MODES[mode]
-    rows = find(Parsed(files.select("doc_id", "content")), space)
-    if pages is not None and "page_index" in rows.columns:
-        rows = rows.where(F.col("page_index").isin(pages))
+    rows = find(Parsed(files.select("doc_id", "content"), pages), space)
     return files.select("doc_id", "path").join(rows, "doc_id").orderBy("path", *order[1:]).drop("doc_id")
 
 

@@ -6,7 +6,7 @@ this (lines, words, sections, sums) is relational.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 from pagequarry.kernels import syntax
@@ -31,12 +31,22 @@ def place(m: tuple, x: float, y: float) -> tuple[float, float]:
 _CONSTANTS = {b"true": True, b"false": False, b"null": None}
 
 
-def operations(data: bytes) -> Iterator[tuple[str, list, int]]:
+def operations(data: bytes, cuts: Sequence[int] = ()) -> Iterator[tuple[str, list, int]]:
     """(operator, operands, offset); an inline image is one operation ``BI`` with its dictionary and bytes.
 
-    Stray closing marks are skipped; what follows malformed syntax is not read.
+    ``cuts`` are the offsets where further streams begin. Stray closing marks are
+    skipped. Malformed syntax gives an operation ``error`` and ends its stream alone;
+    operands may stand in the stream before their operator.
     """
-    at, operands, outer, match = 0, [], [], syntax.TOKEN.match
+    operands: list = []
+    starts = [0, *cuts]
+    for begin, end in zip(starts, [*starts[1:], len(data)], strict=True):
+        operands = yield from _operations(data[begin:end] if len(starts) > 1 else data, begin, operands)
+
+
+def _operations(data: bytes, base: int, operands: list) -> Generator[tuple[str, list, int], None, list]:
+    """Operations of one stream that begins at ``base``; returns the operands left over."""
+    at, outer, match = 0, [], syntax.TOKEN.match
     try:
         while True:
             m = match(data, at)
@@ -51,7 +61,7 @@ def operations(data: bytes) -> Iterator[tuple[str, list, int]]:
                 if word == b"BI":
                     values = Values(data, at, references=False)
                     operands, at = _inline_image(values), values.at
-                yield word.decode("latin-1"), operands, m.start(i)
+                yield word.decode("latin-1"), operands, base + m.start(i)
                 operands = []
             elif i == syntax.NUMBER:
                 raw = m[i]
@@ -77,9 +87,12 @@ def operations(data: bytes) -> Iterator[tuple[str, list, int]]:
                     outer[-1].append(operands)
                     operands = outer.pop()
             elif i is None:
-                return
-    except (SyntaxIssue, RecursionError):
-        return
+                if at < len(data):
+                    raise SyntaxIssue("unterminated hex string", at)
+                return outer[0] if outer else operands
+    except (SyntaxIssue, RecursionError) as e:
+        yield "error", [str(e)], base + at
+        return []
 
 
 def _inline_image(values: Values) -> list:
@@ -151,6 +164,7 @@ class Scope:
     properties: dict = field(default_factory=dict)
     states: dict = field(default_factory=dict)
     forms: dict[str, Form] = field(default_factory=dict)
+    images: set[str] = field(default_factory=set)
 
 
 #: Parameters of an extended graphics state and the numbers they set.
@@ -165,6 +179,8 @@ class Machine:
 
     With ``flatten`` forms are expanded in place: no row for themselves, their own
     matrix and resources, a cycle ends where it would close; and no tag rows.
+    ``kinds`` and ``operators`` say which rows are wanted: others are not made, and
+    without text among the kinds no glyph is placed. Errors always come.
     """
 
     fonts: dict[str, Font] = field(default_factory=dict)
@@ -173,23 +189,29 @@ class Machine:
     state: State = field(default_factory=State)
     scopes: dict[int, Scope] = field(default_factory=dict)
     flatten: bool = False
+    kinds: frozenset[str] | None = None
+    operators: frozenset[str] | None = None
 
     def __post_init__(self) -> None:
         self.scopes.setdefault(0, Scope(self.fonts, self.properties))
         self.seq = self.n_marks = 0
 
-    def run(self, data: bytes) -> Iterator[dict]:
+    def wants(self, kind: str, op: str) -> bool:
+        return (self.kinds is None or kind in self.kinds) and (self.operators is None or op in self.operators)
+
+    def run(self, data: bytes, cuts: Sequence[int] = (), scope: int = 0) -> Iterator[dict]:
         self.state = replace(self.state, ctm=self.matrix)
-        yield from self._run(data, 0, (), [])
+        yield from self._run(data, scope, (scope,) if scope else (), [], cuts)
 
-    def _run(self, data: bytes, scope: int, path: tuple, outer: list) -> Iterator[dict]:
+    def _run(self, data: bytes, scope: int, path: tuple, outer: list, cuts: Sequence[int] = ()) -> Iterator[dict]:
         own = self.scopes.get(scope) or Scope()
         self.fonts = own.fonts
         stack, marked = [], []
         tm = line = IDENTITY
         segments: list[tuple[str, list[float]]] = []
         clip = False
-        for op, a, offset in operations(data):
+        texts, paths = (self.kinds is None or k in self.kinds for k in ("text", "path"))
+        for op, a, offset in operations(data, cuts):
             s = self.state
             seq, self.seq = self.seq, self.seq + 1
 
@@ -202,9 +224,10 @@ class Machine:
                         s.word, s.char = float(a[0]), float(a[1])
                     if op in ("T*", "'", '"'):
                         tm = line = times(line, (1, 0, 0, 1, 0, -s.leading))
-                    if op != "T*":
+                    if op != "T*" and texts:
                         shown, tm = self._show(a[-1] if op == "TJ" else [a[-1]], tm)
-                        yield row("text", **shown)
+                        if self.wants("text", op):
+                            yield row("text", **shown)
                 elif op in ("Td", "TD"):
                     x, y = float(a[0]), float(a[1])
                     if op == "TD":
@@ -228,6 +251,8 @@ class Machine:
                     s.render = int(a[0])
                 elif op == "Tm":
                     tm = line = tuple(map(float, a[:6]))
+                elif op == "error":
+                    yield row("error", error=a[0])
                 elif op in ("m", "l", "c", "v", "y"):
                     segments.append((op, [float(x) for x in a]))
                 elif op == "h":
@@ -241,7 +266,7 @@ class Machine:
                 elif op in ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n"):
                     if op in ("s", "b", "b*") and segments:
                         segments.append(("h", []))
-                    if op != "n" and segments:
+                    if op != "n" and segments and paths and self.wants("path", op):
                         yield row("path", **self._path(op, segments))
                     s.clips += clip
                     segments, clip = [], False
@@ -255,8 +280,10 @@ class Machine:
                             yield from self._run(form.content, form.scope, (*path, form.scope), [*outer, *marked])
                             self.state, self.fonts = s, own.fonts
                         continue
-                    corners = [place(s.ctm, x, y) for x in (0, 1) for y in (0, 1)]
-                    yield row("image" if op == "BI" else "xobject", name="" if op == "BI" else a[0][1:], bbox=_bounds(corners))
+                    name = "" if op == "BI" else a[0][1:]
+                    kind = "image" if op == "BI" or name in own.images else "xobject"
+                    if self.wants(kind, op) and not (self.flatten and kind == "xobject"):
+                        yield row(kind, name=name, bbox=_bounds([place(s.ctm, x, y) for x in (0, 1) for y in (0, 1)]))
                 elif op in ("BMC", "BDC", "MP", "DP"):
                     p = a[1] if len(a) > 1 else {}
                     p = own.properties.get(p[1:]) if isinstance(p, str) else p
@@ -266,7 +293,7 @@ class Machine:
                     mark = {"id": self.n_marks, "tag": a[0][1:], "mcid": (p or {}).get("MCID"), "actual": (p or {}).get("ActualText")}
                     if op in ("BMC", "BDC"):
                         marked.append(mark)
-                    elif not self.flatten:
+                    elif not self.flatten and self.wants("tag", op):
                         found = row("tag", name=mark["tag"])
                         found["marked"].append(mark)
                         yield found

@@ -95,17 +95,45 @@ def _stream(data: bytes, begin: int) -> dict:
     return _checked({"at": begin, "trailer": {k: v for k, v in value.items() if k not in (*DECODE_KEYS, "W", "Index", "Length", "Type")}, "entries": entries})
 
 
-def resolved(value: object, of: dict[str, object], depth: int = 8) -> object:
-    """``value`` with references followed, at most ``depth`` in a row and inside lists and dictionaries."""
-    while isinstance(value, str) and value in of and depth:
-        value, depth = of[value], depth - 1
+def resolved(value: object, of: dict[str, object], trail: tuple[str, ...] = ()) -> object:
+    """``value`` with references followed, also inside lists and dictionaries; one that leads back to itself stays."""
+    while isinstance(value, str) and value in of and value not in trail:
+        value, trail = of[value], (*trail, value)
     if isinstance(value, list):
-        return [resolved(v, of, depth - 1) if depth else v for v in value]
+        return [resolved(v, of, trail) for v in value]
     if isinstance(value, dict):
-        return {k: resolved(v, of, depth - 1) if depth else v for k, v in value.items()}
+        return {k: resolved(v, of, trail) for k, v in value.items()}
     return value
 
 
+def content_refs(page: dict, of: dict[str, object]) -> list[str]:
+    """References of a page's content streams, in order."""
+    found, seen = page.get("Contents"), set()
+    while isinstance(found, str) and isinstance(of.get(found), (list, str)) and found not in seen:
+        seen.add(found)
+        found = of[found]
+    return [x for x in (found if isinstance(found, list) else [found]) if isinstance(x, str)]
+
+
+def page_refs(trailer: dict, of: dict[str, object], scanned: list[str]) -> list[str]:
+    """Pages in the order of their tree; without a readable root the page dictionaries as ``scanned``."""
+    top = of.get(trailer.get("Root") or "")
+    todo, seen, out = [top.get("Pages") if isinstance(top, dict) else None], set(), []
+    while todo:
+        at = todo.pop()
+        node = of.get(at) if isinstance(at, str) else None
+        if not isinstance(node, dict) or at in seen:
+            continue
+        kids = node.get("Kids")
+        kids = of.get(kids) if isinstance(kids, str) else kids
+        if isinstance(kids, list):
+            seen.add(at)
+            todo += reversed(kids)
+        elif node.get("Type") == "/Page":
+            out.append(at)
+    return out or scanned
+
+
 def members(container: dict, spec: dict) -> list[dict]:
     """Objects of an object stream; one row with the error if it is damaged."""
     base = {"gen": 0, "offset": container["offset"], "container": container["obj"], "stream": None, "value": None, "error": None}
@@ -118,14 +146,15 @@ def members(container: dict, spec: dict) -> list[dict]:
         return [base | {"obj": container["obj"], "idx": None, "error": f"object stream: {e}"}]
 
 
-def read(data: bytes) -> Iterator[dict]:
+def read(data: bytes, pages: frozenset[int] | None = None) -> Iterator[dict]:
     """Rows of kind object (source order), section, entry and one of kind document.
 
     An object is ``live`` if the newest entry of its number leads to it. Where an
     entry leads elsewhere the first declaration stands in (``repaired``). Without
     readable sections the document is recovered from the objects alone: the first
     declaration of a number and generation holds; ``error`` of the document row
-    says what was wrong.
+    says what was wrong. ``shown`` marks the streams that pages show; with
+    ``pages`` (numbers from 0) those of other pages alone are left out.
     """
     rows = []
     for row in syntax.indirect_objects(data):
@@ -160,17 +189,28 @@ def read(data: bytes) -> Iterator[dict]:
     for r in listed:
         if id(r) in live:
             of[f"{r['obj']} {r['gen']} R"] = r["value"]
+    trailer: dict = {}
+    for section in found:
+        trailer = section["trailer"] | trailer
+    trailer = trailer or scanned_trailer(data, listed)
+    held = {f"{r['obj']} {r['gen']} R": r["value"] for r in listed if id(r) in live and isinstance(r["value"], dict) and r["value"].get("Type") == "/Page"}
+    shown = {ref: content_refs(page, of) for ref, page in held.items()}
+    contents = {x for refs in shown.values() for x in refs}
+    if pages is not None:
+        kept = {x for k, ref in enumerate(page_refs(trailer, of, list(held))) if k in pages for x in shown.get(ref, ())}
+        for r in listed:
+            ref = f"{r['obj']} {r['gen']} R"
+            if ref in contents and ref not in kept:
+                r["stream"] = None
     for seq, r in enumerate(listed):
         value = r["value"]
         keys = DECODE_KEYS if r["stream"] is not None else FONT_KEYS if isinstance(value, dict) and (value.get("Type") == "/Font" or "BaseFont" in value) else ()
         deep = {k: resolved(value[k], of) for k in keys if k in value}
         yield r | {
             "kind": "object", "seq": seq, "live": id(r) in live, "repaired": live.get(id(r), False),
-            "value": json.dumps(value), "resolved": json.dumps(value | deep) if deep else None,
+            "shown": id(r) in live and f"{r['obj']} {r['gen']} R" in contents, "value": json.dumps(value), "resolved": json.dumps(value | deep) if deep else None,
         }
-    trailer: dict = {}
     for rev, s in enumerate(found):
-        trailer = s["trailer"] | trailer
         yield {"kind": "section", "seq": rev, "rev": rev, "offset": s["at"], "value": json.dumps(s["trailer"])}
         for obj, gen, kind, where, idx in s["entries"]:
             packed = kind == _PACKED
@@ -181,7 +221,7 @@ def read(data: bytes) -> Iterator[dict]:
     version = re.search(rb"%PDF-(\d+\.\d+)", data)
     if not version:
         error = "no header" + (f"; {error}" if error else "")
-    state = {"trailer": trailer or scanned_trailer(data, listed), "version": version[1].decode() if version else None}
+    state = {"trailer": trailer, "version": version[1].decode() if version else None}
     yield {"kind": "document", "seq": 0, "value": json.dumps(state), "error": error}
 
 

@@ -40,7 +40,7 @@ def described(space: Column) -> Column:
     DeviceN has as many components as colorants; ICCBased as its profile says.
     """
     parts = items(space)
-    name = F.substring(F.when(space.startswith("["), F.get(parts, F.lit(0))).otherwise(space), 2, 40)
+    name = F.substring(F.when(space.startswith("["), F.get(parts, F.lit(0))).otherwise(space), 2, 2**30)
     second = F.get(parts, F.lit(1))
     fixed = F.create_map(*[F.lit(x) for pair in COMPONENTS.items() for x in pair])[name]
     n = F.when(name == "DeviceN", F.size(items(second))).when(name == "ICCBased", field(second, "N").try_cast("int")).otherwise(fixed)
@@ -99,11 +99,11 @@ def fonts(live: DataFrame, entries: DataFrame) -> DataFrame:
     Where pages use one name for several fonts the later page's holds.
     """
     own = entries.where("category = 'Font'")
-    name = F.regexp_replace(F.substring(field("spec", "BaseFont"), 2, 200), "^[A-Z]{6}[+]", "")
+    name = F.regexp_replace(F.substring(field("spec", "BaseFont"), 2, 2**30), "^[A-Z]{6}[+]", "")
     kid = F.get(items(field("spec", "DescendantFonts")), F.lit(0))
     found = own.select(
-        "doc_id", "page_index", F.coalesce(name, "name").alias("name"), F.substring(field("spec", "Subtype"), 2, 40).alias("kind"),
-        F.when(field("spec", "Encoding").startswith("/"), F.substring(field("spec", "Encoding"), 2, 60)).alias("encoding"),
+        "doc_id", "page_index", F.coalesce(name, "name").alias("name"), F.substring(field("spec", "Subtype"), 2, 2**30).alias("kind"),
+        F.when(field("spec", "Encoding").startswith("/"), F.substring(field("spec", "Encoding"), 2, 2**30)).alias("encoding"),
         F.coalesce(field("spec", "FontDescriptor"), field(kid, "FontDescriptor")).alias("d"), field("spec", "ToUnicode").isNotNull().alias("has_unicode"),
     )
     described_rows = resolved(found, live, "d")

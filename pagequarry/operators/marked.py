@@ -24,7 +24,7 @@ def sections(operations: DataFrame, entries: DataFrame) -> DataFrame:
     BDC with neither a dictionary nor a known properties resource opens nothing.
     """
     operands = F.from_json("operands", "array<string>")
-    ops = operations.where("operator IN ('BMC', 'BDC', 'EMC')").select(*PAGE, "seq", "operator", F.substring(F.get(operands, F.lit(0)), 2, 200).alias("tag"), F.get(operands, F.lit(1)).alias("p"))
+    ops = operations.where("operator IN ('BMC', 'BDC', 'EMC')").select(*PAGE, "seq", "operator", F.substring(F.get(operands, F.lit(0)), 2, 2**30).alias("tag"), F.get(operands, F.lit(1)).alias("p"))
     named = entries.where("scope = 0 AND category = 'Properties'").select(*PAGE, F.concat(F.lit("/"), "name").alias("p"), F.col("value").alias("known"))
     met = ops.join(named, [*PAGE, "p"], "left").withColumn("data", F.coalesce("known", "p"))
     valid = met.where((F.col("operator") != "BDC") | F.col("data").startswith("{"))

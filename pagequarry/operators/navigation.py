@@ -124,7 +124,7 @@ def destination_columns(rows: DataFrame) -> DataFrame:
     params = F.transform(F.slice("array", 3, 8), lambda x: x.try_cast("double"))
     found = rows.withColumn("array", array).withColumn("view", view).withColumn("params", F.when(F.size("array") >= 2, params))
     ok = need[F.col("view")] <= F.size("params")
-    return found.select("doc_id", "name", "array", ref(F.get("array", F.lit(0))).alias("page_obj"), F.when(ok, F.substring("view", 2, 9)).alias("view"), F.when(ok, F.col("params")).alias("params"))
+    return found.select("doc_id", "name", "array", ref(F.get("array", F.lit(0))).alias("page_obj"), F.when(ok, F.substring("view", 2, 2**30)).alias("view"), F.when(ok, F.col("params")).alias("params"))
 
 
 # Parameters that each destination view needs.
@@ -188,7 +188,7 @@ def page_labels(live: DataFrame, roots: DataFrame, pages: DataFrame) -> DataFram
     ranges = resolved(own.unionByName(number_tree(live, starts)), live, "value").where("key IS NOT NULL")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) == 1
     spec = F.struct(
-        F.when(first, 0).otherwise(F.col("key")).alias("first"), F.substring(field("value", "S"), 2, 9).alias("style"),
+        F.when(first, 0).otherwise(F.col("key")).alias("first"), F.substring(field("value", "S"), 2, 2**30).alias("style"),
         F.coalesce(text_value(field("value", "P")), F.lit("")).alias("prefix"), F.coalesce(field("value", "St").try_cast("int"), F.lit(1)).alias("start"),
     )
     rules = ranges.withColumn("spec", spec).select("doc_id", F.col("spec.first").alias("first"), "spec")
@@ -230,9 +230,9 @@ def resolved_targets(rows: DataFrame, live: DataFrame, named: DataFrame, pages:
     usable = (F.size("_array") >= 2) & ~wrong
     return (
         placed.withColumn("page_index", F.when(usable, F.when(ref(place).isNotNull(), F.col("_at")).otherwise(numbered)))
-        .withColumn("view", F.when(usable, F.substring(view, 2, 9)))
+        .withColumn("view", F.when(usable, F.substring(view, 2, 2**30)))
         .withColumn("params", F.when(usable, F.transform(F.slice("_array", 3, 8), lambda x: x.try_cast("double"))))
-        .withColumn("target_error", F.when(wrong, F.concat(F.substring(view, 2, 9), F.lit(": wrong number of parameters"))))
+        .withColumn("target_error", F.when(wrong, F.concat(F.substring(view, 2, 2**30), F.lit(": wrong number of parameters"))))
         .drop("_name", "_array", "_named", "_page", "_at")
     )
 
@@ -254,7 +254,7 @@ def target_positions(targets: DataFrame, pages: DataFrame, space: str = "page")
 ACTION_KINDS = ("GoTo", "GoToR", "GoToE", "URI", "Named", "Launch", "JavaScript")
 
 
-def actions(rows: DataFrame, live: DataFrame, rounds: int = 64) -> DataFrame:
+def actions(rows: DataFrame, live: DataFrame) -> DataFrame:
     """``rows`` (doc_id, key, action) as chains: doc_id, key, step, kind, target, file, uri, named, script.
 
     A plain array is a GoTo. ``Next`` names one action or several; an action that
@@ -262,7 +262,7 @@ def actions(rows: DataFrame, live: DataFrame, rounds: int = 64) -> DataFrame:
     """
     first = rows.select("doc_id", "key", F.col("action").alias("a"), F.array().cast("array<string>").alias("trail"), F.array(F.lit(0)).alias("step"))
     found = []
-    for _ in range(rounds):
+    while True:
         level = written(resolved(first.withColumn("own", F.col("a")), live, "a").where("a IS NOT NULL"), "actions")
         if level.isEmpty():
             break
@@ -275,7 +275,7 @@ def actions(rows: DataFrame, live: DataFrame, rounds: int = 64) -> DataFrame:
     told = found[0] if found else first.withColumn("own", F.col("a"))
     for level in found[1:]:
         told = told.unionByName(level)
-    kind = F.when(F.col("a").startswith("["), "GoTo").otherwise(F.substring(field("a", "S"), 2, 40))
+    kind = F.when(F.col("a").startswith("["), "GoTo").otherwise(F.substring(field("a", "S"), 2, 2**30))
     target = F.when(F.col("a").startswith("["), F.col("a")).when(kind.isin("GoTo", "GoToR", "GoToE"), field("a", "D"))
     file = F.coalesce(field("a", "F", "UF"), field("a", "F", "F"), field("a", "F"))
     return told.select(

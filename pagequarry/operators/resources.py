@@ -79,26 +79,33 @@ def resources(live: DataFrame, page: DataFrame) -> DataFrame:
     return on_pages(shared(live, page), page)
 
 
-def with_named(page: DataFrame, live: DataFrame, entries: DataFrame) -> DataFrame:
-    """``page`` with ``named``: what the page machine needs of fonts, properties, graphics states and forms, from :func:`shared`."""
-    wanted = entries.where("category IN ('Font', 'Properties', 'ExtGState') OR category = 'XObject'")
-    wanted = wanted.where((F.col("category") != "XObject") | (field("value", "Subtype") == "/Form"))
+def dictionaries(live: DataFrame, entries: DataFrame) -> DataFrame:
+    """doc_id, res and ``named``: what the page machine needs of fonts, properties, graphics states, forms and images, from :func:`shared`; once a dictionary."""
+    shape = field("value", "Subtype")
+    wanted = entries.where(F.col("category").isin("Font", "Properties", "ExtGState") | ((F.col("category") == "XObject") & shape.isin("/Form", "/Image")))
     is_font = F.col("category") == "Font"
     keyed = wanted.withColumn("map_obj", F.when(is_font, ref(field("value", "ToUnicode")))).withColumn("code_obj", F.when(is_font, ref(field("value", "Encoding"))))
-    streams = live.where("stream IS NOT NULL").select("doc_id", "obj", F.coalesce("resolved", "value").alias("s"), "stream")
+    streams = live.where("stream IS NOT NULL AND NOT shown").select("doc_id", "obj", F.coalesce("resolved", "value").alias("s"), "stream")
 
     def with_stream(df: DataFrame, key: str, prefix: str) -> DataFrame:
         own = streams.select("doc_id", F.col("obj").alias(key), F.col("s").alias(f"{prefix}spec_"), F.col("stream").alias(f"{prefix}stream"))
         return df.join(own, ["doc_id", key], "left")
 
     joined = with_stream(with_stream(keyed, "map_obj", "map_"), "code_obj", "code_")
-    forms = joined.withColumn("form_obj", F.when(F.col("category") == "XObject", F.col("obj")))
+    forms = joined.withColumn("form_obj", F.when(shape == "/Form", F.col("obj")))
     full = with_stream(forms, "form_obj", "")
     packed = F.struct(
         "scope", "category", "name", "obj", "spec", "stream", F.col("map_spec_").alias("map_spec"), "map_stream", F.col("code_spec_").alias("code_spec"), "code_stream"
     )
-    own = full.groupBy("doc_id", "res").agg(F.collect_list(packed).alias("named"))
-    return with_res(page).join(own, ["doc_id", "res"], "left").drop("res")
+    return full.groupBy("doc_id", "res").agg(F.collect_list(packed).alias("named"))
+
+
+def form_pages(page: DataFrame, entries: DataFrame) -> DataFrame:
+    """Every form of every dictionary as a view of its own, on the first page that has the dictionary: rows for :func:`tables.folding`."""
+    own = with_res(page).where("res IS NOT NULL").groupBy("doc_id", "res").agg(F.min("page_index").alias("page_index"))
+    found = entries.where("category = 'XObject' AND obj IS NOT NULL").where(field("value", "Subtype") == "/Form")
+    each = found.groupBy("doc_id", "res", F.col("obj").alias("scope")).agg(F.count(F.lit(1)))
+    return own.join(each, ["doc_id", "res"]).select("doc_id", "page_index", "res", "scope", F.lit("{}").alias("value"), F.lit(None).cast("array<double>").alias("matrix"))
 
 
 def images(entries: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def elements(live: DataFrame, roots: DataFrame) -> DataFrame:
     kids = tops.unionByName(inner).where("k IS NOT NULL").select("doc_id", "parent", F.posexplode(listed).alias("ord", "kid"))
     edges = kids.select("doc_id", "parent", F.col("ord").cast("long").alias("ord"), ref(F.col("kid")).alias("node")).where("node IS NOT NULL")
     values = live.where(field("value", "S").isNotNull()).select(
-        "doc_id", F.col("obj").alias("node"), F.lit("").alias("name"), ref(field("value", "Pg")).alias("page_obj"), F.substring(field("value", "S"), 2, 999).alias("raw_role"),
+        "doc_id", F.col("obj").alias("node"), F.lit("").alias("name"), ref(field("value", "Pg")).alias("page_obj"), F.substring(field("value", "S"), 2, 2**30).alias("raw_role"),
         *[text_value(field("value", k)).alias(c) for k, c in (("T", "title"), ("Lang", "lang"), ("Alt", "alt"), ("ActualText", "actual_text"))],
     )
     outer = F.when(F.col("actual_text").isNotNull(), F.struct("node", F.col("actual_text").alias("text"))).alias("outer")
@@ -34,7 +34,7 @@ def elements(live: DataFrame, roots: DataFrame) -> DataFrame:
     reached = trees.walk(linked, ["doc_id"], inherit=INHERITED, outer=("outer",))
     dfs = F.row_number().over(Window.partitionBy("doc_id").orderBy("order")) - 1
     named = reached.withColumn("dfs_index", dfs).join(values.drop("name", "page_obj"), ["doc_id", "node"]).join(roles, "doc_id", "left")
-    role = F.coalesce(F.substring(F.col("roles")[F.col("raw_role")], 2, 999), "raw_role")
+    role = F.coalesce(F.substring(F.col("roles")[F.col("raw_role")], 2, 2**30), "raw_role")
     return named.select("doc_id", "node", "parent", "depth", "dfs_index", role.alias("role"), "raw_role", "page_obj", "title", "lang", "alt", "actual_text", "outer")
 
 

@@ -10,8 +10,9 @@ never fails a job: the row carries ``error``.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,10 @@ from pagequarry.kernels import document, filters, fonts, syntax
 from pagequarry.operators import sequences, trees
 from pagequarry.sources.store import written
 
-OBJECT_COLUMNS = ("doc_id", "seq", "obj", "gen", "offset", "container", "value", "stream", "resolved", "live", "repaired", "error")
+OBJECT_COLUMNS = ("doc_id", "seq", "obj", "gen", "offset", "container", "value", "stream", "resolved", "live", "repaired", "shown", "error")
 PARTS = (
     "doc_id long, kind string, seq int, obj int, gen int, `offset` long, container int, idx int, rev int, free boolean, live boolean, "
-    "repaired boolean, value string, resolved string, stream binary, error string"
+    "repaired boolean, shown boolean, value string, resolved string, stream binary, error string"
 )
 GLYPH = "struct<text:string,x:double,y:double,dx:double,dy:double>"
 MARK = "struct<id:int,tag:string,mcid:int,actual:string>"
@@ -82,16 +83,19 @@ def bare(value: Column) -> Column:
     return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")).otherwise(value)
 
 
-def parts(corpus: DataFrame) -> DataFrame:
+def parts(corpus: DataFrame, pages: Collection[int] | None = None) -> DataFrame:
     """Everything that one pass over each document's bytes gives, by ``kind``: object, section, entry, document.
 
     Objects come in source order, those of object streams right behind their
     container; ``live`` marks the ones that the newest cross-reference entries (or,
-    in a recovered document, the first declarations) make current.
+    in a recovered document, the first declarations) make current, ``shown`` the
+    streams that pages show. With ``pages`` (numbers from 0) the content of other
+    pages is left where it is: it is neither written nor moved.
     """
+    chosen = None if pages is None else frozenset(pages)
 
     def rows_of(doc: dict) -> Iterator[dict]:
-        for row in document.read(doc["content"] or b""):
+        for row in document.read(doc["content"] or b"", chosen):
             yield row | {"doc_id": doc["doc_id"]}
 
     return expanded(corpus.select("doc_id", "content"), rows_of, PARTS)
@@ -166,20 +170,30 @@ def tokens(corpus: DataFrame) -> DataFrame:
 INHERITED = ("MediaBox", "CropBox", "Resources", "Rotate", "UserUnit")
 
 
-def pages(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """Leaves of the page tree in order, with inherited attributes as JSON."""
+def pages(live: DataFrame, roots: DataFrame, chosen: Collection[int] | None = None) -> DataFrame:
+    """Leaves of the page tree in order, with inherited attributes as JSON; of ``chosen`` page numbers only, if given.
+
+    A document whose tree has no pages gives its page dictionaries in source order. A page that
+    the tree names again has an ``error`` there.
+    """
     nodes = live.where(F.coalesce(field("value", "Type"), F.lit("/Pages")).isin("/Page", "/Pages") & (field("value", "Kids").isNotNull() | (field("value", "Type") == "/Page")))
     kids = nodes.select("doc_id", F.col("obj").alias("parent"), F.posexplode(F.from_json(field("value", "Kids"), "array<string>")).alias("ord", "kid"))
     edges = kids.select("doc_id", "parent", F.col("ord").cast("long").alias("ord"), ref(F.col("kid")).alias("node"))
     tops = roots.select("doc_id", F.lit(None).cast("int").alias("parent"), F.lit(0).cast("long").alias("ord"), ref(field("catalog", "Pages")).alias("node"))
-    values = nodes.select("doc_id", F.col("obj").alias("node"), "gen", "value", F.lit("").alias("name"), *[field("value", k).alias(k) for k in INHERITED])
-    linked = written(edges.unionByName(tops).join(values.drop("gen", "value"), ["doc_id", "node"]), "page-nodes")  # read once per level
-    reached = trees.walk(linked, ["doc_id"], inherit=INHERITED)
-    leaves = reached.join(values.select("doc_id", "node", "gen", "value"), ["doc_id", "node"]).where(field("value", "Kids").isNull())
+    values = nodes.select("doc_id", F.col("obj").alias("node"), "gen", "seq", "value", F.lit("").alias("name"), *[field("value", k).alias(k) for k in INHERITED])
+    linked = written(edges.unionByName(tops).join(values.drop("gen", "seq", "value"), ["doc_id", "node"]), "page-nodes")  # read once per level
+    reached = trees.walk(linked, ["doc_id"], inherit=INHERITED).select("doc_id", "node", "order", *INHERITED)
+    own = values.select("doc_id", "node", "gen", "seq", "value").where(field("value", "Kids").isNull())
+    leaves = reached.join(own, ["doc_id", "node"])
+    scanned = values.where(field("value", "Type") == "/Page").withColumn("order", F.array(F.col("seq").cast("long")))
+    loose = scanned.join(leaves.select("doc_id").distinct(), "doc_id", "left_anti").select(*leaves.columns)
     place = Window.partitionBy("doc_id").orderBy("order")
-    return leaves.select(
-        "doc_id", (F.row_number().over(place) - 1).alias("page_index"), F.col("node").alias("obj"), "gen", "value", *INHERITED
+    again = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("order")) > 1
+    found = leaves.unionByName(loose).withColumn("page_index", F.row_number().over(place) - 1)
+    found = found.select(
+        "doc_id", "page_index", F.col("node").alias("obj"), "gen", "value", *INHERITED, F.when(again, "the tree names the page again").alias("error")
     )
+    return found if chosen is None else found.where(F.col("page_index").isin(*chosen))
 
 
 def page_geometry(page: DataFrame) -> DataFrame:
@@ -203,11 +217,11 @@ def object_at(live: DataFrame, found: DataFrame) -> DataFrame:
     return live.join(found.select("doc_id", "obj").distinct(), ["doc_id", "obj"], "left_semi")
 
 
-def chained(rows: DataFrame, live: DataFrame, column: str, rounds: int = 32) -> DataFrame:
+def chained(rows: DataFrame, live: DataFrame, column: str) -> DataFrame:
     """``rows`` with references to references in ``column`` followed to a value; a cycle, or nothing there, gives null."""
     values = live.select("doc_id", F.col("obj").alias("_obj"), bare(F.col("value")).alias("_value"))
     met = rows.withColumn("_trail", F.array().cast("array<string>"))
-    for _ in range(rounds):
+    while True:
         met = written(met, "chain")
         if met.where(ref(F.col(column)).isNotNull()).isEmpty():
             break
@@ -260,8 +274,8 @@ def page_streams(live: DataFrame, page: DataFrame, *keep: str) -> DataFrame:
     return single.unionByName(gathered)
 
 
-def joined_streams(streams: list[dict] | None) -> tuple[bytes, str | None]:
-    """Decoded streams joined by line feeds, and what was wrong with those that could not be decoded."""
+def joined_streams(streams: list[dict] | None) -> tuple[bytes, list[int], str | None]:
+    """Decoded streams joined by line feeds, where those after the first begin, and what was wrong with those that could not be decoded."""
     out, errors = [], []
     for s in streams or ():
         try:
@@ -269,28 +283,37 @@ def joined_streams(streams: list[dict] | None) -> tuple[bytes, str | None]:
         except filters.FilterIssue as e:
             out.append(b"")
             errors.append(str(e))
-    return b"\n".join(out), "; ".join(errors) or None
+    cuts, at = [], 0
+    for part in out[:-1]:
+        at += len(part) + 1
+        cuts.append(at)
+    return b"\n".join(out), cuts, "; ".join(errors) or None
 
 
 def page_bytes(live: DataFrame, page: DataFrame) -> DataFrame:
-    """doc_id, page_index, the page's decoded content and the ``error`` of streams that could not be decoded."""
+    """doc_id, page_index, the page's decoded content, ``cuts`` where further streams begin, and the ``error`` of those that could not be decoded."""
 
     def rows_of(p: dict) -> Iterator[dict]:
-        data, error = joined_streams(p["streams"])
-        yield {"doc_id": p["doc_id"], "page_index": p["page_index"], "content": data, "error": error}
+        data, cuts, error = joined_streams(p["streams"])
+        yield {"doc_id": p["doc_id"], "page_index": p["page_index"], "content": data, "cuts": cuts, "error": error}
 
-    return expanded(page_streams(live, page), rows_of, "doc_id long, page_index int, content binary, error string")
+    return expanded(page_streams(live, page), rows_of, "doc_id long, page_index int, content binary, cuts array<int>, error string")
 
 
 def operations(content: DataFrame) -> DataFrame:
-    """Content operations in order: doc_id, page_index, seq, operator, operands (JSON), offset; of :func:`page_bytes`."""
+    """Content operations in order: doc_id, page_index, seq, operator, operands (JSON), offset; of :func:`page_bytes`.
+
+    Malformed syntax ends its stream with a row that has no operator but an ``error``.
+    """
+    cuts = F.col("cuts") if "cuts" in content.columns else F.array().cast("array<int>")
 
     def rows_of(page: dict) -> Iterator[dict]:
-        for k, (op, operands, at) in enumerate(machine.operations(page["content"] or b"")):
-            yield {"doc_id": page["doc_id"], "page_index": page["page_index"], "seq": k, "operator": op, "operands": json.dumps(operands), "offset": at}
+        for k, (op, operands, at) in enumerate(machine.operations(page["content"] or b"", page["cuts"] or ())):
+            row = {"doc_id": page["doc_id"], "page_index": page["page_index"], "seq": k, "offset": at}
+            yield row | ({"error": operands[0]} if op == "error" else {"operator": op, "operands": json.dumps(operands)})
 
-    schema = "doc_id long, page_index int, seq int, operator string, operands string, `offset` long"
-    return expanded(content.select("doc_id", "page_index", "content"), rows_of, schema)
+    schema = "doc_id long, page_index int, seq int, operator string, operands string, `offset` long, error string"
+    return expanded(content.select("doc_id", "page_index", "content", cuts.alias("cuts")), rows_of, schema)
 
 
 class Runs:
@@ -338,39 +361,97 @@ class Runs:
         return out
 
 
-def interpreted(page: DataFrame, flatten: bool = False) -> DataFrame:
-    """Text runs, paths, images, forms and tags of each page in paint order.
+def listed_contents(live: DataFrame, page: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, page_index, ``keep`` and the object numbers of the page's content streams, in order."""
+    arrays = live.where(F.col("value").startswith("[")).select("doc_id", F.col("obj").alias("_obj"), F.col("value").alias("_array"))
+    one = page.select("doc_id", "page_index", *keep, field("value", "Contents").alias("c")).withColumn("_obj", ref(F.col("c")))
+    found = F.coalesce("_array", "c")
+    numbers = F.transform(F.when(found.startswith("["), F.from_json(found, "array<string>")).otherwise(F.array(found)), ref)
+    return one.join(arrays, ["doc_id", "_obj"], "left").select("doc_id", "page_index", *keep, numbers.alias("contents"))
+
+
+def folding(live: DataFrame, page: DataFrame, dictionaries: DataFrame) -> DataFrame:
+    """What the page machine reads, a document in one place: its resource dictionaries, then its content streams, then its pages.
+
+    ``page`` has res (the key of its dictionary) and matrix; ``scope`` may name a form that is a view of its own.
+    Every stream and every dictionary moves once, whatever the number of pages that share it; a task holds
+    those of one document, whose bytes one task has read before.
+    """
+    scope = F.col("scope") if "scope" in page.columns else F.lit(0)
+    named_type = dictionaries.schema["named"].dataType
+    columns = {"at": "int", "res": "long", "scope": "int", "matrix": "array<double>", "contents": "array<int>", "spec": "string", "raw": "binary", "named": named_type}
+
+    def rows(df: DataFrame, part: int, **given: Column) -> DataFrame:
+        return df.select("doc_id", F.lit(part).alias("part"), *[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
+
+    streams = live.where("shown AND stream IS NOT NULL")
+    shown = listed_contents(live, page.withColumn("scope", scope), "res", "matrix", "scope")
+    all_rows = (
+        rows(dictionaries, 0, res=F.col("res"), named=F.col("named"))
+        .unionByName(rows(streams, 1, at=F.col("obj"), spec=F.coalesce("resolved", "value"), raw=F.col("stream")))
+        .unionByName(rows(shown, 2, at=F.col("page_index"), res=F.col("res"), scope=F.col("scope"), matrix=F.col("matrix"), contents=F.col("contents")))
+    )
+    # pages are small in bytes and costly to read: the number of partitions is stated, so that few bytes do not end in few tasks
+    slots = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return all_rows.repartition(slots, "doc_id").sortWithinPartitions("doc_id", "part", "at", "scope")
 
-    ``page`` has doc_id, page_index, streams (:func:`page_streams`) and, where known, ``named``
-    (of :func:`pagequarry.operators.resources.with_named`) and ``matrix``. With ``flatten`` forms are expanded in
-    place. A stream that cannot be decoded gives a row of kind ``error``.
+
+def interpreted(
+    rows: DataFrame, flatten: bool = False, kinds: Collection[str] | None = None, operators: Collection[str] | None = None, limit: int | None = None
+) -> DataFrame:
+    """Text runs, paths, images, forms and tags of each page in paint order; of :func:`folding`.
+
+    With ``flatten`` forms are expanded in place. ``kinds`` and ``operators`` reach the fold: rows of others are
+    not made. With ``limit`` a page is read no further than to that many rows. A stream that cannot be decoded or
+    ends in malformed syntax, and a form that cannot be decoded, give a row of kind ``error``.
     """
     arrow = to_arrow_schema(StructType.fromDDL(CONTENT))
-    columns = [c for c in ("doc_id", "page_index", "streams", "named", "matrix") if c in page.columns]
+    wanted = {"kinds": None if kinds is None else frozenset(kinds), "operators": None if operators is None else frozenset(operators)}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(arrow)
+        doc, named, scopes, streams = None, {}, {}, {}
         for batch in batches:
-            names, held = batch.schema.names, batch.columns
-            for i in range(batch.num_rows):
-                p = {n: c[i].as_py() for n, c in zip(names, held, strict=True)}
-                data, error = joined_streams(p["streams"])
-                if error:
-                    runs.add(p["doc_id"], p["page_index"], {"seq": -1, "kind": "error", "error": error})
-                matrix = tuple(p["matrix"]) if p.get("matrix") else machine.IDENTITY
-                for row in machine.Machine(matrix=matrix, scopes=scopes_of(p.get("named")), flatten=flatten).run(data):
-                    runs.add(p["doc_id"], p["page_index"], row)
+            held = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            ids, parts_of = held["doc_id"].to_pylist(), held["part"].to_pylist()
+
+            def at(name: str, i: int, held=held):
+                return held[name][i].as_py()
+
+            for i, (doc_id, part) in enumerate(zip(ids, parts_of, strict=True)):
+                if doc_id != doc:
+                    doc, named, scopes, streams = doc_id, {}, {}, {}
+                if part == 0:
+                    named[at("res", i)] = at("named", i)
+                    continue
+                if part == 1:
+                    streams[at("at", i)] = {"spec": at("spec", i), "raw": at("raw", i)}
+                    continue
+                res, page_index, scope = at("res", i), at("at", i), at("scope", i)
+                if res not in scopes:
+                    scopes[res] = scopes_of(named.pop(res, None))
+                own, errors = scopes[res]
+                data, cuts, error = joined_streams([streams[k] for k in at("contents", i) or () if k in streams])
+                if scope:
+                    data = next((f.content for s in own.values() for f in s.forms.values() if f.scope == scope), b"")
+                for what in filter(None, (error, *errors)):
+                    runs.add(doc_id, page_index, {"seq": -1, "kind": "error", "error": what, "scope": scope})
+                matrix = tuple(at("matrix", i) or machine.IDENTITY)
+                found = machine.Machine(matrix=matrix, scopes=own, flatten=flatten, **wanted).run(data, cuts, scope or 0)
+                for row in islice(found, limit):
+                    runs.add(doc_id, page_index, row)
                     if len(runs.missing) >= BATCH_ROWS:
                         yield runs.batch()
         if runs.missing:
             yield runs.batch()
 
-    return page.select(*columns).mapInArrow(of, CONTENT)
+    return rows.mapInArrow(of, CONTENT)
 
 
-def scopes_of(resources: list[dict] | None) -> dict[int, machine.Scope]:
-    """Resources of a page and its forms by scope."""
+def scopes_of(resources: list[dict] | None) -> tuple[dict[int, machine.Scope], list[str]]:
+    """Resources of a dictionary and its forms by scope, and what was wrong with forms that could not be read."""
     scopes: dict[int, machine.Scope] = {0: machine.Scope()}
+    errors = []
     for r in resources or ():
         own = scopes.setdefault(r["scope"], machine.Scope())
         try:
@@ -381,14 +462,18 @@ def scopes_of(resources: list[dict] | None) -> dict[int, machine.Scope]:
                 own.properties[r["name"]] = value
             elif r["category"] == "ExtGState":
                 own.states[r["name"]] = value
-            elif r["category"] == "XObject":
+            elif value.get("Subtype") == "/Image":
+                own.images.add(r["name"])
+            else:
                 matrix = value.get("Matrix") or machine.IDENTITY
                 data = filters.decode(r["stream"] or b"", value, lenient=True)
                 group = isinstance(value.get("Group"), dict) and value["Group"].get("S") == "/Transparency"
                 own.forms[r["name"]] = machine.Form(r["obj"], data, tuple(map(float, matrix)), group)
+        except filters.FilterIssue as e:
+            errors.append(f"form {r['name']}: {e}")
         except (ValueError, TypeError, KeyError, AttributeError):
             continue  # a malformed resource is as good as a missing one
-    return scopes
+    return scopes, errors
 
 
 @lru_cache(maxsize=512)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,21 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Parsed:
-    """The relations of a corpus; what several joins read is written once."""
+    """The relations of a corpus; what several joins read is written once.
 
-    def __init__(self, docs: DataFrame) -> None:
-        self.docs = docs
-        self.parts = written(tables.parts(docs), "parts")
+    With ``chosen`` page numbers the content of other pages is never written, moved or interpreted.
+    """
+
+    def __init__(self, docs: DataFrame, chosen: Collection[int] | None = None) -> None:
+        self.docs, self.chosen = docs, chosen
+        self.parts = written(tables.parts(docs, chosen), "parts")
         self.objects = tables.objects(self.parts)
         self.live = tables.current(self.objects)
         self.roots = tables.catalog(self.live, tables.states(self.parts))
 
     @cached_property
     def pages(self) -> DataFrame:
-        return written(tables.pages(self.live, self.roots), "pages")
+        return written(tables.pages(self.live, self.roots, self.chosen), "pages")
 
     @cached_property
     def shared(self) -> DataFrame:
@@ -63,10 +67,18 @@ class Parsed:
     def content(self) -> DataFrame:
         return tables.page_bytes(self.live, self.pages)
 
-    def runs(self, flatten: bool = False, space: str = "default") -> DataFrame:
+    def runs(
+        self, flatten: bool = False, space: str = "default", kinds: Collection[str] | None = None, operators: Collection[str] | None = None, limit: int | None = None
+    ) -> DataFrame:
         """The page machine's rows, placed in ``space`` (default, page or screen)."""
-        page = resources.with_named(self.pages, self.live, self.shared).withColumn("matrix", tables.page_matrix(space))
-        return tables.interpreted(tables.page_streams(self.live, page, "named", "matrix"), flatten)
+        page = resources.with_res(self.pages).withColumn("matrix", tables.page_matrix(space))
+        rows = tables.folding(self.live, page, resources.dictionaries(self.live, self.shared))
+        return tables.interpreted(rows, flatten, kinds, operators, limit)
+
+    def form_runs(self, flatten: bool = False) -> DataFrame:
+        """The rows of every form as a view of its own, in its own space; ``scope`` is the form."""
+        rows = tables.folding(self.live, resources.form_pages(self.pages, self.shared), resources.dictionaries(self.live, self.shared))
+        return tables.interpreted(rows, flatten)
 
 
 LINES = r"WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), " \
@@ -80,6 +92,21 @@ def pdf_text_round_trip(spark, sf_dir):
     return text.untagged_text(Parsed(corpus(spark, sf_dir)).runs())
 
 
+@query(LINES + " SELECT doc_id, array_to_string([array_to_string(ws[r * 12 + 1 : r * 12 + 12], ' ') for r in range((len(ws) + 11) // 12)], chr(10)) AS text FROM w WHERE len(ws) > 0 AND page_index = 0")
+def pdf_first_pages(spark, sf_dir):
+    """The text of every document's first page; no other page's content leaves the byte pass."""
+    p = Parsed(corpus(spark, sf_dir), chosen=(0,))
+    return text.untagged_text(p.runs(kinds=("text",))).select("doc_id", "text")
+
+
+@query(LINES + " SELECT doc_id, page_index, ws[1] AS first, CASE WHEN len(ws) > 2 THEN ws[3] END AS third, least(len(ws), 3)::BIGINT AS n FROM w WHERE len(ws) > 0")
+def pdf_first_words(spark, sf_dir):
+    """The first three runs of every page; no page is read beyond them."""
+    runs = Parsed(corpus(spark, sf_dir)).runs(kinds=("text",), operators=("Tj",), limit=3)
+    said = runs.select("doc_id", "page_index", F.array_join(F.transform("glyphs", lambda g: g["text"]), "").alias("t"), F.row_number().over(text.page_order("seq")).alias("k"))
+    return said.groupBy("doc_id", "page_index").agg(F.max(F.when(F.col("k") == 1, F.col("t"))).alias("first"), F.max(F.when(F.col("k") == 3, F.col("t"))).alias("third"), F.count(F.lit(1)).alias("n"))
+
+
 @query(LINES + ", t AS (SELECT doc_id, sum(len(ws))::BIGINT AS n_words FROM w GROUP BY doc_id) SELECT lang, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words FROM t JOIN documents USING (doc_id) GROUP BY lang")
 def pdf_words_by_lang(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

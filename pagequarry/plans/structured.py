@@ -354,10 +354,13 @@ def formed(doc_id: int, rows: list[dict]) -> bytes:
     return revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id % 3])
 
 
-def part_documents(spark, sf_dir) -> DataFrame:
+def part_table(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    rows = p.select(F.expr("cast(p_partkey div 8 AS long)").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
-    return writer.per_document(rows, formed)
+    return p.select(F.expr("cast(p_partkey div 8 AS long)").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+
+
+def part_documents(spark, sf_dir) -> DataFrame:
+    return writer.per_document(part_table(spark, sf_dir), formed)
 
 
 PARTS = "WITH p AS (SELECT p_partkey // 8 AS doc_id, p_partkey, p_name, p_brand, row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS i FROM part)"
@@ -373,6 +376,20 @@ def pdf_flattened_forms(spark, sf_dir):
     return runs.select("doc_id", place.alias("place"), said.alias("text"), "x", "y", "size")
 
 
+@query(PARTS + """ SELECT doc_id, i::INTEGER AS part, 'outer' AS form, coalesce(p_name, '') AS text, 10.0::DOUBLE AS size, 1.0::DOUBLE AS x, 'In,Self' AS opaque FROM p
+    UNION ALL SELECT doc_id, i::INTEGER, 'inner', coalesce(p_brand, ''), 5.0::DOUBLE, 0.0::DOUBLE, NULL FROM p""")
+def pdf_form_views(spark, sf_dir):
+    """Forms as views of their own: each form's text in its own space, and the forms that it names but does not enter."""
+    runs = Parsed(part_documents(spark, sf_dir)).form_runs()
+    said = F.array_join(F.transform("glyphs", lambda g: g["text"]), "")
+    first = F.min("scope").over(Window.partitionBy("doc_id"))
+    own = runs.select("doc_id", (F.col("scope") - first).alias("k"), "kind", "name", said.alias("said"), "size", "x", "seq")
+    texts = own.where("kind = 'text'").select("doc_id", "k", F.col("said").alias("text"), "size", "x")
+    named = own.where("kind = 'xobject'").groupBy("doc_id", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]), ",").alias("opaque"))
+    form = F.when(F.col("k") % 2 == 0, "outer").otherwise("inner").alias("form")
+    return texts.join(named, ["doc_id", "k"], "left").select("doc_id", F.expr("cast(k div 2 AS int)").alias("part"), form, "text", "size", "x", "opaque")
+
+
 @query(PARTS + """ SELECT doc_id, 0 AS scope, 'Fm' || i AS name, 'page' AS held_by, [0.0, 0.0, 100.0, 100.0]::VARCHAR AS bbox FROM p
     UNION ALL SELECT doc_id, 1, 'In', 'form', [0.0, 0.0, 9.0, 9.0]::VARCHAR FROM p, range(2) UNION ALL SELECT doc_id, 1, 'Self', 'form', [0.0, 0.0, 100.0, 100.0]::VARCHAR FROM p, range(2)""")
 def pdf_form_resources(spark, sf_dir):
@@ -396,6 +413,37 @@ def pdf_stream_digests(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("digest"))
 
 
+# --- damage: parts on pages of two streams each
+
+def damaged(doc_id: int, rows: list[dict]) -> bytes:
+    """A page a part, name and brand in a stream each. By doc_id: sound; a string left open at the end of each first stream;
+    a catalog without pages; no readable sections, and a comment that looks like the first stream's object."""
+    how = doc_id % 4
+    first = 10 + len(rows) + len(rows) // 7 + 20
+    contents = [b"/Contents [%d 0 R %d 0 R] /Resources 4 0 R" % (first + 2 * i, first + 2 * i + 1) for i in range(len(rows))]
+    tree, root, _ = page_tree(10, contents)
+    bodies = {1: b"<< /Type /Catalog >>" if how == 2 else b"<< /Type /Catalog /Pages %d 0 R >>" % root}
+    bodies[4] = json_value({"Font": {"F1": {"Type": "/Font", "Subtype": "/Type1", "BaseFont": "/Helvetica", "Encoding": "/WinAnsiEncoding"}}})
+    for i, r in enumerate(rows):
+        for k, (y, value) in enumerate(((800, r["name"]), (780, r["brand"]))):
+            shown = b"BT /F1 10 Tf 36 %d Td %s Tj ET" % (y, writer.escaped((value or "").encode("cp1252", "replace")))
+            bodies[first + 2 * i + k] = stream(shown + (b" (left open" if how == 1 and k == 0 else b""))
+    data = revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id // 4 % 3])
+    ghost = b"%%PDF-1.7\n%% %d 0 obj (ghost) endobj\n" % first
+    return data.replace(b"%PDF-1.7\n", ghost, 1) if how == 3 else data
+
+
+@query(PARTS + """ SELECT doc_id, i::INTEGER AS page_index, coalesce(p_name, '') || chr(10) || coalesce(p_brand, '') AS text, CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END::BIGINT AS n_errors, doc_id % 4 = 3 AS recovered FROM p""")
+def pdf_damaged_pages(spark, sf_dir):
+    """Damaged documents: an open string ends its stream alone and is told, pages are found without a tree, comments hold no objects."""
+    p = part_table(spark, sf_dir)
+    found = Parsed(writer.per_document(p, damaged))
+    runs = written(found.runs(kinds=("text",)), "runs")
+    errors = runs.where("kind = 'error'").groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n"))
+    told = text.untagged_text(runs).join(errors, ["doc_id", "page_index"], "left").join(found.roots.select("doc_id", "recovered"), "doc_id")
+    return told.select("doc_id", "page_index", "text", F.coalesce("n", F.lit(0)).alias("n_errors"), "recovered")
+
+
 # --- selections and graphics state: suppliers as filled boxes
 
 def drawn(doc_id: int, rows: list[dict]) -> bytes:
@@ -443,6 +491,14 @@ def pdf_selections(spark, sf_dir):
     return found.select("doc_id", "operator", "category", "name", tables.field("value", "LW").try_cast("double").alias("width"), "known")
 
 
+@query(SUPPLIERS + " SELECT doc_id, i::INTEGER AS i, 'B' AS name, (10 * i)::DOUBLE AS x0 FROM s WHERE k % 3 = 1")
+def pdf_restricted_operators(spark, sf_dir):
+    """Paths that one operator paints; the fold makes no row of any other."""
+    paths = Parsed(supplier_documents(spark, sf_dir)).runs(kinds=("path",), operators=("B",))
+    x = F.get("bbox", F.lit(0))
+    return paths.select("doc_id", (x / 10).cast("int").alias("i"), "name", x.alias("x0"))
+
+
 # --- encryption: parts as strings and streams, three methods
 
 PERMISSIONS, OWNER = (-1, -5, -9, -17), b"o" * 32

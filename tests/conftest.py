@@ -45,8 +45,8 @@ class Corpus:
     def runs(self, flatten=False):
         from pagequarry.operators import resources, tables
 
-        page = resources.with_named(self.pages, self.live, self.shared)
-        return tables.interpreted(tables.page_streams(self.live, page, "named"), flatten)
+        rows = tables.folding(self.live, resources.with_res(self.pages).withColumn("matrix", tables.page_matrix("default")), resources.dictionaries(self.live, self.shared))
+        return tables.interpreted(rows, flatten)
 
 
 @pytest.fixture(scope="session")

@@ -59,8 +59,8 @@ def test_forms_states_and_page_space(corpus):
     picture = writer.stream(b"\0", b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray")
     known = corpus(page_of(content, extra, (20, form), (21, picture)))
     opaque, flat = ([r for r in known.runs(flatten).orderBy("seq").collect()] for flatten in (False, True))
-    assert [(r.kind, r.name) for r in opaque] == [("xobject", "Fm"), ("path", "b*"), ("xobject", "Im")]
-    assert [r.kind for r in flat] == ["path", "path", "xobject"] and flat[0].bbox == [200, 0, 210, 10]
+    assert [(r.kind, r.name) for r in opaque] == [("xobject", "Fm"), ("path", "b*"), ("image", "Im")]
+    assert [r.kind for r in flat] == ["path", "path", "image"] and flat[0].bbox == [200, 0, 210, 10]
     assert flat[0].stroke_color.space == "DeviceRGB" and flat[0].line.width == 4 and flat[0].stroke_alpha == 0.25 and flat[0].fill_color["values"] == [0.5]
     assert flat[1].line.asDict() == {"width": 7, "cap": 1, "join": 0, "miter": 10, "dash": [3, 1], "phase": 2} and flat[1].fill_color["values"] == [0, 1, 1, 0]
     forms = {(r.scope, r.name) for r in resources.forms(known.resources).collect()}
