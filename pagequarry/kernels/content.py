@@ -347,8 +347,20 @@ class Machine:
         base_x, base_y = lift_x + ce, lift_y + cf
         for part in parts:
             if isinstance(part, (int, float)):
-                back = -part / 1000 * size * scale
-                e, f = ta * back + e, tb * back + f
+                back = -part / 1000 * size * (1 if font.vertical else scale)
+                e, f = (tc * back + e, td * back + f) if font.vertical else (ta * back + e, tb * back + f)
+                continue
+            if font.vertical:
+                for text, cid, width, space in font.glyphs(bytes.fromhex(part[2:])):
+                    advance, x, y = font.downward(cid, width)
+                    advance = advance * size + s.char + (s.word if space else 0)
+                    left, low = -x * size * scale, -y * size
+                    add_text(text)
+                    add_x(ca * e + cc * f + base_x + a * left + c * low)
+                    add_y(cb * e + cd * f + base_y + b * left + d * low)
+                    add_dx(c * advance)
+                    add_dy(d * advance)
+                    e, f = tc * advance + e, td * advance + f
                 continue
             for text, _, width, space in font.glyphs(bytes.fromhex(part[2:])):
                 advance = width * size * scale + spread

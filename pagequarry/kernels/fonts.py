@@ -83,6 +83,11 @@ class Font:
     texts: dict[int, str] = field(default_factory=dict)
     unicode: cmaps.CMap | None = None
     encoding: cmaps.CMap | None = None
+    codes: str | None = None  # text encoding of the codes of a predefined map
+    vertical: bool = False
+    down: dict[int, tuple[float, float | None, float]] = field(default_factory=dict)  # of ids: advance, and place of the horizontal origin
+    down_ranges: list[tuple[int, int, tuple[float, float | None, float]]] = field(default_factory=list)
+    down_default: tuple[float, float | None, float] = (-1000.0, None, 880.0)
     known: dict[tuple[int, int], tuple[str, int, float, bool]] = field(default_factory=dict)
 
     def glyphs(self, raw: bytes):
@@ -91,6 +96,8 @@ class Font:
             return [self.known.get((1, code)) or self._glyph(1, code) for code in raw]
         if self.encoding:
             pairs = self.encoding.codes(raw)
+        elif self.codes:
+            pairs = cmaps.codec_codes(raw, self.codes)
         else:
             pairs = [(2, int.from_bytes(raw[i : i + 2], "big")) if i + 1 < len(raw) else (1, raw[i]) for i in range(0, len(raw), 2)]
         return [self.known.get(p) or self._glyph(*p) for p in pairs]
@@ -98,8 +105,10 @@ class Font:
     def _glyph(self, n: int, code: int) -> tuple[str, int, float, bool]:
         cid = self.encoding.cid(n, code) if self.encoding else code
         text = self.unicode.text(n, code) if self.unicode and self.unicode.spaces else None
+        if text is None and self.wide:  # without a map the text of an id is unknown
+            text = code.to_bytes(n, "big").decode(self.codes, "replace") if self.codes else ""
         if text is None:
-            text = chr(cid) if self.wide else self.texts.get(code)
+            text = self.texts.get(code)
         if text is None:
             text = bytes([code]).decode(self.codec, "replace")
         width = self.widths.get(cid)
@@ -110,22 +119,33 @@ class Font:
             width = self.default
         if width is None:
             width = standard_width(self.name, self.texts.get(code) or bytes([code]).decode(self.codec, "replace"))
-        self.known[n, code] = found = (text, cid, width / 1000, cid == 32 if self.wide else code == 32)
+        self.known[n, code] = found = (text, cid, width / 1000, n == 1 and code == 32)
         return found
 
+    def downward(self, cid: int, width: float) -> tuple[float, float, float]:
+        """Of a vertical font: the advance along y, and the place of the horizontal origin, in text units."""
+        found = self.down.get(cid) or next((v for low, high, v in self.down_ranges if low <= cid <= high), self.down_default)
+        advance, x, y = found
+        return advance / 1000, width / 2 if x is None else x / 1000, y / 1000
 
-def font_of(spec: dict, unicode_map: bytes | None, encoding_map: bytes | None = None) -> Font:
-    """A font from its resolved dictionary and the decoded programs of its character maps."""
+
+def font_of(spec: dict, unicode_map: bytes | None, encoding_map: bytes | None = None, parents: tuple[bytes, ...] = (), procs: dict[str, float] | None = None) -> Font:
+    """A font from its resolved dictionary and the decoded programs of its character maps.
+
+    ``parents`` are the maps that the encoding map builds on, the furthest first; ``procs`` the widths that the
+    procedures of a Type 3 font state, by glyph name.
+    """
     f = Font(name=str(spec.get("BaseFont", ""))[1:], wide=spec.get("Subtype") == "/Type0")
     if f.wide and isinstance(spec.get("DescendantFonts"), list) and spec["DescendantFonts"]:
         kid = spec["DescendantFonts"][0]
-        spec = spec | {k: kid[k] for k in ("W", "DW") if isinstance(kid, dict) and k in kid}
+        spec = spec | {k: kid[k] for k in ("W", "DW", "W2", "DW2") if isinstance(kid, dict) and k in kid}
     encoding = spec.get("Encoding")
+    names: dict[int, str] = {}
     if isinstance(encoding, dict):
         at = 0
         for x in encoding.get("Differences", []):
             if isinstance(x, str):
-                f.texts[at] = glyph_text(x[1:])
+                f.texts[at], names[at] = glyph_text(x[1:]), x[1:]
                 at += 1
             else:
                 at = int(x)
@@ -142,12 +162,30 @@ def font_of(spec: dict, unicode_map: bytes | None, encoding_map: bytes | None =
                 f.ranges.append((int(w[i]), int(w[i + 1]), float(w[i + 2])))
                 i += 3
         f.ranges.sort()
+        w, i = spec.get("W2", []), 0
+        while i + 1 < len(w):
+            if isinstance(w[i + 1], list):
+                f.down |= {int(w[i]) + k: tuple(map(float, w[i + 1][3 * k : 3 * k + 3])) for k in range(len(w[i + 1]) // 3)}
+                i += 2
+            else:
+                f.down_ranges.append((int(w[i]), int(w[i + 1]), tuple(map(float, w[i + 2 : i + 5]))))
+                i += 5
+        y, advance = spec.get("DW2", [880, -1000])
+        f.down_default = float(advance), None, float(y)
         if encoding_map:
-            f.encoding = cmaps.parse(encoding_map)
+            f.encoding = cmaps.overlaid([cmaps.parse(p) for p in parents], cmaps.parse(encoding_map))
+            f.vertical = f.encoding.vertical
+        elif isinstance(spec.get("Encoding"), str):
+            f.codes, f.vertical = cmaps.predefined_codec(spec["Encoding"][1:]), spec["Encoding"].endswith("-V")
     elif "Widths" in spec:  # its own table holds even outside its range
         f.default = 0.0
         first = int(spec.get("FirstChar", 0))
         f.widths = {first + k: float(x) for k, x in enumerate(spec["Widths"])}
+    if spec.get("Subtype") == "/Type3":  # its widths are in the units of its own matrix, and its procedures' hold
+        f.widths |= {code: procs[name] for code, name in names.items() if procs and name in procs}
+        unit = float((spec.get("FontMatrix") or [0.001])[0]) * 1000
+        f.widths = {code: w * unit for code, w in f.widths.items()}
+        f.default = 0.0
     if unicode_map:
         f.unicode = cmaps.parse(unicode_map)
     return f

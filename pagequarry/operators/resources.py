@@ -9,12 +9,16 @@ hash of it) and only then spread to the pages.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators.tables import bare, field, ref
+from pagequarry.kernels import content as machine
+from pagequarry.kernels import filters
+from pagequarry.operators.tables import bare, expanded, field, ref
 from pagequarry.sources.store import written
 
 CATEGORIES = ("Font", "XObject", "Properties", "ExtGState", "ColorSpace", "Pattern", "Shading")
@@ -79,6 +83,56 @@ def resources(live: DataFrame, page: DataFrame) -> DataFrame:
     return on_pages(shared(live, page), page)
 
 
+def char_procs(live: DataFrame, entries: DataFrame) -> DataFrame:
+    """Glyph procedures of Type 3 fonts: doc_id, res, scope, name (the font's), glyph, obj, width and bbox as their first operator (d0 or d1) states them, error.
+
+    Widths and boxes are in the font's own units; a box's corners are put in order.
+    """
+    fonts = entries.where("category = 'Font'").where(field("value", "Subtype") == "/Type3").select(*SCOPE, "name", field("value", "CharProcs").alias("held"))
+    values = live.select("doc_id", F.col("obj").alias("_obj"), "value")
+    held = fonts.withColumn("_obj", ref(F.col("held"))).join(values, ["doc_id", "_obj"], "left").withColumn("held", F.coalesce("value", "held"))
+    each = held.select(*SCOPE, "name", F.explode(F.from_json("held", "map<string,string>")).alias("glyph", "r")).withColumn("obj", ref(F.col("r")))
+    streams = live.where("stream IS NOT NULL").select("doc_id", "obj", F.coalesce("resolved", "value").alias("spec"), "stream")
+
+    def rows_of(row: dict) -> Iterator[dict]:
+        out = {k: row[k] for k in ("doc_id", "res", "scope", "name", "glyph", "obj")}
+        try:
+            data = filters.decode(row["stream"], json.loads(row["spec"])) if row["stream"] is not None else b""
+            op, operands, _ = next(machine.operations(data), ("", [], 0))
+            need = {"d0": 2, "d1": 6}.get(op)
+            if need is None:
+                yield out | {"error": operands[0] if op == "error" else None if op else "empty procedure"}
+                return
+            numbers = [float(x) for x in operands if isinstance(x, (int, float))]
+            if len(numbers) != need or len(operands) != need:
+                yield out | {"error": f"{op}: wrong operands"}
+                return
+            box = numbers[2:]
+            yield out | {"width": numbers[0], "bbox": [min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3])] if box else None}
+        except filters.FilterIssue as e:
+            yield out | {"error": str(e)}
+
+    schema = "doc_id long, res long, scope int, name string, glyph string, obj int, width double, bbox array<double>, error string"
+    return expanded(each.drop("r").join(streams, ["doc_id", "obj"], "left"), rows_of, schema)
+
+
+def parent_maps(streams: DataFrame, own: DataFrame) -> DataFrame:
+    """doc_id, code_obj and ``parents`` (spec and stream) of the character maps that each map of ``own`` builds on, the furthest first."""
+    level = own.select("doc_id", "code_obj", F.col("code_obj").alias("at"), F.array("code_obj").alias("trail"))
+    specs = streams.select("doc_id", F.col("obj").alias("at"), ref(field("s", "UseCMap")).alias("next")).where("next IS NOT NULL")
+    found = []
+    while True:
+        level = level.join(specs, ["doc_id", "at"]).where(~F.array_contains("trail", F.col("next")))
+        level = written(level.select("doc_id", "code_obj", F.col("next").alias("at"), F.array_append("trail", F.col("next")).alias("trail")), "parent-maps")
+        if found and level.isEmpty():
+            break
+        found.append(level)
+    maps = streams.select("doc_id", F.col("obj").alias("at"), F.col("s").alias("spec"), "stream")
+    every = reduce(DataFrame.unionByName, found).join(maps, ["doc_id", "at"])
+    order = F.sort_array(F.collect_list(F.struct((-F.size("trail")).alias("depth"), "spec", "stream")))
+    return every.groupBy("doc_id", "code_obj").agg(F.transform(order, lambda x: F.struct(x["spec"].alias("spec"), x["stream"].alias("stream"))).alias("parents"))
+
+
 def dictionaries(live: DataFrame, entries: DataFrame) -> DataFrame:
     """doc_id, res and ``named``: what the page machine needs of fonts, properties, graphics states, forms and images, from :func:`shared`; once a dictionary."""
     shape = field("value", "Subtype")
@@ -94,9 +148,14 @@ def dictionaries(live: DataFrame, entries: DataFrame) -> DataFrame:
     joined = with_stream(with_stream(keyed, "map_obj", "map_"), "code_obj", "code_")
     forms = joined.withColumn("form_obj", F.when(shape == "/Form", F.col("obj")))
     full = with_stream(forms, "form_obj", "")
+    maps = keyed.where("code_obj IS NOT NULL").select("doc_id", "code_obj").distinct()
+    full = full.join(parent_maps(streams, maps), ["doc_id", "code_obj"], "left")
+    procs = char_procs(live, entries).where("width IS NOT NULL").groupBy(*SCOPE, "name").agg(F.sort_array(F.collect_list(F.struct("glyph", "width"))).alias("procs"))
+    full = full.join(procs.withColumn("category", F.lit("Font")), [*SCOPE, "category", "name"], "left")
     packed = F.struct(
-        "scope", "category", "name", "obj", "spec", "stream", F.col("map_spec_").alias("map_spec"), "map_stream", F.col("code_spec_").alias("code_spec"), "code_stream"
-    )
+        "scope", "category", "name", "obj", "spec", "stream", F.col("map_spec_").alias("map_spec"), "map_stream", F.col("code_spec_").alias("code_spec"), "code_stream",
+        "parents", "procs",
+    )
     return full.groupBy("doc_id", "res").agg(F.collect_list(packed).alias("named"))
 
 

@@ -457,7 +457,10 @@ def scopes_of(resources: list[dict] | None) -> tuple[dict[int, machine.Scope], l
         try:
             value = json.loads(r["spec"] or "{}")
             if r["category"] == "Font":
-                own.fonts[r["name"]] = _font(r["spec"], r["map_stream"], r["map_spec"], r["code_stream"], r["code_spec"])
+                own.fonts[r["name"]] = _font(
+                    r["spec"], r["map_stream"], r["map_spec"], r["code_stream"], r["code_spec"],
+                    tuple((x["spec"], x["stream"]) for x in r["parents"] or ()), tuple((x["glyph"], x["width"]) for x in r["procs"] or ()),
+                )
             elif r["category"] == "Properties":
                 own.properties[r["name"]] = value
             elif r["category"] == "ExtGState":
@@ -477,13 +480,14 @@ def scopes_of(resources: list[dict] | None) -> tuple[dict[int, machine.Scope], l
 
 
 @lru_cache(maxsize=512)
-def _font(spec: str, map_stream: bytes | None, map_spec: str | None, code_stream: bytes | None, code_spec: str | None) -> fonts.Font:
+def _font(spec: str, map_stream: bytes | None, map_spec: str | None, code_stream: bytes | None, code_spec: str | None, parents: tuple, procs: tuple) -> fonts.Font:
     """A font; those of the pages before are kept, with the glyphs they have seen."""
 
     def decoded(stream, value):
         return filters.decode(stream, json.loads(value), lenient=True) if stream is not None else None
 
     try:
-        return fonts.font_of(json.loads(spec), decoded(map_stream, map_spec), decoded(code_stream, code_spec))
+        below = tuple(decoded(stream, value) for value, stream in parents)
+        return fonts.font_of(json.loads(spec), decoded(map_stream, map_spec), decoded(code_stream, code_spec), below, dict(procs))
     except (ValueError, TypeError, KeyError, AttributeError, IndexError):
         return fonts.Font()

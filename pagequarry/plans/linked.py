@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.operators import bounded, graph, navigation, structure
+from pagequarry.operators import bounded, graph, navigation, resources, structure
 from pagequarry.operators.tables import field, ref
 from pagequarry.plans.documents import Parsed
 from pagequarry.plans.relational import table
@@ -156,3 +156,98 @@ def pdf_tree_lookups(spark, sf_dir):
     wanted = written(orders.select("doc_id", name.cast("binary").alias("key")), "wanted")
     found = bounded.looked_up(p.live, dests_root(p), wanted, bounded.NAMES)
     return found.select("doc_id", bounded.names(F.col("key")).alias("name"), navigation.text_value(F.col("value")).alias("value"))
+
+
+# --- composite and Type 3 fonts: parts shown in codes of one to four bytes, and by drawn digits
+
+CODES = {"letter": (2, 0x4000), "digit": (3, 0x810000), "other": (4, 0xE1000000)}
+
+
+def code_of(c: str) -> bytes:
+    """A space is one byte; letters, digits and others have two, three and four."""
+    if c == " ":
+        return b" "
+    n, base = CODES["letter" if c.isalpha() else "digit" if c.isdigit() else "other"]
+    return (base + ord(c)).to_bytes(n, "big")
+
+
+PARENT_MAP = b"""1 begincodespacerange <E1000000> <E100FFFF> endcodespacerange
+2 begincidrange <4000> <40FF> 1000 <E1000000> <E100FFFF> 4000 endcidrange 1 begincidchar <20> 1 endcidchar"""
+MIDDLE_MAP = b"""/Base usecmap 3 begincodespacerange <20> <20> <4000> <40FF> <810000> <81FFFF> endcodespacerange
+1 begincidrange <810000> <81FFFF> 3000 endcidrange"""
+# The child puts its own id over one letter within the parent's range, and a wide range over all digits.
+CHILD_MAP = b"/Middle usecmap /WMode %d def 1 begincidchar <4061> 9000 endcidchar 1 begincidrange <810000> <81FFFF> 10000 endcidrange"
+TEXT_MAP = b"1 begincodespacerange <20> <20> endcodespacerange 4 beginbfrange <20> <20> <0020> <4000> <40FF> <0000> <810000> <8100FF> <0000> <E1000000> <E100FFFF> <0000> endbfrange"
+
+
+def composed(doc_id: int, rows: list[dict]) -> bytes:
+    """Names in a composite font whose map builds on two others; every second document writes downward."""
+    tree, root, _ = page_tree(10, [b"/Contents %d 0 R /Resources 4 0 R" % (100 + i) for i in range(len(rows))])
+    kid = {"Type": "/Font", "Subtype": "/CIDFontType2", "BaseFont": "/Own", "DW": 500, "W": [9000, [700]], "DW2": [800, -900], "W2": [9000, [-400, 350, 800]]}
+    bodies = {
+        1: b"<< /Type /Catalog /Pages %d 0 R >>" % root, 2: json_value({"Type": "/Font", "Subtype": "/Type0", "BaseFont": "/Own", "Encoding": "5 0 R", "ToUnicode": "8 0 R", "DescendantFonts": [kid]}),
+        4: json_value({"Font": {"F1": "2 0 R"}}), 5: writer.stream(CHILD_MAP % (doc_id % 2), b"/Type /CMap /UseCMap 6 0 R"), 6: writer.stream(MIDDLE_MAP, b"/Type /CMap /UseCMap 7 0 R"),
+        7: writer.stream(PARENT_MAP, b"/Type /CMap"), 8: writer.stream(TEXT_MAP),
+    }
+    for i, r in enumerate(rows):
+        shown = b"".join(map(code_of, r["name"] or ""))
+        bodies[100 + i] = writer.stream(b"BT /F1 10 Tf 100 700 Td <%s> Tj ET" % shown.hex().encode())
+    return revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id % 3])
+
+
+PART_ROWS = "WITH p AS (SELECT p_partkey // 8 AS doc_id, p_partkey AS k, coalesce(p_name, '') AS name, (row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1)::INTEGER AS i FROM part)"
+
+
+def part_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.expr("cast(p_partkey div 8 AS long)").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+
+
+@query(PART_ROWS + """, n AS (SELECT *, length(name) AS n, length(name) - length(replace(name, 'a', '')) AS a FROM p)
+    SELECT doc_id, i AS page_index, name AS text, CASE WHEN doc_id % 2 = 0 THEN (7 * a + 5 * (n - a))::DOUBLE ELSE 0.0 END AS across, CASE WHEN doc_id % 2 = 1 THEN (-4 * a - 9 * (n - a))::DOUBLE ELSE 0.0 END AS down,
+    CASE WHEN doc_id % 2 = 0 THEN 100.0 WHEN name[1] = 'a' THEN 96.5 ELSE 97.5 END::DOUBLE AS x, CASE WHEN doc_id % 2 = 0 THEN 700.0 ELSE 692.0 END::DOUBLE AS y FROM n WHERE n > 0""")
+def pdf_composite_text(spark, sf_dir):
+    """Text and advances of composite fonts whose character map inherits from two others, across and downward."""
+    runs = Parsed(writer.per_document(part_rows(spark, sf_dir), composed)).runs(kinds=("text",)).where("size(glyphs) > 0")
+
+    def total(c: str):
+        return F.round(F.aggregate("glyphs", F.lit(0.0), lambda acc, g: acc + g[c]), 6)
+
+    said = F.array_join(F.transform("glyphs", lambda g: g["text"]), "")
+    first = F.get("glyphs", F.lit(0))
+    return runs.select("doc_id", "page_index", said.alias("text"), total("dx").alias("across"), total("dy").alias("down"), F.round(first["x"], 6).alias("x"), F.round(first["y"], 6).alias("y"))
+
+
+DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+
+
+def digit_drawn(doc_id: int, rows: list[dict]) -> bytes:
+    """Part keys in a font whose digits are procedures; odd ones state a box, the nine nothing at all, so its listed width holds."""
+    tree, root, _ = page_tree(10, [b"/Contents %d 0 R /Resources 4 0 R" % (100 + i) for i in range(len(rows))])
+    procs = {f"{name}": f"{50 + d} 0 R" for d, name in enumerate(DIGITS)}
+    font = {"Type": "/Font", "Subtype": "/Type3", "FontMatrix": [0.01, 0, 0, 0.01, 0, 0], "FontBBox": [0, 0, 100, 100], "CharProcs": "6 0 R", "FirstChar": 48, "LastChar": 57, "Widths": [33] * 10}
+    font["Encoding"] = {"Differences": [48, *[f"/{name}" for name in DIGITS]]}
+    bodies = {1: b"<< /Type /Catalog /Pages %d 0 R >>" % root, 2: json_value(font), 4: json_value({"Font": {"T3": "2 0 R"}}), 6: json_value(procs)}
+    for d in range(10):
+        head = b"0 0 m 1 1 l S" if d == 9 else b"%d 0 %d 50 1 0 d1 0 0 5 5 re f" % (10 * d + 10, d) if d % 2 else b"%d 0 d0 0 0 5 5 re f" % (10 * d + 10)
+        bodies[50 + d] = writer.stream(head)
+    for i, r in enumerate(rows):
+        bodies[100 + i] = writer.stream(b"BT /T3 20 Tf 10 10 Td (%d) Tj ET" % r["ord"])
+    return revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id % 3])
+
+
+@query(PART_ROWS + """, d AS (SELECT doc_id, i, k, unnest(string_split(k::VARCHAR, ''))::INTEGER AS d FROM p)
+    SELECT doc_id, i AS page_index, k::VARCHAR AS text, sum(CASE WHEN d = 9 THEN 33 ELSE 10 * d + 10 END * 0.2)::DOUBLE AS across FROM d GROUP BY doc_id, i, k""")
+def pdf_type3_text(spark, sf_dir):
+    """Part keys drawn by Type 3 procedures, advanced by the widths that the procedures state."""
+    runs = Parsed(writer.per_document(part_rows(spark, sf_dir), digit_drawn)).runs(kinds=("text",))
+    said = F.array_join(F.transform("glyphs", lambda g: g["text"]), "")
+    return runs.select("doc_id", "page_index", said.alias("text"), F.round(F.aggregate("glyphs", F.lit(0.0), lambda acc, g: acc + g["dx"]), 6).alias("across"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_partkey // 8 AS doc_id FROM part), d AS (SELECT unnest(range(10)) AS d, unnest(['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine']) AS glyph)
+    SELECT doc_id, glyph, CASE WHEN d < 9 THEN (10 * d + 10)::DOUBLE END AS width, CASE WHEN d % 2 = 1 AND d < 9 THEN '[' || least(d, 1) || ', 0, ' || greatest(d, 1) || ', 50]' END AS bbox FROM n, d""")
+def pdf_type3_procedures(spark, sf_dir):
+    """Widths and boxes of the glyph procedures of each document."""
+    p = Parsed(writer.per_document(part_rows(spark, sf_dir), digit_drawn))
+    box = F.concat(F.lit("["), F.array_join(F.transform("bbox", lambda v: v.cast("int").cast("string")), ", "), F.lit("]"))
+    return resources.char_procs(p.live, p.shared).select("doc_id", "glyph", "width", box.alias("bbox"))
