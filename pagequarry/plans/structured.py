@@ -576,6 +576,63 @@ def pdf_password_errors(spark, sf_dir):
     return missing.join(wrong, "doc_id")
 
 
+# --- keys of revisions 5 and 6: the same strings and streams, sealed by Spark's AES with a key that a user and an owner password open
+
+def hex_of(data: bytes) -> bytes:
+    return b"<" + bytes(data).hex().encode() + b">"
+
+
+def strongly_sealed(doc_id: int, rows: list[dict]) -> bytes:
+    """What was encrypted before, written out; even documents have revision 5, odd ones 6."""
+    own = rows[0]
+    spec = {"Filter": "/Standard", "V": 5, "R": 5 + doc_id % 2, "P": PERMISSIONS[doc_id % 4], "StmF": "/StdCF", "StrF": "/StdCF", "CF": {"StdCF": {"CFM": "/AESV3", "Length": 32}}}
+    pairs = [b"/%s %s" % (k.encode(), json_value(v)) for k, v in spec.items()] + [b"/%s %s" % (k.encode(), hex_of(own[k.lower()])) for k in ("U", "UE", "O", "OE")]
+    bodies = {1: b"<< /Type /Catalog >>", 2: b"<< " + b" ".join(pairs) + b" >>"}
+    for i, r in enumerate(rows):
+        bodies[10 + 2 * i] = b"<< /Name %s >>" % hex_of(r["name"])
+        bodies[11 + 2 * i] = stream(bytes(r["brand"]), compress=False)
+    return revision(b"", bodies, b"/Root 1 0 R /Encrypt 2 0 R")
+
+
+def strongly_sealed_documents(spark, sf_dir) -> DataFrame:
+    doc = F.expr("cast(p_partkey div 8 AS long)")
+    rows = table(spark, sf_dir, "part").select(doc.alias("doc_id"), F.col("p_partkey").alias("ord"), "p_name", "p_brand")
+
+    def drawn_bytes(what: str, n: int):
+        return F.substring(F.unhex(F.sha2(F.concat(F.lit(what), F.col("doc_id").cast("string")).cast("binary"), 256)), 1, n)
+
+    none, level = F.lit(b""), F.lit(5) + F.col("doc_id") % 2
+    docs = rows.select("doc_id").distinct().withColumn("key", drawn_bytes("key", 32))
+    for name, word in (("u", b"open"), ("o", b"boss")):  # hash, validation salt, key salt; then the key under a hash of the password
+        check, inner = drawn_bytes(name + "check", 8), drawn_bytes(name + "key", 8)
+        after = none if name == "u" else F.col("u")
+        docs = docs.withColumn(name, F.concat(security.hardened(F.lit(word), check, after, level), check, inner))
+        docs = docs.withColumn(name + "e", security.aes_plain(F.col("key"), security.hardened(F.lit(word), inner, after, level), F.lit(bytes(16))))
+    met = rows.join(written(docs, "strong-keys"), "doc_id")
+
+    def locked(column: str):
+        data = F.coalesce(column, F.lit("")).cast("binary")
+        return F.aes_encrypt(data, F.col("key"), F.lit("CBC"), F.lit("PKCS"), F.unhex(F.md5(F.concat(F.coalesce(column, F.lit("")), F.col("ord").cast("string")).cast("binary"))))
+
+    return writer.per_document(met.select("doc_id", "ord", locked("p_name").alias("name"), locked("p_brand").alias("brand"), "u", "ue", "o", "oe"), strongly_sealed)
+
+
+@query(PARTS + """, e AS (SELECT doc_id, i, unnest([p_name, p_brand]) AS t, unnest([0, 1]) AS k FROM p)
+    SELECT doc_id, (10 + 2 * i + k)::INTEGER AS obj, coalesce(t, '') AS text, (5 + doc_id % 2)::INTEGER AS revision, 256 AS bits, 'AESV3' AS method, true AS same_by_owner, 'invalid password' AS wrong, doc_id % 4 <> 1 AS printable FROM e""")
+def pdf_strong_keys(spark, sf_dir):
+    """Documents of revisions 5 and 6: read by the user's password, the key found by the owner's as well, and a wrong one refused."""
+    p = Parsed(strongly_sealed_documents(spark, sf_dir))
+    keys = written(security.unlocked(p.live, p.roots, "open"), "keys")
+    found = security.decrypted(p.live, keys).where("obj >= 10")
+    said = F.coalesce(F.col("stream").cast("string"), navigation.text_value(tables.field("value", "Name")))
+    owner = security.unlocked(p.live, p.roots, "boss").select("doc_id", F.col("key").alias("owner_key"))
+    wrong = security.unlocked(p.live, p.roots, "nope").select("doc_id", F.col("error").alias("wrong"))
+    told = keys.select("doc_id", "key").join(owner, "doc_id").join(wrong, "doc_id").select("doc_id", (F.col("key") == F.col("owner_key")).alias("same_by_owner"), "wrong")
+    info = security.encryption_info(p.live, p.roots).select("doc_id", "revision", "bits", F.col("stream_method").alias("method"))
+    allowed = security.permissions(p.roots, keys).select("doc_id", "printable")
+    return found.select("doc_id", "obj", said.alias("text")).join(told, "doc_id").join(info, "doc_id").join(allowed, "doc_id")
+
+
 # --- images: parts as small pictures of 1, 2, 4 and 8 bits, every fifth with a palette
 
 def pictured(doc_id: int, rows: list[dict]) -> bytes:
