@@ -7,13 +7,17 @@ doubling (a join per doubling, not per item), trees become level joins.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import geometry, labels
+from pagequarry.kernels import filters
 from pagequarry.kernels.syntax import DOC_ENCODING
 from pagequarry.operators import sequences, trees
-from pagequarry.operators.tables import bare, field, page_matrix, ref
+from pagequarry.operators.tables import bare, expanded, field, page_matrix, ref
 from pagequarry.sources.store import written
 
 
@@ -283,3 +287,60 @@ def actions(rows: DataFrame, live: DataFrame) -> DataFrame:
         F.when(kind == "URI", text_value(field("a", "URI"))).alias("uri"), F.when(kind == "Named", text_value(field("a", "N"))).alias("named"),
         F.when(kind == "JavaScript", text_value(field("a", "JS"))).alias("script"),
     )
+
+
+_ALT = "struct<Alt:struct<li:array<struct<_VALUE:string,`@lang`:string>>>>"
+_PLAIN = ("CreateDate", "ModifyDate", "CreatorTool", "Producer", "Keywords")
+#: What is read of a metadata packet; names lose their prefixes, attributes begin with ``@``.
+PACKET = (
+    f"RDF struct<Description:array<struct<title:{_ALT},description:{_ALT},rights:{_ALT},creator:struct<Seq:struct<li:array<string>>>,subject:struct<Bag:struct<li:array<string>>>,"
+    + ",".join(f"{c}:string,`@{c}`:string" for c in _PLAIN)
+    + ">>>"
+)
+
+
+def packets(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, the catalog's metadata packet as text, and ``error`` where its stream cannot be decoded."""
+    own = roots.select("doc_id", ref(field("catalog", "Metadata")).alias("obj")).where("obj IS NOT NULL")
+    held = own.join(live.select("doc_id", "obj", F.coalesce("resolved", "value").alias("spec"), "stream"), ["doc_id", "obj"]).where("stream IS NOT NULL")
+
+    def rows_of(row: dict) -> Iterator[dict]:
+        try:
+            data = filters.decode(row["stream"], json.loads(row["spec"]))
+            mark = next((c for b, c in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xfe\xff", "utf-16"), (b"\xff\xfe", "utf-16")) if data.startswith(b)), "utf-8")
+            yield {"doc_id": row["doc_id"], "packet": data.decode(mark, "replace")}
+        except filters.FilterIssue as e:
+            yield {"doc_id": row["doc_id"], "error": str(e)}
+
+    return expanded(held, rows_of, "doc_id long, packet string, error string")
+
+
+def metadata(found: DataFrame) -> DataFrame:
+    """Fields of :func:`packets`: title, description and rights (map of languages), creators, subjects, dates, tools; of several descriptions the first that has one.
+
+    Dates stay as they are written; ``created`` and ``modified`` are the moments they name. Malformed packets have an ``error``.
+    """
+    # processing instructions before the packet are no part of its element
+    element = F.regexp_extract("packet", r"(?s)(<(?:\w+:)?xmpmeta\b.*</(?:\w+:)?xmpmeta>)", 1)
+    whole = F.when(element != "", element).otherwise(F.concat(F.lit("<xmpmeta>"), F.regexp_extract("packet", r"(?s)(<(?:\w+:)?RDF\b.*</(?:\w+:)?RDF>)", 1), F.lit("</xmpmeta>")))
+    options = {"ignoreNamespace": "true", "attributePrefix": "@", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"}
+    held = found.withColumn("x", F.from_xml(whole, PACKET, options)).withColumn("d", F.col("x.RDF.Description"))
+
+    def first(pick: Callable[[Column], Column]) -> Column:
+        return F.get(F.array_compact(F.transform("d", pick)), F.lit(0))
+
+    def languages(name: str) -> Column:
+        listed = first(lambda d: d[name]["Alt"]["li"])
+        pairs = F.transform(listed, lambda x: F.struct(F.coalesce(x["@lang"], F.lit("x-default")).alias("key"), x["_VALUE"].alias("value")))
+        return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+    def plain(name: str) -> Column:
+        return first(lambda d: F.coalesce(d[name], d[f"@{name}"]))
+
+    error = F.coalesce("error", F.when(F.col("d").isNull(), F.lit("no description")))
+    return held.select(
+        "doc_id", languages("title").alias("title"), languages("description").alias("description"), languages("rights").alias("rights"),
+        first(lambda d: d["creator"]["Seq"]["li"]).alias("creators"), first(lambda d: d["subject"]["Bag"]["li"]).alias("subjects"),
+        plain("CreateDate").alias("create_date"), plain("ModifyDate").alias("modify_date"), plain("CreateDate").try_cast("timestamp").alias("created"), plain("ModifyDate").try_cast("timestamp").alias("modified"),
+        plain("CreatorTool").alias("tool"), plain("Producer").alias("producer"), plain("Keywords").alias("keywords"), error.alias("error"),
+    )

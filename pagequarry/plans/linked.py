@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.operators import bounded, graph, navigation, resources, structure
+from pagequarry.operators import bounded, boxes, graph, layout, navigation, resources, structure
 from pagequarry.operators.tables import field, ref
 from pagequarry.plans.documents import Parsed
 from pagequarry.plans.relational import table
@@ -251,3 +253,59 @@ def pdf_type3_procedures(spark, sf_dir):
     p = Parsed(writer.per_document(part_rows(spark, sf_dir), digit_drawn))
     box = F.concat(F.lit("["), F.array_join(F.transform("bbox", lambda v: v.cast("int").cast("string")), ", "), F.lit("]"))
     return resources.char_procs(p.live, p.shared).select("doc_id", "glyph", "width", box.alias("bbox"))
+
+
+# --- metadata packets: a title in two languages, creators, dates as elements or attributes
+
+def described(doc_id: int, rows: list[dict]) -> bytes:
+    title = html.escape(rows[0]["name"] or "none")
+    creators = b"".join(b"<rdf:li>%s</rdf:li>" % html.escape(r["name"] or "none").encode() for r in rows)
+    date = b"2020-%02d-11T10:20:30Z" % (doc_id % 12 + 1)
+    attribute, element = (b' xmp:CreateDate="%s"' % date, b"") if doc_id % 2 else (b"", b"<xmp:CreateDate>%s</xmp:CreateDate>" % date)
+    packet = (
+        b'<?xpacket begin="\xef\xbb\xbf" id="W5M0MpCehiHzreSzNTczkc9d"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+        b'<rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:xmp="http://ns.adobe.com/xap/1.0/"%s>'
+        b'<dc:title><rdf:Alt><rdf:li xml:lang="x-default">%s</rdf:li><rdf:li xml:lang="fr">le %s</rdf:li></rdf:Alt></dc:title><dc:creator><rdf:Seq>%s</rdf:Seq></dc:creator>%s</rdf:Description>'
+        b'<rdf:Description rdf:about="" xmlns:pdf="http://ns.adobe.com/pdf/1.3/" pdf:Producer="pagequarry"/></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+    ) % (attribute, title.encode(), title.encode(), creators, element)
+    if doc_id % 5 == 4:
+        packet = packet.replace(b"</rdf:RDF>", b"")  # malformed
+    bodies = {1: b"<< /Type /Catalog /Metadata 5 0 R >>", 5: writer.stream(packet, b"/Type /Metadata /Subtype /XML", compress=bool(doc_id % 3))}
+    return revision(b"", bodies, b"/Root 1 0 R", STYLES[doc_id % 3])
+
+
+@query(PART_ROWS + """, n AS (SELECT doc_id, i, CASE WHEN name = '' THEN 'none' ELSE name END AS name FROM p), g AS (SELECT doc_id, min_by(name, i) AS title, string_agg(name, '|' ORDER BY i) AS creators FROM n GROUP BY doc_id), o AS (SELECT *, doc_id % 5 <> 4 AS ok FROM g)
+    SELECT doc_id, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN 'le ' || title END AS title_fr, CASE WHEN ok THEN creators END AS creators,
+    CASE WHEN ok THEN '2020-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '-11T10:20:30Z' END AS create_date, CASE WHEN ok THEN (doc_id % 12 + 1)::INTEGER END AS month, CASE WHEN ok THEN 'pagequarry' END AS producer, NOT ok AS malformed FROM o""")
+def pdf_packets(spark, sf_dir):
+    """Metadata packets: languages, creators in order, dates, what attributes state, and malformed ones."""
+    p = Parsed(writer.per_document(part_rows(spark, sf_dir), described))
+    m = navigation.metadata(navigation.packets(p.live, p.roots))
+    return m.select(
+        "doc_id", F.try_element_at("title", F.lit("x-default")).alias("title"), F.try_element_at("title", F.lit("fr")).alias("title_fr"), F.array_join("creators", "|").alias("creators"),
+        "create_date", F.month("created").alias("month"), "producer", F.col("error").isNotNull().alias("malformed"),
+    )
+
+
+# --- layout: two columns of lines under a heading
+
+def columned(doc_id: int, rows: list[dict]) -> bytes:
+    """Four rows at the left, the others at the right, and a heading above; odd documents show the right column first."""
+    font = b"/Resources << /Font << /F1 << /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >> >> >>"
+    tree, root, _ = page_tree(10, [b"/Contents 3 0 R"], font)
+    left, right = rows[:4], rows[4:]
+    columns = [(36, left), (330, right)]
+    out = [b"BT /F1 8 Tf 1 0 0 1 36 780 Tm (heading %d) Tj" % doc_id]
+    for x, own in columns[::-1] if doc_id % 2 else columns:
+        for i, r in enumerate(own):
+            out.append(b"1 0 0 1 %d %d Tm %s Tj" % (x, 700 - 10 * i, writer.escaped(b"part %d" % r["ord"])))
+    bodies = {1: b"<< /Type /Catalog /Pages %d 0 R >>" % root, 3: writer.stream(b"\n".join([*out, b"ET"]))}
+    return revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id % 3])
+
+
+@query(PART_ROWS + """, c AS (SELECT doc_id, CASE WHEN i < 4 THEN 1 ELSE 2 END AS box, string_agg('part ' || k, chr(10) ORDER BY i) AS text, count(*) AS n_lines FROM p GROUP BY ALL)
+    SELECT doc_id, box::INTEGER AS box, n_lines, text FROM c UNION ALL SELECT DISTINCT doc_id, 0, 1, 'heading ' || doc_id FROM p""")
+def pdf_columns(spark, sf_dir):
+    """Boxes of a page in reading order: a heading, the left column and then the right one, whichever is painted first."""
+    lines = written(boxes.line_rows(layout.glyph_boxes(Parsed(writer.per_document(part_rows(spark, sf_dir), columned)).runs(kinds=("text",)))), "lines")
+    return boxes.text_boxes(lines).select("doc_id", F.col("box").cast("int").alias("box"), "n_lines", "text")
