@@ -16,12 +16,21 @@ from pagequarry.operators import images, navigation, structure, text
 from pagequarry.plans.documents import Parsed
 from pagequarry.sources import render, sinks
 
+def logical_text(p: Parsed, space: str) -> DataFrame:
+    """Text of each page; tagged pages in the order of the structure and with its ActualText."""
+    elems = structure.elements(p.live, p.roots)
+    content = structure.contents(p.live, elems)
+    ranks, actual = structure.logical_ranks(content, elems, p.pages), structure.actual_texts(content, elems, p.pages)
+    runs = p.runs(flatten=True, space=space, kinds=("text",))
+    return text.extract_text(runs, p.roots.where("tagged"), "screen" if space == "screen" else "page", ranks, actual)
+
+
 #: What each mode shows of a parsed corpus, and the columns that order it.
 MODES: dict[str, tuple[Callable[[Parsed, str], DataFrame], tuple[str, ...]]] = {
     "content-streams": (lambda p, _: p.content.withColumn("content", F.base64("content")), ("doc_id", "page_index")),
     "outline": (lambda p, _: navigation.outline(p.live, p.roots), ("doc_id", "place")),
     "structure": (lambda p, _: structure.elements(p.live, p.roots), ("doc_id", "dfs_index")),
-    "text": (lambda p, space: text.extract_text(p.runs(flatten=True, space=space), p.roots.where("tagged"), "screen" if space == "screen" else "page"), ("doc_id", "page_index")),
+    "text": (lambda p, space: logical_text(p, space), ("doc_id", "page_index")),
     "text-objects": (lambda p, space: p.runs(space=space).where("kind = 'text'"), ("doc_id", "page_index", "seq")),
     "images": (lambda p, _: images.decoded_images(p.live, p.resources).withColumn("samples", F.sha2("samples", 256)), ("doc_id", "page_index", "name")),
     "fonts": (lambda p, _: images.fonts(p.live, p.resources), ("doc_id", "name")),

@@ -26,6 +26,8 @@ def flate(data: bytes, lenient: bool = False) -> bytes:
         return _salvaged(data, 15) or _salvaged(data, -15)
     if d.unconsumed_tail:
         raise FilterIssue("flate: output limit")
+    if not d.eof and not lenient:
+        raise FilterIssue("flate: ends early")
     return out
 
 
@@ -39,8 +41,8 @@ def _salvaged(data: bytes, window: int) -> bytes:
     return bytes(out)
 
 
-def lzw(data: bytes, early: int = 1) -> bytes:
-    """9 to 12 bit codes, most significant bit first; 256 clears the table, 257 ends."""
+def lzw(data: bytes, early: int = 1, lenient: bool = False) -> bytes:
+    """9 to 12 bit codes, most significant bit first; 256 clears the table, 257 ends; ``lenient`` keeps what precedes a bad code."""
     out, table, size, prev = bytearray(), [], 9, b""
     bits = have = 0
     start = [bytes([i]) for i in range(256)] + [b"", b""]
@@ -60,6 +62,8 @@ def lzw(data: bytes, early: int = 1) -> bytes:
             entry = table[code]
         elif code == len(table) and prev:
             entry = prev + prev[:1]
+        elif lenient:
+            break
         else:
             raise FilterIssue("lzw: bad code")
         out += entry
@@ -182,7 +186,7 @@ def _decoded(data: bytes, value: dict, lenient: bool) -> bytes:
         if name not in FILTERS:
             raise FilterIssue(f"unknown filter {name}")
         if name in ("/LZWDecode", "/LZW"):
-            data = lzw(data, p.get("EarlyChange", 1))
+            data = lzw(data, p.get("EarlyChange", 1), lenient)
         else:
             data = flate(data, lenient) if FILTERS[name] is flate else FILTERS[name](data)
         if len(data) > LIMIT:

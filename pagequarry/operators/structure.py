@@ -112,3 +112,9 @@ def element_text(elems: DataFrame, content: DataFrame, pages: DataFrame, runs: D
     own = placed.groupBy("doc_id", "node").agg(joined.alias("joined"))
     text = F.replace(F.coalesce("actual_text", "joined", F.lit("")), F.lit("­"), F.lit(""))
     return elems.join(own, ["doc_id", "node"], "left").select("doc_id", "node", text.alias("text"))
+
+
+def actual_texts(content: DataFrame, elems: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, mcid and ``outer`` (node and text) of the contents whose element, or one above it, has an ActualText."""
+    index = mcid_index(content, elems, pages)
+    return index.join(elems.select("doc_id", "node", "outer"), ["doc_id", "node"]).where("outer IS NOT NULL").select("doc_id", "page_index", "mcid", "outer")

@@ -150,7 +150,15 @@ def tagged_text(runs: DataFrame, down: str = "page", ranks: DataFrame | None = N
     return filled.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda p: p["value"]), "\n").alias("text"))
 
 
-def extract_text(runs: DataFrame, tagged: DataFrame, down: str = "page") -> DataFrame:
-    """Tagged text of the documents that ``tagged`` (doc_id) lists, untagged text of the others."""
+def extract_text(
+    runs: DataFrame, tagged: DataFrame, down: str = "page", ranks: DataFrame | None = None, actual: DataFrame | None = None, box: list[float] | None = None
+) -> DataFrame:
+    """Tagged text of the documents that ``tagged`` (doc_id) lists, untagged text of the others.
+
+    ``ranks`` and ``actual`` (of :mod:`pagequarry.operators.structure`) give tagged pages the structure's order and
+    ActualText; with ``box`` only what crosses it counts.
+    """
     own = tagged.select("doc_id").distinct()
-    return tagged_text(runs.join(own, "doc_id", "left_semi"), down).unionByName(untagged_text(runs.join(own, "doc_id", "left_anti"), down))
+    shown = runs if box is None else crosses(runs.where("kind = 'text'"), box)
+    read = tagged_text(shown.join(own, "doc_id", "left_semi"), down, ranks, actual)
+    return read.unionByName(untagged_text(shown.join(own, "doc_id", "left_anti"), down))

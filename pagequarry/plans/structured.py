@@ -309,9 +309,7 @@ def pdf_logical_text(spark, sf_dir):
     elems = structure.elements(p.live, p.roots)
     content = structure.contents(p.live, elems)
     ranks = structure.logical_ranks(content, elems, p.pages)
-    index = structure.mcid_index(content, elems, p.pages)
-    actual = index.join(elems.select("doc_id", "node", "outer"), ["doc_id", "node"]).where("outer IS NOT NULL").select("doc_id", "page_index", "mcid", "outer")
-    found = text.tagged_text(p.runs(), ranks=ranks, actual=actual)
+    found = text.extract_text(p.runs(kinds=("text",)), p.roots.where("tagged"), "page", ranks, structure.actual_texts(content, elems, p.pages))
     return found.select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("words"))
 
 

@@ -1,5 +1,7 @@
+import random
+
 from pagequarry.sources import render
-from pagequarry.streaming import ingest
+from pagequarry.streaming import ingest, revisions
 
 
 def test_arriving_files_are_parsed_once(spark, tmp_path):
@@ -21,3 +23,23 @@ def test_arrivals_are_counted_by_window(spark, tmp_path):
     q.trigger(availableNow=True).start().awaitTermination()
     rows = spark.table("arrivals").collect()
     assert sum(r.files for r in rows) == 3 and sum(r.bytes for r in rows) == 15
+
+
+def test_revisions_over_a_stream_equal_the_batch_merge(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(d, o, at, 0, None if free else f"v{at}", free) for d in range(3) for o in range(12) for at in rng.sample(range(20), 6) for free in [rng.random() < 0.2]]
+    rng.shuffle(rows)  # later revisions may arrive before earlier ones
+    schema = "doc_id long, obj int, at long, gen int, value string, free boolean"
+    seen = {}
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changes = revisions.current_versions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+
+        def take(batch, _):
+            for r in batch.collect():
+                seen[r.doc_id, r.obj] = tuple(r)
+
+        changes.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        arrived = [r for j in range(k + 1) for r in rows[j::3]]
+        want = {(r.doc_id, r.obj): tuple(r) for r in revisions.merged(spark.createDataFrame(arrived, schema)).collect()}
+        assert seen == want
