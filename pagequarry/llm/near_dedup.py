@@ -90,19 +90,44 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(flat))
 
 
-def tiled(rows: DataFrame, key: str, sizes: DataFrame, tile: int, node: str) -> DataFrame:
-    """Rows with columns ``i`` and ``j``: groups of over ``tile`` rows are split, and each pair of tiles meets once."""
-    t = F.ceil(F.col("size") / tile).cast("int")
-    own = F.pmod(F.xxhash64(node), F.col("t")).cast("int")
-    return (
-        rows.join(sizes, key)
-        .withColumn("t", t)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .drop("t", "own", "other", "size")
+def few_or_joined(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows, to be broadcast if they are few; else the join shuffles."""
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
+
+
+def bucket_rows(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of buckets in tiles, to be compared with each other: key, i, j, rep, signs; links of large buckets or None).
+
+    Members of a bucket of over ``TILE`` rows meet its smallest member first; only those whose signatures are far from
+    it go on, to be compared with all: a bucket of copies costs as many rows as it has, not their square.
+    """
+    keyed = reps.select("rep", "f1", F.explode("bands").alias("key"))
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    signs = reps.select("rep", "f1", "signs")
+    zero = F.lit(0)
+    small = keyed.join(sizes.where(F.col("size") <= TILE).select("key"), "key").join(signs, ["rep", "f1"])
+    rows = small.select("key", zero.alias("i"), zero.alias("j"), "rep", "signs")
+    large = sizes.where(F.col("size") > TILE)
+    n_large = large.count()
+    if not n_large:
+        return rows, None
+    held = written(keyed.join(few_or_joined(large, n_large), "key").join(signs, ["rep", "f1"]), "near-large")
+    firsts = held.groupBy("key").agg(F.min(F.struct("rep", "f1", "signs")).alias("first"))
+    pivots = firsts.select("key", F.col("first.rep").alias("pivot"), F.col("first.signs").alias("pivot_signs"))
+    differing = sum((F.bit_count(F.col("signs")[k].bitwiseXOR(F.col("pivot_signs")[k])) for k in range(SIGN_LONGS)), zero)
+    met = held.join(few_or_joined(pivots, n_large), "key").withColumn("near", differing <= MAX_DIFF)
+    links = met.where("near AND rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    far = written(met.where(~F.col("near")).select("key", "size", "rep", "f1", "signs"), "near-far")
+    tiles = far.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("of_far"), F.ceil(F.first("size") / TILE).cast("int").alias("of_all"))
+    tiles = few_or_joined(tiles, n_large)
+    node = F.xxhash64("rep", "f1")
+    every = held.join(tiles, "key").select(
+        "key", F.pmod(node, F.col("of_all")).cast("int").alias("i"), F.explode(F.sequence(zero, F.col("of_far") - 1)).alias("j"), "rep", "signs"
     )
+    few = far.join(tiles, "key").select(
+        "key", F.explode(F.sequence(zero, F.col("of_all") - 1)).alias("i"), F.pmod(node, F.col("of_far")).cast("int").alias("j"), "rep", "signs"
+    )
+    return rows.unionByName(every).unionByName(few), links
 
 
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,9 +175,7 @@ def _bucket_links(reps: np.ndarray, signs: np.ndarray, starts: np.ndarray) -> tu
 
 def candidate_links(reps: DataFrame) -> DataFrame:
     """u, v: members of a bucket whose signatures hang together with a smaller member's."""
-    keyed = reps.select("rep", "f1", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = tiled(keyed, "key", sizes, TILE, "rep").join(reps.select("rep", "f1", "signs"), ["rep", "f1"])
+    members, links = bucket_rows(reps)
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +207,8 @@ def candidate_links(reps: DataFrame) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return dealt.select("key", "i", "j", "rep", "signs").mapInArrow(link, "u long, v long").distinct()
+    found = dealt.select("key", "i", "j", "rep", "signs").mapInArrow(link, "u long, v long")
+    return (found if links is None else found.unionByName(links)).distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

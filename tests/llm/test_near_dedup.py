@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from pagequarry.llm import components, near_dedup
 from tests.llm import texts
 from tests.llm.brute import W
@@ -114,3 +116,23 @@ def test_star_rounds_on_a_path_and_a_star(spark, monkeypatch):
     got = {r.u: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_of_a_large_bucket_grow_linearly(spark):
+    """A hundred thousand alike representatives in every band, and some that only share buckets with them."""
+    n, strange = 100_000, 300
+    base = F.array(*[F.lit(0).cast("long")] * near_dedup.SIGN_LONGS)
+    other = F.array(*[F.lit(-1).cast("long")] * near_dedup.SIGN_LONGS)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: k.cast("long"))
+    alike = spark.range(n).select(F.col("id").alias("rep"), F.col("id").alias("f1"), bands.alias("bands"), base.alias("signs"))
+    odd = spark.range(n, n + strange).select(F.col("id").alias("rep"), F.col("id").alias("f1"), bands.alias("bands"), other.alias("signs"))
+    reps = alike.union(odd)
+    rows, links = near_dedup.bucket_rows(reps)
+    total = (n + strange) * 3
+    assert rows.count() <= 2 * total and links.distinct().count() == n - 1
+    own = near_dedup.candidate_links(spark.range(0, 3000).select(F.col("id").alias("rep"), F.col("id").alias("f1"), bands.alias("bands"), F.when(F.col("id") % 3 == 0, base).otherwise(other).alias("signs")))
+    seen = {(r.u, r.v) for r in own.collect()}
+    label = list(range(3000))
+    for u, v in sorted(seen, key=lambda x: (x[1], x[0])):  # links lead to smaller members
+        label[u] = label[v]
+    assert label == [0 if i % 3 == 0 else 1 for i in range(3000)]
