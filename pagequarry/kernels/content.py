@@ -144,6 +144,13 @@ class State:
     stroke_alpha: float = 1.0
     fill_alpha: float = 1.0
     blend: str = "Normal"
+    soft_mask: str | None = None
+    alpha_is_shape: bool = False
+    knockout: bool = True
+    overprint_stroke: bool = False
+    overprint_fill: bool = False
+    overprint_mode: int = 0
+    halftone: str | None = None
 
 
 @dataclass
@@ -169,6 +176,8 @@ class Scope:
 
 #: Parameters of an extended graphics state and the numbers they set.
 STATE_KEYS = {"LW": "width", "LC": "cap", "LJ": "join", "ML": "miter", "FL": "flatness", "CA": "stroke_alpha", "ca": "fill_alpha"}
+#: Parameters that are switches.
+SWITCHES = {"AIS": "alpha_is_shape", "TK": "knockout", "OP": "overprint_stroke", "op": "overprint_fill"}
 STATE_OPS = {"w": "width", "J": "cap", "j": "join", "M": "miter", "i": "flatness"}
 TEXT_OPS = {"Tc": "char", "Tw": "word", "TL": "leading", "Ts": "rise"}
 
@@ -276,7 +285,7 @@ class Machine:
                         if form.scope not in path:
                             self.state = replace(s, ctm=times(s.ctm, form.matrix))
                             if form.group:
-                                self.state = replace(self.state, stroke_alpha=1.0, fill_alpha=1.0, blend="Normal")
+                                self.state = replace(self.state, stroke_alpha=1.0, fill_alpha=1.0, blend="Normal", soft_mask=None)
                             yield from self._run(form.content, form.scope, (*path, form.scope), [*outer, *marked])
                             self.state, self.fonts = s, own.fonts
                         continue
@@ -330,8 +339,23 @@ class Machine:
                 setattr(s, name, type(getattr(s, name))(values[key]))
         if isinstance(values.get("D"), list):
             s.dash, s.phase = tuple(map(float, values["D"][0])), float(values["D"][1])
-        if isinstance(values.get("BM"), str):
-            s.blend = values["BM"][1:]
+        mode = values.get("BM")
+        mode = mode[0] if isinstance(mode, list) and mode else mode  # of several the first
+        if isinstance(mode, str):
+            s.blend = mode[1:]
+        for key, name in SWITCHES.items():
+            if isinstance(values.get(key), bool):
+                setattr(s, name, values[key])
+        if isinstance(values.get("OP"), bool) and "op" not in values:
+            s.overprint_fill = values["OP"]
+        if isinstance(values.get("OPM"), int):
+            s.overprint_mode = values["OPM"]
+        if "SMask" in values:
+            mask = values["SMask"]
+            s.soft_mask = mask.get("S", "/")[1:] if isinstance(mask, dict) else None
+        if "HT" in values:
+            tone = values["HT"]
+            s.halftone = tone[1:] if isinstance(tone, str) else f"Type{tone.get('HalftoneType', '')}" if isinstance(tone, dict) else None
 
     def _show(self, parts: list, tm: tuple) -> tuple[dict, tuple]:
         s = self.state

@@ -160,17 +160,30 @@ def form_fields(live: DataFrame, roots: DataFrame) -> DataFrame:
     )
     kids = live.where(field("value", "Kids").isNotNull()).select("doc_id", F.col("obj").alias("parent"), F.posexplode(items(field("value", "Kids"))).alias("ord", "r"))
     edges = tops.unionByName(kids.select("doc_id", ref(F.col("r")).alias("node"), "parent", "ord"))
-    keys = {"FT": "field_type", "Ff": "flags", "V": "value", "DV": "default_value", "Opt": "options"}
+    keys = {"FT": "field_type", "Ff": "flags", "V": "value", "DV": "default_value", "Opt": "options", "I": "chosen"}
     values = live.select(
         "doc_id", F.col("obj").alias("node"), text_value(field("value", "T")).alias("name"), *[field("value", k).alias(c) for k, c in keys.items()],
     )
     linked = edges.join(values, ["doc_id", "node"]).withColumn("ord", F.col("ord").cast("long"))
     reached = trees.walk(written(linked, "fields"), ["doc_id"], inherit=tuple(keys.values()))
     own = values.select("doc_id", "node", "name")
-    return reached.join(own, ["doc_id", "node"]).select(
+    option = items(F.col("options"))
+
+    def shown(o: Column) -> Column:
+        return text_value(F.when(o.startswith("["), F.get(items(o), F.lit(1))).otherwise(o))
+
+    def exported(o: Column) -> Column:
+        return text_value(F.when(o.startswith("["), F.get(items(o), F.lit(0))).otherwise(o))
+
+    values_of = F.when(F.col("value").startswith("["), F.transform(items(F.col("value")), text_value)).when(F.col("value").isNotNull(), F.array(text_value(F.col("value"))))
+    marked = F.from_json("chosen", "array<int>")  # stated indexes; else those of the options that are the value
+    matching = F.filter(F.transform(option, lambda o, i: F.when(F.array_contains(values_of, exported(o)) | F.array_contains(values_of, shown(o)), i)), lambda i: i.isNotNull())
+    selected = F.when(F.col("options").isNotNull(), F.coalesce(F.filter(marked, lambda i: (i >= 0) & (i < F.size(option))), matching, F.array().cast("array<int>")))
+    told = reached.withColumns({"_values": values_of, "_shown": F.transform(option, shown), "_exported": F.transform(option, exported)}).withColumn("_selected", selected)
+    return told.join(own, ["doc_id", "node"]).select(
         "doc_id", "node", "parent", F.col("path").alias("full_name"), "name", text_value(F.col("field_type")).alias("field_type"),
         F.coalesce(F.col("flags").try_cast("int"), F.lit(0)).alias("flags"), text_value(F.col("value")).alias("value"), text_value(F.col("default_value")).alias("default_value"),
-        F.transform(items(F.col("options")), lambda o: text_value(F.when(o.startswith("["), F.get(items(o), F.lit(1))).otherwise(o))).alias("options"), "order",
+        F.col("_values").alias("values"), F.col("_shown").alias("options"), F.col("_exported").alias("option_values"), F.col("_selected").alias("selected"), "order",
     )
 
 

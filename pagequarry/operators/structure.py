@@ -79,6 +79,22 @@ def element_boxes(elems: DataFrame, content: DataFrame, pages: DataFrame, runs:
     )
 
 
+def declared_boxes(live: DataFrame, elems: DataFrame) -> DataFrame:
+    """doc_id, node and bbox that an element's attributes state (of several objects the first with a box of four numbers)."""
+    held = elems.select("doc_id", "node").join(live.select("doc_id", F.col("obj").alias("node"), field("value", "A").alias("a")), ["doc_id", "node"])
+    listed = F.when(F.col("a").startswith("["), items(F.col("a"))).otherwise(F.array("a"))
+    each = held.where("a IS NOT NULL").select("doc_id", "node", F.posexplode(listed).alias("place", "attribute"))
+    box = F.from_json(field("attribute", "BBox"), "array<double>")
+    stated = resolved(each, live, "attribute").withColumn("bbox", box).where((F.size("bbox") == 4) & ~F.exists("bbox", lambda x: x.isNull()))
+    return stated.groupBy("doc_id", "node").agg(F.min_by("bbox", "place").alias("bbox"))
+
+
+def boxes(live: DataFrame, elems: DataFrame, content: DataFrame, pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, node and bbox of elements: as their attributes state it, else around their contents."""
+    stated = declared_boxes(live, elems)
+    return stated.unionByName(element_boxes(elems, content, pages, runs).join(stated, ["doc_id", "node"], "left_anti"))
+
+
 def contents(live: DataFrame, elems: DataFrame) -> DataFrame:
     """Marked contents of elements in order: doc_id, node, ord, page_obj, mcid; a content's own page wins over its element's."""
     kids = live.select("doc_id", F.col("obj").alias("node"), field("value", "K").alias("k"))

@@ -37,11 +37,12 @@ GLYPH = "struct<text:string,x:double,y:double,dx:double,dy:double>"
 MARK = "struct<id:int,tag:string,mcid:int,actual:string>"
 COLOR = "struct<space:string,values:array<double>,pattern:string>"
 LINE = "struct<width:double,cap:int,join:int,miter:double,dash:array<double>,phase:double>"
+EFFECTS = "struct<soft_mask:string,alpha_is_shape:boolean,knockout:boolean,overprint_stroke:boolean,overprint_fill:boolean,overprint_mode:int,halftone:string>"
 CONTENT = (
     f"doc_id long, page_index int, seq int, kind string, name string, size double, x double, y double, glyphs array<{GLYPH}>, "
     f"marked array<{MARK}>, bbox array<double>, stroke boolean, fill boolean, even_odd boolean, "
     f"segments array<struct<op:string,points:array<double>>>, `offset` long, scope int, stroke_color {COLOR}, fill_color {COLOR}, line {LINE}, "
-    "stroke_alpha double, fill_alpha double, blend string, clips int, error string"
+    f"stroke_alpha double, fill_alpha double, blend string, effects {EFFECTS}, clips int, error string"
 )
 
 
@@ -321,6 +322,8 @@ class Runs:
 
     PLAIN = ("doc_id", "page_index", "seq", "kind", "name", "size", "x", "y", "marked", "bbox", "stroke", "fill", "even_odd", "segments", "offset", "scope", "error")
 
+    EFFECTS = ("soft_mask", "alpha_is_shape", "knockout", "overprint_stroke", "overprint_fill", "overprint_mode", "halftone")
+
     def __init__(self, schema: pa.Schema) -> None:
         self.schema = schema
         self.clear()
@@ -328,7 +331,7 @@ class Runs:
     def clear(self) -> None:
         self.plain = {c: [] for c in self.PLAIN}
         self.glyphs, self.ends, self.missing = ([], [], [], [], []), [0], []
-        self.state = {c: [] for c in ("stroke_color", "fill_color", "line", "stroke_alpha", "fill_alpha", "blend", "clips")}
+        self.state = {c: [] for c in ("stroke_color", "fill_color", "line", "effects", "stroke_alpha", "fill_alpha", "blend", "clips")}
 
     def add(self, doc_id: int, page_index: int, row: dict) -> None:
         row["doc_id"], row["page_index"] = doc_id, page_index
@@ -346,6 +349,7 @@ class Runs:
         for name, (space, values, pattern) in (("stroke_color", state.stroke), ("fill_color", state.fill)):
             self.state[name].append({"space": space, "values": values, "pattern": pattern})
         self.state["line"].append({"width": state.width, "cap": state.cap, "join": state.join, "miter": state.miter, "dash": state.dash, "phase": state.phase})
+        self.state["effects"].append({c: getattr(state, c) for c in self.EFFECTS})
         for c in ("stroke_alpha", "fill_alpha", "blend", "clips"):
             self.state[c].append(getattr(state, c))
 

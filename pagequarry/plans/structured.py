@@ -204,7 +204,7 @@ def with_fields(doc_id: int, rows: list[dict]) -> bytes:
         for k, r in zip(kids, own, strict=True):
             field = {"T": r["name"], "V": r["phone"], "Parent": f"{top} 0 R"}
             if r["ord"]["c_custkey"] % 3 == 0:
-                field |= {"FT": "/Ch", "Opt": [["a", r["phone"]], "b"]}
+                field |= {"FT": "/Ch", "Opt": [["a", r["phone"]], "b"]} | ({"I": [1]} if r["ord"]["c_custkey"] % 2 else {})
             bodies[k] = json_value(field)
     bodies |= {1: b"<< /Type /Catalog /AcroForm 2 0 R >>", 2: b"<< /NeedAppearances %s /Fields %s >>" % (b"true" if doc_id % 2 else b"false", refs(tops))}
     return revision(b"", bodies, b"/Root 1 0 R", STYLES[doc_id % 3])
@@ -221,6 +221,16 @@ def pdf_form_fields(spark, sf_dir):
     return found.select("doc_id", "full_name", "field_type", "flags", "value", F.array_join("options", "|").alias("options"), "need_appearances")
 
 
+@query(f"""SELECT {BUCKET} AS doc_id, c_mktsegment || '.' || c_name AS full_name, CASE WHEN c_custkey % 2 = 1 THEN 'b' ELSE '(tel) ' || c_custkey END AS picked,
+    'a|b' AS exported FROM customer WHERE c_custkey % 3 = 0""")
+def pdf_field_selections(spark, sf_dir):
+    """Selected options of choice fields: as stated, else those that are the field's value."""
+    p = Parsed(customer_documents(spark, sf_dir, with_fields))
+    found = navigation.form_fields(p.live, p.roots).where("options IS NOT NULL")
+    picked = F.array_join(F.transform("selected", lambda i: F.get("options", i)), "|")
+    return found.select("doc_id", "full_name", picked.alias("picked"), F.array_join("option_values", "|").alias("exported"))
+
+
 # --- annotations: an order's lines on one page
 
 def annotated(doc_id: int, rows: list[dict]) -> bytes:
@@ -276,7 +286,7 @@ def structured(doc_id: int, rows: list[dict]) -> bytes:
     for i, ((tag, _), r) in enumerate(zip(sections, rows, strict=True)):
         element = {"S": f"/{tag}", "P": "4 0 R", "K": i}
         if r["role"] == "system":
-            element["ActualText"] = f"note {i}"
+            element |= {"ActualText": f"note {i}", "A": [{"O": "/List"}, {"O": "/Layout", "BBox": [1, 2, i + 3, 4.5]}]}
         bodies[first + i] = json_value(element)
     return revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id % 3])
 
@@ -302,6 +312,18 @@ def pdf_structure_text(spark, sf_dir):
     return elems.join(said, ["doc_id", "node"]).join(slots, ["doc_id", "node"], "left").select("doc_id", F.col("dfs_index").cast("int").alias("dfs_index"), "role", "raw_role", "text", "mcid")
 
 
+@query(TURNS + """, n AS (SELECT *, max(i) OVER (PARTITION BY doc_id) - i AS back FROM t)
+    SELECT doc_id, i AS dfs_index, CASE WHEN role = 'system' THEN 1.0 ELSE 36.0 END::DOUBLE AS x0, CASE WHEN role = 'system' THEN 2.0 ELSE 800.0 - 12 * (back + 1) END::DOUBLE AS y0,
+    CASE WHEN role = 'system' THEN 4.5 ELSE 810.0 - 12 * (back + 1) END::DOUBLE AS y1 FROM n WHERE role = 'system' OR coalesce(text, '') <> ''""")
+def pdf_element_boxes(spark, sf_dir):
+    """Boxes of structure elements: stated by an attribute, or around what their marked content shows."""
+    p = Parsed(conversation_documents(spark, sf_dir))
+    elems = structure.elements(p.live, p.roots)
+    found = structure.boxes(p.live, elems, structure.contents(p.live, elems), p.pages, p.runs())
+    x = [F.round(F.get("bbox", F.lit(k)), 6) for k in range(4)]
+    return found.join(elems.select("doc_id", "node", "dfs_index"), ["doc_id", "node"]).select("doc_id", F.col("dfs_index").cast("int").alias("dfs_index"), x[0].alias("x0"), x[1].alias("y0"), x[3].alias("y1"))
+
+
 @query(TURNS + """ SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN role = 'system' THEN 'note ' || (i - 1) ELSE coalesce(text, '') END, '' ORDER BY i), '\\s+', ' ', 'g')) AS words FROM t GROUP BY doc_id""")
 def pdf_logical_text(spark, sf_dir):
     """Tagged text in the order of the structure, with the structure's ActualText; every section lies above the one before, so none begins a line."""
@@ -497,6 +519,29 @@ def pdf_restricted_operators(spark, sf_dir):
     return paths.select("doc_id", (x / 10).cast("int").alias("i"), "name", x.alias("x0"))
 
 
+def overprinted(doc_id: int, rows: list[dict]) -> bytes:
+    """Boxes under states with masks, overprint, knockout and halftones; what a state does not name stays as it was."""
+    page, states = [], {}
+    for i, r in enumerate(rows):
+        k = r["ord"]
+        state = {"OPM": k % 2, "AIS": k % 2 == 0, "SMask": ({"S": "/Luminosity", "G": "9 0 R"}, "/None", {"S": "/Alpha"})[k % 3], "BM": ["/Multiply", "/Screen"]}
+        state |= ({"OP": True}, {"OP": True, "op": False}, {"TK": False, "HT": {"HalftoneType": 5}})[k % 3]
+        states[f"GS{i}"] = state
+        page.append(b"q /GS%d gs %d 0 10 5 re f Q" % (i, 10 * i))
+    tree, root, _ = page_tree(10, [b"/Contents 3 0 R /Resources 4 0 R"])
+    bodies = {1: b"<< /Type /Catalog /Pages %d 0 R >>" % root, 3: stream(b"\n".join(page)), 4: json_value({"ExtGState": states})}
+    return revision(b"", bodies | tree, b"/Root 1 0 R", STYLES[doc_id % 3])
+
+
+@query(SUPPLIERS + """ SELECT doc_id, i::INTEGER AS place, ['Luminosity', NULL, 'Alpha'][k % 3 + 1] AS soft_mask, k % 2 = 0 AS alpha_is_shape, k % 3 <> 2 AS knockout, k % 3 <> 2 AS overprint_stroke,
+    k % 3 = 0 AS overprint_fill, (k % 2)::INTEGER AS overprint_mode, CASE WHEN k % 3 = 2 THEN 'Type5' END AS halftone, 'Multiply' AS blend FROM s""")
+def pdf_effects(spark, sf_dir):
+    """Masks, overprint, knockout and halftones in force where boxes are painted."""
+    docs = table(spark, sf_dir, "supplier").select(F.expr("cast(s_suppkey div 4 AS long)").alias("doc_id"), F.col("s_suppkey").alias("ord"))
+    paths = Parsed(writer.per_document(docs, overprinted)).runs(kinds=("path",))
+    return paths.select("doc_id", (F.row_number().over(text.page_order("seq")) - 1).alias("place"), "effects.*", "blend")
+
+
 # --- encryption: parts as strings and streams, three methods
 
 PERMISSIONS, OWNER = (-1, -5, -9, -17), b"o" * 32
