@@ -36,7 +36,9 @@ def plain(v):
 #: Document queries that the suite compares; the others differ in what they read, not in how.
 DOCUMENT_QUERIES = (
     "pdf_text_round_trip", "pdf_pages", "pdf_live_objects", "pdf_newest_entries", "pdf_form_fields", "pdf_structure_text", "pdf_flattened_forms", "pdf_graphics_state", "pdf_selections",
-    "pdf_password_errors",
+    "pdf_password_errors", "pdf_first_pages", "pdf_first_words", "pdf_form_views", "pdf_restricted_operators", "pdf_damaged_pages", "pdf_annotation_links", "pdf_unreachable_objects",
+    "pdf_tree_problems", "pdf_tree_lookups", "pdf_composite_text", "pdf_type3_text", "pdf_packets", "pdf_columns", "pdf_strong_keys", "pdf_source_objects", "pdf_sql_tokens",
+    "pdf_effects", "pdf_field_selections", "pdf_element_boxes", "pdf_logical_text",
 )
 
 
