@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagequarry.operators import trees
 from pagequarry.operators.navigation import items, text_value
 from pagequarry.operators.tables import field, ref
-from pagequarry.sources.store import written
+from pagequarry.sources.store import unbroadcast, written
 
 #: The key of a leaf's pairs, and how a key is read and compared.
 NAMES, NUMBERS = "Names", "Nums"
@@ -89,7 +89,7 @@ def looked_up(live: DataFrame, starts: DataFrame, wanted: DataFrame, pairs: str)
         inner = level.withColumnRenamed("node", "parent").join(links, ["doc_id", "parent"])
         holds = F.coalesce((F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")), F.lit(True)) & ~F.array_contains("trail", F.col("node"))
         level = inner.where(holds).select("doc_id", "key", "node", F.array_append("order", F.col("ord")).alias("order"), F.array_append("trail", F.col("node")).alias("trail"))
-    every = reduce(DataFrame.unionByName, levels or [level])
+    every = unbroadcast(reduce(DataFrame.unionByName, levels or [level]))
     met = every.join(bodies, ["doc_id", "node"], "left")
     hit = F.array_position("keys", F.col("key"))
     own = met.groupBy("doc_id", "key").agg(

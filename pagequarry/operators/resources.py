@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pagequarry.kernels import content as machine
 from pagequarry.kernels import filters
 from pagequarry.operators.tables import bare, expanded, field, ref
-from pagequarry.sources.store import written
+from pagequarry.sources.store import unbroadcast, written
 
 CATEGORIES = ("Font", "XObject", "Properties", "ExtGState", "ColorSpace", "Pattern", "Shading")
 SCOPE = ("doc_id", "res", "scope")
@@ -70,7 +70,7 @@ def shared(live: DataFrame, page: DataFrame) -> DataFrame:
         scopes = written(fresh.groupBy(*SCOPE).agg(F.min("resources").alias("resources")), "resource-scopes")
         if scopes.isEmpty():
             break
-    return reduce(DataFrame.unionByName, found)
+    return unbroadcast(reduce(DataFrame.unionByName, found))
 
 
 def on_pages(entries: DataFrame, page: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def parent_maps(streams: DataFrame, own: DataFrame) -> DataFrame:
             break
         found.append(level)
     maps = streams.select("doc_id", F.col("obj").alias("at"), F.col("s").alias("spec"), "stream")
-    every = reduce(DataFrame.unionByName, found).join(maps, ["doc_id", "at"])
+    every = unbroadcast(reduce(DataFrame.unionByName, found)).join(maps, ["doc_id", "at"])
     order = F.sort_array(F.collect_list(F.struct((-F.size("trail")).alias("depth"), "spec", "stream")))
     return every.groupBy("doc_id", "code_obj").agg(F.transform(order, lambda x: F.struct(x["spec"].alias("spec"), x["stream"].alias("stream"))).alias("parents"))
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.sources.store import written
+from pagequarry.sources.store import unbroadcast, written
 
 
 def walk(nodes: DataFrame, by: list[str], inherit: tuple[str, ...] = (), sep: str = ".", outer: tuple[str, ...] = ()) -> DataFrame:
@@ -48,4 +48,4 @@ def walk(nodes: DataFrame, by: list[str], inherit: tuple[str, ...] = (), sep: st
             *[F.coalesce(f"_{c}", c).alias(c) for c in outer],
             F.concat("_trail", F.array("node")).alias("_trail"),
         )
-    return reduce(DataFrame.unionByName, levels).drop("_trail")
+    return unbroadcast(reduce(DataFrame.unionByName, levels)).drop("_trail")

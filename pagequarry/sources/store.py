@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField
+
+#: Bytes of rows above which a table is never broadcast: files say little, as rows that repeat each other shrink a hundredfold in them.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _row_bytes(field: StructField) -> Column:
+    """About the bytes of a row's column in memory; of text all of them."""
+    if isinstance(field.dataType, StringType | BinaryType):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    return F.lit(64 if hasattr(field.dataType, "elementType") or hasattr(field.dataType, "fields") else 8)
+
+
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` for joins by sorting alone, whatever its files promise; a union needs this again, as hints of its parts end there."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored as Parquet in the shared folder and read back: its lineage ends there."""
+    """``df`` stored as Parquet in the shared folder and read back: its lineage ends there.
+
+    Rows are measured as they are written; a table of more than ``BROADCAST_BYTES`` is joined by sorting.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    each = sum((_row_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    df.observe(seen, F.sum(each).alias("bytes")).write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return unbroadcast(back) if (seen.get["bytes"] or 0) > BROADCAST_BYTES else back
