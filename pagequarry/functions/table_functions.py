@@ -97,8 +97,8 @@ OBJECTS = columns_of(seq=IntegerType(), obj=IntegerType(), gen=IntegerType(), li
 def register(spark: SparkSession) -> None:
     """Make the functions known to a session's SQL."""
     spark.udtf.register("pdf_objects", udtf(PdfObjects, returnType=OBJECTS, useArrow=True))
-    spark.udtf.register("pdf_tokens", udtf(PdfTokens, useArrow=True))
-    spark.udtf.register("pdf_operations", udtf(PdfOperations, useArrow=True))
+    spark.udtf.register("pdf_tokens", udtf(PdfTokens, useArrow=False))
+    spark.udtf.register("pdf_operations", udtf(PdfOperations, useArrow=False))
 
 
 def register_callback(spark: SparkSession, name: str, rows_of: Callable[..., Iterable[tuple]], columns: str) -> None:
@@ -108,4 +108,5 @@ def register_callback(spark: SparkSession, name: str, rows_of: Callable[..., Ite
         def eval(self, *arguments) -> Iterator[tuple]:
             yield from rows_of(*arguments)
 
-    spark.udtf.register(name, udtf(Called, returnType=columns, useArrow=True))
+    # called once a row for few rows each: an Arrow batch for every call would cost far more than the rows themselves
+    spark.udtf.register(name, udtf(Called, returnType=columns, useArrow=False))
