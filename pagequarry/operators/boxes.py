@@ -8,15 +8,18 @@ the unit, however many pages there are).
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagequarry.operators import layout
 from pagequarry.operators.text import page_order
 
-LINE_MARGIN, FLOW, CELL = 0.5, 0.5, 50
+LINE_MARGIN, FLOW, CELL, BATCH_ROWS = 0.5, 0.5, 50, 2000
 BOX = "doc_id long, page_index int, line int, box int, place int"
 
 
@@ -133,8 +136,40 @@ def positional_order(rects: list[tuple]) -> list[int]:
     return sorted(range(len(rects)), key=lambda i: (-rects[i][3], rects[i][0]))
 
 
-def _rects(pdf: pd.DataFrame) -> list[tuple]:
-    return list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
+def by_page(lines: DataFrame, fold: Callable[[list[tuple], list[int]], list[tuple]]) -> DataFrame:
+    """Rows (line, box, place) that ``fold`` makes of each page's bounds and line numbers, in order of the lines.
+
+    Pages are small and many: a task goes through its sorted rows and folds a page when the next begins. The number of
+    partitions is stated, so that few bytes do not end in few tasks.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(BOX))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, rects, numbers, out = None, [], [], []
+
+        def rows() -> list[tuple]:
+            return [(*page, *row) for row in fold(rects, numbers)] if page else []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        for held in batches:
+            for doc_id, index, line, *rect in zip(*[c.to_pylist() for c in held.columns], strict=True):
+                if (doc_id, index) != page:
+                    out += rows()
+                    page, rects, numbers = (doc_id, index), [], []
+                    if len(out) >= BATCH_ROWS:
+                        yield batch()
+                        out = []
+                rects.append(tuple(rect))
+                numbers.append(line)
+        out += rows()
+        if out:
+            yield batch()
+
+    slots = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    thin = lines.select("doc_id", "page_index", "line", "x0", "y0", "x1", "y1").repartition(slots, "doc_id", "page_index")
+    return thin.sortWithinPartitions("doc_id", "page_index", "line").mapInArrow(of, BOX)
 
 
 def box_lines(lines: DataFrame, margin: float = LINE_MARGIN, flow: float | None = FLOW) -> DataFrame:
@@ -143,16 +178,13 @@ def box_lines(lines: DataFrame, margin: float = LINE_MARGIN, flow: float | None
     Lines of white space alone form no box. Without ``flow`` boxes are numbered by position.
     """
 
-    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["text"].str.strip() != ""].sort_values("line")
-        rects, numbers, rows = _rects(pdf), pdf["line"].tolist(), []
+    def fold(rects: list[tuple], numbers: list[int]) -> list[tuple]:
         boxes = gathered(rects, margin)
         frames = [bounds([rects[j] for j in box]) for box in boxes]
-        for n, k in enumerate(positional_order(frames) if flow is None else reading_order(frames, flow)):
-            rows += [(*key, numbers[j], n, place) for place, j in enumerate(boxes[k])]
-        return pd.DataFrame(rows, columns=["doc_id", "page_index", "line", "box", "place"])
+        ordered = positional_order(frames) if flow is None else reading_order(frames, flow)
+        return [(numbers[j], n, place) for n, k in enumerate(ordered) for place, j in enumerate(boxes[k])]
 
-    return lines.groupBy("doc_id", "page_index").applyInPandas(of, BOX)
+    return by_page(lines.where(F.col("text").rlike(r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]")), fold)
 
 
 def text_boxes(lines: DataFrame, margin: float = LINE_MARGIN, flow: float | None = FLOW) -> DataFrame:
@@ -167,9 +199,8 @@ def text_boxes(lines: DataFrame, margin: float = LINE_MARGIN, flow: float | None
 def paragraphs(lines: DataFrame, margin: float = LINE_MARGIN) -> DataFrame:
     """doc_id, page_index, line and paragraph: lines that hang together through near ones, numbered by their first line."""
 
-    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        label = list(range(len(pdf)))
+    def fold(rects: list[tuple], numbers: list[int]) -> list[tuple]:
+        label = list(range(len(rects)))
 
         def find(i: int) -> int:
             while label[i] != i:
@@ -177,16 +208,15 @@ def paragraphs(lines: DataFrame, margin: float = LINE_MARGIN) -> DataFrame:
                 i = label[i]
             return i
 
-        for i, found in enumerate(neighbours(_rects(pdf), margin)):
+        for i, found in enumerate(neighbours(rects, margin)):
             for j in found:
                 a, b = sorted((find(i), find(j)))
                 label[b] = a
-        roots = [find(i) for i in range(len(pdf))]
+        roots = [find(i) for i in range(len(rects))]
         number = {r: n for n, r in enumerate(dict.fromkeys(roots))}
-        rows = [(*key, line, number[r], 0) for line, r in zip(pdf["line"], roots, strict=True)]
-        return pd.DataFrame(rows, columns=["doc_id", "page_index", "line", "box", "place"])
+        return [(line, number[r], 0) for line, r in zip(numbers, roots, strict=True)]
 
-    return lines.groupBy("doc_id", "page_index").applyInPandas(of, BOX).select("doc_id", "page_index", "line", F.col("box").alias("paragraph"))
+    return by_page(lines, fold).select("doc_id", "page_index", "line", F.col("box").alias("paragraph"))
 
 
 def items(boxes: DataFrame, runs: DataFrame) -> DataFrame:
