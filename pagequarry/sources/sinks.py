@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 def glyphs(runs: DataFrame) -> DataFrame:
     """One row per shown glyph in paint order: doc_id, page_index, index (from 0 on each page), text, font, size, x, y, dx, dy."""
-    each = runs.where("kind = 'text'").select("doc_id", "page_index", "seq", F.col("name").alias("font"), "size", F.posexplode("glyphs").alias("nth", "g"))
-    index = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("seq", "nth")) - 1
-    return each.select("doc_id", "page_index", index.alias("index"), F.col("g.text").alias("text"), "font", "size", *[F.col(f"g.{c}").alias(c) for c in ("x", "y", "dx", "dy")])
+    shown = runs.where("kind = 'text'").select("doc_id", "page_index", "seq", F.col("name").alias("font"), "size", "glyphs")
+    earlier = Window.partitionBy("doc_id", "page_index").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shown.withColumn("first", F.coalesce(F.sum(F.size("glyphs")).over(earlier), F.lit(0)))  # runs are ordered, not their glyphs
+    each = placed.select("doc_id", "page_index", "font", "size", "first", F.posexplode("glyphs").alias("nth", "g"))
+    return each.select("doc_id", "page_index", (F.col("first") + F.col("nth")).cast("int").alias("index"), F.col("g.text").alias("text"), "font", "size", *[F.col(f"g.{c}").alias(c) for c in ("x", "y", "dx", "dy")])
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
