@@ -10,9 +10,11 @@ never fails a job: the row carries ``error``.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
 from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -323,25 +325,39 @@ class Runs:
     PLAIN = ("doc_id", "page_index", "seq", "kind", "name", "size", "x", "y", "marked", "bbox", "stroke", "fill", "even_odd", "segments", "offset", "scope", "error")
 
     EFFECTS = ("soft_mask", "alpha_is_shape", "knockout", "overprint_stroke", "overprint_fill", "overprint_mode", "halftone")
+    #: What the columns of the graphics state are made of.
+    STATE = ("stroke", "fill", "width", "cap", "join", "miter", "dash", "phase", "stroke_alpha", "fill_alpha", "blend", "clips", *EFFECTS)
 
     def __init__(self, schema: pa.Schema) -> None:
-        self.schema = schema
+        self.schema, self.values_of = schema, attrgetter(*self.STATE)
         self.clear()
 
     def clear(self) -> None:
         self.plain = {c: [] for c in self.PLAIN}
-        self.glyphs, self.ends, self.missing = ([], [], [], [], []), [0], []
+        self.columns = [(c, held.append) for c, held in self.plain.items()]
+        self.texts, self.places, self.ends, self.missing = [], [array("d") for _ in range(4)], [0], []
         self.state = {c: [] for c in ("stroke_color", "fill_color", "line", "effects", "stroke_alpha", "fill_alpha", "blend", "clips")}
+        self.met, self.at = {}, []
 
     def add(self, doc_id: int, page_index: int, row: dict) -> None:
         row["doc_id"], row["page_index"] = doc_id, page_index
-        for c, held in self.plain.items():
-            held.append(row.get(c))
+        for c, append in self.columns:
+            append(row.get(c))
         glyphs, state = row.get("glyphs"), row.get("state")
         self.missing.append(glyphs is None)
-        for held, new in zip(self.glyphs, glyphs or (), strict=False):
-            held.extend(new)
-        self.ends.append(len(self.glyphs[0]))
+        if glyphs:
+            self.texts += glyphs[0]
+            for held, new in zip(self.places, glyphs[1:], strict=True):
+                held.fromlist(new)
+        self.ends.append(len(self.texts))
+        key = None if state is None else self.values_of(state)
+        found = self.met.get(key)
+        if found is None:  # few states hold for many rows: each is written out once a batch
+            found = self.met[key] = len(self.met)
+            self.add_state(state)
+        self.at.append(found)
+
+    def add_state(self, state: machine.State | None) -> None:
         if state is None:
             for held in self.state.values():
                 held.append(None)
@@ -354,12 +370,13 @@ class Runs:
             self.state[c].append(getattr(state, c))
 
     def batch(self) -> pa.RecordBatch:
-        texts, *places = self.glyphs
-        fields = [pa.array(texts, pa.string()), *[pa.array(np.array(p, np.float64)) for p in places]]
+        fields = [pa.array(self.texts, pa.string()), *[pa.array(np.array(p, np.float64)) for p in self.places]]
         kind = self.schema.field("glyphs").type
         struct = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
         glyphs = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), struct, type=kind, mask=pa.array(self.missing))
-        columns = {c: pa.array(v, self.schema.field(c).type) for c, v in (self.plain | self.state).items()} | {"glyphs": glyphs}
+        columns = {c: pa.array(v, self.schema.field(c).type) for c, v in self.plain.items()} | {"glyphs": glyphs}
+        at = pa.array(self.at, pa.int32())
+        columns |= {c: pa.array(v, self.schema.field(c).type).take(at) for c, v in self.state.items()}
         out = pa.RecordBatch.from_arrays([columns[f.name] for f in self.schema], schema=self.schema)
         self.clear()
         return out
