@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField
 
-#: Bytes of rows above which a table is never broadcast: files say little, as rows that repeat each other shrink a hundredfold in them.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of rows above which a table is never broadcast: files say little, as rows that repeat each other shrink a hundredfold in them,
+#: and a broadcast of rows with a few short keys is about ten times its rows.
+BROADCAST_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
