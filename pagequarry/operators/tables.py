@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections import Counter
 from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
 from itertools import islice
-from operator import attrgetter
+from operator import attrgetter, itemgetter
 
 import numpy as np
 import pandas as pd
@@ -86,19 +87,20 @@ def bare(value: Column) -> Column:
     return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")).otherwise(value)
 
 
-def parts(corpus: DataFrame, pages: Collection[int] | None = None) -> DataFrame:
+def parts(corpus: DataFrame, pages: Collection[int] | None = None, kinds: Collection[str] | None = None) -> DataFrame:
     """Everything that one pass over each document's bytes gives, by ``kind``: object, section, entry, document.
 
     Objects come in source order, those of object streams right behind their
     container; ``live`` marks the ones that the newest cross-reference entries (or,
     in a recovered document, the first declarations) make current, ``shown`` the
     streams that pages show. With ``pages`` (numbers from 0) the content of other
-    pages is left where it is: it is neither written nor moved.
+    pages is left where it is: it is neither written nor moved. With ``kinds`` rows of others are not made.
     """
     chosen = None if pages is None else frozenset(pages)
+    made = None if kinds is None else frozenset(kinds)
 
     def rows_of(doc: dict) -> Iterator[dict]:
-        for row in document.read(doc["content"] or b"", chosen):
+        for row in document.read(doc["content"] or b"", chosen, made):
             yield row | {"doc_id": doc["doc_id"]}
 
     return expanded(corpus.select("doc_id", "content"), rows_of, PARTS)
@@ -106,7 +108,7 @@ def parts(corpus: DataFrame, pages: Collection[int] | None = None) -> DataFrame:
 
 def objects(found: DataFrame) -> DataFrame:
     """Every object in source order, older revisions included; of :func:`parts`, or of a corpus."""
-    found = parts(found) if "content" in found.columns else found
+    found = parts(found, kinds=("object",)) if "content" in found.columns else found
     return found.where("kind = 'object'").select(*OBJECT_COLUMNS)
 
 
@@ -319,6 +321,18 @@ def operations(content: DataFrame) -> DataFrame:
     return expanded(content.select("doc_id", "page_index", "content", cuts.alias("cuts")), rows_of, schema)
 
 
+def operation_counts(content: DataFrame) -> DataFrame:
+    """How often each operator stands in a page: doc_id, page_index, operator, n; of :func:`page_bytes`. Malformed streams count under a null operator."""
+    cuts = F.col("cuts") if "cuts" in content.columns else F.array().cast("array<int>")
+
+    def rows_of(page: dict) -> Iterator[dict]:
+        counted = Counter(map(itemgetter(0), machine.operations(page["content"] or b"", page["cuts"] or ())))
+        for op, n in counted.items():
+            yield {"doc_id": page["doc_id"], "page_index": page["page_index"], "operator": None if op == "error" else op, "n": n}
+
+    return expanded(content.select("doc_id", "page_index", "content", cuts.alias("cuts")), rows_of, "doc_id long, page_index int, operator string, n long")
+
+
 class Runs:
     """Rows of the page machine as Arrow columns; glyphs are kept as flat columns and never as objects."""
 

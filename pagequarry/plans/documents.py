@@ -39,14 +39,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Parsed:
-    """The relations of a corpus; what several joins read is written once.
+    """The relations of a corpus; what several joins read is written once. Entries of sections are not among them (:func:`tables.parts` has them).
 
     With ``chosen`` page numbers the content of other pages is never written, moved or interpreted.
     """
 
     def __init__(self, docs: DataFrame, chosen: Collection[int] | None = None) -> None:
         self.docs, self.chosen = docs, chosen
-        self.parts = written(tables.parts(docs, chosen), "parts")
+        self.parts = written(tables.parts(docs, chosen, ("object", "section", "document")), "parts")
         self.objects = tables.objects(self.parts)
         self.live = tables.current(self.objects)
         self.roots = tables.catalog(self.live, tables.states(self.parts))
@@ -149,10 +149,10 @@ def pdf_metadata(spark, sf_dir):
 
 @query(LINES + ", r AS (SELECT doc_id, len(ws) AS n, (len(ws) + 11) // 12 AS rows FROM w) SELECT doc_id, sum(n)::BIGINT AS shows, sum(greatest(rows - 1, 0))::BIGINT AS next_lines, sum(n + greatest(rows, 0) + 1)::BIGINT AS moves FROM r GROUP BY doc_id")
 def pdf_operator_counts(spark, sf_dir):
-    ops = tables.operations(Parsed(corpus(spark, sf_dir)).content)
+    ops = tables.operation_counts(Parsed(corpus(spark, sf_dir)).content)
 
     def count(op: str, name: str):
-        return F.sum(F.when(F.col("operator") == op, 1).otherwise(0)).alias(name)
+        return F.sum(F.when(F.col("operator") == op, F.col("n")).otherwise(0)).alias(name)
 
     return ops.groupBy("doc_id").agg(count("Tj", "shows"), count("T*", "next_lines"), count("Td", "moves"))
 

@@ -28,6 +28,7 @@ from pagequarry.operators.tables import PARTS
 
 SCHEMA = f"path string, {PARTS}"
 BATCH = 2000
+KINDS = ("object", "section", "entry", "document")
 #: Conditions that the scan can decide, by column.
 DECIDED = {"path": (EqualTo, In, StringStartsWith, StringEndsWith, StringContains), "kind": (EqualTo, In)}
 
@@ -101,17 +102,17 @@ class PageReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         arrow, held = to_arrow_schema(self.schema), []
+        kinds = frozenset(k for k in KINDS if self._wanted("kind", k))
         for path in partition.paths:
             store, at = fs.FileSystem.from_uri(path)
             with store.open_input_stream(at) as f:
                 data = f.read()
             own = {"path": path, "doc_id": document_id(path)}
-            for row in document.read(data, self.pages):
-                if self._wanted("kind", row["kind"]):
-                    held.append(row | own)
-                    if len(held) >= BATCH:
-                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                        held = []
+            for row in document.read(data, self.pages, kinds):
+                held.append(row | own)
+                if len(held) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held = []
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
