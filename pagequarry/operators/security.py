@@ -54,12 +54,12 @@ def hardened(password: Column, salt: Column, user: Column, revision: Column) ->
     def step(state: Column, count: Column) -> Column:
         k = state["k"]
         block = F.concat(password, k, user)
-        many = F.unhex(F.repeat(F.hex(block), 64))
+        many = F.repeat(block.cast("string"), 64).cast("binary")  # bytes as they are
 
         def after(e: Column) -> Column:
             digits = F.hex(_part(e, 0, 16))
             rest = sum((F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)), F.lit(0)) % 3
-            digest = F.unhex(F.when(rest == 0, F.sha2(e, 256)).when(rest == 1, F.sha2(e, 384)).otherwise(F.sha2(e, 512)))
+            digest = F.unhex(one(rest, lambda n: F.when(n == 0, F.sha2(e, 256)).when(n == 1, F.sha2(e, 384)).otherwise(F.sha2(e, 512))))
             last = F.conv(F.hex(F.substring(e, -1, 1)), 16, 10).cast("int")
             return F.struct(digest.alias("k"), ((count >= 64) & (last <= count - 32)).alias("done"))
 
@@ -101,6 +101,8 @@ def unlocked(live: DataFrame, roots: DataFrame, password: str | None) -> DataFra
     found = resolved(roots.select("doc_id", field("trailer", "Encrypt").alias("spec"), field("trailer", "ID").alias("ids")), live, "spec").where("spec IS NOT NULL")
     first = F.get(items(F.col("ids")), F.lit(0))
     keyed = found.select("doc_id", "spec", F.unhex(F.regexp_extract(first, "^s:([0-9a-f]*)$", 1)).alias("file_id"))
+    # dictionaries are small in bytes and keys costly: the number of partitions is stated, so that few bytes do not end in few tasks
+    keyed = keyed.repartition(int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     version, revision = field("spec", "V").try_cast("int"), field("spec", "R").try_cast("int")
     is_strong = F.coalesce((field("spec", "Filter") == "/Standard") & (version == 5) & revision.isin(5, 6), F.lit(False))
 

@@ -645,7 +645,8 @@ def strongly_sealed_documents(spark, sf_dir) -> DataFrame:
         return F.substring(F.unhex(F.sha2(F.concat(F.lit(what), F.col("doc_id").cast("string")).cast("binary"), 256)), 1, n)
 
     none, level = F.lit(b""), F.lit(5) + F.col("doc_id") % 2
-    docs = rows.select("doc_id").distinct().withColumn("key", drawn_bytes("key", 32))
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))  # numbers are few bytes and keys costly
+    docs = rows.select("doc_id").repartition(slots, "doc_id").distinct().withColumn("key", drawn_bytes("key", 32))
     for name, word in (("u", b"open"), ("o", b"boss")):  # hash, validation salt, key salt; then the key under a hash of the password
         check, inner = drawn_bytes(name + "check", 8), drawn_bytes(name + "key", 8)
         after = none if name == "u" else F.col("u")
