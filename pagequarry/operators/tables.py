@@ -181,16 +181,20 @@ def pages(live: DataFrame, roots: DataFrame, chosen: Collection[int] | None = No
     A document whose tree has no pages gives its page dictionaries in source order. A page that
     the tree names again has an ``error`` there.
     """
-    nodes = live.where(F.coalesce(field("value", "Type"), F.lit("/Pages")).isin("/Page", "/Pages") & (field("value", "Kids").isNotNull() | (field("value", "Type") == "/Page")))
-    kids = nodes.select("doc_id", F.col("obj").alias("parent"), F.posexplode(F.from_json(field("value", "Kids"), "array<string>")).alias("ord", "kid"))
+    # values are read once; those that can be no node of the tree are told by their text
+    likely = live.where(F.col("value").contains('"Kids"') | F.col("value").contains('"/Page"'))
+    told = likely.select("doc_id", F.col("obj").alias("node"), "gen", "seq", "value", F.json_tuple("value", "Type", "Kids", *INHERITED).alias("Type", "Kids", *INHERITED))
+    sound = F.coalesce("Type", F.lit("/Pages")).isin("/Page", "/Pages") & (F.col("Kids").isNotNull() | (F.col("Type") == "/Page"))
+    nodes = written(told.where(sound), "page-tree")
+    kids = nodes.select("doc_id", F.col("node").alias("parent"), F.posexplode(F.from_json("Kids", "array<string>")).alias("ord", "kid"))
     edges = kids.select("doc_id", "parent", F.col("ord").cast("long").alias("ord"), ref(F.col("kid")).alias("node"))
     tops = roots.select("doc_id", F.lit(None).cast("int").alias("parent"), F.lit(0).cast("long").alias("ord"), ref(field("catalog", "Pages")).alias("node"))
-    values = nodes.select("doc_id", F.col("obj").alias("node"), "gen", "seq", "value", F.lit("").alias("name"), *[field("value", k).alias(k) for k in INHERITED])
-    linked = written(edges.unionByName(tops).join(values.drop("gen", "seq", "value"), ["doc_id", "node"]), "page-nodes")  # read once per level
+    values = nodes.withColumn("name", F.lit(""))
+    linked = written(edges.unionByName(tops).join(values.select("doc_id", "node", "name", *INHERITED), ["doc_id", "node"]), "page-nodes")  # read once per level
     reached = trees.walk(linked, ["doc_id"], inherit=INHERITED).select("doc_id", "node", "order", *INHERITED)
-    own = values.select("doc_id", "node", "gen", "seq", "value").where(field("value", "Kids").isNull())
+    own = values.where("Kids IS NULL").select("doc_id", "node", "gen", "seq", "value")
     leaves = reached.join(own, ["doc_id", "node"])
-    scanned = values.where(field("value", "Type") == "/Page").withColumn("order", F.array(F.col("seq").cast("long")))
+    scanned = values.where("Type = '/Page'").withColumn("order", F.array(F.col("seq").cast("long")))
     loose = scanned.join(leaves.select("doc_id").distinct(), "doc_id", "left_anti").select(*leaves.columns)
     place = Window.partitionBy("doc_id").orderBy("order")
     again = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("order")) > 1

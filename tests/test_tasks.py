@@ -63,3 +63,11 @@ def test_a_table_of_a_few_megabytes_is_not_broadcast(spark):
 def test_keys_are_found_in_the_stated_number_of_tasks(corpus):
     c = corpus(writer.revision(b"", {1: b"<< /Type /Catalog >>", 2: b"<< /Filter /Standard >>"}, b"/Root 1 0 R /Encrypt 2 0 R", "table"))
     assert "REPARTITION_BY_NUM" in security.unlocked(c.live, c.roots, "open")._jdf.queryExecution().toString()
+
+
+def test_values_of_the_page_tree_are_read_once(corpus):
+    tree, root, numbers = writer.page_tree(10, [b""] * 9)
+    c = corpus(writer.revision(b"", {1: b"<< /Type /Catalog /Pages %d 0 R >>" % root, 2: b"<< /Kids (none) /Type /Other >>"} | tree, b"/Root 1 0 R", "table"))
+    found = tables.pages(c.live, c.roots)
+    assert [r.obj for r in found.orderBy("page_index").collect()] == numbers
+    assert "get_json_object" not in found._jdf.queryExecution().optimizedPlan().toString()
