@@ -49,23 +49,31 @@ CONTENT = (
 )
 
 
-BATCH_ROWS = 2000
+#: Rows, bytes and glyphs at which a batch goes out: rows may be long, so their number alone bounds nothing.
+BATCH_ROWS, BATCH_BYTES, BATCH_GLYPHS = 2000, 4 << 20, 50_000
+#: Columns whose values may be long.
+LONG = ("content", "value", "stream", "text", "operands")
 
 
 def expanded(df: DataFrame, rows_of: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
     """Each row of ``df`` as the rows that ``rows_of`` makes of it, in Arrow batches of bounded size."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    lengthy = [c for c in LONG if c in arrow.names]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        room = BATCH_BYTES
         for batch in batches:
             names, columns = batch.schema.names, batch.columns
             for i in range(batch.num_rows):
                 for row in rows_of({n: c[i].as_py() for n, c in zip(names, columns, strict=True)}):
                     held.append(row)
-                    if len(held) >= BATCH_ROWS:
+                    for c in lengthy:
+                        if value := row.get(c):
+                            room -= len(value)
+                    if len(held) >= BATCH_ROWS or room < 0:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                        held = []
+                        held, room = [], BATCH_BYTES
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
@@ -479,7 +487,7 @@ def interpreted(
                 found = machine.Machine(matrix=matrix, scopes=own, flatten=flatten, **wanted).run(data, cuts, scope or 0)
                 for row in islice(found, limit):
                     runs.add(doc_id, page_index, row)
-                    if len(runs.missing) >= BATCH_ROWS:
+                    if len(runs.missing) >= BATCH_ROWS or len(runs.texts) >= BATCH_GLYPHS:
                         yield runs.batch()
         if runs.missing:
             yield runs.batch()
