@@ -109,7 +109,8 @@ def parts(corpus: DataFrame, pages: Collection[int] | None = None, kinds: Collec
 
     def rows_of(doc: dict) -> Iterator[dict]:
         for row in document.read(doc["content"] or b"", chosen, made):
-            yield row | {"doc_id": doc["doc_id"]}
+            row["doc_id"] = doc["doc_id"]
+            yield row
 
     return expanded(corpus.select("doc_id", "content"), rows_of, PARTS)
 

@@ -2,6 +2,8 @@
 
 import json
 
+import pyarrow as pa
+
 from pagequarry.kernels import document, syntax
 from pagequarry.operators import security, tables
 from pagequarry.sources import render, store, writer
@@ -89,3 +91,25 @@ def test_a_value_ends_where_its_object_does_and_an_object_stream_may_be_empty():
     rows = [r for r in document.read(data) if r["kind"] == "object"]
     assert [(r["obj"], r["value"]) for r in rows if r["obj"] != 4] == [(1, '"/upstream"'), (2, '{"A": "/x", "endobj": 1}'), (3, "12"), (5, "7")]
     assert not any(r["error"] for r in rows)
+
+
+class Local:
+    """Stands for a table: what would run in its tasks runs here."""
+
+    def mapInArrow(self, of, schema):
+        self.of = of
+        return self
+
+
+def test_batches_of_long_rows_are_bounded_by_what_they_hold(spark):
+    long = tables.expanded(Local(), lambda d: iter([{"content": b"x" * (1 << 20)}]), "content binary")
+    made = list(long.of([pa.record_batch({"k": list(range(20))})]))
+    assert sum(b.num_rows for b in made) == 20 and max(b.num_rows for b in made) <= 5
+    shown = b"BT " + b"(" + b"a" * 30_000 + b") Tj ET"
+    empty, none = [None] * 6, [None]
+    columns = {
+        "doc_id": [1] * 7, "part": [1, *[2] * 6], "at": [3, *range(6)], "res": none + empty, "scope": none + [0] * 6, "matrix": pa.array(none + empty, pa.list_(pa.float64())), "contents": none + [[3]] * 6,
+        "spec": ["{}", *empty], "raw": [shown, *empty], "named": none + empty,
+    }
+    runs = list(tables.interpreted(Local()).of([pa.record_batch(columns)]))
+    assert sum(b.num_rows for b in runs) == 6 and max(b.num_rows for b in runs) <= 2
