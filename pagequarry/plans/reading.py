@@ -38,9 +38,12 @@ def files_of(docs: DataFrame, folder: str) -> None:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = fs.FileSystem.from_uri(folder)
+        there: set[int] = set()
         for batch in batches:
             for i, data in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
-                store.create_dir(f"{at}/{i % 10}", recursive=True)
+                if i % 10 not in there:
+                    store.create_dir(f"{at}/{i % 10}", recursive=True)
+                    there.add(i % 10)
                 with store.open_output_stream(f"{at}/{i % 10}/n-{i}.pdf") as f:
                     f.write(data.as_py())
             yield batch.select(["doc_id"])

@@ -24,10 +24,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from pagequarry.kernels import document
-from pagequarry.operators.tables import PARTS
+from pagequarry.operators.tables import BATCH_BYTES, PARTS
 
 SCHEMA = f"path string, {PARTS}"
 BATCH = 2000
+#: Bytes of files that a task reads: a megabyte of documents takes about a second.
+PARTITION_BYTES = 4 << 20
 KINDS = ("object", "section", "entry", "document")
 #: Conditions that the scan can decide, by column.
 DECIDED = {"path": (EqualTo, In, StringStartsWith, StringEndsWith, StringContains), "kind": (EqualTo, In)}
@@ -78,7 +80,7 @@ class PageReader(DataSourceReader):
         return all(holds(f, value) for f in self.conditions[column])
 
     def partitions(self) -> Sequence[InputPartition]:
-        path, limit = self.options["path"], int(self.options.get("partitionbytes", 32 << 20))
+        path, limit = self.options["path"], int(self.options.get("partitionbytes", PARTITION_BYTES))
         pattern = "*" in path
         root = path[: path.index("*")].rsplit("/", 1)[0] if pattern else path
         store, at = fs.FileSystem.from_uri(root if "://" in root or root.startswith("/") else f"file:{root}")
@@ -101,18 +103,24 @@ class PageReader(DataSourceReader):
         return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        arrow, held = to_arrow_schema(self.schema), []
+        arrow, held, room = to_arrow_schema(self.schema), [], BATCH_BYTES
         kinds = frozenset(k for k in KINDS if self._wanted("kind", k))
+        stores: dict[str, tuple] = {}
         for path in partition.paths:
-            store, at = fs.FileSystem.from_uri(path)
+            folder, name = path.rsplit("/", 1)
+            if folder not in stores:
+                stores[folder] = fs.FileSystem.from_uri(folder)
+            store, at = stores[folder][0], f"{stores[folder][1]}/{name}"
             with store.open_input_stream(at) as f:
                 data = f.read()
-            own = {"path": path, "doc_id": document_id(path)}
+            number = document_id(path)
             for row in document.read(data, self.pages, kinds):
-                held.append(row | own)
-                if len(held) >= BATCH:
+                row["path"], row["doc_id"] = path, number
+                held.append(row)
+                room -= len(row.get("stream") or b"")
+                if len(held) >= BATCH or room < 0:
                     yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                    held = []
+                    held, room = [], BATCH_BYTES
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
