@@ -41,12 +41,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Parsed:
     """The relations of a corpus; what several joins read is written once. Entries of sections are not among them (:func:`tables.parts` has them).
 
-    With ``chosen`` page numbers the content of other pages is never written, moved or interpreted.
+    With ``chosen`` page numbers the content of other pages is never written, moved or interpreted; without ``content``
+    that of every page, while the pages themselves are there.
     """
 
-    def __init__(self, docs: DataFrame, chosen: Collection[int] | None = None) -> None:
+    def __init__(self, docs: DataFrame, chosen: Collection[int] | None = None, content: bool = True) -> None:
         self.docs, self.chosen = docs, chosen
-        self.parts = written(tables.parts(docs, chosen, ("object", "section", "document")), "parts")
+        self.parts = written(tables.parts(docs, chosen if content else (), ("object", "section", "document")), "parts")
         self.objects = tables.objects(self.parts)
         self.live = tables.current(self.objects)
         self.roots = tables.catalog(self.live, tables.states(self.parts))
@@ -141,7 +142,7 @@ def pdf_xref_entries(spark, sf_dir):
 
 @query("SELECT doc_id, 'document ' || doc_id AS title, coalesce(source, '') AS subject, sha256(coalesce(source, '')) AS digest FROM documents")
 def pdf_metadata(spark, sf_dir):
-    p = Parsed(corpus(spark, sf_dir))
+    p = Parsed(corpus(spark, sf_dir), content=False)
     info = navigation.information(p.live, p.roots)
     title, subject = F.col("info")["Title"], F.col("info")["Subject"]
     return info.select("doc_id", title.alias("title"), subject.alias("subject"), F.sha2(subject.cast("binary"), 256).alias("digest"))
@@ -209,7 +210,7 @@ def pdf_differences(spark, sf_dir):
     """Metadata read back against the table, a tenth of which is changed first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"))
     changed = docs.withColumn("source", F.when(F.col("doc_id") % 10 == 0, "other").otherwise(F.col("source")))
-    p = Parsed(corpus(spark, sf_dir))
+    p = Parsed(corpus(spark, sf_dir), content=False)
     read = navigation.information(p.live, p.roots).select("doc_id", F.col("info")["Subject"].alias("source"))
     return compare.differences(read, changed, "doc_id")
 
@@ -217,5 +218,5 @@ def pdf_differences(spark, sf_dir):
 @query("SELECT doc_id, 'Helvetica' AS name, 'Type1' AS kind, 'WinAnsiEncoding' AS encoding, false AS embedded FROM documents")
 def pdf_fonts(spark, sf_dir):
     """Fonts of each document, by their own names."""
-    p = Parsed(corpus(spark, sf_dir))
+    p = Parsed(corpus(spark, sf_dir), content=False)
     return images.fonts(p.live, p.resources).select("doc_id", "name", "kind", "encoding", "embedded")

@@ -113,3 +113,12 @@ def test_batches_of_long_rows_are_bounded_by_what_they_hold(spark):
     }
     runs = list(tables.interpreted(Local()).of([pa.record_batch(columns)]))
     assert sum(b.num_rows for b in runs) == 6 and max(b.num_rows for b in runs) <= 2
+
+
+def test_without_content_pages_are_there_and_their_streams_are_not_written(spark):
+    from pagequarry.plans.documents import Parsed
+
+    made = render.document([["a"], ["b"]], {"Title": "t"})
+    docs = spark.createDataFrame([(1, made)], "doc_id long, content binary")
+    p = Parsed(docs, content=False)
+    assert p.pages.count() == 2 and p.parts.where("stream IS NOT NULL").count() == 0 and p.objects.count() == 10
