@@ -70,9 +70,12 @@ def pdf_live_objects(spark, sf_dir):
 @query(REVISED + " SELECT doc_id, obj, s = 'F' AS free FROM o WHERE NOT recovered")
 def pdf_newest_entries(spark, sf_dir):
     """The newest entry of each order's object, over tables, streams and hybrid files."""
-    found = tables.parts(order_documents(spark, sf_dir))
+    holder = (F.col("kind") == "object") & tables.field("value", "Type").isin("/ObjStm", "/XRef")
+    # both sides of the join come from one reading of the bytes
+    read = tables.parts(order_documents(spark, sf_dir), kinds=("object", "entry")).where((F.col("kind") == "entry") | holder).drop("stream", "resolved", "error")
+    found = written(read, "entries")
     newest = tables.newest_entries(found).where("obj >= 10")
-    packed = found.where("kind = 'object'").where(tables.field("value", "Type").isin("/ObjStm", "/XRef")).select("doc_id", "obj")
+    packed = found.where("kind = 'object'").select("doc_id", "obj")
     return newest.join(packed, ["doc_id", "obj"], "left_anti").select("doc_id", "obj", "free")
 
 

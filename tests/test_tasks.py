@@ -122,3 +122,15 @@ def test_without_content_pages_are_there_and_their_streams_are_not_written(spark
     docs = spark.createDataFrame([(1, made)], "doc_id long, content binary")
     p = Parsed(docs, content=False)
     assert p.pages.count() == 2 and p.parts.where("stream IS NOT NULL").count() == 0 and p.objects.count() == 10
+
+
+def test_entries_and_what_holds_objects_come_from_one_reading(spark, monkeypatch):
+    from pagequarry.plans import structured
+
+    calls = []
+    made = writer.revision(b"", {1: b"<< /Type /Catalog >>", 10: b"7"}, b"/Root 1 0 R", "stream")
+    docs = spark.createDataFrame([(1, made)], "doc_id long, content binary")
+    monkeypatch.setattr(structured, "order_documents", lambda spark, sf_dir: calls.append(1) or docs)
+    found = structured.pdf_newest_entries(spark, "")
+    assert [tuple(r) for r in found.collect()] == [(1, 10, False)] and calls == [1]
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
