@@ -458,44 +458,74 @@ def interpreted(
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(arrow)
-        doc, named, scopes, streams = None, {}, {}, {}
-        for batch in batches:
-            held = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            ids, parts_of = held["doc_id"].to_pylist(), held["part"].to_pylist()
-
-            def at(name: str, i: int, held=held):
-                return held[name][i].as_py()
-
-            for i, (doc_id, part) in enumerate(zip(ids, parts_of, strict=True)):
-                if doc_id != doc:
-                    doc, named, scopes, streams = doc_id, {}, {}, {}
-                if part == 0:
-                    named[at("res", i)] = at("named", i)
-                    continue
-                if part == 1:
-                    streams[at("at", i)] = {"spec": at("spec", i), "raw": at("raw", i)}
-                    continue
-                res, page_index, scope = at("res", i), at("at", i), at("scope", i)
-                if res not in scopes:
-                    scopes[res] = scopes_of(named.pop(res, None))
-                own, errors = scopes[res]
-                data, cuts, error = joined_streams([streams[k] for k in at("contents", i) or () if k in streams])
-                if scope:
-                    data = next((f.content for s in own.values() for f in s.forms.values() if f.scope == scope), b"")
-                for what in filter(None, (error, *errors)):
-                    runs.add(doc_id, page_index, {"seq": -1, "kind": "error", "error": what, "scope": scope})
-                matrix = tuple(at("matrix", i) or machine.IDENTITY)
-                found = machine.Machine(matrix=matrix, scopes=own, flatten=flatten, **wanted).run(data, cuts, scope or 0)
-                for row in islice(found, limit):
-                    runs.add(doc_id, page_index, row)
-                    if len(runs.missing) >= BATCH_ROWS or len(runs.texts) >= BATCH_GLYPHS:
-                        yield runs.batch()
+        for (doc_id, page_index), scope, own, errors, matrix, data, cuts in read_pages(batches):
+            for what in errors:
+                runs.add(doc_id, page_index, {"seq": -1, "kind": "error", "error": what, "scope": scope})
+            found = machine.Machine(matrix=matrix, scopes=own, flatten=flatten, **wanted).run(data, cuts, scope or 0)
+            for row in islice(found, limit):
+                runs.add(doc_id, page_index, row)
+                if len(runs.missing) >= BATCH_ROWS or len(runs.texts) >= BATCH_GLYPHS:
+                    yield runs.batch()
         if runs.missing:
             yield runs.batch()
 
     return rows.mapInArrow(of, CONTENT)
 
 
+def placed(rows: DataFrame, fold: Callable[[machine.Placed], list], schema: str, flatten: bool = False) -> DataFrame:
+    """Columns of ``schema`` that ``fold`` makes of the shown text of whole pages where they are read; of :func:`folding`.
+
+    A page's text is in order there already: no run or glyph becomes a row that moves unless ``fold`` makes it one.
+    Pages without text give nothing.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    wanted = frozenset(("text",))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = machine.Placed()
+        for page, scope, own, _, matrix, data, cuts in read_pages(batches):
+            found = machine.Machine(matrix=matrix, scopes=own, flatten=flatten, kinds=wanted, placed=held)
+            for _ in found.run(data, cuts, scope or 0):
+                pass  # errors are rows of others
+            held.end_page(*page)
+            if held.n_glyphs >= BATCH_GLYPHS or len(held.seq) >= BATCH_GLYPHS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fold(held.finish()), arrow, strict=True)], schema=arrow)
+                held = machine.Placed()
+        if held.pages:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fold(held.finish()), arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(of, schema)
+
+
+def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Pages of :func:`folding`: (doc_id, page_index), scope, resources by scope, errors, matrix, decoded content and where further streams begin."""
+    doc, named, scopes, streams = None, {}, {}, {}
+    for batch in batches:
+        held = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        ids, parts_of = held["doc_id"].to_pylist(), held["part"].to_pylist()
+
+        def at(name: str, i: int, held=held):
+            return held[name][i].as_py()
+
+        for i, (doc_id, part) in enumerate(zip(ids, parts_of, strict=True)):
+            if doc_id != doc:
+                doc, named, scopes, streams = doc_id, {}, {}, {}
+            if part == 0:
+                named[at("res", i)] = at("named", i)
+                continue
+            if part == 1:
+                streams[at("at", i)] = {"spec": at("spec", i), "raw": at("raw", i)}
+                continue
+            res, scope = at("res", i), at("scope", i)
+            if res not in scopes:
+                scopes[res] = scopes_of(named.pop(res, None))
+            own, errors = scopes[res]
+            data, cuts, error = joined_streams([streams[k] for k in at("contents", i) or () if k in streams])
+            if scope:
+                data = next((f.content for s in own.values() for f in s.forms.values() if f.scope == scope), b"")
+            yield (doc_id, at("at", i)), scope, own, [*filter(None, (error, *errors))], tuple(at("matrix", i) or machine.IDENTITY), data, cuts
+
+
 def scopes_of(resources: list[dict] | None) -> tuple[dict[int, machine.Scope], list[str]]:
     """Resources of a dictionary and its forms by scope, and what was wrong with forms that could not be read."""
     scopes: dict[int, machine.Scope] = {0: machine.Scope()}

@@ -76,6 +76,11 @@ class Parsed:
         rows = tables.folding(self.live, page, resources.dictionaries(self.live, self.shared))
         return tables.interpreted(rows, flatten, kinds, operators, limit)
 
+    def placed(self, fold, schema: str, flatten: bool = False, space: str = "default") -> DataFrame:
+        """What ``fold`` makes of the pages' shown text where it is read, as columns of ``schema``."""
+        page = resources.with_res(self.pages).withColumn("matrix", tables.page_matrix(space))
+        return tables.placed(tables.folding(self.live, page, resources.dictionaries(self.live, self.shared)), fold, schema, flatten)
+
     def form_runs(self, flatten: bool = False) -> DataFrame:
         """The rows of every form as a view of its own, in its own space; ``scope`` is the form."""
         rows = tables.folding(self.live, resources.form_pages(self.pages, self.shared), resources.dictionaries(self.live, self.shared))
@@ -90,7 +95,7 @@ LINES = r"WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(1
 @query(LINES + " SELECT doc_id, page_index, array_to_string([array_to_string(ws[r * 12 + 1 : r * 12 + 12], ' ') for r in range((len(ws) + 11) // 12)], chr(10)) AS text FROM w WHERE len(ws) > 0")
 def pdf_text_round_trip(spark, sf_dir):
     """Rendered, read, interpreted and assembled again: every page's text."""
-    return text.untagged_text(Parsed(corpus(spark, sf_dir)).runs())
+    return Parsed(corpus(spark, sf_dir)).placed(text.page_texts, text.PAGE_TEXT)
 
 
 @query(LINES + " SELECT doc_id, array_to_string([array_to_string(ws[r * 12 + 1 : r * 12 + 12], ' ') for r in range((len(ws) + 11) // 12)], chr(10)) AS text FROM w WHERE len(ws) > 0 AND page_index = 0")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.kernels.content import Placed
+
 
 def glyphs(runs: DataFrame) -> DataFrame:
     """One row per shown glyph in paint order: doc_id, page_index, index (from 0 on each page), text, font, size, x, y, dx, dy."""
@@ -15,6 +19,31 @@ def glyphs(runs: DataFrame) -> DataFrame:
     return each.select("doc_id", "page_index", (F.col("first") + F.col("nth")).cast("int").alias("index"), F.col("g.text").alias("text"), "font", "size", *[F.col(f"g.{c}").alias(c) for c in ("x", "y", "dx", "dy")])
 
 
+#: Columns of :func:`glyph_columns`.
+GLYPHS = "doc_id long, page_index int, index int, text string, font string, size double, x double, y double, dx double, dy double"
+
+
+def glyph_columns(held: Placed) -> list:
+    """What :func:`glyphs` gives, of pages whose runs are together: a fold for :func:`pagequarry.operators.tables.placed`."""
+    ends = np.append(0, held.ends)
+    page_ends, of_runs = ends[held.page_ends], np.diff(ends)
+    own = np.diff(page_ends, prepend=0)
+    ids, numbers = (np.repeat(np.array([p[k] for p in held.pages], np.int64), own) for k in (0, 1))
+    index = np.arange(len(held.texts)) - np.repeat(page_ends - own, own)
+    named = pa.array(held.names, pa.string()).take(pa.array(np.repeat(np.arange(len(of_runs)), of_runs)))
+    return [ids, numbers, index, list(held.texts), named, np.repeat(held.size, of_runs), held.xs, held.ys, held.dxs, held.dys]
+
+
+#: Columns of :func:`page_counts`.
+PAGE_COUNT = "doc_id long, page_index int, n_runs long, n_glyphs long"
+
+
+def page_counts(held: Placed) -> list:
+    """Runs and glyphs of each page that shows text: a fold for :func:`pagequarry.operators.tables.placed`."""
+    ends = np.append(0, held.ends)
+    return [[p[0] for p in held.pages], [p[1] for p in held.pages], np.diff(held.page_ends, prepend=0), np.diff(ends[held.page_ends], prepend=0)]
+
+
 def json_lines(rows: DataFrame) -> DataFrame:
     """One column ``value``: each row as a JSON object without its null members."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
