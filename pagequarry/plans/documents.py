@@ -116,7 +116,7 @@ def pdf_first_words(spark, sf_dir):
 @query(LINES + ", t AS (SELECT doc_id, sum(len(ws))::BIGINT AS n_words FROM w GROUP BY doc_id) SELECT lang, count(*) AS n_docs, sum(n_words)::BIGINT AS n_words FROM t JOIN documents USING (doc_id) GROUP BY lang")
 def pdf_words_by_lang(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pages = text.untagged_text(Parsed(corpus(spark, sf_dir)).runs())
+    pages = Parsed(corpus(spark, sf_dir)).placed(text.page_texts, text.PAGE_TEXT)
     words = pages.groupBy("doc_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)))).alias("n"))
     counted = docs.select("doc_id", "lang").join(words, "doc_id", "left")
     return counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words"))
