@@ -165,8 +165,8 @@ def pdf_operator_counts(spark, sf_dir):
 
 @query(LINES + " SELECT doc_id, sum(len(array_to_string(ws, '')))::BIGINT AS n_glyphs, count(*) FILTER (len(ws) > 0) AS n_pages FROM w GROUP BY doc_id HAVING n_pages > 0")
 def pdf_glyph_counts(spark, sf_dir):
-    runs = Parsed(corpus(spark, sf_dir)).runs().where("kind = 'text'")
-    return runs.groupBy("doc_id").agg(F.sum(F.size("glyphs")).alias("n_glyphs"), F.countDistinct("page_index").alias("n_pages"))
+    counted = Parsed(corpus(spark, sf_dir)).placed(sinks.page_counts, sinks.PAGE_COUNT)
+    return counted.groupBy("doc_id").agg(F.sum("n_glyphs").alias("n_glyphs"), F.count(F.lit(1)).alias("n_pages"))
 
 
 @query("""WITH n AS (SELECT count(*) AS d, sum(len(string_split(coalesce(text, ''), chr(10)))) AS p FROM documents),
