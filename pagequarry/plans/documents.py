@@ -206,7 +206,7 @@ def pdf_text_boxes(spark, sf_dir):
 @query(LINES + " SELECT doc_id, page_index, sum(len(array_to_string(ws, '')))::BIGINT AS n, min(ws[1][1]) AS first FROM w WHERE len(ws) > 0 GROUP BY doc_id, page_index")
 def pdf_glyph_rows(spark, sf_dir):
     """Glyphs as rows in paint order, counted, with the first of each page."""
-    rows = sinks.glyphs(Parsed(corpus(spark, sf_dir)).runs())
+    rows = Parsed(corpus(spark, sf_dir)).placed(sinks.glyph_columns, sinks.GLYPHS)
     return rows.groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "index").alias("first"))
 
 
