@@ -181,7 +181,7 @@ def pdf_tokens_by_kind(spark, sf_dir):
 @query(LINES + ", e AS (SELECT doc_id, page_index, unnest(ws) AS text, unnest(range(1, len(ws) + 1))::INTEGER AS word FROM w) SELECT * FROM e")
 def pdf_words(spark, sf_dir):
     """Words that the layout finds, in order."""
-    found = layout.words(layout.glyph_boxes(Parsed(corpus(spark, sf_dir)).runs()))
+    found = Parsed(corpus(spark, sf_dir)).placed(layout.word_columns, layout.WORDS)
     return found.select("doc_id", "page_index", "text", "word")
 
 
