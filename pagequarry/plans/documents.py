@@ -199,7 +199,7 @@ def pdf_tagged_text(spark, sf_dir):
 @query(LINES + ", b AS (SELECT doc_id, page_index, [array_to_string(ws[r * 12 + 1 : r * 12 + 12], ' ') for r in range((len(ws) + 11) // 12)] AS rows FROM w WHERE len(ws) > 0) SELECT doc_id, page_index, 0 AS box, len(rows)::BIGINT AS n_lines, array_to_string(rows, chr(10)) AS text FROM b")
 def pdf_text_boxes(spark, sf_dir):
     """Boxes of neighbouring lines in reading order: rows that begin at one margin hang together."""
-    lines = written(boxes.line_rows(layout.glyph_boxes(Parsed(corpus(spark, sf_dir)).runs())), "lines")
+    lines = written(Parsed(corpus(spark, sf_dir)).placed(layout.line_columns, layout.LINES), "lines")
     return boxes.text_boxes(lines).select("doc_id", "page_index", "box", "n_lines", "text")
 
 
