@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,23 +47,27 @@ def with_res(page: DataFrame) -> DataFrame:
     return page.withColumn("res", F.when(F.col("Resources").isNotNull(), F.xxhash64("Resources")))
 
 
-def shared(live: DataFrame, page: DataFrame) -> DataFrame:
+def shared(live: DataFrame, page: DataFrame, drawn: bool = False) -> DataFrame:
     """Entries of every scope of every dictionary: doc_id, res, scope, category, name, obj, value, spec.
 
-    A form without resources of its own uses those of the scope that names it.
+    A form without resources of its own uses those of the scope that names it. With ``drawn`` the resources of Type 3 fonts
+    are scopes too: the font's object number, or below 0 where the font is written out in a dictionary.
     """
+    is_form = (F.col("category") == "XObject") & F.col("obj").isNotNull() & F.coalesce(field("value", "Subtype") == "/Form", F.lit(False))
+    is_drawn = (F.col("category") == "Font") & F.coalesce(field("value", "Subtype") == "/Type3", F.lit(False)) & F.lit(drawn)
     own = with_res(page.select("doc_id", "Resources")).where("res IS NOT NULL").groupBy("doc_id", "res").agg(F.min("Resources").alias("resources"))
     scopes = own.select("doc_id", "res", F.lit(0).alias("scope"), "resources")
     found, seen = [], None
     while True:
         level = written(named(scopes, live), "resources")
         found.append(level)
-        forms = level.where("category = 'XObject' AND obj IS NOT NULL").where(field("value", "Subtype") == "/Form")
-        if forms.isEmpty():
+        holders = level.where(is_form | is_drawn)
+        if holders.isEmpty():
             break
         above = scopes.select(*SCOPE, F.col("resources").alias("_above"))
-        inner = forms.join(above, [*SCOPE]).select(
-            "doc_id", "res", F.col("obj").alias("scope"), F.coalesce(field("value", "Resources"), "_above").alias("resources")
+        named_by = F.coalesce("obj", (-1 - F.pmod(F.xxhash64("value"), F.lit(2**31 - 1))).cast("int"))
+        inner = holders.join(above, [*SCOPE]).select(
+            "doc_id", "res", named_by.alias("scope"), F.coalesce(field("value", "Resources"), F.when(is_form, F.col("_above"))).alias("resources")
         )
         done = scopes.select(*SCOPE) if seen is None else seen.union(scopes.select(*SCOPE))
         seen = written(done, "resource-scopes")
@@ -86,7 +91,7 @@ def resources(live: DataFrame, page: DataFrame) -> DataFrame:
 def char_procs(live: DataFrame, entries: DataFrame) -> DataFrame:
     """Glyph procedures of Type 3 fonts: doc_id, res, scope, name (the font's), glyph, obj, width and bbox as their first operator (d0 or d1) states them, error.
 
-    Widths and boxes are in the font's own units; a box's corners are put in order.
+    Widths and boxes are in the font's own units; a box's corners are put in order. A procedure is read to its end: one with malformed syntax anywhere states nothing.
     """
     fonts = entries.where("category = 'Font'").where(field("value", "Subtype") == "/Type3").select(*SCOPE, "name", field("value", "CharProcs").alias("held"))
     values = live.select("doc_id", F.col("obj").alias("_obj"), "value")
@@ -98,10 +103,12 @@ def char_procs(live: DataFrame, entries: DataFrame) -> DataFrame:
         out = {k: row[k] for k in ("doc_id", "res", "scope", "name", "glyph", "obj")}
         try:
             data = filters.decode(row["stream"], json.loads(row["spec"])) if row["stream"] is not None else b""
-            op, operands, _ = next(machine.operations(data), ("", [], 0))
+            every = machine.operations(data)
+            op, operands, _ = first = next(every, ("", [], 0))
+            wrong = next((a[0] for o, a, _ in chain([first], every) if o == "error"), None)
             need = {"d0": 2, "d1": 6}.get(op)
-            if need is None:
-                yield out | {"error": operands[0] if op == "error" else None if op else "empty procedure"}
+            if wrong or need is None:
+                yield out | {"error": wrong or (None if op else "empty procedure")}
                 return
             numbers = [float(x) for x in operands if isinstance(x, (int, float))]
             if len(numbers) != need or len(operands) != need:

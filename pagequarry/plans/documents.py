@@ -222,6 +222,6 @@ def pdf_differences(spark, sf_dir):
 
 @query("SELECT doc_id, 'Helvetica' AS name, 'Type1' AS kind, 'WinAnsiEncoding' AS encoding, false AS embedded FROM documents")
 def pdf_fonts(spark, sf_dir):
-    """Fonts of each document, by their own names."""
+    """Fonts of each document, by their own names; those of forms and of Type 3 fonts' own resources are among them."""
     p = Parsed(corpus(spark, sf_dir), content=False)
-    return images.fonts(p.live, p.resources).select("doc_id", "name", "kind", "encoding", "embedded")
+    return images.fonts(p.live, resources.on_pages(resources.shared(p.live, p.pages, drawn=True), p.pages)).select("doc_id", "name", "kind", "encoding", "embedded")
