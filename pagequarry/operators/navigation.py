@@ -137,18 +137,23 @@ VIEW_PARAMETERS = {"/XYZ": 3, "/Fit": 0, "/FitB": 0, "/FitH": 1, "/FitV": 1, "/F
 
 def annotations(live: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per annotation of each page; ``error`` names what a malformed one lacks."""
-    listed = resolved(pages.select("doc_id", "page_index", field("value", "Annots").alias("a")), live, "a").where("a IS NOT NULL")
-    each = resolved(listed.select("doc_id", "page_index", F.posexplode(items(F.col("a"))).alias("seq", "v")), live, "v")
-    each = resolved(each.withColumn("act", field("v", "A")), live, "act")
-    rect, quads = numbers(field("v", "Rect")), numbers(field("v", "QuadPoints"))
-    color = numbers(field("v", "C"))
-    error = F.when(~F.coalesce(field("v", "Subtype").startswith("/"), F.lit(False)), "Subtype").when(F.coalesce(F.size(rect), F.lit(0)) != 4, "Rect").when(
+    lists, held = live.where(F.col("value").startswith("[")), live.where(F.col("value").startswith("{"))  # nothing else can be read as what is named
+    listed = resolved(pages.select("doc_id", "page_index", field("value", "Annots").alias("a")).where("a IS NOT NULL"), lists, "a")
+    each = resolved(listed.select("doc_id", "page_index", F.posexplode(items(F.col("a"))).alias("seq", "v")), held, "v")
+    members = "Subtype", "Rect", "QuadPoints", "Contents", "M", "F", "C", "A"  # a value is read once, not for each of them
+    each = written(each.select("doc_id", "page_index", "seq", F.json_tuple("v", *members).alias(*members)), "annotations")
+    apart = ~F.col("A").startswith("{") & ref(F.col("A")).isNotNull()
+    if not each.where(apart).isEmpty():  # actions mostly stand in their annotation: only the others are looked up
+        each = each.where(~F.coalesce(apart, F.lit(False))).unionByName(resolved(each.where(apart), held, "A"))
+    told = each.select("*", F.json_tuple("A", "S", "URI").alias("S", "URI"), numbers(F.col("Rect")).alias("rect_"), numbers(F.col("QuadPoints")).alias("quads"), numbers(F.col("C")).alias("color_"))
+    rect, quads, color = F.col("rect_"), F.col("quads"), F.col("color_")
+    error = F.when(~F.coalesce(F.col("Subtype").startswith("/"), F.lit(False)), "Subtype").when(F.coalesce(F.size(rect), F.lit(0)) != 4, "Rect").when(
         quads.isNotNull() & ((F.size(quads) == 0) | (F.size(quads) % 8 != 0)), "QuadPoints"
     )
-    return each.select(
-        "doc_id", "page_index", "seq", text_value(field("v", "Subtype")).alias("subtype"), rect.alias("rect"), text_value(field("v", "Contents")).alias("contents"),
-        text_value(field("act", "S")).alias("action_kind"), text_value(field("act", "URI")).alias("uri"), text_value(field("v", "M")).alias("modified"),
-        F.coalesce(field("v", "F").try_cast("int"), F.lit(0)).alias("flags"), F.when(F.size(color).isin(1, 3, 4), color).alias("color"), quads.alias("quads"), error.alias("error"),
+    return told.select(
+        "doc_id", "page_index", "seq", text_value(F.col("Subtype")).alias("subtype"), rect.alias("rect"), text_value(F.col("Contents")).alias("contents"),
+        text_value(F.col("S")).alias("action_kind"), text_value(F.col("URI")).alias("uri"), text_value(F.col("M")).alias("modified"),
+        F.coalesce(F.col("F").try_cast("int"), F.lit(0)).alias("flags"), F.when(F.size(color).isin(1, 3, 4), color).alias("color"), quads, error.alias("error"),
     )
 
 
