@@ -75,6 +75,13 @@ class PdfTokens(_Choosing):
             yield seq, "error", str(e), None, e.offset
 
 
+def said(operands: list) -> str:
+    """Operands as JSON; the commonest, one string alone, as it stands: it has hexadecimal digits only."""
+    if len(operands) == 1 and type(operands[0]) is str and operands[0].startswith("s:"):
+        return f'["{operands[0]}"]'
+    return json.dumps(operands)
+
+
 class PdfOperations(_Choosing):
     columns = columns_of(seq=IntegerType(), operator=StringType(), operands=StringType(), offset=LongType(), error=StringType())
 
@@ -88,7 +95,7 @@ class PdfOperations(_Choosing):
             if op == "error":
                 yield seq, None, None, at, operands[0]
             elif wanted is None or op in wanted:
-                yield seq, op, json.dumps(operands), at, None
+                yield seq, op, said(operands), at, None
 
 
 OBJECTS = columns_of(seq=IntegerType(), obj=IntegerType(), gen=IntegerType(), live=BooleanType(), value=StringType(), has_stream=BooleanType(), error=StringType())
@@ -105,8 +112,8 @@ def register_callback(spark: SparkSession, name: str, rows_of: Callable[..., Ite
     """A table function of the user's own: ``rows_of`` gets the arguments of each call and yields rows of ``columns``."""
 
     class Called:
-        def eval(self, *arguments) -> Iterator[tuple]:
-            yield from rows_of(*arguments)
+        def eval(self, *arguments) -> Iterable[tuple]:
+            return rows_of(*arguments)
 
     # called once a row for few rows each: an Arrow batch for every call would cost far more than the rows themselves
     spark.udtf.register(name, udtf(Called, returnType=columns, useArrow=False))
